@@ -85,14 +85,14 @@ def _pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
     new = np.flatnonzero(first)
     body = _planes(h, 7)
     docs = np.diff(np.r_[0, doc[new]]).view(np.uint64)
-    side = zstandard.ZstdCompressor(level=1).compress(_planes(step.astype(np.uint64), 4) + _planes(docs, 8) + _planes(np.diff(np.r_[new, len(h)]).astype(np.uint64), 4))
-    return np.array([len(h), len(new)], "<u4").tobytes() + body + side
+    side = zstandard.ZstdCompressor(level=1).compress(_planes(step.astype(np.uint64), 4) + _planes(docs, 8) + _planes(np.diff(np.r_[new, len(doc)]).astype(np.uint64), 4))
+    return np.array([len(h), len(doc), len(new)], "<u4").tobytes() + body + side
 
 
 def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, d = np.frombuffer(b, "<u4", 2).tolist()
-    h = _unplanes(b[8 : 8 + 7 * n], 7)
-    side = zstandard.ZstdDecompressor().decompress(b[8 + 7 * n :])
+    hashes, n, d = np.frombuffer(b, "<u4", 3).tolist()
+    h = _unplanes(b[12 : 12 + 7 * hashes], 7)
+    side = zstandard.ZstdDecompressor().decompress(b[12 + 7 * hashes :])
     step, docs, count = _unplanes(side[: 4 * n], 4).view(np.int64), _unplanes(side[4 * n : 4 * n + 8 * d], 8).view(np.int64), _unplanes(side[4 * n + 8 * d :], 4).view(np.int64)
     doc, total = np.repeat(np.cumsum(docs), count), np.cumsum(step)
     starts = np.cumsum(count) - count
@@ -129,7 +129,7 @@ def _windows(window: int, buckets: int):
             h, b, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
             held.clear()
             late = _later(h, doc)
-            rows = [(int(d % buckets), d, p) for d, p in _by_doc(doc[late], pos[late])]
+            rows = [(d % buckets, d, p) for d, p in _by_doc(doc[late], pos[late])]
             h, b, doc, pos = (x[~late] for x in (h, b, doc, pos))
             order = np.lexsort((pos, doc, b))
             h, b, doc, pos = (x[order] for x in (h, b, doc, pos))
@@ -158,37 +158,81 @@ def _windows(window: int, buckets: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: places whose window starts in a smaller document too. Holds one bucket at a time."""
+def _repeated(parts: int):
+    """Rows sorted by bucket: places whose window starts in a smaller document too, packed by bucket of the document.
+
+    Holds one bucket at a time, and at most about a million places to send.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found = None, [], []
+        size = 0
+
+        def settle() -> None:
+            h, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
+            held.clear()
+            late = _later(h, doc)
+            found.append((doc[late], pos[late]))
+
+        def send() -> Iterator[pa.RecordBatch]:
+            doc, pos = (np.concatenate([x[k] for x in found]) for k in range(2))
+            found.clear()
+            to = (_mixed(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((pos, doc, to))
+            doc, pos, to = doc[order], pos[order], to[order]
+            cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+            rows = [(int(to[x]), _pack(np.zeros(0, np.uint64), doc[x:y], pos[x:y])) for x, y in zip(cut, np.r_[cut[1:], len(to)])]
+            if rows:
+                at, body = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(body, pa.binary())], names=["part", "body"])
+
+        for batch in batches:
+            for bucket, doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if bucket != now and held:
+                    settle()
+                    size += len(found[-1][0])
+                now = bucket
+                if doc is None:
+                    held.append(_unpack(body.as_py()))
+                else:
+                    pos = np.frombuffer(body.as_py(), "<u4").astype(np.int64)
+                    found.append((np.full(len(pos), doc, np.int64), pos))
+                    size += len(pos)
+                if size >= _SLAB:
+                    yield from send()
+                    size = 0
+        if held:
+            settle()
+        if found:
+            yield from send()
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document bucket: one row per document with its places. Holds one bucket at a time."""
     now, held = None, []
 
-    def settle() -> list[tuple[int, bytes]]:
-        h, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
+    def settle() -> Iterator[pa.RecordBatch]:
+        rows = list(_by_doc(*(np.concatenate([x[k] for x in held]) for k in (1, 2))))
         held.clear()
-        late = _later(h, doc)
-        return list(_by_doc(doc[late], pos[late]))
-
-    def out(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         if rows:
             d, p = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.binary())], names=["doc_id", "places"])
 
     for batch in batches:
-        for bucket, doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            if bucket != now and held:
-                yield from out(settle())
-            now = bucket
-            if doc is None:
-                held.append(_unpack(body.as_py()))
-            else:
-                yield from out([(doc, body.as_py())])
+        for part, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if part != now and held:
+                yield from settle()
+            now = part
+            held.append(_unpack(body.as_py()))
     if held:
-        yield from out(settle())
+        yield from settle()
 
 
-def spans_of(places: list[bytes], window: int) -> list[tuple[int, int]]:
+def spans_of(places: bytes, window: int) -> list[tuple[int, int]]:
     """Maximal intervals [start, end) of words that the windows at these places cover."""
-    pos = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in places]).astype(np.int64))
+    pos = np.unique(np.frombuffer(places, "<u4").astype(np.int64))
     gap = np.flatnonzero(np.diff(pos) > window)
     return list(zip(pos[np.r_[0, gap + 1]].tolist(), (pos[np.r_[gap, len(pos) - 1]] + window).tolist()))
 
@@ -201,7 +245,7 @@ def _cut_out(window: int):
             n, gone, kept, spans = [], [], [], []
             for t, places in zip(b.column(1), b.column(2)):
                 words = (t.as_py() or "").encode("utf-8", "replace").split()
-                cut = spans_of(places.as_py(), window) if places.is_valid and len(places) else []
+                cut = spans_of(places.as_py(), window) if places.is_valid else []
                 parts, at = [], 0
                 for s, e in cut:
                     parts += words[at:s]
@@ -223,7 +267,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets or 4 * parts
     picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     packed = picked.mapInArrow(_windows(window, buckets), "bucket int, doc_id long, body binary")
-    places = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "doc_id long, places binary")
-    gone = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    places = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(buckets), "part int, body binary")
+    gone = places.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_gathered, "doc_id long, places binary")
     cut = picked.join(gone, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_cut_out(window), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
     return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
