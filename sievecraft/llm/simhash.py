@@ -130,13 +130,20 @@ def _verify(limit: int):
     return run
 
 
+def _compared(dealt: DataFrame, limit: int) -> DataFrame:
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_verify(limit), "u long, v long").distinct()
+
+
 def fingerprint_links(points: DataFrame, max_distance: int = 4, block: int = 4096) -> DataFrame:
     """u, v: links between distinct fingerprints of at most ``max_distance`` bits that keep every component whole."""
     if max_distance > 2 * len(SEGMENTS) - 1:
         raise ValueError("balls of radius one reach no further")
     filed = _filed(points)
-    counts = filed.groupBy("key").agg(F.count(F.when(F.col("looks") == 0, 1)).alias("t"), F.count(F.when(F.col("looks") == 1, 1)).alias("p")).where("t > 0 and t + p > 1")
-    met = filed.join(counts, "key").select("key", "fp", "looks", F.ceil(F.col("t") / block).cast("int").alias("tb"), F.ceil(F.col("p") / block).cast("int").alias("pb"))
+    counts = filed.groupBy("key").agg(F.count(F.when(F.col("looks") == 0, 1)).alias("t"), F.count(F.when(F.col("looks") == 1, 1)).alias("p"))
+    hot = checkpointed(counts.where((F.col("t") > 0) & ((F.col("t") > block) | (F.col("p") > block))))
+    if hot.isEmpty():  # every entry is one group
+        return _compared(filed.select(F.col("key").alias("g"), "fp"), max_distance)
+    met = filed.join(hot, "key", "left").select("key", "fp", "looks", F.coalesce(F.ceil(F.col("t") / block), F.lit(1)).cast("int").alias("tb"), F.coalesce(F.ceil(F.col("p") / block), F.lit(1)).cast("int").alias("pb"))
     # An entry of ordinary size is one group. A hot one is dealt as pairs of blocks: filed i with filed j >= i, filed i with looking j.
     mine = F.when(F.col("looks") == 0, F.pmod(F.xxhash64("fp"), F.col("tb"))).otherwise(F.pmod(F.xxhash64("fp"), F.col("pb"))).cast("int")
     pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -148,7 +155,7 @@ def fingerprint_links(points: DataFrame, max_distance: int = 4, block: int = 409
     one = F.array(pair(F.lit(0), F.lit(0)))
     places = F.when((F.col("tb") == 1) & (F.col("pb") <= 1), one).when(F.col("looks") == 0, filed_pairs).otherwise(looking_pairs)
     dealt = met.withColumn("mine", mine).select("key", "fp", F.explode(places).alias("at")).select(F.xxhash64("key", "at.i", "at.j").alias("g"), "fp")
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_verify(max_distance), "u long, v long").distinct()
+    return _compared(dealt, max_distance)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, words_per_shingle: int = 4, block: int = 4096) -> DataFrame:
