@@ -1,10 +1,694 @@
-"""Registry of the engine's queries and of the SQL that states the same results."""
+"""Registry of the engine's queries and of the SQL that states the same results.
+
+Retrieval queries run on documents (corpus), benchmark (questions) and embeddings (vectors). Operators on ranked lists
+run on a run table made of events: query user_id % 40, list event_type, document event_id % 89, score the largest
+value; every 37th event names an answer.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sievecraft.functions import text as X
+from sievecraft.operators import chunking, features, fuse, learn, measure, retrieve, sets, validate
+from sievecraft.session import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+BRANCHES = ("click", "error", "purchase", "signup", "view")
+
+
+def plain(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Whole numbers as long and doubles rounded, as the SQL has them."""
+    cast = lambda f: F.col(f.name).cast("long") if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)) else F.round(f.name, digits) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+    return df.select(*[cast(f).alias(f.name) for f in df.schema.fields])
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: plain(f(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- inputs
+
+
+def docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def asked(spark, d):
+    b = table(spark, d, "benchmark")
+    return b.select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+
+
+def runs(spark, d):
+    e = table(spark, d, "events").where("value is not null")
+    r = e.groupBy((F.col("user_id") % 40).alias("qid"), F.col("event_type").alias("branch"), (F.col("event_id") % 89).alias("doc_id")).agg(F.max("value").alias("score"))
+    return r.withColumn("rank", F.row_number().over(W.partitionBy("qid", "branch").orderBy(F.desc("score"), "doc_id")).cast("long"))
+
+
+def gold(spark, d):
+    return table(spark, d, "events").where("event_id % 37 = 0").select((F.col("user_id") % 40).alias("qid"), (F.col("event_id") % 89).alias("doc_id")).distinct()
+
+
+def one(spark, d, branch):
+    return runs(spark, d).where(F.col("branch") == branch).drop("branch")
+
+
+def pool(spark, d):
+    return runs(spark, d).where("rank <= 12").select("qid", "doc_id").distinct()
+
+
+RUNS = """
+WITH runs AS (SELECT *, row_number() OVER (PARTITION BY qid, branch ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT user_id % 40 AS qid, event_type AS branch, event_id % 89 AS doc_id, max(value) AS score FROM events WHERE value IS NOT NULL GROUP BY ALL)),
+gold AS (SELECT DISTINCT user_id % 40 AS qid, event_id % 89 AS doc_id FROM events WHERE event_id % 37 = 0),
+pool AS (SELECT DISTINCT qid, doc_id FROM runs WHERE rank <= 12),
+view AS (SELECT * FROM runs WHERE branch = 'view'), click AS (SELECT * FROM runs WHERE branch = 'click')
+"""
+TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
+STOPS = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
+
+
+def bm25_sql(unit_cte: str, unit: str, k: int, asked_sql: str | None = None) -> str:
+    """CTEs up to ``bm``: unit_cte defines u(unit, w)."""
+    asked_sql = asked_sql or f"SELECT DISTINCT item_id AS qid, unnest({TOK}) AS term FROM benchmark"
+    return f"""{unit_cte}, k AS (SELECT {unit}, len(w) AS dl, unnest(w) AS term FROM u), c AS (SELECT {unit}, dl, term, count(*) AS tf FROM k GROUP BY ALL),
+n AS (SELECT count(*) AS n, avg(len(w)::DOUBLE) AS avgdl FROM u), f AS (SELECT term, count(*) AS df FROM c GROUP BY term), a AS ({asked_sql}),
+i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM f, n),
+s AS (SELECT qid, {unit}, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM c JOIN a USING (term) JOIN i USING (term), n GROUP BY ALL),
+bm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {unit}) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, {unit}) <= {k})"""
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(f"SELECT doc_id, len({TOK})::BIGINT AS n, len(list_distinct({TOK}))::BIGINT AS d, md5(array_to_string({TOK}, ' ')) AS h FROM documents")
+def txt_tokens(s, d):
+    t = docs(s, d).select("doc_id", X.tokens(F.col("text")).alias("w"))
+    return t.select("doc_id", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("d"), F.md5(F.array_join("w", " ").cast("binary")).alias("h"))
+
+
+@query(f"""WITH t AS (SELECT item_id, {TOK} AS w FROM benchmark), g AS (SELECT DISTINCT item_id, n, n || ':' || array_to_string(w[i : i + n - 1], ' ') AS f
+FROM (SELECT item_id, w, n, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) AS i FROM t, (SELECT unnest([1, 2, 3]) AS n))) SELECT item_id, count(*) AS n, min(f) AS first, max(f) AS last FROM g GROUP BY item_id""")
+def txt_ngrams(s, d):
+    g = table(s, d, "benchmark").select("item_id", F.explode(X.ngram_features(X.tokens(F.col("text")))).alias("f"))
+    return g.groupBy("item_id").agg(F.count("*").alias("n"), F.min("f").alias("first"), F.max("f").alias("last"))
+
+
+@query(f"""WITH t AS (SELECT item_id, {TOK} AS w FROM benchmark), g AS (SELECT item_id, w[i : i + 2] AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 2, 0) + 1)) AS i FROM t))
+SELECT item_id, count(DISTINCT array_to_string(g, ' ')) AS n, min(array_to_string(g, ' ')) AS first FROM g WHERE len(list_filter(g, lambda x: NOT list_contains({STOPS}, x))) >= 2 GROUP BY item_id""")
+def txt_phrase_filter(s, d):
+    g = table(s, d, "benchmark").select("item_id", F.explode(X.phrases(X.tokens(F.col("text")), 3)).alias("g"))
+    return g.groupBy("item_id").agg(F.count("*").alias("n"), F.min("g").alias("first"))
+
+
+@query(r"SELECT page_id, trim(replace(regexp_replace(regexp_replace(list_extract(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/'), -1), '\.aspx$', '', 'i'), '-\d+$', ''), '-', ' ')) AS title FROM pages")
+def txt_title_from_link(s, d):
+    return table(s, d, "pages").select("page_id", X.title_from_link(F.col("url")).alias("title"))
+
+
+RULES = (("license", "LICENSE"), ("noise", "[#$%&]{3}"), ("shout", "!!"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(h, 'LICENSE') THEN 'license' WHEN regexp_matches(h, '[#$%&]{3}') THEN 'noise' WHEN regexp_matches(h, '!!') THEN 'shout' ELSE 'other' END AS kind FROM (SELECT doc_id, upper(substring(coalesce(text, ''), 1, 400)) AS h FROM documents)")
+def txt_regex_class(s, d):
+    return docs(s, d).select("doc_id", X.classify(F.col("text"), RULES).alias("kind"))
+
+
+@query(r"SELECT doc_id, nullif(upper(regexp_extract(substring(text, 1, 300), '(\d+\.\d+)', 1)), '') AS own, len(list_distinct(regexp_extract_all(substring(text, 1, 2000), '(\d+\.\d+)', 1)))::BIGINT AS cited FROM documents")
+def txt_numbers(s, d):
+    p = r"(\d+\.\d+)"
+    return docs(s, d).select("doc_id", X.own_number(F.col("text"), 300, p).alias("own"), F.size(X.cited_numbers(F.col("text"), 2000, p)).alias("cited"))
+
+
+@query(RUNS + "SELECT qid, doc_id, branch, CASE WHEN rank <= 5 THEN '1-5' WHEN rank <= 10 THEN '6-10' WHEN rank <= 20 THEN '11-20' WHEN rank <= 50 THEN '21-50' ELSE '51+' END AS bucket FROM runs")
+def txt_rank_bucket(s, d):
+    return runs(s, d).select("qid", "doc_id", "branch", X.rank_bucket(F.col("rank")).alias("bucket"))
+
+
+@query("SELECT doc_id, ((6 * list_sum(list_transform(string_split(substring(sha256(doc_id::VARCHAR), 1, 63), ''), lambda x: position(x IN '0123456789abcdef') - 1)) + position(substring(sha256(doc_id::VARCHAR), 64, 1) IN '0123456789abcdef') - 1) % 10)::BIGINT AS bucket FROM documents")
+def txt_sha_bucket(s, d):
+    return docs(s, d).select("doc_id", X.sha_bucket(F.col("doc_id")).alias("bucket"))
+
+
+@query()
+def txt_nfd_norm(s, d):
+    return docs(s, d).select("doc_id", F.md5(X.folded("text").cast("binary")).alias("h"))
+
+
+@query(f"""WITH w AS (SELECT item_id, unnest({TOK}) AS w FROM benchmark), p AS (SELECT item_id, ' ' || w || ' ' AS p, n FROM w, (SELECT unnest([3, 4, 5]) AS n)),
+g AS (SELECT item_id, substring(p, i::INT, n::INT) AS g FROM (SELECT item_id, p, n, unnest(range(1, greatest(length(p) - n + 1, 0) + 1)) AS i FROM p)) SELECT item_id, count(*) AS n, count(DISTINCT g) AS d FROM g GROUP BY item_id""")
+def txt_char_ngrams(s, d):
+    g = table(s, d, "benchmark").select("item_id", F.explode(X.char_ngrams(X.tokens(F.col("text")))).alias("g"))
+    return g.groupBy("item_id").agg(F.count("*").alias("n"), F.countDistinct("g").alias("d"))
+
+
+# ---------------------------------------------------------------- chunks
+
+CHUNKS = f"u AS (SELECT doc_id * 1000 + i AS chunk_id, doc_id, w[i * 400 + 1 : i * 400 + 500] AS w FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 101) // 400 + 1)) AS i FROM (SELECT doc_id, {TOK} AS w FROM documents)))"
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, count(*) AS chunks, sum(len(w))::BIGINT AS words FROM u GROUP BY doc_id")
+def chk_token_windows(s, d):
+    return chunking.token_windows(docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.size("words")).alias("words"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\S+') AS w FROM documents), n AS (SELECT *, (greatest(len(w) - 70, 1) - 1) // 150 + 1 AS n FROM t),
+k AS (SELECT DISTINCT doc_id, w, CASE WHEN n <= 16 THEN i ELSE round_even(i * (n - 1) / 15.0, 0)::BIGINT END AS k FROM (SELECT *, unnest(range(0, least(n, 16))) AS i FROM n))
+SELECT doc_id, k * 150 AS start, len(w[k * 150 + 1 : k * 150 + 220])::BIGINT AS n FROM k""")
+def chk_spread_windows(s, d):
+    return chunking.spread_windows(docs(s, d)).select("doc_id", "start", F.size("words").alias("n"))
+
+
+@query()
+def chk_top_passages(s, d):
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    best = ret_doc_runs(s, d, 3).select("qid", "doc_id")
+    return chunking.top_passages(best.join(q, "qid").join(docs(s, d), "doc_id"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+def ret_doc_runs(s, d, k):
+    return retrieve.bm25(asked(s, d), docs(s, d), X.tokens(F.col("text")), k)
+
+
+DOC_UNITS = f"WITH u AS (SELECT doc_id, {TOK} AS w FROM documents)"
+
+
+@query(bm25_sql(DOC_UNITS, "doc_id", 10) + " SELECT qid, doc_id, rank, round(score, 6) AS score FROM bm")
+def ret_bm25_doc(s, d):
+    return ret_doc_runs(s, d, 10).select("qid", "doc_id", "rank", "score")
+
+
+def chunk_units(s, d):
+    return chunking.token_windows(docs(s, d)).select((F.col("doc_id") * 1000 + F.col("chunk_no")).alias("chunk_id"), "doc_id", "words")
+
+
+@query(bm25_sql(f"WITH {CHUNKS}", "chunk_id", 50) + ", o AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, chunk_id) AS rn FROM bm JOIN (SELECT chunk_id, doc_id FROM u) USING (chunk_id)) SELECT qid, doc_id, round(sum(CASE rn WHEN 1 THEN score ELSE 0.6 * score END), 6) AS score FROM o WHERE rn <= 2 GROUP BY ALL")
+def ret_bm25_chunk_best2(s, d):
+    u = chunk_units(s, d)
+    r = retrieve.bm25(asked(s, d), u, F.col("words"), 50, "chunk_id")
+    return retrieve.best_plus_second(r.select("qid", "chunk_id", "score"), u.select("chunk_id", "doc_id"))
+
+
+TRI = lambda w: f"list_transform(range(1, greatest(len({w}) - 2, 0) + 1), lambda i: array_to_string({w}[i : i + 2], ' '))"
+
+
+@query(bm25_sql(f"WITH t AS (SELECT doc_id, {TOK} AS v FROM documents), u AS (SELECT doc_id, {TRI('v')} AS w FROM t), b AS (SELECT item_id, {TOK} AS v FROM benchmark)", "doc_id", 10, f"SELECT DISTINCT item_id AS qid, unnest({TRI('v')}) AS term FROM b") + " SELECT qid, doc_id, rank, round(score, 6) AS score FROM bm")
+def ret_bm25_phrase(s, d):
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(X.windows(X.tokens(F.col("text")), 3)).alias("term"))
+    return retrieve.bm25(q, docs(s, d), X.windows(X.tokens(F.col("text")), 3), 10).select("qid", "doc_id", "rank", "score")
+
+
+MEM = f"SELECT DISTINCT item_id AS qid, unnest({TOK}) AS term FROM benchmark"
+
+
+def neighbours(s, d):
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("other"), "text")
+    r = retrieve.bm25(asked(s, d), b, X.tokens(F.col("text")), 21, "other").where("qid <> other")
+    return r.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "other"))).where("rank <= 20")
+
+
+def memory_gold(s, d):
+    return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array(F.col("item_id") % 7, F.col("item_id") % 5 + 10)).alias("doc_id"))
+
+
+for _name, _vote in (("ret_memory_vote", "1.0"), ("ret_memory_score", "greatest(score, 0)")):
+
+    def _memory(s, d, by=_name == "ret_memory_score"):
+        return retrieve.memory_votes(neighbours(s, d), memory_gold(s, d), by)
+
+    _memory.__name__ = _name
+    query(bm25_sql(f"WITH u AS (SELECT item_id AS other, {TOK} AS w FROM benchmark)", "other", 21) + f", nb AS (SELECT qid, other, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, other) AS rank FROM bm WHERE qid <> other QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, other) <= 20), g AS (SELECT item_id AS other, unnest([item_id % 7, item_id % 5 + 10]) AS doc_id FROM benchmark) SELECT qid, doc_id, round(sum({_vote} / (10 + rank)), 6) AS vote FROM nb JOIN g USING (other) GROUP BY ALL")(_memory)
+
+
+def bundle(s, d):
+    """Branches of one question: whole documents, chunks (best plus 0.6 second) and trigram phrases."""
+    u = chunk_units(s, d)
+    full = ret_doc_runs(s, d, 50).select("qid", "doc_id", "score").withColumn("branch", F.lit("full"))
+    local = retrieve.best_plus_second(retrieve.bm25(asked(s, d), u, F.col("words"), 200, "chunk_id").select("qid", "chunk_id", "score"), u.select("chunk_id", "doc_id")).withColumn("branch", F.lit("local"))
+    tri = ret_bm25_phrase(s, d).select("qid", "doc_id", "score").withColumn("branch", F.lit("trigram"))
+    both = full.unionByName(local).unionByName(tri).withColumn("score", F.round("score", 9))
+    return both.withColumn("rank", F.row_number().over(W.partitionBy("qid", "branch").orderBy(F.desc("score"), "doc_id")))
+
+
+@query()
+def ret_bundle(s, d):
+    return bundle(s, d).select("qid", "branch", "doc_id", "rank", "score")
+
+
+DENSE = "p AS (SELECT q.vec_id AS qid, v.vec_id, v.vec_id % 100 AS owner, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS sim FROM embeddings v, embeddings q WHERE q.vec_id < 20)"
+
+
+def dense(s, d):
+    e = table(s, d, "embeddings")
+    return retrieve.dense_pairs(e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), e.select("vec_id", (F.col("vec_id") % 100).alias("owner"), "embedding"))
+
+
+@query(f"WITH {DENSE} SELECT qid, vec_id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) <= 10")
+def ret_dense_exact(s, d):
+    return retrieve.top_k(dense(s, d), "qid", "sim", "vec_id", 10).select("qid", "vec_id", "sim", "rank")
+
+
+@query(f"WITH {DENSE}, m AS (SELECT qid, owner, max(sim) AS score FROM p GROUP BY ALL) SELECT qid, owner, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, owner) AS rank FROM m QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, owner) <= 10")
+def ret_dense_max_pool(s, d):
+    return retrieve.top_k(dense(s, d).groupBy("qid", "owner").agg(F.max("sim").alias("score")), "qid", "score", "owner", 10)
+
+
+@query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY qid, owner ORDER BY sim DESC, vec_id) AS rn FROM p) SELECT qid, owner, round(avg(sim), 6) AS score FROM r WHERE rn <= 2 GROUP BY ALL")
+def ret_dense_top2mean(s, d):
+    return retrieve.top2_mean(dense(s, d))
+
+
+@query()
+def ret_lsh_ann(s, d):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    e = table(s, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.0, numHashTables=12, seed=7).fit(e)
+    near = model.approxSimilarityJoin(e.where("vec_id < 20"), e, 10.0, "dist").select(F.col("datasetA.vec_id").alias("qid"), F.col("datasetB.vec_id").alias("vec_id"), F.round("dist", 6).alias("dist"))
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "vec_id"))).where("rank <= 10")
+
+
+@query(f"""WITH k AS (SELECT item_id AS qid, unnest({TOK}) AS term FROM benchmark), c AS (SELECT qid, term, count(*) AS tf FROM k GROUP BY ALL), n AS (SELECT count(*) AS n FROM benchmark), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+x AS (SELECT qid, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM c JOIN f USING (term), n), w AS (SELECT qid, term, x / sqrt(sum(x * x) OVER (PARTITION BY qid)) AS w FROM x),
+s AS (SELECT a.qid, b.qid AS other, round(sum(a.w * b.w), 9) AS sim FROM w a JOIN w b USING (term) WHERE a.qid <> b.qid GROUP BY ALL)
+SELECT qid, other, round(sim, 6) AS sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, other) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sim DESC, other) <= 5""")
+def ret_tfidf_kernel(s, d):
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    w = retrieve.tfidf_weights(b, X.tokens(F.col("text")), "qid")
+    return retrieve.top_k(retrieve.kernel(w, w), "qid", "sim", "other", 5)
+
+
+@query(f"WITH n AS (SELECT doc_id, array_to_string({TOK}, ' ') AS t FROM documents) SELECT md5(t) AS h, count(*) AS n, min(doc_id) AS first FROM n GROUP BY t HAVING count(*) > 1")
+def ret_exact_dups(s, d):
+    n = docs(s, d).select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("t"))
+    return n.groupBy("t").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select(F.md5(F.col("t").cast("binary")).alias("h"), "n", "first")
+
+
+# ---------------------------------------------------------------- joins and sets
+
+
+@query(RUNS + ", o AS (SELECT qid, doc_id, min({'b': branch, 'r': rank}) AS o FROM runs WHERE rank <= 5 GROUP BY ALL) SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY o, doc_id) AS pool_pos FROM o")
+def set_pool_union(s, d):
+    return sets.pool_union(runs(s, d).where("rank <= 5").select("qid", "doc_id", F.col("branch").alias("src"), F.col("rank").alias("pos")))
+
+
+@query(RUNS + ", b AS (SELECT qid, doc_id, 0 AS src, rank FROM view WHERE rank <= 2 UNION ALL SELECT qid, doc_id, 1, rank FROM click), o AS (SELECT qid, doc_id, min({'s': src, 'r': rank}) AS o FROM b GROUP BY ALL), p AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY o, doc_id) AS pool_pos FROM o) SELECT * FROM p WHERE pool_pos <= 5")
+def set_backfill(s, d):
+    return sets.backfill(one(s, d, "view").where("rank <= 2"), one(s, d, "click"))
+
+
+@query(RUNS + "SELECT DISTINCT qid, CASE WHEN doc_id % 10 = 3 THEN doc_id - 1 ELSE doc_id END AS doc_id FROM gold WHERE (CASE WHEN doc_id % 10 = 3 THEN doc_id - 1 ELSE doc_id END) % 11 <> 0")
+def set_alias_canonical(s, d):
+    ids = s.range(89).select(F.col("id").alias("doc_id"))
+    return sets.canonical(gold(s, d), ids.where("doc_id % 10 = 3").withColumn("kept_id", F.col("doc_id") - 1), ids.where("doc_id % 11 = 0"))
+
+
+@query(RUNS + "SELECT p.qid, p.doc_id, coalesce(v.score, -1.0) AS score FROM pool p LEFT JOIN view v USING (qid, doc_id)")
+def join_left_default(s, d):
+    return sets.with_default(pool(s, d), one(s, d, "view").select("qid", "doc_id", "score"), F.lit(-1.0))
+
+
+@query(RUNS + "SELECT qid, doc_id, rank FROM view SEMI JOIN gold USING (qid, doc_id)")
+def join_semi(s, d):
+    return one(s, d, "view").join(gold(s, d), ["qid", "doc_id"], "left_semi").select("qid", "doc_id", "rank")
+
+
+@query(RUNS + "SELECT qid, doc_id, rank FROM view ANTI JOIN gold USING (qid, doc_id)")
+def join_anti(s, d):
+    return one(s, d, "view").join(gold(s, d), ["qid", "doc_id"], "left_anti").select("qid", "doc_id", "rank")
+
+
+EDGES = ", e AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS cnt FROM gold a JOIN gold b USING (qid) WHERE a.doc_id <> b.doc_id GROUP BY ALL), fr AS (SELECT doc_id, count(*) AS n FROM gold GROUP BY ALL)"
+
+
+@query(RUNS + EDGES + "SELECT * FROM e")
+def join_cooccurrence(s, d):
+    return sets.cooccurrence(gold(s, d))
+
+
+@query(RUNS + """, num AS (SELECT range AS doc_id, CASE WHEN range % 3 = 0 THEN 'N' || (range % 12) END AS own, ['N' || (range % 6), 'N' || (range % 5)] AS cited FROM range(89)), x AS (SELECT qid, doc_id, own, list_distinct(cited) AS cited FROM pool JOIN num USING (doc_id)),
+l AS (SELECT a.qid, a.doc_id AS src, b.doc_id AS dst FROM (SELECT qid, doc_id, unnest(cited) AS n FROM x) a JOIN x b ON a.qid = b.qid AND a.n = b.own WHERE a.doc_id <> b.doc_id)
+SELECT x.qid, x.doc_id, coalesce(c.n, 0)::BIGINT AS cited_by, coalesce(g.n, 0)::BIGINT AS cites_in_pool, len(cited)::BIGINT AS n_cited, (own IS NOT NULL)::BIGINT AS has_own FROM x
+LEFT JOIN (SELECT qid, dst, count(DISTINCT src) AS n FROM l GROUP BY ALL) c ON c.qid = x.qid AND c.dst = x.doc_id LEFT JOIN (SELECT qid, src, count(DISTINCT dst) AS n FROM l GROUP BY ALL) g ON g.qid = x.qid AND g.src = x.doc_id""")
+def join_citation_self(s, d):
+    n = s.range(89).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("N"), F.col("id") % 12)).alias("own"), F.array_distinct(F.array(F.concat(F.lit("N"), F.col("id") % 6), F.concat(F.lit("N"), F.col("id") % 5))).alias("cited"))
+    return sets.citations(pool(s, d), n)
+
+
+@query("WITH r AS (SELECT s_suppkey AS id, round(s_acctbal, -2) AS recall, s_nationkey % 7 AS models, s_suppkey % 13 AS features FROM supplier) SELECT id FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.recall >= a.recall AND b.models <= a.models AND b.features <= a.features AND (b.recall > a.recall OR b.models < a.models OR b.features < a.features))")
+def join_pareto(s, d):
+    r = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.round("s_acctbal", -2).alias("recall"), (F.col("s_nationkey") % 7).alias("models"), (F.col("s_suppkey") % 13).alias("features"))
+    return sets.pareto(r).select("id")
+
+
+# ---------------------------------------------------------------- fusion
+
+
+def rrf_sql(weights: dict, k: float, missing: int | None, depth: int | None, pooled: bool = False) -> str:
+    w = "CASE branch " + " ".join(f"WHEN '{b}' THEN {float(v)}" for b, v in weights.items()) + " END"
+    names = ", ".join(f"'{b}'" for b in weights)
+    gain = f"{w} / ({k} + rank)" + (f" - {w} / ({k} + {missing})" if missing is not None else "")
+    base = sum(weights.values()) / (k + missing) if missing is not None else 0.0
+    got = f"g AS (SELECT qid, doc_id, sum({gain}) AS g FROM runs WHERE branch IN ({names})" + (f" AND rank <= {depth}" if depth else "") + " GROUP BY ALL)"
+    src = "pool LEFT JOIN g USING (qid, doc_id)" if pooled else "g"
+    return RUNS + f", {got}, f AS (SELECT qid, doc_id, round(coalesce(g, 0.0) + {base!r}, 9) AS score FROM {src}) SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f"
+
+
+EQUAL = {b: 1.0 for b in BRANCHES}
+for _name, _how in {
+    "fus_rrf_multi": ({"view": 0.9, "click": 0.6, "error": 0.4}, 20, 100_000, None, False),
+    "fus_rrf_weighted": ({"view": 0.4, "click": 0.3, "error": 0.15, "signup": 0.15}, 0, 100_000, None, False),
+    "fus_rrf_blend": ({"view": 0.275, "click": 0.725}, 40, 100_000, None, False),
+    "fus_rrf_raw_union": (EQUAL, 20, None, 50, False),
+    "fus_rrf_zero_based": (EQUAL, 19, None, 100, False),
+    "fus_rrf_pool60": ({"view": 1.0, "click": 1.0}, 10, 60, None, True),
+    "fus_depth_weighted": ({"view": 0.7, "click": 0.3}, 5, None, 10, False),
+    "fus_rrf32": ({"view": 1.0, "click": 1.0}, 32, None, None, True),
+}.items():
+
+    def _fused(s, d, how=_how):
+        return fuse.rrf(runs(s, d), how[0], how[1], how[2], how[3], pool=pool(s, d) if how[4] else None)
+
+    _fused.__name__ = _name
+    query(rrf_sql(*_how))(_fused)
+
+
+@query(RUNS + ", g AS (SELECT qid, doc_id, branch, score FROM pool CROSS JOIN (SELECT unnest(['click', 'view']) AS branch) LEFT JOIN runs USING (qid, doc_id, branch)), z AS (SELECT qid, doc_id, coalesce((score - avg(score) OVER q) / coalesce(nullif(stddev_pop(score) OVER q, 0), 1), -2) AS z FROM g WINDOW q AS (PARTITION BY qid, branch)) SELECT qid, doc_id, round(sum(z), 6) AS score FROM z GROUP BY ALL")
+def fus_zblend(s, d):
+    return fuse.z_blend(runs(s, d), pool(s, d), ("click", "view"))
+
+
+_STRENGTH = {"conditional": "cnt / (a.n + 1)", "cosine": "cnt / sqrt(a.n * b.n)", "jaccard": "cnt / (a.n + b.n - cnt)", "lift": "cnt / (a.n * b.n)"}
+for _name, _formula in _STRENGTH.items():
+
+    def _graph(s, d, mode=_name):
+        g = gold(s, d)
+        return fuse.graph_rerank(one(s, d, "view"), fuse.graph_strength(sets.cooccurrence(g), g.groupBy("doc_id").agg(F.count("*").alias("n")), mode))
+
+    _graph.__name__ = f"fus_graph_{_name}"
+    query(RUNS + EDGES + f""", st AS (SELECT src, dst, {_formula} AS strength FROM e JOIN fr a ON a.doc_id = src JOIN fr b ON b.doc_id = dst), g AS (SELECT qid, dst AS doc_id, sum(strength / rank) AS g FROM view JOIN st ON src = view.doc_id WHERE rank <= 5 GROUP BY ALL),
+m AS (SELECT qid, doc_id, v.rank, g, max(g) OVER (PARTITION BY qid) AS gm FROM view v FULL JOIN g USING (qid, doc_id)) SELECT qid, doc_id, round(1 / (10.0 + coalesce(rank, 100000)) + 0.3 * coalesce(g / nullif(gm, 0), 0) / 11.0, 6) AS score FROM m""")(_graph)
+
+# ---------------------------------------------------------------- aggregates
+
+
+@query(RUNS + "SELECT doc_id, count(*) AS n FROM gold WHERE qid % 4 <> 0 GROUP BY ALL")
+def agg_label_freq(s, d):
+    return gold(s, d).where("qid % 4 <> 0").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+FEAT = ", sup AS (SELECT DISTINCT g.qid, g.doc_id, (v.rank % 3 + 1) || ':' || v.doc_id AS feature FROM gold g JOIN view v ON v.qid = g.qid AND v.rank <= 8), ask AS (SELECT DISTINCT qid, (rank % 3 + 1) || ':' || doc_id AS feature FROM click WHERE rank <= 8 AND qid < 10)"
+
+
+@query(RUNS + FEAT + """, tf AS (SELECT doc_id, feature, count(*) AS tf FROM sup GROUP BY ALL), dl AS (SELECT doc_id, sum(tf)::BIGINT AS dl FROM tf GROUP BY ALL), lf AS (SELECT doc_id, count(DISTINCT qid) AS lf FROM sup GROUP BY ALL), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, max(lf) AS top FROM dl JOIN lf USING (doc_id)),
+df AS (SELECT feature, count(*) AS df FROM tf GROUP BY ALL), pt AS (SELECT doc_id, feature, (CASE left(feature, 2) WHEN '3:' THEN 1.65 WHEN '2:' THEN 1.35 ELSE 1 END)::DOUBLE * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * pow((lf + 0.5) / (top + 0.5), 0.5) AS part FROM tf JOIN df USING (feature) JOIN dl USING (doc_id) JOIN lf USING (doc_id), st)
+SELECT qid, doc_id, round(sum(part), 6) AS score FROM ask JOIN pt USING (feature) GROUP BY ALL""")
+def agg_profile_bm25(s, d):
+    f = F.concat((F.col("rank") % 3 + 1).cast("string"), F.lit(":"), F.col("f_doc").cast("string")).alias("feature")
+    v = one(s, d, "view").where("rank <= 8").select("qid", "rank", F.col("doc_id").alias("f_doc"))
+    sup = gold(s, d).join(v, "qid").select("qid", "doc_id", f).distinct()
+    ask = one(s, d, "click").where("rank <= 8 and qid < 10").select("qid", "rank", F.col("doc_id").alias("f_doc")).select("qid", f).distinct()
+    return features.profile_scores(ask, sup)
+
+
+VOTES = ", vo AS (SELECT v.qid, g.doc_id, v.doc_id AS other, v.score / 1000 AS sim FROM view v JOIN gold g ON g.qid = v.doc_id % 40)"
+
+
+def votes(s, d):
+    v = one(s, d, "view").select(F.col("qid").alias("q"), F.col("doc_id").alias("other"), (F.col("score") / 1000).alias("sim"))
+    g = gold(s, d)
+    return v.join(g, F.col("other") % 40 == g["qid"]).select(F.col("q").alias("qid"), "doc_id", "other", "sim")
+
+
+EVID = RUNS + VOTES + ", ev AS (SELECT qid, doc_id, sum(sim * CASE rn WHEN 1 THEN 1 WHEN 2 THEN 0.4 ELSE 0.15 END) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY sim DESC, other) AS rn FROM vo) WHERE rn <= 3 GROUP BY ALL)"
+
+
+@query(EVID + "SELECT qid, doc_id, round(score, 6) AS score FROM ev")
+def agg_evidence_top3(s, d):
+    return features.evidence_top3(votes(s, d))
+
+
+@query(EVID + ", j AS (SELECT qid, doc_id, a.score AS sa, b.score AS sb FROM ev a FULL JOIN click b USING (qid, doc_id)) SELECT qid, doc_id, round(0.5 * coalesce(sa / nullif(max(sa) OVER q, 0), 0) + 0.5 * coalesce(sb / nullif(max(sb) OVER q, 0), 0), 6) AS score FROM j WINDOW q AS (PARTITION BY qid)")
+def agg_posterior(s, d):
+    return features.posterior(features.evidence_top3(votes(s, d)), one(s, d, "click"))
+
+
+@query(RUNS + ", p AS (SELECT *, score / sum(score) OVER (PARTITION BY qid) AS p FROM view WHERE rank <= 20 AND score > 0) SELECT qid, max(score) FILTER (rank = 1) AS top, round(max(score) FILTER (rank = 1) - coalesce(max(score) FILTER (rank = 2), 0), 6) AS margin, round(coalesce(-sum(p * ln(p)) / nullif(ln(count(*)), 0), 0), 6) AS entropy FROM p GROUP BY qid")
+def agg_entropy(s, d):
+    return features.confidence(one(s, d, "view").select("qid", "doc_id", "score"))
+
+
+def met_sql(run: str, name: str) -> str:
+    return f"""{name} AS (SELECT qid, count(*) AS g, count(*) FILTER (rank <= 5) / count(*) AS recall5, count(*) FILTER (rank <= 100) / count(*) AS recall100, count(*) FILTER (rank <= 5) / 5 AS precision5,
+CASE WHEN min(rank) <= 10 THEN 1 / min(rank) ELSE 0 END AS mrr10, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 10), 0) / list_sum(list_transform(range(1, least(count(*), 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg10 FROM gold LEFT JOIN {run} USING (qid, doc_id) GROUP BY qid)"""
+
+
+@query(RUNS + ", " + met_sql("view", "m") + "SELECT qid, g, round(recall5, 6) AS recall5, round(recall100, 6) AS recall100, round(precision5, 6) AS precision5, round(mrr10, 6) AS mrr10, round(ndcg10, 6) AS ndcg10 FROM m")
+def agg_ir_metrics(s, d):
+    return measure.query_metrics(one(s, d, "view"), gold(s, d))
+
+
+@query(RUNS + ", " + met_sql("view", "m") + "SELECT count(*) AS n, round(avg(recall5), 6) AS recall5, round(avg(recall100), 6) AS recall100, round(avg(mrr10), 6) AS mrr10, round(avg(ndcg10), 6) AS ndcg10, round(avg(precision5), 6) AS precision5, round(coalesce(5 * avg(precision5) * avg(recall5) / nullif(4 * avg(precision5) + avg(recall5), 0), 0), 6) AS f2 FROM m")
+def agg_pooled_metrics(s, d):
+    return measure.pooled(measure.query_metrics(one(s, d, "view"), gold(s, d)))
+
+
+@query(RUNS + ", a AS (SELECT qid, list(doc_id) AS a FROM view WHERE rank <= 3 + qid % 4 GROUP BY qid), g AS (SELECT qid, list(doc_id) AS g FROM gold GROUP BY qid) SELECT qid, round(CASE WHEN len(a) BETWEEN 1 AND 5 THEN len(list_intersect(a, g)) / len(g) ELSE 0 END, 6) AS recall, round(CASE WHEN len(a) BETWEEN 1 AND 5 THEN len(list_intersect(a, g)) / len(a) ELSE 0 END, 6) AS precision FROM g LEFT JOIN a USING (qid)")
+def agg_official_metric(s, d):
+    return measure.official(one(s, d, "view").where("rank <= 3 + qid % 4"), gold(s, d))
+
+
+@query(RUNS + ", " + met_sql("view", "m") + "SELECT qid % 5 AS fold, count(*) AS n, round(avg(recall5), 6) AS recall5, round(avg(recall5) FILTER (g = 1), 6) AS single, round(avg(recall5) FILTER (g > 1), 6) AS multi FROM m GROUP BY GROUPING SETS ((fold), ())")
+def agg_fold_slices(s, d):
+    m = measure.query_metrics(one(s, d, "view"), gold(s, d))
+    return measure.fold_slices(m, m.select("qid", (F.col("qid") % 5).alias("fold")))
+
+
+@query(RUNS + ", " + met_sql("view", "x") + ", " + met_sql("click", "y") + "SELECT count(*) FILTER (y.recall5 > x.recall5) AS wins, count(*) FILTER (y.recall5 < x.recall5) AS losses, count(*) FILTER (y.recall5 = x.recall5) AS ties, round(avg(y.recall5 - x.recall5), 6) AS delta FROM x JOIN y USING (qid)")
+def agg_paired(s, d):
+    g = gold(s, d)
+    return measure.compare(measure.query_metrics(one(s, d, "view"), g), measure.query_metrics(one(s, d, "click"), g))
+
+
+_BUCKET = "CASE WHEN {0} IS NULL THEN 'missing' WHEN {0} <= 5 THEN '1-5' WHEN {0} <= 10 THEN '6-10' WHEN {0} <= 20 THEN '11-20' WHEN {0} <= 50 THEN '21-50' ELSE '51+' END"
+
+
+@query(RUNS + f"SELECT {_BUCKET.format('v.rank')} AS before, {_BUCKET.format('c.rank')} AS after, count(*) AS n FROM gold LEFT JOIN view v USING (qid, doc_id) LEFT JOIN click c USING (qid, doc_id) GROUP BY ALL")
+def agg_transitions(s, d):
+    return measure.transitions(one(s, d, "view"), one(s, d, "click"), gold(s, d))
+
+
+@query(RUNS + "SELECT count(*) AS gold, count(*) FILTER (EXISTS (SELECT 1 FROM pool p WHERE p.qid = g.qid AND p.doc_id = g.doc_id)) AS reachable, count(*) FILTER (EXISTS (SELECT 1 FROM view p WHERE p.qid = g.qid AND p.doc_id = g.doc_id AND p.rank <= 20)) AS dense20 FROM gold g")
+def agg_ceiling(s, d):
+    j = gold(s, d).join(pool(s, d).withColumn("p", F.lit(1)), ["qid", "doc_id"], "left").join(one(s, d, "view").select("qid", "doc_id", "rank"), ["qid", "doc_id"], "left")
+    return j.agg(F.count("*").alias("gold"), F.count("p").alias("reachable"), F.count_if(F.col("rank") <= 20).alias("dense20"))
+
+
+@query(RUNS + ", h AS (SELECT depth, qid, count(*) FILTER (rank <= depth) / count(*) AS r FROM gold LEFT JOIN view USING (qid, doc_id), (SELECT unnest([1, 5, 10, 20, 50]) AS depth) GROUP BY ALL) SELECT depth::BIGINT AS depth, round(avg(r), 6) AS recall FROM h GROUP BY depth")
+def agg_recall_curve(s, d):
+    return measure.recall_curve(one(s, d, "view"), gold(s, d), (1, 5, 10, 20, 50))
+
+
+@query(RUNS + ", t AS (SELECT branch, count(*) OVER (PARTITION BY qid, doc_id) AS n FROM runs SEMI JOIN gold USING (qid, doc_id) WHERE rank <= 5) SELECT branch, count(*) AS found, count(*) FILTER (n = 1) AS alone FROM t GROUP BY branch")
+def agg_union_oracle(s, d):
+    return measure.union_oracle(runs(s, d), gold(s, d))
+
+
+@query(RUNS + ", b AS (SELECT v.qid, v.score, g.qid IS NOT NULL AS y FROM view v LEFT JOIN gold g USING (qid, doc_id) WHERE rank BETWEEN 4 AND 20) SELECT count(*) AS pairs, round(avg((p.score > n.score)::INT), 6) AS accuracy FROM b p JOIN b n USING (qid) WHERE p.y AND NOT n.y")
+def agg_boundary_acc(s, d):
+    return measure.boundary_accuracy(one(s, d, "view"), gold(s, d))
+
+
+@query("WITH v AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n, avg(value) OVER () AS mean FROM events WHERE event_type = 'click') SELECT n, round(mean, 6) AS mean, v AS p95 FROM v WHERE i = floor(n * 0.95)")
+def agg_p95(s, d):
+    return measure.order_statistic(table(s, d, "events").where("event_type = 'click'").select(F.col("value").alias("v")))
+
+
+@query(RUNS + "SELECT branch, count(*) AS n, count(DISTINCT qid) AS queries, min(score) AS low, max(score) AS high, round(sum(score), 4) AS total FROM runs GROUP BY branch")
+def agg_sources(s, d):
+    return runs(s, d).groupBy("branch").agg(F.count("*").alias("n"), F.countDistinct("qid").alias("queries"), F.min("score").alias("low"), F.max("score").alias("high"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@query(RUNS + "SELECT min(n) AS low, round(avg(n), 6) AS mean, max(n) AS high FROM (SELECT qid, count(*) AS n FROM pool GROUP BY qid)")
+def agg_pool_size(s, d):
+    return pool(s, d).groupBy("qid").agg(F.count("*").alias("n")).agg(F.min("n").alias("low"), F.avg("n").alias("mean"), F.max("n").alias("high"))
+
+
+@query(RUNS + "SELECT qid, max(score) AS pooled, round(avg(score) FILTER (rank <= 3), 6) AS top3 FROM view WHERE isfinite(score) GROUP BY qid")
+def agg_pooling(s, d):
+    v = one(s, d, "view").where(~F.isnan("score") & (F.abs("score") < float("inf")))
+    return v.groupBy("qid").agg(F.greatest(F.max("score"), F.lit(-1e9)).alias("pooled"), F.avg(F.when(F.col("rank") <= 3, F.col("score"))).alias("top3"))
+
+
+@query()
+def agg_bootstrap(s, d):
+    g = gold(s, d)
+    a, b = measure.query_metrics(one(s, d, "view"), g), measure.query_metrics(one(s, d, "click"), g)
+    return measure.bootstrap(a.select("qid", F.col("recall100").alias("a")).join(b.select("qid", F.col("recall100").alias("b")), "qid").select("qid", (F.col("b") - F.col("a")).alias("delta")))
+
+
+# ---------------------------------------------------------------- windows and features
+
+
+@query(RUNS + "SELECT qid, doc_id, score, rank FROM view WHERE rank <= 5")
+def win_topk(s, d):
+    return retrieve.top_k(one(s, d, "view").drop("rank"), "qid", "score", "doc_id", 5)
+
+
+@query(RUNS + ", x AS (SELECT p.qid, p.doc_id, v.score FROM pool p LEFT JOIN view v USING (qid, doc_id)), y AS (SELECT *, coalesce(avg(score) OVER q, 0) AS m, coalesce(nullif(stddev_pop(score) OVER q, 0), 1) AS s, coalesce(max(score) OVER q, 0) AS t FROM x WINDOW q AS (PARTITION BY qid)) SELECT qid, doc_id, round((coalesce(score, m - 2 * s) - m) / s, 6) AS z, round(coalesce(score, m - 2 * s) - t, 6) AS gap FROM y")
+def win_zscore(s, d):
+    return features.z_gap(pool(s, d).join(one(s, d, "view").select("qid", "doc_id", "score"), ["qid", "doc_id"], "left"))
+
+
+@query(RUNS + ", p AS (SELECT qid, doc_id, coalesce(min(rank) FILTER (branch = 'click'), 60) AS c, coalesce(min(rank) FILTER (branch = 'view'), 60) AS v FROM runs WHERE branch IN ('click', 'view') GROUP BY ALL) SELECT qid, doc_id, round(1 / (10 + c), 6) AS rr_click, round(1 / (10 + v), 6) AS rr_view, least(c, v) AS least_rank, round((c + v) / 2, 6) AS mean_rank FROM p")
+def win_rank_features(s, d):
+    return features.rank_features(runs(s, d).where("branch in ('click', 'view')"), ("click", "view"))
+
+
+@query(RUNS + "SELECT qid, doc_id, doc_id % 6 AS kind, round(count(*) OVER (PARTITION BY qid, doc_id % 6) / count(*) OVER (PARTITION BY qid), 6) AS share FROM pool")
+def win_type_share(s, d):
+    return features.type_share(pool(s, d).withColumn("kind", F.col("doc_id") % 6))
+
+
+@query(RUNS + ", f AS (SELECT *, max(score) FILTER (rank = 1) OVER (PARTITION BY qid) AS first FROM view) SELECT qid, doc_id, score, rank FROM f WHERE rank = 1 OR (rank <= 5 AND score >= 0.6 * first)")
+def win_threshold(s, d):
+    return features.threshold(one(s, d, "view"), 0.6)
+
+
+@query(RUNS + ", o AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank BETWEEN 4 AND 20 THEN 0 ELSE 1 END, rank, doc_id) AS pick FROM view ANTI JOIN gold USING (qid, doc_id)) SELECT * FROM o WHERE pick <= 8")
+def win_band_negatives(s, d):
+    return features.band_negatives(one(s, d, "view"), gold(s, d), 8)
+
+
+LAB = RUNS + ", lab AS (SELECT p.qid, p.doc_id, (g.qid IS NOT NULL)::BIGINT AS y FROM pool p LEFT JOIN gold g USING (qid, doc_id))"
+
+
+def labelled(s, d):
+    return pool(s, d).join(gold(s, d).withColumn("y", F.lit(1)), ["qid", "doc_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+
+
+@query(LAB + "SELECT qid, doc_id, y, round(CASE WHEN y = 1 THEN 0.5 / sum(y) OVER q WHEN sum(y) OVER q < count(*) OVER q THEN 0.5 / (count(*) OVER q - sum(y) OVER q) ELSE 0 END, 6) AS weight FROM lab WINDOW q AS (PARTITION BY qid)")
+def win_query_weights(s, d):
+    return features.query_weights(labelled(s, d))
+
+
+@query(RUNS + ", r AS (SELECT *, score / max(score) OVER (PARTITION BY qid, branch) AS rel FROM runs WHERE branch IN ('click', 'view')), p AS (SELECT qid, doc_id, coalesce(max(1 / (10 + rank)) FILTER (branch = 'click'), 0) AS rr_click, coalesce(max(1 / (10 + rank)) FILTER (branch = 'view'), 0) AS rr_view, coalesce(max(rel) FILTER (branch = 'click'), 0) AS rel_click, coalesce(max(rel) FILTER (branch = 'view'), 0) AS rel_view, count(*) AS present FROM r GROUP BY ALL) SELECT qid, doc_id, round(rr_click, 6) AS rr_click, round(rr_view, 6) AS rr_view, round(rel_click, 6) AS rel_click, round(rel_view, 6) AS rel_view, present, round(rr_click + rr_view, 6) AS rr_sum, round(greatest(rr_click, rr_view), 6) AS rr_max, round(rel_click + rel_view, 6) AS rel_sum, round(greatest(rel_click, rel_view), 6) AS rel_max FROM p")
+def fea_branch(s, d):
+    return features.branch_features(runs(s, d).where("branch in ('click', 'view')"), ("click", "view"))
+
+
+@query(RUNS + ", n AS (SELECT p.qid, p.doc_id, coalesce(f.f, 0) - (g.qid IS NOT NULL)::INT AS n FROM pool p LEFT JOIN (SELECT doc_id, count(*) AS f FROM gold GROUP BY ALL) f USING (doc_id) LEFT JOIN gold g ON g.qid = p.qid AND g.doc_id = p.doc_id) SELECT qid, doc_id, round(ln(1 + n), 6) AS prior, (n = 0)::BIGINT AS unseen, (n BETWEEN 1 AND 2)::BIGINT AS rare FROM n")
+def fea_ebayes(s, d):
+    return features.label_prior(pool(s, d), gold(s, d))
+
+
+TITLE = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '\\p{{L}}+'), lambda w: length(w) >= 2))"
+
+
+@query(f"WITH x AS (SELECT b.item_id AS qid, p.page_id AS doc_id, {TITLE.format('b.text')} AS q, {TITLE.format('p.url')} AS t FROM benchmark b, pages p WHERE p.page_id < 50 AND b.item_id < 10), y AS (SELECT *, len(list_intersect(q, t)) AS i FROM x) SELECT qid, doc_id, (len(t) > 0)::BIGINT AS has_title, round(coalesce(i / nullif(len(q) + len(t) - i, 0), 0), 6) AS jaccard, round(coalesce(i / nullif(len(q), 0), 0), 6) AS recall_q, round(coalesce(i / nullif(len(t), 0), 0), 6) AS recall_t FROM y")
+def fea_title_overlap(s, d):
+    q = table(s, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("qid"), X.title_words(F.col("text")).alias("q"))
+    p = table(s, d, "pages").where("page_id < 50").select(F.col("page_id").alias("doc_id"), X.title_words(F.col("url")).alias("t"))
+    return features.title_overlap(p.crossJoin(F.broadcast(q)))
+
+
+@query(LAB + ", x AS (SELECT l.*, coalesce(v.score, 0) AS s FROM lab l LEFT JOIN view v USING (qid, doc_id)) SELECT p.qid, p.doc_id AS pos, n.doc_id AS neg, round(p.s - n.s, 6) AS s FROM x p JOIN x n USING (qid) WHERE p.y = 1 AND n.y = 0")
+def fea_pairwise_diff(s, d):
+    x = labelled(s, d).join(one(s, d, "view").select("qid", "doc_id", F.col("score").alias("s")), ["qid", "doc_id"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    return features.pair_differences(x, ("s",))
+
+
+# ---------------------------------------------------------------- learning and validation
+
+
+@query(RUNS + "SELECT qid, doc_id, round((score - avg(score) OVER ()) / coalesce(nullif(stddev_pop(score) OVER (), 0), 1), 6) AS score FROM view")
+def ml_scaler(s, d):
+    return learn.standardise(one(s, d, "view").select("qid", "doc_id", "score"), ("score",))
+
+
+@query(RUNS + ", n AS (SELECT qid, count(*) AS g FROM gold GROUP BY qid) SELECT qid, (row_number() OVER (PARTITION BY least(g, 3) ORDER BY md5(qid::VARCHAR), qid) - 1) % 5 AS fold FROM n")
+def ml_stratified_folds(s, d):
+    return learn.stratified_folds(gold(s, d).groupBy("qid").agg(F.count("*").alias("g")))
+
+
+@query(RUNS + ", f AS (SELECT DISTINCT qid, qid % 5 AS fold FROM gold) SELECT o.fold AS outer_fold, a.qid, b.qid AS other FROM f a, (SELECT DISTINCT fold FROM f) o, f b WHERE b.fold <> a.fold AND b.fold <> o.fold")
+def ml_crossfit_support(s, d):
+    return learn.crossfit_support(gold(s, d).select("qid").distinct().withColumn("fold", F.col("qid") % 5))
+
+
+@query(RUNS + ", pa AS (SELECT config, branch, CASE branch WHEN 'view' THEN 0.25 * config ELSE 1 - 0.25 * config END AS weight, 10 AS k FROM (SELECT unnest(range(0, 5)) AS config), (SELECT unnest(['view', 'click']) AS branch)), s AS (SELECT config, qid, doc_id, round(sum(weight / (k + rank)), 9) AS score FROM runs JOIN pa USING (branch) GROUP BY ALL), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY config, qid ORDER BY score DESC, doc_id) <= 5), h AS (SELECT config, qid, count(*) AS h FROM t JOIN gold USING (qid, doc_id) GROUP BY ALL) SELECT config, round(avg(coalesce(h, 0) / g), 6) AS recall FROM (SELECT DISTINCT config FROM pa) CROSS JOIN (SELECT qid, count(*) AS g FROM gold GROUP BY qid) LEFT JOIN h USING (config, qid) GROUP BY config")
+def ml_param_sweep(s, d):
+    p = s.createDataFrame([(c, b, w, 10) for c in range(5) for b, w in (("view", 0.25 * c), ("click", 1 - 0.25 * c))], "config long, branch string, weight double, k int")
+    return learn.sweep(runs(s, d), gold(s, d), p)
+
+
+@query()
+def ml_logistic_lobo(s, d):
+    x = features.z_gap(labelled(s, d).join(one(s, d, "view").select("qid", "doc_id", "score"), ["qid", "doc_id"], "left").select("qid", "doc_id", "score"))
+    rows = x.join(labelled(s, d), ["qid", "doc_id"]).withColumn("fold", F.col("qid") % 4)
+    return learn.leave_block_out(rows, ("z", "gap")).select("qid", "doc_id", "fold", F.round("p", 6).alias("p"))
+
+
+@query()
+def ml_gbt_rank(s, d):
+    """Trees in place of the boosted rankers, which are not installed; no parity is claimed."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    x = features.branch_features(runs(s, d), BRANCHES).join(labelled(s, d), ["qid", "doc_id"])
+    rows = VectorAssembler(inputCols=[c for c in x.columns if c not in ("qid", "doc_id", "y")], outputCol="x").transform(x)
+    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=7).fit(rows.where("qid % 4 <> 0"))
+    return model.transform(rows.where("qid % 4 = 0")).select("qid", "doc_id", vector_to_array("probability")[1].alias("p"))
+
+
+@query(RUNS + ", a AS (SELECT qid, doc_id FROM view WHERE rank <= 3 + qid % 4), q AS (SELECT range AS qid FROM range(45)), n AS (SELECT q.qid, count(a.qid) AS n, count(DISTINCT doc_id) AS d FROM q LEFT JOIN a USING (qid) GROUP BY ALL) SELECT count(*) FILTER (n = 0) AS missing, count(*) FILTER (n > 5) AS too_many, count(*) FILTER (n <> d) AS repeated, (SELECT count(*) FROM a WHERE doc_id % 13 = 0) AS unknown FROM n")
+def val_answers(s, d):
+    ids = s.range(89).select(F.col("id").alias("doc_id")).where("doc_id % 13 <> 0")
+    return validate.answers(one(s, d, "view").where("rank <= 3 + qid % 4"), s.range(45).withColumnRenamed("id", "qid"), ids)
+
+
+@query(RUNS + "SELECT (SELECT count(*) FROM pool) AS pairs, (SELECT count(DISTINCT qid) FROM pool) AS queries, (SELECT count(DISTINCT qid) FROM gold) AS labelled")
+def val_population(s, d):
+    p = pool(s, d).agg(F.count("*").alias("pairs"), F.countDistinct("qid").alias("queries"))
+    return p.crossJoin(gold(s, d).agg(F.countDistinct("qid").alias("labelled")))
+
+
+@query(RUNS + "SELECT count(DISTINCT qid) AS leaked FROM pool WHERE qid % 5 <> 0 AND qid IN (SELECT qid FROM pool WHERE qid % 3 = 0)")
+def val_leakage(s, d):
+    p = pool(s, d)
+    return validate.leakage(p.where("qid % 5 <> 0"), p.where("qid % 3 = 0"))
+
+
+@query(RUNS + ", " + met_sql("view", "m") + "SELECT count(*) AS n, 0::BIGINT AS different FROM m")
+def val_metric_recompute(s, d):
+    m = measure.query_metrics(one(s, d, "view"), gold(s, d))
+    return validate.recomputed(m, m, "ndcg10")
+
+
+@query(RUNS + "SELECT qid, sha256('{\"answer\":[' || string_agg(doc_id, ',' ORDER BY rank) || '],\"qid\":' || qid || '}') AS digest FROM view WHERE rank <= 5 GROUP BY qid")
+def snk_canonical_lines(s, d):
+    from sievecraft.sources import sinks
+
+    a = one(s, d, "view").where("rank <= 5").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("answer"))
+    return sinks.canonical_lines(a, "qid").select("qid", "digest")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three retrieval branches, weighted reciprocal-rank fusion, and the dynamic answer threshold."""
+    fused = fuse.rrf(bundle(spark, sf_dir), {"full": 0.4, "local": 0.35, "trigram": 0.25}, 10)
+    return plain(features.threshold(fused, 0.15).select(F.col("qid").alias("item_id"), "doc_id", "rank", "score"))
