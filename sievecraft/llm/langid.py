@@ -1,9 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Each language has a model of character 5-grams: interpolated Kneser-Ney down to single characters and the uniform
+Each language has a model of character 4-grams: interpolated Kneser-Ney down to single characters and the uniform
 distribution. Letters are folded to lower case, every run of other characters is one space. The models of all
-languages are stored together: for each order one sorted array of gram hashes, with a row of log probabilities (all
-lower orders interpolated in already) and one of back-off weights per language. A text gets the language with the
+languages are stored together: for each order one sorted array of gram hashes with a log probability per language, all
+lower orders interpolated in already, also for the languages that lack the gram; and one of contexts with the weights
+of the lower order. So a place is settled by the longest gram that any language has. A text gets the language with the
 lowest cross-entropy per character.
 
 Models are fitted on a bounded sample: whole texts of at most about ``MAX_DOCS`` documents per language, chosen by a
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from sievecraft.llm.quality import remainder
 
-MAX_DOCS = 1500
-ORDER = 5
+MAX_DOCS = 800
+ORDER = 4
 UND = "und"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SPACE, _OTHER = 1, 2
@@ -87,26 +88,19 @@ class Models:
 
     def log_probabilities(self, s: np.ndarray) -> np.ndarray:
         """(places, languages)"""
-        out = np.full((len(s) - 1, len(self.langs)), self.floor)
+        out = np.zeros((len(s) - 1, len(self.langs)))
         todo = np.arange(len(s) - 1)
-        carry = np.zeros((len(s) - 1, len(self.langs)))
-        settled = np.zeros((len(s) - 1, len(self.langs)), bool)
+        carry = np.zeros((1, len(self.langs)))
         for order in range(len(self.keys), 0, -1):
-            if not len(self.keys[order - 1]):
-                continue
             at, hit = _lookup(self.keys[order - 1], grams(s, order)[todo])
-            lp = np.where(hit[:, None], self.logp[order - 1][at], np.nan)
-            new = ~settled[todo] & ~np.isnan(lp)
-            out[todo] = np.where(new, lp + carry[todo], out[todo])
-            settled[todo] |= new
-            if order > 1:
-                bat, bhit = _lookup(self.back_keys[order - 1], contexts(s, order)[todo])
-                carry[todo] += np.where(settled[todo] | ~bhit[:, None], 0.0, self.back[order - 1][bat])
-            else:
-                out = np.where(settled, out, self.floor + carry + self.back[0][0])
-            todo = todo[~settled[todo].all(axis=1)]
+            out[todo[hit]] = self.logp[order - 1][at[hit]] + (carry[hit] if len(carry) == len(todo) else carry)
+            miss = ~hit
+            carry, todo = carry[miss] if len(carry) == len(todo) else np.zeros((int(miss.sum()), len(self.langs))), todo[miss]
             if not len(todo):
-                break
+                return out
+            bat, bhit = _lookup(self.back_keys[order - 1], contexts(s, order)[todo])
+            carry = carry + np.where(bhit[:, None], self.back[order - 1][bat], 0.0)
+        out[todo] = self.floor + carry
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,6 +150,7 @@ def fit_models(samples: dict[str, list[str]], order: int = ORDER, discount: floa
     size = int(table.max()) + 1
     uniform = 1.0 / size
     per_order: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
+    links: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
     per_back: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
     for x in langs:
         parts = [symbols(t, table) for k, t in enumerate(samples[x]) if k % 6 != 5]
@@ -183,6 +178,7 @@ def fit_models(samples: dict[str, list[str]], order: int = ORDER, discount: floa
                 below = np.where(hit, lower[at], uniform)
             prob = np.maximum(count - discount, 0) / total[cat] + weight[cat] * below
             per_order[k - 1].append((keys, np.log(prob)))
+            links[k - 1].append((keys, own, whole[k - 1][first] if k > 1 else own))
             per_back[k - 1].append((ckeys, np.log(weight)))
             lower, lower_keys = prob, keys
 
@@ -194,6 +190,17 @@ def fit_models(samples: dict[str, list[str]], order: int = ORDER, discount: floa
         return keys, rows
 
     orders, backs = [joined_rows(p, np.nan) for p in per_order], [joined_rows(p, 0.0) for p in per_back]
+    for k in range(1, order + 1):  # a language without the gram backs off, once and for all
+        keys, rows = orders[k - 1]
+        ctx, below = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
+        for ks, c, b in links[k - 1]:
+            at = np.searchsorted(keys, ks)
+            ctx[at], below[at] = c, b
+        bat, bhit = _lookup(backs[k - 1][0], ctx)
+        weight = np.where(bhit[:, None], backs[k - 1][1][bat], 0.0)
+        lower = orders[k - 2][1][_lookup(orders[k - 2][0], below)[0]] if k > 1 else np.log(uniform)
+        np.copyto(rows, weight + lower, where=np.isnan(rows))
+
     out = Models(langs, table, [k for k, _ in orders], [v for _, v in orders], [k for k, _ in backs], [v for _, v in backs], float(np.log(uniform)), 1.0, np.full(len(langs), np.inf))
     texts = [(j, t) for j, x in enumerate(langs) for t in held[x]]
     if texts:
