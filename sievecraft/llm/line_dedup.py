@@ -70,8 +70,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = dropped.select(F.col("doc_id").alias("__sc_id"), F.col("th").alias("__sc_h"), F.col("gone").alias("__sc_gone"))
     joined = base.join(gone, base[id_col].eqNullSafe(F.col("__sc_id")) & (F.col("__sc_th") == F.col("__sc_h")), "left")
     lines = F.split(text, "\n")
-    kept_at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__sc_gone"))
-    kept = F.concat_ws("\n", F.transform(kept_at, lambda i: F.get(F.col("__sc_lines"), i)))
-    out = joined.withColumn("__sc_lines", lines).withColumn("n_lines", F.size("__sc_lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("__sc_gone"), F.lit(0)).cast("long"))
+    # The lines are bound to a lambda variable: as a column they might be put in place of it and be split anew for every line.
+    kept_of = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__sc_gone")), lambda i: F.get(ls, i))
+    kept = F.get(F.transform(F.array(lines), lambda ls: F.concat_ws("\n", kept_of(ls))), F.lit(0))
+    out = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("__sc_gone"), F.lit(0)).cast("long"))
     out = out.withColumn(text_col, F.when(F.col("__sc_gone").isNull(), F.col(text_col)).otherwise(kept))
-    return out.drop("__sc_th", "__sc_id", "__sc_h", "__sc_gone", "__sc_lines")
+    return out.drop("__sc_th", "__sc_id", "__sc_h", "__sc_gone")
