@@ -26,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievecraft.llm.batches import short_batches
 from sievecraft.llm.quality import remainder
 
 MAX_DOCS = 800
 ORDER = 4
+#: Symbols that are settled together.
+PLACES = 1 << 18
 UND = "und"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SPACE, _OTHER = 1, 2
@@ -103,30 +106,46 @@ class Models:
         out[todo] = self.floor + carry
         return out
 
+    def _long(self, s: np.ndarray) -> np.ndarray:
+        """Sum of the log probabilities of one long text, slab by slab; each slab brings the symbols its first places look back on."""
+        total = np.zeros(len(self.langs))
+        for at in range(1, len(s), PLACES):
+            base = max(0, at - ORDER)
+            total += self.log_probabilities(s[base : at + PLACES])[at - base - 1 :].sum(axis=0)
+        return total
+
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy in nats per character (texts, languages), characters counted, whether there is a letter."""
-        parts = [symbols(t, self.table) for t in texts]
-        n = np.array([len(p) - 1 for p in parts])
-        letter = np.array([bool((p >= _OTHER).any()) for p in parts], bool)
-        ce = np.zeros((len(texts), len(self.langs)))
-        at = 0
-        while at < len(parts):  # about a quarter of a million characters at a time, whole texts
-            end, size = at, 0
-            while end < len(parts) and (end == at or size + n[end] < 1 << 18):
-                size += n[end]
-                end += 1
-            rows = np.concatenate([self.log_probabilities(p) if len(p) > 1 << 18 else np.zeros((0, len(self.langs))) for p in parts[at:end]]) if end == at + 1 and n[at] >= 1 << 18 else None
-            if rows is None:
-                gap = np.zeros(ORDER, np.uint64)
-                joined = np.concatenate([np.concatenate((gap, p)) for p in parts[at:end]])
-                lp = self.log_probabilities(joined)
-                starts = np.cumsum([0] + [len(p) + ORDER for p in parts[at:end]])[:-1] + ORDER
-                for k, p in enumerate(parts[at:end]):
-                    if len(p) > 1:
-                        ce[at + k] = -lp[starts[k] : starts[k] + len(p) - 1].mean(axis=0)
-            elif len(rows):
-                ce[at] = -rows.mean(axis=0)
-            at = end
+        """Cross-entropy in nats per character (texts, languages), characters counted, whether there is a letter.
+
+        Whole texts are joined up to ``PLACES`` symbols and settled together; no more than these are held at once.
+        """
+        n, letter, ce = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool), np.zeros((len(texts), len(self.langs)))
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        gap = np.zeros(ORDER, np.uint64)
+
+        def settle() -> None:
+            lp = self.log_probabilities(np.concatenate([x for _, p in held for x in (gap, p)]))
+            start = ORDER
+            for k, p in held:
+                if len(p) > 1:
+                    ce[k] = -lp[start : start + len(p) - 1].mean(axis=0)
+                start += len(p) + ORDER
+            held.clear()
+
+        for k, t in enumerate(texts):
+            p = symbols(t, self.table)
+            n[k], letter[k] = len(p) - 1, bool((p >= _OTHER).any())
+            if len(p) > PLACES:
+                ce[k] = -self._long(p) / n[k]
+                continue
+            if held and size + len(p) > PLACES:
+                settle()
+                size = 0
+            held.append((k, p))
+            size += len(p)
+        if held:
+            settle()
         return ce, n, letter
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -248,4 +267,4 @@ def identify_languages(docs: DataFrame, models: Models, id_col: str = "doc_id",
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
     schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("rejected", BooleanType())])
-    return docs.select(*names).mapInArrow(run, schema)
+    return short_batches(docs).select(*names).mapInArrow(run, schema)

@@ -232,3 +232,15 @@ def test_search_equals_brute_force(spark, docs, rows, terms, width, nothing):
 def test_ranks_file_is_read():
     ranks = bpe.read_ranks(P.path(queries.VOCABULARY))
     assert len(ranks) == 50_256 and base64.b64encode(next(iter(ranks)))
+
+
+def test_language_slabs_change_nothing(monkeypatch):
+    r = random.Random(3)
+    make = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    models = langid.fit_models({"a": [make("abcde fgh", 300) for _ in range(30)], "b": [make("fghijk ab", 300) for _ in range(30)]})
+    texts = ["", "12!", "abc de"] + [make("abcdefghijk .", n) for n in (3, 63, 64, 65, 200, 1000)]
+    want = models.entropies(texts)
+    for places in (64, 17, 5):
+        monkeypatch.setattr(langid, "PLACES", places)
+        got = models.entropies(texts)
+        assert all(np.allclose(x, y, atol=1e-12) for x, y in zip(got, want))
