@@ -1,6 +1,6 @@
 """Exact top-k BM25 search over an inverted index with block-max pruning.
 
-Index: every task turns its documents into segments of about ``SEGMENT`` documents: sorted term hashes, postings (local
+Index: every task turns its documents into segments of about ``SEGMENT`` documents or ``SEGMENT_WORDS`` words: sorted term hashes, postings (local
 document, frequency) and document lengths. The segments go to the checkpoint folder and are scanned from there.
 
 Statistics (documents, total length, document frequency of each query term) are summed over all segments, so scores
@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievecraft.llm.batches import short_batches
 from sievecraft.session import checkpointed
 
-SEGMENT, WIDTH, BLOCK_TERMS = 16_384, 64, 1_000_000
+SEGMENT, SEGMENT_WORDS, WIDTH, BLOCK_TERMS = 16_384, 2_000_000, 64, 1_000_000
 K1, B = 1.2, 0.75
 NO_ID = (1 << 63) - 1
 _TERMS = re.compile(r"\w+").findall
@@ -43,7 +44,7 @@ def terms_of(text: str | None, memo: dict[str, int]) -> list[int]:
     for w in _TERMS((text or "").lower()):
         h = memo.get(w)
         if h is None:
-            if len(memo) > 500_000:
+            if len(memo) > 100_000:
                 memo.clear()
             h = memo[w] = xxhash.xxh3_64_intdigest(w)
         out.append(h)
@@ -95,7 +96,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths.append(len(h))
             terms.append(h)
             size += len(h)
-            if len(ids) >= SEGMENT or size >= 4_000_000:
+            if len(ids) >= SEGMENT or size >= SEGMENT_WORDS:
                 yield flush()
                 size = 0
     if ids:
@@ -107,7 +108,7 @@ _TYPES = (np.int64, np.int32, np.uint64, np.int32, np.int32, np.int32)
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, words, body: the segments of the inverted index, written to the checkpoint folder."""
-    picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = short_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     return checkpointed(picked.mapInArrow(_segments, "docs long, words long, body binary"))
 
 
