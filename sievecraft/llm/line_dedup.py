@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from sievecraft.session import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: A whole word that holds a digit; anchored at the word's start, so that very long words cost linear time.
-VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+VARIABLE = "<*>"
 DEPTH = 3
 MIN_SEGMENTED = 9
 
@@ -42,8 +41,8 @@ def template_keys(words: Column, min_words: int = 3) -> Column:
 def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """doc_id, th (hash of the text, which tells rows of one id apart), keys: for each line its template hashes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(F.regexp_replace(text, VARIABLE, "<*>"), "\n")
-    words = F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
+    field = lambda w: F.when(w.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(w)
+    words = F.transform(F.split(text, "\n"), lambda x: F.transform(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)), field))
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), words.alias("w")).select("doc_id", "th", F.transform("w", lambda w: template_keys(w, min_words)).alias("keys"))
 
 
