@@ -8,9 +8,10 @@ are those of one global index.
 
 Search: queries are taken in blocks of bounded size (``BLOCK_TERMS`` query terms), each of which is broadcast and run
 over all segments. Within a segment, documents come in blocks of ``WIDTH``; per term and block the largest possible
-contribution is known, the sums of these bound what a block's documents can score, and blocks are opened from the
-highest bound down until no bound reaches the k-th best score so far (which a task carries from segment to segment).
-Results of the tasks are merged exactly.
+contribution is known. A query's rarest terms, up to a share ``ESSENTIAL`` of its postings, are scored in full; the sum
+of the others' block maxima bounds what they can add to a document of the block. Documents are then opened from the
+highest bound down, the others' contributions looked up, until no bound reaches the k-th best score so far (which a
+task carries from segment to segment). Results of the tasks are merged exactly.
 
 Scores are compared to nine decimals, ties go to the smaller doc_id. Defined results: null texts hold no term; a query
 without terms, or whose terms are in no document, has no rows; rows repeated in full are rows of their own; rows with a
@@ -33,22 +34,28 @@ from pyspark.sql import functions as F
 from sievecraft.llm.batches import short_batches
 from sievecraft.session import checkpointed
 
-SEGMENT, SEGMENT_WORDS, WIDTH, BLOCK_TERMS = 16_384, 2_000_000, 64, 1_000_000
+SEGMENT, SEGMENT_WORDS, WIDTH, BLOCK_TERMS = 16_384, 2_000_000, 64, 500_000
+ESSENTIAL, FEW_POSTINGS = 0.55, 2_000
 K1, B = 1.2, 0.75
 NO_ID = (1 << 63) - 1
 _TERMS = re.compile(r"\w+").findall
 
 
-def terms_of(text: str | None, memo: dict[str, int]) -> list[int]:
-    out = []
-    for w in _TERMS((text or "").lower()):
-        h = memo.get(w)
-        if h is None:
-            if len(memo) > 100_000:
-                memo.clear()
-            h = memo[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return out
+class Memo(dict):
+    """Hashes of the words seen; emptied when it has grown to ``most`` words."""
+
+    most = 100_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def terms_of(text: str | None, memo: Memo) -> np.ndarray:
+    words = _TERMS((text or "").lower())
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
 def _store(*arrays: np.ndarray) -> bytes:
@@ -68,7 +75,7 @@ def _load(b: bytes, *types: type) -> list[np.ndarray]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[str, int] = {}
+    memo = Memo()
     ids: list[int] = []
     lengths: list[int] = []
     terms: list[np.ndarray] = []
@@ -91,7 +98,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for b in batches:
         for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-            h = np.array(terms_of(t.as_py(), memo), np.uint64)
+            h = terms_of(t.as_py(), memo)
             ids.append(d)
             lengths.append(len(h))
             terms.append(h)
@@ -120,72 +127,89 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[str, int] = {}
+    memo = Memo()
     for b in batches:
         for q, t in zip(b.column(0).to_pylist(), b.column(1)):
-            h = np.unique(np.array(terms_of(t.as_py(), memo), np.uint64)).view(np.int64)
+            h = np.unique(terms_of(t.as_py(), memo)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), q, np.int64)), pa.array(h)], names=["query_id", "term"])
 
 
 def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Indices start[i] .. start[i] + count[i] - 1, one run after another."""
-    total = np.cumsum(count)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - count), count)
+    out = np.repeat(start - (np.cumsum(count) - count), count)
+    out += np.arange(len(out))
+    return out
 
 
 class Segment:
     """One segment with what block-max pruning needs: per term and document block the largest contribution."""
 
     def __init__(self, body: bytes, average: float):
-        self.ids, n, self.terms, df, self.doc, tf = _load(body, *_TYPES)
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[self.doc] / average))
+        self.ids, n, self.terms, self.df, doc, tf = _load(body, *_TYPES)
+        self.doc = doc.astype(np.int64)
+        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[doc] / average))
+        self.post = np.r_[0, np.cumsum(self.df, dtype=np.int64)]
         self.blocks = -(-len(self.ids) // WIDTH)
-        term_at = np.repeat(np.arange(len(self.terms)), df)
-        cell = term_at * self.blocks + self.doc // WIDTH
-        self.cell_at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.cell_n = np.diff(np.r_[self.cell_at, len(cell)])
-        self.cell_block = self.doc[self.cell_at] // WIDTH
-        self.cell_max = np.maximum.reduceat(self.weight, self.cell_at) if len(cell) else np.zeros(0)
-        per_term = np.bincount(term_at[self.cell_at], minlength=len(self.terms)) if len(cell) else np.zeros(len(self.terms), np.int64)
-        self.term_cell = np.r_[0, np.cumsum(per_term)]
+        term_at = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.df)
+        new = np.r_[True, (term_at[1:] != term_at[:-1]) | (doc[1:] // WIDTH != doc[:-1] // WIDTH)] if len(doc) else np.zeros(0, bool)
+        cell_at = np.flatnonzero(new)
+        self.cell_block = self.doc[cell_at] // WIDTH
+        self.cell_max = np.maximum.reduceat(self.weight, cell_at) if len(doc) else np.zeros(0)
+        self.term_cell = np.searchsorted(cell_at, self.post)
+        self.key = term_at * np.int64(len(self.ids)) + doc
+
+    @staticmethod
+    def _sums(at: np.ndarray, idf: np.ndarray, start: np.ndarray, where: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+        """Sums of idf * value by ``where`` over the lists of the terms ``at``."""
+        count = start[at + 1] - start[at]
+        posts = _runs(start[at], count)
+        part = value.take(posts)
+        part *= np.repeat(idf, count)
+        return np.bincount(where.take(posts), part, size)
+
+    def _added(self, at: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """What the terms ``at`` add to the scores of these documents."""
+        keys = (at[:, None] * np.int64(len(self.ids)) + docs).reshape(-1)
+        place = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return idf @ np.where(self.key[place] == keys, self.weight[place], 0.0).reshape(len(at), len(docs))
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of this segment that may be among the k best; every one that scores at least ``floor``'s equal is kept until k better ones are."""
+        none = self.ids[:0], np.zeros(0)
         if not len(self.terms):
-            return self.ids[:0], np.zeros(0)
+            return none
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         hit = self.terms[at] == terms
         at, idf = at[hit], idf[hit]
-        first, count = self.term_cell[at], self.term_cell[at + 1] - self.term_cell[at]
-        cells = _runs(first, count)
-        cell_idf = np.repeat(idf, count)
-        block = self.cell_block[cells]
-        bound = np.bincount(block, cell_idf * self.cell_max[cells], self.blocks) * (1 + 1e-12) + 1e-9
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 1e-9]
-        ids, scores, done, step = [], [], 0, 4
-        while done < len(order) and bound[order[done]] >= floor:
-            some = order[done : done + step]
-            some = some[bound[some] >= floor]
+        if not len(at):
+            return none
+        order = np.argsort(-idf, kind="stable")
+        at, idf = at[order], idf[order]
+        posts = np.cumsum(self.df[at])
+        head = len(at) if posts[-1] <= FEW_POSTINGS else int(np.searchsorted(posts, ESSENTIAL * posts[-1])) + 1
+        known = bound = self._sums(at[:head], idf[:head], self.post, self.doc, self.weight, self.blocks * WIDTH)
+        if head < len(at):
+            rest = self._sums(at[head:], idf[head:], self.term_cell, self.cell_block, self.cell_max, self.blocks)
+            bound = (bound.reshape(self.blocks, WIDTH) + rest[:, None]).reshape(-1)
+        bound = bound[: len(self.ids)] * (1 + 1e-12) + 1e-9
+        order = np.flatnonzero(bound >= max(floor, 2e-9))
+        order = order[np.argsort(-bound[order], kind="stable")]
+        bound = bound[order]
+        docs, scores, done, step = [], [], 0, 2 * k
+        while done < len(order) and bound[done] >= floor:
+            some = order[done : done + step][bound[done : done + step] >= floor]
             done += step
             step *= 2
-            local = np.full(self.blocks, -1)
-            local[some] = np.arange(len(some))
-            mine = local[block] >= 0
-            posts = _runs(self.cell_at[cells[mine]], self.cell_n[cells[mine]])
-            doc = self.doc[posts]
-            slot = local[doc // WIDTH] * WIDTH + doc % WIDTH
-            got = np.bincount(slot, np.repeat(cell_idf[mine], self.cell_n[cells[mine]]) * self.weight[posts], len(some) * WIDTH)
-            got = np.round(got, 9)
+            got = np.round(known[some] + self._added(at[head:], idf[head:], some) if head < len(at) else known[some], 9)
             keep = np.flatnonzero((got > 0) & (got >= floor))
-            ids.append(self.ids[some[keep // WIDTH] * WIDTH + keep % WIDTH])
+            docs.append(some[keep])
             scores.append(got[keep])
             best = np.concatenate(scores)
             if len(best) >= k:
                 floor = max(floor, np.partition(best, len(best) - k)[len(best) - k])
-        if not ids:
-            return self.ids[:0], np.zeros(0)
-        i, s = np.concatenate(ids), np.concatenate(scores)
+        if not docs:
+            return none
+        i, s = self.ids[np.concatenate(docs)], np.concatenate(scores)
         keep = np.lexsort((i, -s))[:k]
         return i[keep], s[keep]
 
@@ -224,8 +248,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc
     blocks = max(1, -(-weighed.count() // block_terms))
     found = []
     for block in range(blocks):
-        rows = weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas().sort_values("query_id", kind="stable")
-        q, t, w = rows["query_id"].to_numpy(np.int64), rows["term"].to_numpy(np.int64).view(np.uint64), rows["idf"].to_numpy(float)
+        rows = weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        q, t, w = rows["query_id"].to_numpy(), rows["term"].to_numpy().view(np.uint64), rows["idf"].to_numpy()
         order = np.lexsort((t, q))
         q, t, w = q[order], t[order], w[order]
         cut = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
