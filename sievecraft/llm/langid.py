@@ -77,6 +77,36 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, keys[at] == wanted
 
 
+def counted(parts: list[np.ndarray], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Occurrences of each different gram of the highest order, and by order the hashes of its grams and contexts.
+
+    Texts are counted about ``PLACES`` symbols at a time. Lower orders need no places of their own: a gram of any order
+    is the end of one of the highest.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    held: list[np.ndarray] = []
+    size = 0
+    for j, p in enumerate(parts):
+        held += [np.zeros(order, np.uint64), p]
+        size += len(p)
+        if size < PLACES and j + 1 < len(parts):
+            continue
+        joined = np.concatenate(held)
+        real = np.flatnonzero(joined[1:])  # places that hold a symbol
+        _, at, count = np.unique(grams(joined, order)[real], return_index=True, return_counts=True)
+        at = real[at]
+        found.append((count, *[grams(joined, k)[at] for k in range(1, order + 1)], *[contexts(joined, k)[at] for k in range(1, order + 1)]))
+        held, size = [], 0
+    if not found:
+        empty = [np.zeros(0, np.uint64)] * order
+        return np.zeros(0, np.int64), empty, empty
+    columns = [np.concatenate([f[i] for f in found]) for i in range(1 + 2 * order)]
+    _, at, which = np.unique(columns[order], return_index=True, return_inverse=True)
+    count = np.bincount(which, columns[0]).astype(np.int64)
+    columns = [c[at] for c in columns]
+    return count, columns[1 : order + 1], columns[order + 1 :]
+
+
 @dataclass
 class Models:
     langs: list[str]
@@ -173,15 +203,14 @@ def fit_models(samples: dict[str, list[str]], order: int = ORDER, discount: floa
     per_back: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
     for x in langs:
         parts = [symbols(t, table) for k, t in enumerate(samples[x]) if k % 6 != 5]
-        joined = np.concatenate([np.concatenate((np.zeros(order, np.uint64), p)) for p in parts]) if parts else np.zeros(order + 1, np.uint64)
-        real = joined[1:] != 0  # places that hold a symbol
-        whole = [None] + [grams(joined, k)[real] for k in range(1, order + 1)]
-        ctx = [None] + [contexts(joined, k)[real] for k in range(1, order + 1)]
+        times, whole, ctx = counted(parts, order)
+        whole, ctx = [None, *whole], [None, *ctx]
         lower = np.array([], np.float64)
         lower_keys = np.array([], np.uint64)
         for k in range(1, order + 1):
             if k == order:
-                keys, first, count = np.unique(whole[k], return_index=True, return_counts=True)
+                keys, first = np.unique(whole[k], return_index=True)
+                count = times[first]
             else:  # Kneser-Ney: of a lower order count the different symbols before, not the occurrences
                 _, at = np.unique(whole[k + 1], return_index=True)
                 keys, sub, count = np.unique(whole[k][at], return_index=True, return_counts=True)
