@@ -168,11 +168,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = checkpointed(fingerprints(docs, id_col, text_col, words_per_shingle))
     points = checkpointed(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = checkpointed(fingerprint_links(points.select("fp"), max_distance, block))
-    named = points.where("rep is not null")
-    ends = found.join(named.select(F.col("fp").alias("u"), F.col("rep").alias("ru")), "u").join(named.select(F.col("fp").alias("v"), F.col("rep").alias("rv")), "v")
-    roots = connected_components(ends.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+    # Nodes are fingerprints, with or without an id: a fingerprint that names nothing may hold its component together.
+    roots = connected_components(found)
+    grouped = checkpointed(points.join(roots, points["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     degree = found.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    of_fp = points.join(roots, points["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")).join(degree, "fp", "left")
+    of_fp = grouped.join(least, "root").select("fp", "component_id").join(degree, "fp", "left")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return marks.join(of_fp, "fp").select("doc_id", "th", "fp", hexed, "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

@@ -116,6 +116,20 @@ def test_components_of_chains_and_stars(spark):
     assert got == {k: 0 for k in range(51)} | {k: 100 for k in range(100, 160)} | {200: 200, 201: 200}
 
 
+def test_rows_without_id_hold_components_together(spark, monkeypatch):
+    hub = 0x5A5A_5A5A_5A5A_5A5A
+    # Eleven fingerprints two bits from the hub and four from each other, and a bridge between two that are eight bits apart.
+    near = {k: hub ^ (3 << 2 * k) for k in range(11)}
+    left, bridge, right = 0x0123_4567_89AB_CDEF, 0x0123_4567_89AB_CDEF ^ 0x0F, 0x0123_4567_89AB_CDEF ^ 0xFF
+    fps = [(None, hub), *((10 + k, x) for k, x in near.items()), (40, left), (None, bridge), (41, right), (None, 0x7FFF_0000_FFFF_0001)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: docs)
+    table = spark.createDataFrame([(d, k, x) for k, (d, x) in enumerate(fps)], "doc_id long, th long, fp long")
+    got = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(table).collect()}
+    comp = brute_components(fps)
+    assert got == {(d, x): comp[x] for d, x in fps}
+    assert {got[10 + k, x] for k, x in near.items()} == {10} and got[41, right] == 40
+
+
 def test_simhash_empty(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
