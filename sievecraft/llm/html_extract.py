@@ -19,7 +19,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +39,23 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins
 #: An open element of these is closed by the next of the same kind.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _BLOCK_CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Whole words of class names, ids and roles (cut at hyphens, underscores, digits and capitals), by what they hint at.
 HINTS = {
-    "advert": re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|popup|modal|offer)(?:[-_\s]|$)", re.I),
-    "menu": re.compile(r"nav|menu|breadcrumb|toolbar|pagination|tabs", re.I),
-    "edge": re.compile(r"header|footer|masthead|copyright|sidebar|side-bar|widget|related|recommend|share|social|most-read", re.I),
-    "talk": re.compile(r"comment|reply|replies|discussion|disqus|respond", re.I),
-    "notice": re.compile(r"cookie|consent|notice|gdpr|newsletter|subscribe|signup|login|alert", re.I),
-    "content": re.compile(r"content|article|entry|post(?!er)|story|body|main|text|prose", re.I),
+    "advert": frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion banner popup modal offer".split()),
+    "menu": frozenset("nav navs navbar navigation topnav sidenav subnav mainnav menu menus menubar mainmenu submenu topmenu breadcrumb breadcrumbs toolbar pagination tabs".split()),
+    "edge": frozenset("header footer masthead copyright sidebar widget widgets related recommend recommended recommendations share sharing social".split()),
+    "talk": frozenset("comment comments commentlist reply replies discussion discussions disqus respond".split()),
+    "notice": frozenset("cookie cookies consent notice notices gdpr newsletter subscribe signup login alert alerts".split()),
+    "content": frozenset("content contents maincontent article articles articlebody entry post posts story body main text prose".split()),
 }
+_TWO_WORDS = re.compile(r"side-bar|most-read", re.I)
+_CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_WORD = re.compile(r"[^\W\d_]+")
+#: A name with one of these tells how the page is set, not what the element is: comments-open, has-sidebar, nav-fixed.
+STATES = frozenset("has with no is open opened closed fixed sticky enabled disabled collapsed expanded hidden visible".split())
+#: Class names of these kinds give way to a name of the content on the same element, or to the first such element inside.
+YIELDS = frozenset(("menu", "talk", "notice"))
+_LEADS = frozenset("article articlebody main maincontent story entry post".split())
 _ELEMENTS = {
     "article": "article", "main": "main", "p": "p", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "li": "item", "dd": "item", "dt": "item",
     "td": "cell", "th": "cell", "a": "link", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "fieldset": "form", "dialog": "notice",
@@ -81,11 +90,34 @@ def _tag_kind(name: str) -> str:
     return "inline" if name in INLINE or name == "br" else "other"
 
 
+@lru_cache(4096)
+def _hints(named: str) -> tuple[frozenset, bool]:
+    """Kinds that class names, ids and roles hint at, and whether one of them names the article itself."""
+    found, leads = set(), False
+    for name in named.split():
+        words = {x.lower() for x in _WORD.findall(_CAPITAL.sub("-", name))}
+        kinds = {k for k, known in HINTS.items() if words & known}
+        if _TWO_WORDS.search(name):
+            kinds.add("edge")
+        if words & STATES:
+            kinds &= {"content"}
+        elif kinds != {"content"}:
+            kinds.discard("content")  # a comment's body, a menu's content
+        leads |= "content" in kinds and bool(words & _LEADS)
+        found |= kinds
+    if "content" in found:
+        found -= YIELDS
+    if found != {"content"}:
+        found.discard("content")
+    return frozenset(found), leads and "content" in found
+
+
 def pieces(page: str) -> list[Piece]:
     """Text and tags of a page in order, each with the kinds of elements around it."""
     out: list[Piece] = []
     open_: list[tuple[str, frozenset, bool]] = []
     none: frozenset = frozenset()
+    led = False
     at, block, n = 0, 0, len(page)
     lower = None
 
@@ -161,12 +193,17 @@ def pieces(page: str) -> list[Piece]:
         kinds = open_[-1][1] if open_ else none
         out.append(Piece(None, kinds, block, _tag_kind(name)))
         if not closing and name not in VOID and not attrs.endswith("/"):
-            new = {_ELEMENTS[name]} if name in _ELEMENTS else set()
+            new, leads = {_ELEMENTS[name]} if name in _ELEMENTS else set(), False
             if "=" in attrs and name not in ("html", "body"):
                 named = " ".join(x.strip("\"'") for x in _NAMED.findall(attrs))
                 if named:
-                    hints = {k for k, r in HINTS.items() if r.search(named)}
-                    new |= hints - {"content"} or hints
+                    hints, leads = _hints(named)
+                    new |= hints
+            # The first element of the page that is the content by its name is so within a wrapper called menu, alert or the like too.
+            leads |= name in ("article", "main")
+            # A plain "content" or "text" inside a comment or a notice is that comment's own.
+            if not led and not new & YIELDS and (leads or ("content" in new and not kinds & {"talk", "notice"})):
+                led, kinds = True, kinds - YIELDS
             label = bool(attrs and _LABEL.search(attrs)) or bool(open_ and open_[-1][2])
             open_.append((name, (kinds | new) if new else kinds, label))
     return out

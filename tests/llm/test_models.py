@@ -184,6 +184,20 @@ def test_html_pages(spark, nothing):
     assert html_extract.extract_main_text(spark.createDataFrame([(None, None, None)], "page_id long, url string, html string")).collect()[0]["text"] == ""
 
 
+@pytest.mark.parametrize(
+    "open_,close",
+    [
+        ('<div class="content comments-open">', "</div>"), ('<div class="article-with-comments">', "</div>"), ('<div class="site-content nav-fixed">', "</div>"), ('<section id="navy-history">', "</section>"), ('<div class="content alert">', "</div>"),
+        ('<div class="alert"><article>', "</article></div>"), ('<div class="tabs"><div class="content">', "</div></div>"), ('<div id="noticeboard"><main class="login-enabled">', "</main></div>"), ('<div class="shareholders has-sidebar">', "</div>"),
+    ],
+)
+def test_html_wrappers_keep_the_article(open_, close):
+    text = "<h1>Ships of the north</h1><p>The navy built twelve ships in that year and lost two of them.</p><p>Nine of the others sailed for thirty years.</p>"
+    around = '<div class="cookie-notice"><div class="content">We use cookies here.</div></div><div class="mainNav"><a href="/">Home</a></div>', '<div class="comments"><article class="comment-body"><p>I saw them all in the harbour when I was young.</p></article><div class="comment"><div class="content">So did I.</div></div></div><div class="post-comments"><p>Nice.</p></div>'
+    want = "Ships of the north The navy built twelve ships in that year and lost two of them. Nine of the others sailed for thirty years."
+    assert html_extract.main_text(f"<html><body>{around[0]}{open_}{text}{close}{around[1]}</body></html>") == want
+
+
 def test_html_labelled_pages():
     for page in html_extract.PAGES:
         want = " ".join(" ".join(p.text.split()) for p in html_extract.pieces(page) if p.label and p.text.strip())
