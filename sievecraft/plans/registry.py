@@ -214,10 +214,10 @@ def ret_bm25_phrase(s, d):
 MEM = f"SELECT DISTINCT item_id AS qid, unnest({TOK}) AS term FROM benchmark"
 
 
-def neighbours(s, d):
+def neighbours(s, d, depth=20):
     b = table(s, d, "benchmark").select(F.col("item_id").alias("other"), "text")
-    r = retrieve.bm25(asked(s, d), b, X.tokens(F.col("text")), 21, "other").where("qid <> other")
-    return r.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "other"))).where("rank <= 20")
+    r = retrieve.bm25(asked(s, d), b, X.tokens(F.col("text")), depth + 1, "other").where("qid <> other")
+    return r.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "other"))).where(F.col("rank") <= depth)
 
 
 def memory_gold(s, d):
@@ -233,14 +233,17 @@ for _name, _vote in (("ret_memory_vote", "1.0"), ("ret_memory_score", "greatest(
     query(bm25_sql(f"WITH u AS (SELECT item_id AS other, {TOK} AS w FROM benchmark)", "other", 21) + f", nb AS (SELECT qid, other, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, other) AS rank FROM bm WHERE qid <> other QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, other) <= 20), g AS (SELECT item_id AS other, unnest([item_id % 7, item_id % 5 + 10]) AS doc_id FROM benchmark) SELECT qid, doc_id, round(sum({_vote} / (10 + rank)), 6) AS vote FROM nb JOIN g USING (other) GROUP BY ALL")(_memory)
 
 
-def bundle(s, d):
-    """Branches of one question: whole documents, chunks (best plus 0.6 second) and trigram phrases."""
+def bundle(s, d, full_k=500, local_k=2000, tri_k=1000, memory_k=100):
+    """Branches of one question: whole documents, chunks and trigram phrases of chunks (best plus 0.6 second), question memory."""
     u = chunk_units(s, d)
-    full = ret_doc_runs(s, d, 50).select("qid", "doc_id", "score").withColumn("branch", F.lit("full"))
-    local = retrieve.best_plus_second(retrieve.bm25(asked(s, d), u, F.col("words"), 200, "chunk_id").select("qid", "chunk_id", "score"), u.select("chunk_id", "doc_id")).withColumn("branch", F.lit("local"))
-    tri = ret_bm25_phrase(s, d).select("qid", "doc_id", "score").withColumn("branch", F.lit("trigram"))
-    both = full.unionByName(local).unionByName(tri).withColumn("score", F.round("score", 9))
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("qid", "branch").orderBy(F.desc("score"), "doc_id")))
+    best2 = lambda q, terms, k: retrieve.best_plus_second(retrieve.bm25(q, u, terms, k, "chunk_id").select("qid", "chunk_id", "score"), u.select("chunk_id", "doc_id"))
+    spoken = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(X.phrases(X.tokens(F.col("text")), 3)).alias("term"))
+    full = ret_doc_runs(s, d, full_k).select("qid", "doc_id", "score").withColumn("branch", F.lit("full"))
+    local = best2(asked(s, d), F.col("words"), local_k).withColumn("branch", F.lit("local"))
+    tri = best2(spoken, X.windows(F.col("words"), 3), tri_k).withColumn("branch", F.lit("trigram"))
+    memory = retrieve.memory_votes(neighbours(s, d, memory_k), memory_gold(s, d), True).select("qid", "doc_id", F.col("vote").alias("score")).withColumn("branch", F.lit("memory"))
+    every = full.unionByName(local).unionByName(tri).unionByName(memory).withColumn("score", F.round("score", 9))
+    return every.withColumn("rank", F.row_number().over(W.partitionBy("qid", "branch").orderBy(F.desc("score"), "doc_id")))
 
 
 @query()
@@ -689,6 +692,6 @@ def snk_canonical_lines(s, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three retrieval branches, weighted reciprocal-rank fusion, and the dynamic answer threshold."""
-    fused = fuse.rrf(bundle(spark, sf_dir), {"full": 0.4, "local": 0.35, "trigram": 0.25}, 10)
+    """Four retrieval branches, weighted reciprocal-rank fusion with the reference's weights, and the dynamic answer threshold."""
+    fused = fuse.rrf(bundle(spark, sf_dir), {"full": 0.063, "local": 0.357, "trigram": 0.28, "memory": 0.3}, 5)
     return plain(features.threshold(fused, 0.15).select(F.col("qid").alias("item_id"), "doc_id", "rank", "score"))

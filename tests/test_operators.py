@@ -123,6 +123,20 @@ def test_question_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_bundle_has_four_branches_at_full_depth(spark, tmp_path):
+    from sievecraft.plans import registry
+
+    texts = [(k, f"red fish swim north of stone {k}") for k in range(70)] + [(70, " ".join(["red fish swim north"] * 150))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = [(0, "red fish swim"), *((k, f"red fish {k}") for k in range(1, 40))]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = registry.bundle(spark, str(tmp_path)).collect()
+    of = {b: {r["doc_id"]: r["score"] for r in got if r["branch"] == b and r["qid"] == 0} for b in ("full", "local", "trigram", "memory")}
+    assert {b: len(x) for b, x in of.items()} == {"full": 71, "local": 71, "trigram": 71, "memory": 12}
+    near = registry.neighbours(spark, str(tmp_path), 100).where("qid = 0").collect()
+    assert len(near) == 39 and of["memory"][3] == pytest.approx(sum(max(r["score"], 0) / (10 + r["rank"]) for r in near if r["other"] % 7 == 3), abs=1e-8)
+
+
 def test_entry_imports_and_names_match():
     import __spark_entry__ as e
 
