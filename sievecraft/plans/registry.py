@@ -276,13 +276,7 @@ def ret_dense_top2mean(s, d):
 
 @query()
 def ret_lsh_ann(s, d):
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    e = table(s, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.0, numHashTables=12, seed=7).fit(e)
-    near = model.approxSimilarityJoin(e.where("vec_id < 20"), e, 10.0, "dist").select(F.col("datasetA.vec_id").alias("qid"), F.col("datasetB.vec_id").alias("vec_id"), F.round("dist", 6).alias("dist"))
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("dist", "vec_id"))).where("rank <= 10")
+    return retrieve.lsh_neighbours(table(s, d, "embeddings").select("vec_id", "embedding"))
 
 
 @query(f"""WITH k AS (SELECT item_id AS qid, unnest({TOK}) AS term FROM benchmark), c AS (SELECT qid, term, count(*) AS tf FROM k GROUP BY ALL), n AS (SELECT count(*) AS n FROM benchmark), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
