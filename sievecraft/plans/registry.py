@@ -649,8 +649,12 @@ def ml_gbt_rank(s, d):
 
     x = features.branch_features(runs(s, d), BRANCHES).join(labelled(s, d), ["qid", "doc_id"])
     rows = VectorAssembler(inputCols=[c for c in x.columns if c not in ("qid", "doc_id", "y")], outputCol="x").transform(x)
-    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=7).fit(rows.where("qid % 4 <> 0"))
-    return model.transform(rows.where("qid % 4 = 0")).select("qid", "doc_id", vector_to_array("probability")[1].alias("p"))
+    trees, out = GBTClassifier(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=7), None
+    for fold in range(4):  # each block is scored by a model of the others
+        model = trees.fit(rows.where(F.col("qid") % 4 != fold))
+        part = model.transform(rows.where(F.col("qid") % 4 == fold)).select("qid", "doc_id", vector_to_array("probability")[1].alias("p"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(RUNS + ", a AS (SELECT qid, doc_id FROM view WHERE rank <= 3 + qid % 4), q AS (SELECT range AS qid FROM range(45)), n AS (SELECT q.qid, count(a.qid) AS n, count(DISTINCT doc_id) AS d FROM q LEFT JOIN a USING (qid) GROUP BY ALL) SELECT count(*) FILTER (n = 0) AS missing, count(*) FILTER (n > 5) AS too_many, count(*) FILTER (n <> d) AS repeated, (SELECT count(*) FROM a WHERE doc_id % 13 = 0) AS unknown FROM n")

@@ -145,6 +145,15 @@ def test_lsh_asks_with_every_row_and_recalls_brute_force(spark, tmp_path):
         assert [of[1000][k] for k in range(1, 11)] == want[1000]
 
 
+def test_trees_score_every_block(spark):
+    from sievecraft.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    got = registry.ml_gbt_rank(spark, d).select("qid", "doc_id").collect()
+    want = registry.labelled(spark, d).select("qid", "doc_id").join(registry.runs(spark, d), ["qid", "doc_id"], "left_semi").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r["qid"] % 4 for r in got} == {0, 1, 2, 3}
+
+
 def test_bundle_has_four_branches_at_full_depth(spark, tmp_path):
     from sievecraft.plans import registry
 
