@@ -26,6 +26,16 @@ def query_metrics(run: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+def ndcg_of_lists(run: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """qid, ndcg10 from each query's first ``k`` answers and its set of gold ids, a second route to that of query_metrics."""
+    answers = run.where(F.col("rank") <= k).groupBy("qid").agg(F.collect_list(F.struct("rank", "doc_id")).alias("a"))
+    j = gold.groupBy("qid").agg(F.collect_set("doc_id").alias("g")).join(answers, "qid", "left")
+    gain = lambda rank: F.lit(1.0) / (F.log(rank + 1.0) / F.log(F.lit(2.0)))
+    total = lambda ranks: F.aggregate(ranks, F.lit(0.0), lambda s, r: s + gain(r))
+    hits = F.transform(F.filter("a", lambda x: F.array_contains("g", x["doc_id"])), lambda x: x["rank"].cast("int"))
+    return j.select("qid", (F.coalesce(total(hits), F.lit(0.0)) / total(F.sequence(F.lit(1), F.least(F.size("g"), F.lit(k))))).alias("ndcg10"))
+
+
 def pooled(metrics: DataFrame) -> DataFrame:
     p, r = F.avg("precision5"), F.avg("recall5")
     return metrics.agg(F.count("*").alias("n"), r.alias("recall5"), F.avg("recall100").alias("recall100"), F.avg("mrr10").alias("mrr10"), F.avg("ndcg10").alias("ndcg10"), p.alias("precision5"), F.coalesce(5 * p * r / F.nullif(4 * p + r, F.lit(0.0)), F.lit(0.0)).alias("f2"))
@@ -85,7 +95,7 @@ def order_statistic(values: DataFrame, share: float = 0.95) -> DataFrame:
     return r.where(F.col("i") == F.floor(F.col("n") * share)).select("n", "mean", F.col("v").alias("p95"))
 
 
-def bootstrap(deltas: DataFrame, samples: int = 2000, seed: int = 112) -> DataFrame:
+def bootstrap(deltas: DataFrame, samples: int = 20_000, seed: int = 112) -> DataFrame:
     """Paired bootstrap of a mean: each sample draws from its own seeded generator, samples spread over tasks."""
     d = deltas.sparkSession.sparkContext.broadcast(np.array([r[0] for r in deltas.orderBy("qid").select("delta").collect()]))  # one number per query of an evaluation set
 

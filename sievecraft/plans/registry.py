@@ -677,8 +677,8 @@ def val_leakage(s, d):
 
 @query(RUNS + ", " + met_sql("view", "m") + "SELECT count(*) AS n, 0::BIGINT AS different FROM m")
 def val_metric_recompute(s, d):
-    m = measure.query_metrics(one(s, d, "view"), gold(s, d))
-    return validate.recomputed(m, m, "ndcg10")
+    v, g = one(s, d, "view"), gold(s, d)
+    return validate.recomputed(measure.query_metrics(v, g), measure.ndcg_of_lists(v, g), "ndcg10")
 
 
 @query(RUNS + "SELECT qid, sha256('{\"answer\":[' || string_agg(doc_id, ',' ORDER BY rank) || '],\"qid\":' || qid || '}') AS digest FROM view WHERE rank <= 5 GROUP BY qid")

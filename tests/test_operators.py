@@ -154,6 +154,22 @@ def test_trees_score_every_block(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r["qid"] % 4 for r in got} == {0, 1, 2, 3}
 
 
+def test_recomputed_metric_finds_a_fault(spark, monkeypatch):
+    from sievecraft.plans import registry
+
+    d, right = "/root/testdata/sf0.001", measure.query_metrics
+    n, different = registry.val_metric_recompute(spark, d).first()
+    assert n == registry.gold(spark, d).select("qid").distinct().count() and different == 0
+    monkeypatch.setattr(measure, "query_metrics", lambda run, gold: right(run, gold).withColumn("ndcg10", F.col("ndcg10") + 0.1))
+    assert registry.val_metric_recompute(spark, d).first()["different"] == n
+
+
+def test_bootstrap_takes_as_many_samples_as_the_reference():
+    import inspect
+
+    assert inspect.signature(measure.bootstrap).parameters["samples"].default == 20_000
+
+
 def test_bundle_has_four_branches_at_full_depth(spark, tmp_path):
     from sievecraft.plans import registry
 
