@@ -33,9 +33,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
     ranks = bpe.read_ranks(path or public_tokenizers.path(VOCABULARY))
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, pattern or public_tokenizers.PATTERN, with_ids=False)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

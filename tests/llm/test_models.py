@@ -47,11 +47,28 @@ def test_bpe_operator(docs, rows, coder, peer, nothing):
     assert bpe.encode_decode(nothing, coder.ranks, P.PATTERN).count() == 0
 
 
-def test_small_memo_changes_nothing(coder, peer, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 3)
-    other = bpe.BytePairEncoder(coder.ranks, P.PATTERN)
+def test_small_memo_changes_nothing(coder, peer):
+    other = bpe.BytePairEncoder(coder.ranks, P.PATTERN, memo=3)
     t = "several different words follow each other and repeat, several different words"
     assert other.encode(t) == peer.encode_ordinary(t)
+    r = random.Random(9)
+    t = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(4000))
+    assert bpe.BytePairEncoder(coder.ranks, P.PATTERN, memo=500).encode(t) == peer.encode_ordinary(t)
+
+
+def test_bpe_takes_linear_time(coder, peer):
+    import time
+
+    def took(memo, n):
+        r, c = random.Random(n), bpe.BytePairEncoder(coder.ranks, P.PATTERN, memo)
+        t = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(n))
+        began = time.process_time()
+        c.encode(t)
+        return time.process_time() - began
+
+    assert took(1000, 16_000) < 12 * took(1000, 4_000) + 0.2
+    long = "ab" * 40_000
+    assert coder.encode(long) == peer.encode_ordinary(long)
 
 
 def test_language_held_out_accuracy(spark):
