@@ -10,9 +10,12 @@ adds its own bits to the hash: with B buckets a window is told apart by 56 + log
 Windows that repeat within a million words are settled before the shuffle, and only the smallest document's go on, so
 a passage in a third of all documents sends one entry per million words.
 
-Defined results: a null text has no words; rows that share a doc_id are one document (a place removed in one is
-removed in all); null ids count as one document after all others; an empty table gives an empty result; other columns
-are not read.
+The number of buckets follows the bytes of text, so that a task holds about ``BUCKET`` windows at a time at any size.
+
+Defined results: a null text has no words. Places belong to rows: rows that share a doc_id take nothing from each
+other, and what is removed from one stays in the others. Rows without a doc_id are smaller and larger than none: they
+keep their words and take none from others. Rows repeated in full get equal rows; an empty table gives an empty result;
+other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,9 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NO_ID = (1 << 63) - 1
+from sievecraft.session import checkpointed
+
 _BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _SLAB = 1 << 20
+#: Windows that a bucket holds at most, about, and the least bytes a window stands for.
+BUCKET, BYTES = 1 << 21, 4
 
 
 def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
@@ -78,25 +84,29 @@ def _unplanes(b: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
-    """Entries sorted by doc and place, as hash planes and zstd-packed steps of doc and place."""
-    first = np.r_[True, doc[1:] != doc[:-1]]
+def _pack(h: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> bytes:
+    """Entries sorted by row (doc and tag) and place, as hash planes and zstd-packed steps of doc and place.
+
+    Tags are written only where one is set.
+    """
+    first = np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]
     step = np.where(first, pos, np.r_[0, np.diff(pos)])
     new = np.flatnonzero(first)
-    body = _planes(h, 7)
+    body, tags = _planes(h, 7), tag[new] if tag.any() else tag[:0]
     docs = np.diff(np.r_[0, doc[new]]).view(np.uint64)
-    side = zstandard.ZstdCompressor(level=1).compress(_planes(step.astype(np.uint64), 4) + _planes(docs, 8) + _planes(np.diff(np.r_[new, len(doc)]).astype(np.uint64), 4))
+    side = zstandard.ZstdCompressor(level=1).compress(_planes(step.astype(np.uint64), 4) + _planes(docs, 8) + _planes(np.diff(np.r_[new, len(doc)]).astype(np.uint64), 4) + tags.tobytes())
     return np.array([len(h), len(doc), len(new)], "<u4").tobytes() + body + side
 
 
-def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     hashes, n, d = np.frombuffer(b, "<u4", 3).tolist()
     h = _unplanes(b[12 : 12 + 7 * hashes], 7)
     side = zstandard.ZstdDecompressor().decompress(b[12 + 7 * hashes :])
-    step, docs, count = _unplanes(side[: 4 * n], 4).view(np.int64), _unplanes(side[4 * n : 4 * n + 8 * d], 8).view(np.int64), _unplanes(side[4 * n + 8 * d :], 4).view(np.int64)
-    doc, total = np.repeat(np.cumsum(docs), count), np.cumsum(step)
+    step, docs, count = _unplanes(side[: 4 * n], 4).view(np.int64), _unplanes(side[4 * n : 4 * n + 8 * d], 8).view(np.int64), _unplanes(side[4 * n + 8 * d : 4 * n + 12 * d], 4).view(np.int64)
+    tags = np.frombuffer(side[4 * n + 12 * d :], np.int64)
+    doc, tag, total = np.repeat(np.cumsum(docs), count), np.repeat(tags, count) if len(tags) else np.zeros(n, np.int64), np.cumsum(step)
     starts = np.cumsum(count) - count
-    return h, doc, total - np.repeat(total[starts] - step[starts], count)
+    return h, doc, tag, total - np.repeat(total[starts] - step[starts], count)
 
 
 def _later(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -110,44 +120,46 @@ def _later(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_doc(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
+def _by_row(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    order = np.lexsort((pos, tag, doc))
+    doc, tag, pos = doc[order], tag[order], pos[order]
+    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]) if len(doc) else []
     for a, b in zip(cut, np.r_[cut[1:], len(doc)] if len(doc) else []):
-        yield int(doc[a]), pos[a:b].astype("<u4").tobytes()
+        yield int(doc[a]), int(tag[a]), pos[a:b].astype("<u4").tobytes()
 
 
 def _windows(window: int, buckets: int):
-    """Packed windows by bucket, and places (doc_id, positions) that are settled already."""
+    """Packed windows by bucket, and places (doc_id, tag, positions) that are settled already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, b, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
+            n = [len(x[0]) for x in held]
+            h, b, pos = (np.concatenate([x[k] for x in held]) for k in (0, 1, 4))
+            doc, tag = (np.repeat(np.array([x[k] for x in held], np.int64), n) for k in (2, 3))
             held.clear()
             late = _later(h, doc)
-            rows = [(d % buckets, d, p) for d, p in _by_doc(doc[late], pos[late])]
-            h, b, doc, pos = (x[~late] for x in (h, b, doc, pos))
-            order = np.lexsort((pos, doc, b))
-            h, b, doc, pos = (x[order] for x in (h, b, doc, pos))
+            rows = [(d % buckets, d, g, p) for d, g, p in _by_row(doc[late], tag[late], pos[late])]
+            h, b, doc, tag, pos = (x[~late] for x in (h, b, doc, tag, pos))
+            order = np.lexsort((pos, tag, doc, b) if tag.any() else (pos, doc, b))
+            h, b, doc, tag, pos = (x[order] for x in (h, b, doc, tag, pos))
             cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-            rows += [(int(b[x]), None, _pack(h[x:y], doc[x:y], pos[x:y])) for x, y in zip(cut, np.r_[cut[1:], len(b)])]
+            rows += [(int(b[x]), None, None, _pack(h[x:y], doc[x:y], tag[x:y], pos[x:y])) for x, y in zip(cut, np.r_[cut[1:], len(b)])]
             for at in range(0, len(rows), 256):
                 part = list(zip(*rows[at : at + 256]))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary())], names=["bucket", "doc_id", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary())], names=["bucket", "doc_id", "tag", "body"])
 
         size = 0
         for batch in batches:
-            for d, t in zip(batch.column(0), batch.column(1)):
+            for d, g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = (t.as_py() or "").encode("utf-8", "replace").split()
                 for at in range(0, len(words) - window + 1, _SLAB):  # very long texts go piece by piece
                     wh = word_hashes(words[at : at + _SLAB + window - 1], memo)
                     h = rabin_karp(wh, window, _BASE)
                     b = (_mixed(rabin_karp(wh, window, _BASE2)) % np.uint64(buckets)).astype(np.int32)
-                    held.append((_mixed(h) & np.uint64((1 << 56) - 1), b, np.full(len(h), d.as_py(), np.int64), np.arange(at, at + len(h), dtype=np.int64)))
+                    held.append((_mixed(h) & np.uint64((1 << 56) - 1), b, d, g, np.arange(at, at + len(h), dtype=np.int64)))
                     size += len(h)
                     if size >= _SLAB:
                         yield from flush()
@@ -169,25 +181,25 @@ def _repeated(parts: int):
         size = 0
 
         def settle() -> None:
-            h, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
+            h, doc, tag, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
             held.clear()
             late = _later(h, doc)
-            found.append((doc[late], pos[late]))
+            found.append((doc[late], tag[late], pos[late]))
 
         def send() -> Iterator[pa.RecordBatch]:
-            doc, pos = (np.concatenate([x[k] for x in found]) for k in range(2))
+            doc, tag, pos = (np.concatenate([x[k] for x in found]) for k in range(3))
             found.clear()
-            to = (_mixed(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((pos, doc, to))
-            doc, pos, to = doc[order], pos[order], to[order]
+            to = (_mixed(doc.view(np.uint64) ^ tag.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((pos, tag, doc, to))
+            doc, tag, pos, to = doc[order], tag[order], pos[order], to[order]
             cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
-            rows = [(int(to[x]), _pack(np.zeros(0, np.uint64), doc[x:y], pos[x:y])) for x, y in zip(cut, np.r_[cut[1:], len(to)])]
+            rows = [(int(to[x]), _pack(np.zeros(0, np.uint64), doc[x:y], tag[x:y], pos[x:y])) for x, y in zip(cut, np.r_[cut[1:], len(to)])]
             if rows:
                 at, body = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(body, pa.binary())], names=["part", "body"])
 
         for batch in batches:
-            for bucket, doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for bucket, doc, tag, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 if bucket != now and held:
                     settle()
                     size += len(found[-1][0])
@@ -196,7 +208,7 @@ def _repeated(parts: int):
                     held.append(_unpack(body.as_py()))
                 else:
                     pos = np.frombuffer(body.as_py(), "<u4").astype(np.int64)
-                    found.append((np.full(len(pos), doc, np.int64), pos))
+                    found.append((np.full(len(pos), doc, np.int64), np.full(len(pos), tag, np.int64), pos))
                     size += len(pos)
                 if size >= _SLAB:
                     yield from send()
@@ -210,15 +222,15 @@ def _repeated(parts: int):
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by document bucket: one row per document with its places. Holds one bucket at a time."""
+    """Rows sorted by document bucket: one row for each row of the input with its places. Holds one bucket at a time."""
     now, held = None, []
 
     def settle() -> Iterator[pa.RecordBatch]:
-        rows = list(_by_doc(*(np.concatenate([x[k] for x in held]) for k in (1, 2))))
+        rows = list(_by_row(*(np.concatenate([x[k] for x in held]) for k in (1, 2, 3))))
         held.clear()
         if rows:
-            d, p = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.binary())], names=["doc_id", "places"])
+            d, g, p = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(g, pa.int64()), pa.array(p, pa.binary())], names=["doc_id", "tag", "places"])
 
     for batch in batches:
         for part, body in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -260,14 +272,29 @@ def _cut_out(window: int):
     return run
 
 
+def tagged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(doc_id, tag, text of every row; bytes of all texts). The tag tells rows of one doc_id apart.
+
+    It is the hash of the text where unequal texts share a doc_id, and 0 elsewhere, where it would only cost space.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    th = F.xxhash64("text")
+    ids = checkpointed(rows.groupBy("doc_id").agg(F.min(th).alias("low"), F.max(th).alias("high"), F.sum(F.octet_length("text")).alias("bytes")))
+    size = ids.agg(F.sum("bytes")).first()[0] or 0
+    shared = ids.where("doc_id is not null and low < high").select("doc_id", F.lit(True).alias("shared"))
+    if shared.isEmpty():
+        return rows.select("doc_id", F.lit(0).cast("long").alias("tag"), "text"), size
+    return rows.join(shared, "doc_id", "left").select("doc_id", F.when(F.col("shared"), th).otherwise(0).alias("tag"), "text"), size
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, buckets: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, spans (removed word intervals), kept_text (words by one space)."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 4 * parts
-    picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    packed = picked.mapInArrow(_windows(window, buckets), "bucket int, doc_id long, body binary")
+    picked, size = tagged(docs, id_col, text_col)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(4 * parts, -(-size // (BYTES * BUCKET)))
+    parts = max(parts, -(-buckets // 64))
+    packed = picked.where("doc_id is not null").mapInArrow(_windows(window, buckets), "bucket int, doc_id long, tag long, body binary")
     places = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(buckets), "part int, body binary")
-    gone = places.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_gathered, "doc_id long, places binary")
-    cut = picked.join(gone, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_cut_out(window), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
-    return cut.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    gone = places.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_gathered, "doc_id long, tag long, places binary")
+    # Rows without a doc_id meet nothing. A hot id is split by the skew join.
+    return picked.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "places").mapInArrow(_cut_out(window), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")

@@ -176,28 +176,40 @@ def test_lines_empty(nothing):
 
 
 def brute_windows(rows, window):
-    first, words = {}, defaultdict(list)
+    first = {}
     for d, t, *_ in rows:
         w = W.findall(t or "")
-        words[LAST if d is None else d].append(w)
-    for d, texts in words.items():
-        for w in texts:
-            for i in range(len(w) - window + 1):
-                k = tuple(w[i : i + window])
-                first[k] = min(first.get(k, LAST), d)
+        for i in range(len(w) - window + 1 if d is not None else 0):
+            k = tuple(w[i : i + window])
+            first[k] = min(first.get(k, LAST), d)
     out = []
     for d, t, *_ in rows:
-        d0, gone = LAST if d is None else d, set()
-        for w in words[d0]:
-            for i in range(len(w) - window + 1):
-                if first[tuple(w[i : i + window])] < d0:
-                    gone |= set(range(i, i + window))
-        w = W.findall(t or "")
+        w, gone = W.findall(t or ""), set()
+        for i in range(len(w) - window + 1 if d is not None else 0):
+            if first[tuple(w[i : i + window])] < d:
+                gone |= set(range(i, i + window))
         kept = [x for i, x in enumerate(w) if i not in gone]
         out.append((d, len(w), len(w) - len(kept), " ".join(kept)))
     return sorted(out, key=str)
 
 
+def test_substrings_of_shared_and_missing_ids(spark, tmp_path):
+    import duckdb
+
+    from sievecraft.llm import queries
+
+    r = __import__("random").Random(4)
+    a, y, z = (" ".join(f"{c}{r.randrange(1000)}" for _ in range(40)) for c in "ayz")
+    rows = [(1, a), (2, a), (2, z), (2, z), (None, a), (None, y), (3, y + " " + a), (3, None), (4, z + " " + y)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = queries.op6_substring_dedup(spark, str(tmp_path)).collect()
+    want = [(d, n, m, hashlib.sha256(t.encode()).hexdigest()) for d, n, m, t in brute_windows(rows, 13)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    sql = duckdb.sql(queries.OP6.replace("FROM documents", f"FROM '{path}/*.parquet'")).fetchall()
+    assert sorted(sql, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("window,slab", [(13, 1 << 20), (13, 500), (5, 64)])
 def test_substrings(docs, rows, window, slab, monkeypatch):
     # The functions that run in the workers see a small slab through a closure made here.
