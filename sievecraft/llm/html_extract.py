@@ -1,22 +1,31 @@
 """Main-text extraction by the maximum-scoring subsequence of words and tags.
 
-A page becomes a sequence of text pieces and tags. A word scores by what surrounds it (the elements and class names it
-stands in) and a tag by its name; both weights are log odds learned from labelled pages, words shifted up and tags
-down. One linear scan finds the contiguous region with the highest sum; the main text is the blocks in it, without
-those whose own words score negative (adverts and the like inside an article).
+A page becomes a sequence of text pieces and tags. A word scores by what surrounds it: the elements it stands in, the
+words of their class names, ids and roles, and whether its block is short or long, text or mostly links. A tag scores negative by
+its name. All weights are learned from labelled pages: the words' by logistic regression, the tags' as log odds. There
+are no lists of names that decide by themselves; a name that was never seen weighs nothing.
+
+Two linear passes decide by these scores. From the innermost outwards, a block element whose content scores zero or
+less (an advert or a form inside an article, a list of comments) is cut out and counts as nothing for what is around
+it. Of what is left, one scan finds the contiguous region with the highest sum; its blocks are the main text.
+
+Names are cut into words at hyphens, underscores, digits and capitals; the last word of a name (what the thing is) and
+the words before it (which one) are different features. Of the names around an ``article`` or ``main`` element those
+outside of it are different features from those inside.
 
 Scripts, styles, comments in the markup and the head are skipped while scanning; character references are decoded, a
 block's white space becomes one space, and blocks are joined in page order by one space. Scanning is linear in the
-page: unclosed tags, quotes and comments run to the page's end.
+page: an unclosed quote is read as a plain character; unclosed tags, comments and raw elements run to the page's end.
 
-Defined results: null and empty pages, and pages without words, have empty text; repeated rows get equal rows; an
-empty table gives an empty result; other columns are not read.
+Defined results: null and empty pages, and pages without words or without any region above zero, have empty text;
+repeated rows get equal rows; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
@@ -27,104 +36,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievecraft.llm.batches import short_batches
-from sievecraft.llm.html_labelled import PAGES
+from sievecraft.llm.html_labelled import labelled_pages
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: A quote opens a value after an equals sign only, and one that is never closed is a plain character. Possessive: no way back.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>="']++|=\s*+(?>"[^"]*"|'[^']*'|)|["'])*+)>""")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _LABEL = re.compile(r"(?:^|\s)x(?:\s|$)")
 #: Their content is no text.
 RAW = frozenset("script style noscript template textarea svg iframe object select option math canvas audio video head".split())
+_END_OF = {name: re.compile(f"</{name}", re.I) for name in RAW}
+_BODY = re.compile("<body", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img wbr".split())
 #: An open element of these is closed by the next of the same kind.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _BLOCK_CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Whole words of class names, ids and roles (cut at hyphens, underscores, digits and capitals), by what they hint at.
-HINTS = {
-    "advert": frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion banner popup modal offer".split()),
-    "menu": frozenset("nav navs navbar navigation topnav sidenav subnav mainnav menu menus menubar mainmenu submenu topmenu breadcrumb breadcrumbs toolbar pagination tabs".split()),
-    "edge": frozenset("header footer masthead copyright sidebar widget widgets related recommend recommended recommendations share sharing social".split()),
-    "talk": frozenset("comment comments commentlist reply replies discussion discussions disqus respond".split()),
-    "notice": frozenset("cookie cookies consent notice notices gdpr newsletter subscribe signup login alert alerts".split()),
-    "content": frozenset("content contents maincontent article articles articlebody entry post posts story body main text prose".split()),
-}
-_TWO_WORDS = re.compile(r"side-bar|most-read", re.I)
+_SHUT = {name: frozenset(SELF_CLOSING.get(name, set()) | ({"p"} if name in _BLOCK_CLOSES_P else set())) for name in {*SELF_CLOSING, *_BLOCK_CLOSES_P}}
 _CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
-#: A name with one of these tells how the page is set, not what the element is: comments-open, has-sidebar, nav-fixed.
-STATES = frozenset("has with no is open opened closed fixed sticky enabled disabled collapsed expanded hidden visible".split())
-#: Class names of these kinds give way to a name of the content on the same element, or to the first such element inside.
-YIELDS = frozenset(("menu", "talk", "notice"))
-_LEADS = frozenset("article articlebody main maincontent story entry post".split())
-_ELEMENTS = {
-    "article": "article", "main": "main", "p": "p", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "li": "item", "dd": "item", "dt": "item",
-    "td": "cell", "th": "cell", "a": "link", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "fieldset": "form", "dialog": "notice",
-    "blockquote": "quote", "pre": "quote", "figcaption": "quote",
-}
-CONTEXT = ("bias", *dict.fromkeys(_ELEMENTS.values()), *(x for x in HINTS if x != "notice"))
-_SLOT = {x: k for k, x in enumerate(CONTEXT)}
-#: What stands inside such an element is not the main text, whatever else it stands in.
-OUTSIDE = frozenset(("nav", "footer", "aside", "form", "advert", "menu", "talk", "notice"))
-#: The same, unless the words around score it up again (a header inside an article).
-ASIDE = OUTSIDE | {"edge", "header"}
-TAGS = ("p", "heading", "item", "cell", "link", "nav", "edge", "inline", "other")
-
-
-@dataclass
+_ALIKE = {"h2": "h1", "h3": "h1", "h4": "h1", "h5": "h1", "h6": "h1", "dd": "li", "dt": "li", "th": "td", "ol": "ul", "i": "b", "em": "b", "strong": "b"}
+
+
+@dataclass(slots=True)
 class Piece:
-    """A run of text in one context, or a tag (``text`` is None)."""
+    """A run of text in one context, or a tag (``text`` is None); ``element`` is the innermost open block element."""
 
     text: str | None
-    kinds: frozenset
+    around: frozenset
     block: int
+    element: int
     tag: str = ""
     label: bool = False
 
 
-def _tag_kind(name: str) -> str:
-    kind = _ELEMENTS.get(name)
-    if kind in ("p", "heading", "item", "cell", "link", "nav"):
-        return kind
-    if kind in ("header", "footer", "aside", "form", "notice"):
-        return "edge"
-    return "inline" if name in INLINE or name == "br" else "other"
-
-
-@lru_cache(4096)
-def _hints(named: str) -> tuple[frozenset, bool]:
-    """Kinds that class names, ids and roles hint at, and whether one of them names the article itself."""
-    found, leads = set(), False
-    for name in named.split():
-        words = {x.lower() for x in _WORD.findall(_CAPITAL.sub("-", name))}
-        kinds = {k for k, known in HINTS.items() if words & known}
-        if _TWO_WORDS.search(name):
-            kinds.add("edge")
-        if words & STATES:
-            kinds &= {"content"}
-        elif kinds != {"content"}:
-            kinds.discard("content")  # a comment's body, a menu's content
-        leads |= "content" in kinds and bool(words & _LEADS)
-        found |= kinds
-    if "content" in found:
-        found -= YIELDS
-    if found != {"content"}:
-        found.discard("content")
-    return frozenset(found), leads and "content" in found
-
-
-def pieces(page: str) -> list[Piece]:
-    """Text and tags of a page in order, each with the kinds of elements around it."""
+@lru_cache(1 << 16)
+def _inside(around: frozenset, name: str, named: str) -> frozenset:
+    """Features of what stands in an element of these names within ``around``."""
+    own = {f"<{_ALIKE.get(name, name)}"}
+    for token in named.split():
+        words = [x.lower() for x in _WORD.findall(_CAPITAL.sub("-", token))]
+        own |= {f"which {w}" for w in words[:-1]} | {f"is {w}" for w in words[-1:]}
+    if name in ("article", "main"):
+        around = frozenset(x if x.startswith("out ") else f"out {x}" for x in around)
+    return around | own
+
+
+def pieces(page: str) -> tuple[list[Piece], list[int]]:
+    """Text and tags of a page in order, and for each block element (0: the page) the one it stands in."""
     out: list[Piece] = []
-    open_: list[tuple[str, frozenset, bool]] = []
-    none: frozenset = frozenset()
-    led = False
+    open_: list[tuple[str, frozenset, bool, int]] = [("", frozenset(), False, 0)]
+    blocks, names, parents = [0], Counter(), [0]  # places of open block elements; open names; by element its parent
     at, block, n = 0, 0, len(page)
-    lower = None
 
     def text(raw: str) -> None:
         if raw:
-            kinds, label = (open_[-1][1], open_[-1][2]) if open_ else (none, False)
-            out.append(Piece(html.unescape(raw), kinds, block, "", label))
+            _, around, label, element = open_[-1]
+            out.append(Piece(html.unescape(raw), around, block, element, "", label))
+
+    def shut(place: int) -> None:
+        for x in open_[place:]:
+            names[x[0]] -= 1
+        del open_[place:]
+        while blocks[-1] >= place:
+            blocks.pop()
 
     while at < n:
         lt = page.find("<", at)
@@ -137,110 +111,132 @@ def pieces(page: str) -> list[Piece]:
             at = n if end < 0 else end + 3
             continue
         nxt = page[lt + 1 : lt + 2]
-        if nxt in "!?" and nxt:
+        if nxt and nxt in "!?":
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        if not (nxt.isascii() and nxt.isalpha()) and not (nxt == "/" and page[lt + 2 : lt + 3].isalpha()):
+        letter = page[lt + 2 : lt + 3] if nxt == "/" else nxt
+        if not (letter.isascii() and letter.isalpha()):
             if not nxt or nxt == "/":
-                at = lt + 1
-                end = page.find(">", lt) if nxt == "/" else -1
+                end = page.find(">", lt) if nxt else -1
                 at = end + 1 if end >= 0 else n
             else:
                 text("<")
                 at = lt + 1
             continue
-        gt = page.find(">", lt)
-        if gt < 0:
+        m = _TAG.match(page, lt)
+        if not m:
             break  # a tag cut off by the page's end
-        quoted = page.find('"', lt, gt) >= 0 or page.find("'", lt, gt) >= 0
-        m = _TAG.match(page, lt) if quoted else None
-        if m:
-            closing, name, attrs, at = m[1] == "/", m[2].lower(), m[3], m.end()
-        else:
-            inner = page[lt + 1 : gt]
-            closing, inner = inner[:1] == "/", inner.lstrip("/")
-            name, _, attrs = inner.partition(" ")
-            name, at = re.split(r"[\s/]", name, maxsplit=1)[0].lower(), gt + 1
+        closing, name, attrs, at = m[1] == "/", m[2].lower(), m[3], m.end()
         if not closing and name in RAW:
-            lower = lower or page.lower() if len(page.lower()) == n else page
-            end = lower.find(f"</{name}", at)
-            if name == "head" and end < 0:
-                end = lower.find("<body", at)
-                at = n if end < 0 else end
+            end = _END_OF[name].search(page, at)
+            if name == "head" and not end:
+                end = _BODY.search(page, at)
+                at = end.start() if end else n
                 continue
-            close = page.find(">", end) if end >= 0 else -1
+            close = page.find(">", end.end()) if end else -1
             at = n if close < 0 else close + 1
             continue
-        if name == "br" or name not in INLINE:
-            block += name != "br"
-            if name == "br":
-                text(" ")
+        if name == "br":
+            text(" ")
+        elif name not in INLINE:
+            block += 1
         if closing:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    del open_[k:]
-                    break
-        else:
-            if name in SELF_CLOSING or name in _BLOCK_CLOSES_P:
-                shut = SELF_CLOSING.get(name, set()) | ({"p"} if name in _BLOCK_CLOSES_P else set())
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] in shut:
-                        del open_[k:]
-                        break
-                    if open_[k][0] not in INLINE:
-                        break
-        kinds = open_[-1][1] if open_ else none
-        out.append(Piece(None, kinds, block, _tag_kind(name)))
+            if names[name] > 0:
+                place = len(open_) - 1
+                while open_[place][0] != name:
+                    place -= 1
+                shut(place)
+        elif name in _SHUT and open_[blocks[-1]][0] in _SHUT[name]:
+            shut(blocks[-1])
+        around, element = open_[-1][1], open_[-1][3]
+        out.append(Piece(None, around, block, element, name))
         if not closing and name not in VOID and not attrs.endswith("/"):
-            new, leads = {_ELEMENTS[name]} if name in _ELEMENTS else set(), False
+            named = ""
             if "=" in attrs and name not in ("html", "body"):
                 named = " ".join(x.strip("\"'") for x in _NAMED.findall(attrs))
-                if named:
-                    hints, leads = _hints(named)
-                    new |= hints
-            # The first element of the page that is the content by its name is so within a wrapper called menu, alert or the like too.
-            leads |= name in ("article", "main")
-            # A plain "content" or "text" inside a comment or a notice is that comment's own.
-            if not led and not new & YIELDS and (leads or ("content" in new and not kinds & {"talk", "notice"})):
-                led, kinds = True, kinds - YIELDS
-            label = bool(attrs and _LABEL.search(attrs)) or bool(open_ and open_[-1][2])
-            open_.append((name, (kinds | new) if new else kinds, label))
-    return out
+            label = bool(attrs and _LABEL.search(attrs)) or open_[-1][2]
+            if name not in INLINE:
+                parents.append(element)
+                element = len(parents) - 1
+                blocks.append(len(open_))
+            names[name] += 1
+            open_.append((name, _inside(around, name, named) if name not in ("html", "body") else around, label, element))
+    return out, parents
 
 
-def _vector(kinds: frozenset) -> list[int]:
-    out = [_SLOT["bias"]]
-    out += [_SLOT[k] for k in kinds]
-    return out
+def block_features(found: list[Piece]) -> dict[int, str]:
+    """Of each block with words: how long it is, and whether most of its words are links."""
+    words, linked = Counter(), Counter()
+    for p in found:
+        if p.text is not None and (n := len(p.text.split())):
+            words[p.block] += n
+            linked[p.block] += n if "<a" in p.around else 0
+    return {b: ("short" if n < 4 else "long" if n > 11 else "middling") + (" links" if 2 * linked[b] > n else "") for b, n in words.items()}
 
 
 @cache
-def learned_weights() -> tuple[np.ndarray, dict[str, float]]:
-    """(weight of each context for a word, weight of each kind of tag), by logistic regression over the labelled pages."""
-    rows, gold, tags = [], [], {t: [1.0, 1.0] for t in TAGS}
-    for page in PAGES:
-        found = pieces(page)
-        labels = [p.label for p in found if p.text is not None and p.text.strip()]
+def learned_weights() -> tuple[dict[str, float], dict[str, float]]:
+    """(weight of each feature for a word, weight of each tag), from the labelled pages."""
+    seen: dict[tuple[frozenset, bool], float] = defaultdict(float)
+    tags: dict[str, list[float]] = defaultdict(lambda: [1.0, 1.0])
+    for page in labelled_pages():
+        found, _ = pieces(page)
+        of_block = block_features(found)
         spots = [k for k, p in enumerate(found) if p.label]
-        for p in found:
-            if p.text and p.text.strip():
-                words = len(p.text.split())
-                rows += [_vector(p.kinds)] * words
-                gold += [p.label] * words
         for k, p in enumerate(found):
-            if p.text is None and labels:
+            if p.text is None:
                 tags[p.tag][bool(spots) and spots[0] <= k <= spots[-1]] += 1
-    x = np.zeros((len(rows), len(CONTEXT)))
-    for k, r in enumerate(rows):
-        x[k, r] = 1
-    y, w = np.array(gold, float), np.zeros(len(CONTEXT))
-    for _ in range(30):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-x @ w))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w)), x.T @ (y - p) - 0.05 * w)
-    odds = {t: float(np.log(b / a)) for t, (a, b) in tags.items()}
+            elif p.text.strip():
+                seen[p.around | {of_block[p.block]}, p.label] += 1
+    features = sorted({f for around, _ in seen for f in around})
+    slot = {f: k for k, f in enumerate(features)}
+    x, y, c = np.zeros((len(seen), len(features) + 1)), np.zeros(len(seen)), np.zeros(len(seen))
+    x[:, -1] = 1
+    for j, ((around, label), count) in enumerate(seen.items()):
+        x[j, [slot[f] for f in around]] = 1
+        y[j], c[j] = label, count**0.5
+    w = np.zeros(x.shape[1])
+    for _ in range(25):  # Newton steps with a ridge
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (c * q * (1 - q) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (c * (y - q)) - 0.1 * w)
+    odds = {t: float(np.log(inside / outside)) for t, (outside, inside) in tags.items()}
     top = max(odds.values())
-    return w, {t: 0.25 * (v - top) - 0.1 for t, v in odds.items()}
+    return dict(zip([*features, "any"], w.tolist())), {t: 0.01 * (v - top) - 0.01 for t, v in odds.items()}
+
+
+def scored(found: list[Piece], weights: tuple[dict[str, float], dict[str, float]]) -> list[float]:
+    """Score of each piece: its words' weight times their number, or its tag's weight."""
+    word_w, tag_w = weights
+    rare = min(tag_w.values(), default=-0.1)
+    of_block, known, out = block_features(found), {}, []
+    for p in found:
+        if p.text is None:
+            out.append(tag_w.get(p.tag, rare))
+            continue
+        n = len(p.text.split())
+        if not n:
+            out.append(0.0)
+            continue
+        base = known.get(p.around)
+        if base is None:
+            base = known[p.around] = word_w.get("any", 0.0) + sum(word_w.get(f, 0.0) for f in p.around)
+        out.append(n * (base + word_w.get(of_block[p.block], 0.0)))
+    return out
+
+
+def cut_out(found: list[Piece], parents: list[int], scores: list[float]) -> list[bool]:
+    """By element: whether it, or one it stands in, scores zero or less without the elements cut out of it."""
+    total = [0.0] * len(parents)
+    for p, v in zip(found, scores):
+        total[p.element] += v
+    for k in range(len(parents) - 1, 0, -1):
+        if total[k] > 0:
+            total[parents[k]] += total[k]
+    gone = [False] * len(parents)
+    for k in range(1, len(parents)):
+        gone[k] = total[k] <= 0 or gone[parents[k]]
+    return gone
 
 
 def best_region(weights: list[float]) -> tuple[int, int]:
@@ -255,30 +251,15 @@ def best_region(weights: list[float]) -> tuple[int, int]:
     return where
 
 
-def main_text(page: str | None, weights: tuple[np.ndarray, dict[str, float]] | None = None) -> str:
+def main_text(page: str | None, weights: tuple[dict[str, float], dict[str, float]] | None = None) -> str:
     """The main text of one page."""
-    words_w, tag_w = weights or learned_weights()
-    found = pieces(page or "")
-    known: dict[frozenset, float] = {}
-    scores, inside = [], []
-    for p in found:
-        if p.text is None:
-            scores.append(0.0 if p.kinds & ASIDE or p.tag in ("nav", "edge") else tag_w[p.tag])
-            inside.append(0.0)
-            continue
-        w = known.get(p.kinds)
-        if w is None:
-            w = known[p.kinds] = float(np.clip(words_w[_vector(p.kinds)].sum(), -3, 3))
-            if p.kinds & OUTSIDE:
-                w = known[p.kinds] = min(w, -0.2)
-        inside.append(w)
-        n = len(p.text.split())
-        # What stands outside is left out anyway; it must not cut an article in two, however long it is.
-        scores.append(w * n if w >= 0 else max(w * n, -0.5 if p.kinds & ASIDE else -8.0))
-    a, b = best_region(scores)
+    found, parents = pieces(page or "")
+    scores = scored(found, weights or learned_weights())
+    gone = cut_out(found, parents, scores)
+    a, b = best_region([0.0 if gone[p.element] else v for p, v in zip(found, scores)])
     blocks: dict[int, list[str]] = {}
-    for p, w in zip(found[a:b], inside[a:b]):
-        if p.text is not None and (w > 0 or not p.kinds & ASIDE):
+    for p in found[a:b]:
+        if p.text is not None and not gone[p.element]:
             blocks.setdefault(p.block, []).append(p.text)
     return " ".join(x for x in (" ".join("".join(v).split()) for v in blocks.values()) if x)
 
