@@ -1,21 +1,24 @@
-"""Exact top-k BM25 search over an inverted index with block-max pruning.
+"""Exact top-k BM25 search over an inverted index with block-max WAND.
 
-Index: every task turns its documents into segments of about ``SEGMENT`` documents or ``SEGMENT_WORDS`` words: sorted term hashes, postings (local
-document, frequency) and document lengths. The segments go to the checkpoint folder and are scanned from there.
+Index: every task turns its documents into segments of about ``SEGMENT`` documents or ``SEGMENT_WORDS`` words: sorted
+term hashes, postings (local document, frequency) and document lengths. The segments go to the checkpoint folder.
 
 Statistics (documents, total length, document frequency of each query term) are summed over all segments, so scores
-are those of one global index.
+are those of one global index. Once they are known, each segment gets its block maxima and is written again: the
+documents of a segment come in blocks of ``WIDTH``, a *cell* is what one term has in one block, and with each cell
+stand its first posting and the largest contribution in it.
 
 Search: queries are taken in blocks of bounded size (``BLOCK_TERMS`` query terms), each of which is broadcast and run
-over all segments. Within a segment, documents come in blocks of ``WIDTH``; per term and block the largest possible
-contribution is known. A query's rarest terms, up to a share ``ESSENTIAL`` of its postings, are scored in full; the sum
-of the others' block maxima bounds what they can add to a document of the block. Documents are then opened from the
-highest bound down, the others' contributions looked up, until no bound reaches the k-th best score so far (which a
-task carries from segment to segment). Results of the tasks are merged exactly.
+over all segments. For a query and a segment, the cells of its terms give each document block an upper bound. A few
+blocks with the highest bounds set the first threshold; then the blocks are walked in document order: the pivot is the
+next block whose bound reaches the k-th best score so far (which a task carries from segment to segment), what lies
+before it is skipped without reading a posting, and the postings of the pivot's cells are scored. Results of the tasks
+are merged exactly.
 
 Scores are compared to nine decimals, ties go to the smaller doc_id. Defined results: null texts hold no term; a query
-without terms, or whose terms are in no document, has no rows; rows repeated in full are rows of their own; rows with a
-null id come last among ties and are no queries; empty tables give an empty result.
+without terms, or whose terms are in no document, has no rows; every document that shares a term counts as found,
+however small its score; rows repeated in full are rows of their own; rows with a null id come last among ties and are
+no queries; empty tables give an empty result; other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ from pyspark.sql import functions as F
 from sievecraft.llm.batches import short_batches
 from sievecraft.session import checkpointed
 
-SEGMENT, SEGMENT_WORDS, WIDTH, BLOCK_TERMS = 16_384, 2_000_000, 64, 500_000
-ESSENTIAL, FEW_POSTINGS = 0.55, 2_000
+SEGMENT, SEGMENT_WORDS, WIDTH, BLOCK_TERMS = 32_768, 4_000_000, 128, 4_000_000
+#: Blocks that are scored first, for a threshold to begin with.
+PROBED = 4
 K1, B = 1.2, 0.75
 NO_ID = (1 << 63) - 1
 _TERMS = re.compile(r"\w+").findall
@@ -89,8 +93,19 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])]) if len(flat) else np.zeros(0, np.int64)
         tf = np.diff(np.r_[new, len(flat)]).astype(np.int32)
         flat, doc = flat[new], doc[new]
+        # Alike documents side by side: by the term that is most frequent in each, then by length.
+        lead, best = np.zeros(len(n), np.uint64), np.lexsort((flat, -tf, doc))
+        best = best[np.r_[True, doc[best][1:] != doc[best][:-1]]] if len(doc) else best
+        lead[doc[best]] = flat[best]
+        row = np.lexsort((n, lead))
+        rank = np.empty(len(n), np.int32)
+        rank[row] = np.arange(len(n), dtype=np.int32)
+        doc = rank[doc]
+        order = np.lexsort((doc, flat))
+        flat, doc, tf = flat[order], doc[order], tf[order]
+        ids_, n = np.array(ids, np.int64)[row], n[row]
         cut = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-        body = _store(np.array(ids, np.int64), n, flat[cut], np.diff(np.r_[cut, len(flat)]).astype(np.int32), doc, tf)
+        body = _store(ids_, n, flat[cut], np.diff(np.r_[cut, len(flat)]).astype(np.int32), doc, tf)
         row = [pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([body], pa.binary())]
         ids.clear(), lengths.clear(), terms.clear()
         return pa.RecordBatch.from_arrays(row, names=["docs", "words", "body"])
@@ -141,40 +156,43 @@ def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+def _weights(tf: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
+def _with_maxima(average: float):
+    """Segments with their cells: block, first posting and, rounded up to 32 bits, the largest contribution."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body in b.column(0):
+                ids, n, terms, df, doc, tf = _load(body.as_py(), *_TYPES)
+                term_at, block = np.repeat(np.arange(len(terms), dtype=np.int32), df), (doc // WIDTH).astype(np.int32)
+                first = np.flatnonzero(np.r_[True, (term_at[1:] != term_at[:-1]) | (block[1:] != block[:-1])]).astype(np.int32) if len(doc) else np.zeros(0, np.int32)
+                top = np.maximum.reduceat(_weights(tf, n[doc], average), first) if len(doc) else np.zeros(0)
+                cells = np.bincount(term_at[first], minlength=len(terms)).astype(np.int32)
+                out = _store(ids, n, terms, doc, tf, cells, block[first], np.diff(np.r_[first, len(doc)]).astype(np.int32), np.nextafter(top.astype(np.float32), np.float32(np.inf)))
+                yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["body"])
+
+    return run
+
+
+_CELL_TYPES = (np.int64, np.int32, np.uint64, np.int32, np.int32, np.int32, np.int32, np.int32, np.float32)
+
+
 class Segment:
-    """One segment with what block-max pruning needs: per term and document block the largest contribution."""
+    """One segment in memory."""
 
     def __init__(self, body: bytes, average: float):
-        self.ids, n, self.terms, self.df, doc, tf = _load(body, *_TYPES)
-        self.doc = doc.astype(np.int64)
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[doc] / average))
-        self.post = np.r_[0, np.cumsum(self.df, dtype=np.int64)]
+        self.ids, n, self.terms, self.doc, tf, cells, self.block, self.count, self.top = _load(body, *_CELL_TYPES)
+        self.weight = _weights(tf, n[self.doc], average)
+        self.doc = self.doc.astype(np.int64)
+        self.cells = np.r_[0, np.cumsum(cells, dtype=np.int64)]
+        self.first = np.cumsum(self.count, dtype=np.int64) - self.count
         self.blocks = -(-len(self.ids) // WIDTH)
-        term_at = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.df)
-        new = np.r_[True, (term_at[1:] != term_at[:-1]) | (doc[1:] // WIDTH != doc[:-1] // WIDTH)] if len(doc) else np.zeros(0, bool)
-        cell_at = np.flatnonzero(new)
-        self.cell_block = self.doc[cell_at] // WIDTH
-        self.cell_max = np.maximum.reduceat(self.weight, cell_at) if len(doc) else np.zeros(0)
-        self.term_cell = np.searchsorted(cell_at, self.post)
-        self.key = term_at * np.int64(len(self.ids)) + doc
-
-    @staticmethod
-    def _sums(at: np.ndarray, idf: np.ndarray, start: np.ndarray, where: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
-        """Sums of idf * value by ``where`` over the lists of the terms ``at``."""
-        count = start[at + 1] - start[at]
-        posts = _runs(start[at], count)
-        part = value.take(posts)
-        part *= np.repeat(idf, count)
-        return np.bincount(where.take(posts), part, size)
-
-    def _added(self, at: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """What the terms ``at`` add to the scores of these documents."""
-        keys = (at[:, None] * np.int64(len(self.ids)) + docs).reshape(-1)
-        place = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-        return idf @ np.where(self.key[place] == keys, self.weight[place], 0.0).reshape(len(at), len(docs))
-
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of this segment that may be among the k best; every one that scores at least ``floor``'s equal is kept until k better ones are."""
+
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of this segment that may be among the k best, given that k others score at least ``floor``."""
         none = self.ids[:0], np.zeros(0)
         if not len(self.terms):
             return none
@@ -183,35 +201,52 @@ class Segment:
         at, idf = at[hit], idf[hit]
         if not len(at):
             return none
-        order = np.argsort(-idf, kind="stable")
-        at, idf = at[order], idf[order]
-        posts = np.cumsum(self.df[at])
-        head = len(at) if posts[-1] <= FEW_POSTINGS else int(np.searchsorted(posts, ESSENTIAL * posts[-1])) + 1
-        known = bound = self._sums(at[:head], idf[:head], self.post, self.doc, self.weight, self.blocks * WIDTH)
-        if head < len(at):
-            rest = self._sums(at[head:], idf[head:], self.term_cell, self.cell_block, self.cell_max, self.blocks)
-            bound = (bound.reshape(self.blocks, WIDTH) + rest[:, None]).reshape(-1)
-        bound = bound[: len(self.ids)] * (1 + 1e-12) + 1e-9
-        order = np.flatnonzero(bound >= max(floor, 2e-9))
-        order = order[np.argsort(-bound[order], kind="stable")]
-        bound = bound[order]
-        docs, scores, done, step = [], [], 0, 2 * k
-        while done < len(order) and bound[done] >= floor:
-            some = order[done : done + step][bound[done : done + step] >= floor]
-            done += step
-            step *= 2
-            got = np.round(known[some] + self._added(at[head:], idf[head:], some) if head < len(at) else known[some], 9)
-            keep = np.flatnonzero((got > 0) & (got >= floor))
-            docs.append(some[keep])
-            scores.append(got[keep])
-            best = np.concatenate(scores)
+        count = self.cells[at + 1] - self.cells[at]
+        cells = _runs(self.cells[at], count)
+        block, idf = self.block.take(cells), np.repeat(idf, count)
+        highest = idf * self.top.take(cells)
+        bound = np.bincount(block, highest, self.blocks) * (1 + 1e-9) + 1e-9
+        by_block = np.argsort(block.astype(np.uint16) if self.blocks < 1 << 16 else block, kind="stable")
+        until = np.cumsum(np.bincount(block, minlength=self.blocks))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def score(blocks: np.ndarray) -> None:
+            nonlocal floor
+            size = until[blocks] - np.where(blocks > 0, until[blocks - 1], 0)
+            mine = by_block.take(_runs(until[blocks] - size, size))
+            cell = cells.take(mine)
+            n = self.count.take(cell)
+            posts = _runs(self.first.take(cell), n)
+            part = self.weight.take(posts)
+            part *= np.repeat(idf.take(mine), n)
+            # A document's place among those of these blocks.
+            shift = np.repeat((np.arange(len(blocks)) - blocks) * WIDTH, size)
+            raw = np.bincount(self.doc.take(posts) + np.repeat(shift, n), part, len(blocks) * WIDTH)
+            keep = np.flatnonzero((raw > 0) & (raw >= floor - 1e-9))
+            got = np.round(raw[keep], 9)
+            found.append((blocks[keep // WIDTH] * WIDTH + keep % WIDTH, got))
+            best = np.concatenate([x[1] for x in found])
             if len(best) >= k:
                 floor = max(floor, np.partition(best, len(best) - k)[len(best) - k])
-        if not docs:
+
+        first = np.argpartition(-bound, PROBED - 1)[:PROBED] if self.blocks > PROBED else np.arange(self.blocks)
+        first = np.sort(first[(bound[first] >= floor) & (bound[first] > 1e-9)])
+        if len(first):
+            score(first)
+        bound[first] = 0.0
+        pivot, step = 0, 4 * PROBED
+        while True:  # the next blocks in document order whose bound reaches the threshold; all before them are skipped
+            live = np.flatnonzero((bound[pivot:] >= floor) & (bound[pivot:] > 1e-9))[:step] + pivot
+            if not len(live):
+                break
+            score(live)
+            pivot, step = int(live[-1]) + 1, 4 * step
+        if not found:
             return none
-        i, s = self.ids[np.concatenate(docs)], np.concatenate(scores)
-        keep = np.lexsort((i, -s))[:k]
-        return i[keep], s[keep]
+        docs, scores = (np.concatenate([x[i] for x in found]) for i in range(2))
+        ids = self.ids[docs]
+        keep = np.lexsort((ids, -scores))[:k]
+        return ids[keep], scores[keep]
 
 
 def _searched(queries, average: float, k: int):
@@ -224,7 +259,7 @@ def _searched(queries, average: float, k: int):
                 for j in range(len(qids)):
                     old = best.get(j)
                     floor = old[1][-1] if old is not None and len(old[1]) == k else 0.0
-                    ids, scores = segment.top(terms[starts[j] : starts[j + 1]], idf[starts[j] : starts[j + 1]], k, floor)
+                    ids, scores = segment.search(terms[starts[j] : starts[j + 1]], idf[starts[j] : starts[j + 1]], k, floor)
                     if len(ids):
                         if old is not None:
                             ids, scores = np.concatenate((old[0], ids)), np.concatenate((old[1], scores))
@@ -245,7 +280,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc
     df = index.select("body").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighed = checkpointed(asked.join(df, "term").select("query_id", "term", idf.alias("idf")).distinct())
-    blocks = max(1, -(-weighed.count() // block_terms))
+    blocks, average = max(1, -(-weighed.count() // block_terms)), words / max(n, 1)
+    celled = checkpointed(index.select("body").mapInArrow(_with_maxima(average), "body binary"))
     found = []
     for block in range(blocks):
         rows = weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
@@ -254,7 +290,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc
         q, t, w = q[order], t[order], w[order]
         cut = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
         shared = spark.sparkContext.broadcast((q[cut], np.r_[cut, len(q)], t, w))
-        part = index.select("body").mapInArrow(_searched(shared, words / max(n, 1), k), "query_id long, doc_id long, score double")
+        part = celled.mapInArrow(_searched(shared, average, k), "query_id long, doc_id long, score double")
         found.append(checkpointed(part) if blocks > 1 else part)
     out = found[0]
     for part in found[1:]:

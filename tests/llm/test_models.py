@@ -299,10 +299,11 @@ def test_best_region_is_the_maximum():
         assert sum(w[a:b]) == max([0, *(sum(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1))])
 
 
-@pytest.mark.parametrize("terms,width", [(1_000_000, 64), (40, 2)])
-def test_search_equals_brute_force(spark, docs, rows, terms, width, nothing):
+@pytest.mark.parametrize("terms", [1_000_000, 40])
+def test_search_equals_brute_force(spark, docs, rows, terms, nothing):
     import math
 
+    docs = docs.withColumn("query_id", F.lit("q")).withColumn("term", F.lit(1)).withColumn("score", F.lit(0)).withColumn("body", F.lit("b"))
     toks = [re.findall(r"\w+", (t or "").lower()) for _, t, *_ in rows]
     n, avg = len(rows), sum(map(len, toks)) / len(rows)
     df = Counter(w for t in toks for w in set(t))
@@ -329,6 +330,50 @@ def test_search_equals_brute_force(spark, docs, rows, terms, width, nothing):
     assert search.search(index, nothing, 3).count() == 0
 
 
+def segment_of(texts, average, width, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "WIDTH", width)
+    raw = next(search._segments(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])])))
+    body = next(search._with_maxima(average)(iter([raw.select(["body"])])))
+    return search.Segment(body.column(0)[0].as_py(), average)
+
+
+@pytest.mark.parametrize("width", [1, 4, 64])
+def test_segment_search_skips_nothing_that_counts(width, monkeypatch):
+    r = random.Random(width)
+    texts = [" ".join(f"w{min(int(r.paretovariate(0.6)), 400)}" for _ in range(r.choice([3, 20, 60]))) for _ in range(700)]
+    average = sum(len(t.split()) for t in texts) / len(texts)
+    segment = segment_of(texts, average, width, monkeypatch)
+    read = []
+    plain = search._runs
+    monkeypatch.setattr(search, "_runs", lambda a, b: read.append(int(b.sum())) or plain(a, b))
+    memo, scored, all_ = search.Memo(), 0, 0
+    for q in range(0, 700, 35):
+        terms = np.unique(search.terms_of(texts[q], memo))
+        df = np.array([sum(t in set(search.terms_of(x, memo).tolist()) for x in texts) for t in terms.tolist()])
+        idf = np.maximum(np.log((700 - df + 0.5) / (df + 0.5)), 1e-6)
+        want = []
+        for d, t in enumerate(texts):
+            c = Counter(search.terms_of(t, memo).tolist())
+            s = sum(i * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(t.split()) / average)) for w, i in zip(terms.tolist(), idf) if w in c)
+            if set(c) & set(terms.tolist()):
+                want.append((-round(s, 9), d))
+        read.clear()
+        ids, scores = segment.search(terms, idf, 10, 0.0)
+        best = sorted(want)[:10]
+        assert ids.tolist() == [d for _, d in best] and np.allclose(scores, [-float(s) for s, _ in best], atol=2e-9)
+        scored, all_ = scored + sum(read[1:]), all_ + int(df.sum())
+    assert width == 64 or scored < all_  # blocks are skipped
+
+
+def test_search_finds_documents_of_tiny_scores(spark):
+    rows = [(100, "a b c d e f")] + [(k, "a " + "z " * 3000) for k in range(1, 14)] + [(200, "a q")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = search.search(search.build_index(docs), docs.where("doc_id = 200").distinct(), 10).collect()
+    assert len(got) == 10 and [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"])][:4] == [200, 200, 100, 1]
+
+
 def test_ranks_file_is_read():
     ranks = bpe.read_ranks(P.path(queries.VOCABULARY))
     assert len(ranks) == 50_256 and base64.b64encode(next(iter(ranks)))
