@@ -9,11 +9,12 @@ documents of a segment come in blocks of ``WIDTH``, a *cell* is what one term ha
 stand its first posting and the largest contribution in it.
 
 Search: queries are taken in blocks of bounded size (``BLOCK_TERMS`` query terms), each of which is broadcast and run
-over all segments. For a query and a segment, the cells of its terms give each document block an upper bound. A few
-blocks with the highest bounds set the first threshold; then the blocks are walked in document order: the pivot is the
-next block whose bound reaches the k-th best score so far (which a task carries from segment to segment), what lies
-before it is skipped without reading a posting, and the postings of the pivot's cells are scored. Results of the tasks
-are merged exactly.
+over all segments. Blocks are of variable size: of a query's rarest terms, which hold a share ``SINGLE`` of its
+postings, each posting is a block of its own, whose bound is exact; the frequent terms have their cells. Together they
+give each document an upper bound. A few documents with the highest bounds set the first threshold; then documents are
+walked in order: the pivot is the next one whose bound reaches the k-th best score so far (which a task carries from
+segment to segment), those before it are skipped without reading a posting of a frequent term, and at the pivot the
+frequent terms are sought and added. Results of the tasks are merged exactly.
 
 Scores are compared to nine decimals, ties go to the smaller doc_id. Defined results: null texts hold no term; a query
 without terms, or whose terms are in no document, has no rows; every document that shares a term counts as found,
@@ -37,9 +38,8 @@ from pyspark.sql import functions as F
 from sievecraft.llm.batches import short_batches
 from sievecraft.session import checkpointed
 
-SEGMENT, SEGMENT_WORDS, WIDTH, BLOCK_TERMS = 32_768, 4_000_000, 128, 4_000_000
-#: Blocks that are scored first, for a threshold to begin with.
-PROBED = 4
+SEGMENT, SEGMENT_WORDS, WIDTH, BLOCK_TERMS = 32_768, 4_000_000, 64, 2_000_000
+SINGLE = 0.6
 K1, B = 1.2, 0.75
 NO_ID = (1 << 63) - 1
 _TERMS = re.compile(r"\w+").findall
@@ -88,21 +88,22 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.array(lengths, np.int32)
         flat = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
         doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        order = np.lexsort((doc, flat))
+        order = np.argsort(flat, kind="stable")
         flat, doc = flat[order], doc[order]
         new = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])]) if len(flat) else np.zeros(0, np.int64)
         tf = np.diff(np.r_[new, len(flat)]).astype(np.int32)
         flat, doc = flat[new], doc[new]
         # Alike documents side by side: by the term that is most frequent in each, then by length.
-        lead, best = np.zeros(len(n), np.uint64), np.lexsort((flat, -tf, doc))
+        lead, most = np.zeros(len(n), np.uint64), int(tf.max()) + 1 if len(tf) else 1
+        best = np.argsort(doc * np.int64(most) - tf, kind="stable")
         best = best[np.r_[True, doc[best][1:] != doc[best][:-1]]] if len(doc) else best
         lead[doc[best]] = flat[best]
         row = np.lexsort((n, lead))
-        rank = np.empty(len(n), np.int32)
-        rank[row] = np.arange(len(n), dtype=np.int32)
+        rank = np.empty(len(n), np.int64)
+        rank[row] = np.arange(len(n))
         doc = rank[doc]
-        order = np.lexsort((doc, flat))
-        flat, doc, tf = flat[order], doc[order], tf[order]
+        order = np.argsort(np.cumsum(np.r_[False, flat[1:] != flat[:-1]]) * np.int64(len(n)) + doc) if len(flat) else order
+        flat, doc, tf = flat[order], doc[order].astype(np.int32), tf[order]
         ids_, n = np.array(ids, np.int64)[row], n[row]
         cut = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
         body = _store(ids_, n, flat[cut], np.diff(np.r_[cut, len(flat)]).astype(np.int32), doc, tf)
@@ -188,9 +189,30 @@ class Segment:
         self.weight = _weights(tf, n[self.doc], average)
         self.doc = self.doc.astype(np.int64)
         self.cells = np.r_[0, np.cumsum(cells, dtype=np.int64)]
-        self.first = np.cumsum(self.count, dtype=np.int64) - self.count
+        df = np.add.reduceat(self.count, self.cells[:-1]) if len(cells) else np.zeros(0, np.int64)
+        self.post = np.r_[0, np.cumsum(df, dtype=np.int64)]
+        self.key = np.repeat(np.arange(len(df), dtype=np.int64) * len(self.ids), df) + self.doc
         self.blocks = -(-len(self.ids) // WIDTH)
 
+    @staticmethod
+    def _sums(at: np.ndarray, idf: np.ndarray, start: np.ndarray, where: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+        """Sums of idf * value by ``where`` over the lists of the terms ``at``."""
+        if not len(at):
+            return np.zeros(size)
+        count = start[at + 1] - start[at]
+        posts = _runs(start[at], count)
+        part = value.take(posts)
+        part = part * np.repeat(idf, count)
+        return np.bincount(where.take(posts), part, size)
+
+    def _sought(self, at: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """What the terms ``at`` add to the scores of these documents."""
+        if not len(at):
+            return np.zeros(len(docs))
+        keys = (at[:, None] * np.int64(len(self.ids)) + docs).reshape(-1)
+        place = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return idf @ np.where(self.key[place] == keys, self.weight[place], 0.0).reshape(len(at), len(docs))
+
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of this segment that may be among the k best, given that k others score at least ``floor``."""
         none = self.ids[:0], np.zeros(0)
@@ -201,46 +223,40 @@ class Segment:
         at, idf = at[hit], idf[hit]
         if not len(at):
             return none
-        count = self.cells[at + 1] - self.cells[at]
-        cells = _runs(self.cells[at], count)
-        block, idf = self.block.take(cells), np.repeat(idf, count)
-        highest = idf * self.top.take(cells)
-        bound = np.bincount(block, highest, self.blocks) * (1 + 1e-9) + 1e-9
-        by_block = np.argsort(block.astype(np.uint16) if self.blocks < 1 << 16 else block, kind="stable")
-        until = np.cumsum(np.bincount(block, minlength=self.blocks))
+        order = np.argsort(-idf, kind="stable")
+        at, idf = at[order], idf[order]
+        posts = np.cumsum(self.post[at + 1] - self.post[at])
+        head = int(np.searchsorted(posts, SINGLE * posts[-1])) + 1
+        few, many, w_few, w_many = at[:head], at[head:], idf[:head], idf[head:]
+        exact = self._sums(few, w_few, self.post, self.doc, self.weight, self.blocks * WIDTH)
+        bound = exact.reshape(self.blocks, WIDTH) + self._sums(many, w_many, self.cells, self.block, self.top, self.blocks)[:, None]
+        bound = bound.reshape(-1)[: len(self.ids)]
+        live = bound > 0
+        bound = bound * (1 + 1e-9) + 1e-9
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def score(blocks: np.ndarray) -> None:
+        def score(docs: np.ndarray) -> None:
             nonlocal floor
-            size = until[blocks] - np.where(blocks > 0, until[blocks - 1], 0)
-            mine = by_block.take(_runs(until[blocks] - size, size))
-            cell = cells.take(mine)
-            n = self.count.take(cell)
-            posts = _runs(self.first.take(cell), n)
-            part = self.weight.take(posts)
-            part *= np.repeat(idf.take(mine), n)
-            # A document's place among those of these blocks.
-            shift = np.repeat((np.arange(len(blocks)) - blocks) * WIDTH, size)
-            raw = np.bincount(self.doc.take(posts) + np.repeat(shift, n), part, len(blocks) * WIDTH)
-            keep = np.flatnonzero((raw > 0) & (raw >= floor - 1e-9))
-            got = np.round(raw[keep], 9)
-            found.append((blocks[keep // WIDTH] * WIDTH + keep % WIDTH, got))
+            raw = exact[docs] + self._sought(many, w_many, docs)
+            got = np.round(raw, 9)
+            keep = (raw > 0) & (got >= floor)
+            found.append((docs[keep], got[keep]))
             best = np.concatenate([x[1] for x in found])
             if len(best) >= k:
                 floor = max(floor, np.partition(best, len(best) - k)[len(best) - k])
 
-        first = np.argpartition(-bound, PROBED - 1)[:PROBED] if self.blocks > PROBED else np.arange(self.blocks)
-        first = np.sort(first[(bound[first] >= floor) & (bound[first] > 1e-9)])
+        first = np.argpartition(-bound, 2 * k)[: 2 * k] if len(bound) > 2 * k else np.arange(len(bound))
+        first = first[live[first] & (bound[first] >= floor)]
         if len(first):
             score(first)
-        bound[first] = 0.0
-        pivot, step = 0, 4 * PROBED
-        while True:  # the next blocks in document order whose bound reaches the threshold; all before them are skipped
-            live = np.flatnonzero((bound[pivot:] >= floor) & (bound[pivot:] > 1e-9))[:step] + pivot
-            if not len(live):
+        live[first] = False
+        pivot, step = 0, 4 * k
+        while True:  # the next documents in order whose bound reaches the threshold; all before them are skipped
+            ahead = np.flatnonzero((bound[pivot:] >= floor) & live[pivot:])[:step] + pivot
+            if not len(ahead):
                 break
-            score(live)
-            pivot, step = int(live[-1]) + 1, 4 * step
+            score(ahead)
+            pivot, step = int(ahead[-1]) + 1, 2 * step
         if not found:
             return none
         docs, scores = (np.concatenate([x[i] for x in found]) for i in range(2))
