@@ -1,13 +1,17 @@
 """Line deduplication by a log-template tree. DataFrame functions only.
 
 A line's words are parsed as a log message: words that hold a digit are variable fields (``<*>``), the first levels of
-the tree are the number of words and the first ``DEPTH`` words, and a leaf holds templates. A line belongs to its own
-template and, from ``MIN_SEGMENTED`` words on, to three more in which one third of the words after the lead is a
-variable field too. A template recurs if it occurs in at least ``min_docs`` documents; lines of a recurring template
-are dropped, but for the document that has it first (smallest doc_id), so one copy of every passage stays.
+the tree are the number of words and the first ``DEPTH`` words, and a leaf holds templates. Within a leaf lines are
+merged by similarity: the words after the lead are cut into four quarters, and a line belongs to its own template and
+to each in which the words of one or two quarters are variable fields too, as long as a share ``constant`` of all its
+words stays. So two lines of a leaf have a template in common whenever they differ in the words of two quarters at
+most. A template recurs if it occurs in at least ``min_docs`` documents; lines of a recurring template are dropped, but
+for the document that has it first (smallest doc_id), so one copy of every passage stays.
 
 This is the tree of fixed depth with clusters made order-free: a leaf's clusters are keyed by what stays constant, so
-they are counted by one aggregation instead of being grown one line after another.
+they are counted by one aggregation instead of being grown one line after another. Templates are told apart by 64 bits
+besides nothing else: among t different templates about t^2 / 2^65 pairs share a key, and such a pair can only make
+templates recur that alone would not.
 
 Defined results: null texts count as empty; blank lines and lines under ``min_words`` words always stay; repeats within
 one document stay; rows with a null id count as documents and come last; rows repeated in full count as often as they
@@ -23,35 +27,40 @@ from sievecraft.session import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
 VARIABLE = "<*>"
-DEPTH = 3
-MIN_SEGMENTED = 9
+DEPTH = 2
 
 
-def template_keys(words: Column, min_words: int = 3) -> Column:
+def template_keys(words: Column, min_words: int = 3, constant: float = 0.5) -> Column:
     """Hashes of the templates a line with these words belongs to."""
-    n, lead = F.size(words), F.slice(words, 1, DEPTH)
+    n = F.size(words)
     m = n - DEPTH
-    c1, c2 = F.floor(m / 3).cast("int"), F.floor(2 * m / 3).cast("int")
-    first, second, third = F.slice(words, F.lit(DEPTH + 1), c1), F.slice(words, c1 + DEPTH + 1, c2 - c1), F.slice(words, c2 + DEPTH + 1, m - c2)
-    whole = F.xxhash64(n, F.lit(0), words)
-    parts = F.array(whole, F.xxhash64(n, F.lit(1), lead, second, third), F.xxhash64(n, F.lit(2), lead, first, third), F.xxhash64(n, F.lit(3), lead, first, second))
-    return F.when(n >= MIN_SEGMENTED, parts).when(n >= min_words, F.array(whole)).otherwise(F.array().cast("array<bigint>"))
+    cut = [F.floor(q * m / 4).cast("int") for q in range(5)]
+    lead, quarter = F.slice(words, 1, DEPTH), [F.slice(words, cut[q] + DEPTH + 1, cut[q + 1] - cut[q]) for q in range(4)]
+    room = F.floor(n - constant * n + 1e-9)
+    out = [F.xxhash64(n, F.lit(-1), words)]
+    for i in range(4):
+        for j in range(i, 4):
+            gone = cut[i + 1] - cut[i] + (cut[j + 1] - cut[j] if j > i else F.lit(0))
+            # Two quarters of which one is empty are a template of one quarter, which stands by itself.
+            own = (cut[i + 1] > cut[i]) & (cut[j + 1] > cut[j]) & (gone <= room)
+            out.append(F.when(own, F.xxhash64(n, F.lit(4 * i + j), lead, *[quarter[q] for q in range(4) if q not in (i, j)])))
+    return F.when(n >= min_words, F.array_compact(F.array(*out))).otherwise(F.array().cast("array<bigint>"))
 
 
-def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int, constant: float) -> DataFrame:
     """doc_id, th (hash of the text, which tells rows of one id apart), keys: for each line its template hashes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     field = lambda w: F.when(w.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(w)
     words = F.transform(F.split(text, "\n"), lambda x: F.transform(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)), field))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), words.alias("w")).select("doc_id", "th", F.transform("w", lambda w: template_keys(w, min_words)).alias("keys"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), words.alias("w")).select("doc_id", "th", F.transform("w", lambda w: template_keys(w, min_words, constant)).alias("keys"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_words: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_words: int = 3, constant: float = 0.5) -> DataFrame:
     """One row per input row, with its columns as they are but for the text: the lines that stay. Adds n_lines and n_dropped.
 
     Columns of the input named n_lines or n_dropped are replaced.
     """
-    keyed = checkpointed(line_keys(docs, id_col, text_col, min_words))
+    keyed = checkpointed(line_keys(docs, id_col, text_col, min_words, constant))
     # Each row names a template once, so a plain count is a count of documents and combines before the shuffle.
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
     recurring = (

@@ -76,12 +76,13 @@ OP3 = r"""
 WITH base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM base),
 w AS (SELECT r, doc_id, line, pos, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w FROM l),
-p AS (SELECT *, len(w) AS n, w[1:3] AS lead, (len(w) - 3) // 3 AS c1, 2 * (len(w) - 3) // 3 AS c2 FROM w),
+p AS (SELECT *, len(w) AS n, (len(w) - 2) // 4 AS a, 2 * (len(w) - 2) // 4 AS b, 3 * (len(w) - 2) // 4 AS c, len(w) - 2 AS m FROM w WHERE len(w) >= 3),
+q AS (SELECT *, [0, a, b, c, m] AS cut, array_to_string(w[1:2], chr(31)) AS lead, [array_to_string(w[3 : 2 + a], chr(31)), array_to_string(w[3 + a : 2 + b], chr(31)), array_to_string(w[3 + b : 2 + c], chr(31)), array_to_string(w[3 + c : n], chr(31))] AS part FROM p),
+pairs AS (SELECT i, j FROM range(1, 5) x(i), range(1, 5) y(j) WHERE j >= i),
 k AS (
-  SELECT r, doc_id, pos, concat_ws(chr(30), n, 0, array_to_string(w, chr(31))) AS key FROM p WHERE n >= 3
-  UNION ALL SELECT r, doc_id, pos, concat_ws(chr(30), n, 1, array_to_string(lead, chr(31)), array_to_string(w[4 + c1 : n], chr(31))) FROM p WHERE n >= 9
-  UNION ALL SELECT r, doc_id, pos, concat_ws(chr(30), n, 2, array_to_string(lead, chr(31)), array_to_string(w[4 : 3 + c1], chr(31)), array_to_string(w[4 + c2 : n], chr(31))) FROM p WHERE n >= 9
-  UNION ALL SELECT r, doc_id, pos, concat_ws(chr(30), n, 3, array_to_string(lead, chr(31)), array_to_string(w[4 : 3 + c2], chr(31))) FROM p WHERE n >= 9),
+  SELECT r, doc_id, pos, concat_ws(chr(30), n, 0, array_to_string(w, chr(31))) AS key FROM p
+  UNION ALL SELECT r, doc_id, pos, concat_ws(chr(30), n, 10 * i + j, lead, CASE WHEN i <> 1 THEN part[1] ELSE '' END, CASE WHEN 2 NOT IN (i, j) THEN part[2] ELSE '' END, CASE WHEN 3 NOT IN (i, j) THEN part[3] ELSE '' END, CASE WHEN j <> 4 THEN part[4] ELSE '' END) AS key
+  FROM q, pairs WHERE cut[i + 1] > cut[i] AND cut[j + 1] > cut[j] AND cut[i + 1] - cut[i] + CASE WHEN j > i THEN cut[j + 1] - cut[j] ELSE 0 END <= floor(0.5 * n + 1e-9)),
 t AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING count(DISTINCT r) >= 3),
 gone AS (SELECT DISTINCT r, pos FROM k JOIN t USING (key) WHERE k.doc_id > t.first OR (k.doc_id IS NULL AND t.first IS NOT NULL)),
 kept AS (SELECT l.r, string_agg(line, chr(10) ORDER BY l.pos) AS kept, count(*) AS n_kept FROM l ANTI JOIN gone ON l.r = gone.r AND l.pos = gone.pos GROUP BY l.r)

@@ -137,13 +137,15 @@ def test_simhash_empty(nothing):
 def brute_lines(rows, min_docs=3):
     def keys(line):
         w = W.findall(re.sub(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", line))
-        n, m = len(w), len(w) - 3
+        n, m = len(w), len(w) - 2
         if n < 3:
             return []
-        out = [(n, 0, tuple(w))]
-        if n >= 9:
-            a, b = 3 + m // 3, 3 + 2 * m // 3
-            out += [(n, 1, tuple(w[:3] + w[a:])), (n, 2, tuple(w[:a] + w[b:])), (n, 3, tuple(w[:b]))]
+        out, cut = [(n, 0, tuple(w))], [2 + q * m // 4 for q in range(5)]
+        for i in range(4):
+            for j in range(i, 4):
+                gone = {x for q in {i, j} for x in range(cut[q], cut[q + 1])}
+                if all(cut[q + 1] > cut[q] for q in (i, j)) and 2 * len(gone) <= n:
+                    out.append((n, 10 * i + j + 1, tuple(x for k, x in enumerate(w) if k not in gone)))
         return out
 
     where = defaultdict(list)
@@ -167,8 +169,11 @@ def test_lines_generalise_fields(spark):
     lines = [(k, f"Posted by user{k} on day {k} in the morning of a long and quiet week") for k in range(4)]
     lines += [(10 + k, f"seen near the old harbour by {name} late that evening with a lamp") for k, name in enumerate(["Anna", "Bert", "Carl"])]
     lines += [(20, "a line of its own that nobody else has written down")]
+    # Two fields in different quarters, and a short line with a field after its lead.
+    lines += [(30 + k, f"we met {a} in the market hall of the town and spoke with {b} about it") for k, (a, b) in enumerate([("Anna", "Dora"), ("Bert", "Emil"), ("Carl", "Fred")])]
+    lines += [(40 + k, f"Posted by {a} in {b}") for k, (a, b) in enumerate([("anna", "travel"), ("bert", "food"), ("carl", "art")])]
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(lines, "doc_id long, text string")).collect()}
-    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 10: 0, 11: 1, 12: 1, 20: 0}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 10: 0, 11: 1, 12: 1, 20: 0, 30: 0, 31: 1, 32: 1, 40: 0, 41: 1, 42: 1}
 
 
 def test_lines_empty(nothing):
