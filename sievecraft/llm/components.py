@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievecraft.llm.hot import join_per_key
 from sievecraft.session import checkpointed
 
 
@@ -14,8 +15,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         around = links.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(links.select(F.col("v").alias("x"), F.col("u").alias("y")))
     else:
         around = links.select(F.col("v").alias("x"), F.col("u").alias("y"))
-    least = around.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    moved = around.join(least, "x")
+    around = checkpointed(around)
+    least = checkpointed(around.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n"))
+    moved = join_per_key(around, least, "x", "n", around.count())
     if large:
         moved = moved.where("y > x").select(F.col("m").alias("u"), F.col("y").alias("v"))
     else:

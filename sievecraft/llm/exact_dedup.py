@@ -1,10 +1,14 @@
 """Exact deduplication by content-defined chunk recipes. DataFrame functions only.
 
 Each text is normalised (white space of ``[\\x20\\x09-\\x0D]`` deleted) and cut into chunks whose ends depend on
-content: the first sentence end after ``min_chunk`` characters, ``max_chunk`` at most. A chunk's identifier is its
+content: the first sentence end after ``min_chunk`` characters, or where there is none within ``max_chunk``, the first
+place between two letters or digits of set kinds (about one place in twenty); a text without either, such as a run of
+one letter, is cut at ``max_chunk``. After an insertion cuts fall together again at the next shared end. A chunk's identifier is its
 64-bit hash, *verified*: the chunk contents are deduplicated once, and wherever two contents share a hash each gets an
 ordinal besides it. A text is then its recipe, the ordered list of identifiers, and equal recipes are equal texts. Only
-recipes (about 1 % of the text) and row keys move afterwards; the text itself moves once, as distinct chunks.
+recipes (about 1 % of the text) and row keys move afterwards; the text itself moves once, as distinct chunks. Texts are
+read twice, for the chunks and for the recipes, which are written; the few recipes that hold a large share of the rows
+are joined by a broadcast of bounded size.
 
 Defined results: a null text counts as empty and all empty texts are one group; ties go to the smallest id, null ids
 last; a row repeated in full counts in ``group_size`` and shares the mark of its twin; an empty table gives an empty
@@ -18,16 +22,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievecraft.llm.hot import join_per_key
 from sievecraft.session import checkpointed
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Sentence ends of common scripts close a chunk.
 CHUNK_END = r"[.!?;:\u3002\uFF01\uFF1F\u2026\u0964\u061F]"
+#: Two neighbours between which a chunk may end where there is no sentence end.
+NEIGHBOURS = r"[aeiou0-4AEIOU\u0400-\u0418\u0430-\u0438\u4E00-\u62FF](?=[b-h5-9B-H\u0419-\u042F\u0439-\u044F\u6300-\u77FF])"
 
 
 def content_chunks(norm: Column, min_chunk: int = 512, max_chunk: int = 4096) -> Column:
-    """Cut a text after the first sentence end past ``min_chunk`` characters; without one, at ``max_chunk``."""
-    pattern = f"(?s).{{{min_chunk - 1},{max_chunk - 1}}}?{CHUNK_END}|(?s).{{1,{max_chunk}}}"
+    """Cut a text after the first sentence end past ``min_chunk`` characters; without one, between NEIGHBOURS, or at ``max_chunk``."""
+    reach = f"(?s).{{{min_chunk - 1},{max_chunk - 1}}}?"
+    pattern = f"{reach}{CHUNK_END}|{reach}{NEIGHBOURS}|(?s).{{1,{max_chunk}}}"
     return F.regexp_extract_all(norm, F.lit(pattern), F.lit(0))
 
 
@@ -71,8 +79,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.join(marks, "text_sha256", "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<at:int,ordinal:int>>")))
         key = ["recipe", "marks"]
     best = F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("best")
-    groups = rows.groupBy(*key).agg(best, F.count("*").alias("group_size")).where("group_size > 1")
-    joined = rows.join(groups, key, "left")  # a hot recipe is split by the skew join: both sides are plain exchanges
+    rows = checkpointed(rows)
+    groups = checkpointed(rows.groupBy(*key).agg(best, F.count("*").alias("group_size")).where("group_size > 1"))
+    joined = join_per_key(rows, groups, key, "group_size", rows.count(), "left")
     keep = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
     same = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("best.less") == -F.col("n_cp")))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), same.alias("kept"), "text_sha256", "n_chunks")

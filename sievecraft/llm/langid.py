@@ -7,13 +7,15 @@ lower orders interpolated in already, also for the languages that lack the gram;
 of the lower order. So a place is settled by the longest gram that any language has. A text gets the language with the
 lowest cross-entropy per character.
 
-Models are fitted on a bounded sample: whole texts of at most about ``MAX_DOCS`` documents per language, chosen by a
-hash of the id among the rows to learn from. A sixth of them calibrates instead of counting: the temperature of the
-score, and for each language the highest cross-entropy its own texts reach, beyond which (plus a margin) a text of
-some length is rejected as none of the learned languages.
+Models are fitted on a bounded sample: whole texts of at most about ``MAX_DOCS`` documents and ``MAX_CHARS`` characters
+per language (``ALL_CHARS`` for all languages together), chosen by a hash of the id among the rows to learn from. A
+sixth of them calibrates instead of counting: the temperature of the score, and for each language how far above its
+mean the cross-entropy of its own texts goes. That distance shrinks with the root of a text's length, so the limit
+beyond which a text is rejected as none of the learned languages is a function of its length and holds for all texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; rows without an id or a
-language are not learned from; without rows to learn from everything is ``und``; an empty table gives an empty result.
+language are not learned from; without rows to learn from everything is ``und``; an empty table gives an empty result;
+columns of the input named lang_pred, lang_score or rejected are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from sievecraft.llm.batches import short_batches
 from sievecraft.llm.quality import remainder
 
-MAX_DOCS = 800
+MAX_DOCS, MAX_CHARS, ALL_CHARS = 800, 8_000_000, 64_000_000
 ORDER = 4
 #: Symbols that are settled together.
 PLACES = 1 << 18
@@ -40,10 +42,10 @@ _SPACE, _OTHER = 1, 2
 
 def alphabet(texts: list[str]) -> np.ndarray:
     """Symbol of every code point: 0 none, 1 space (what is no letter), 2 a letter that was never learned, then the learned letters."""
-    out = np.full(0x110000, _SPACE, np.uint16)
+    out = np.full(0x110000, _SPACE, np.uint32)
     out[[c for c in range(0x110000) if chr(c).isalpha()]] = _OTHER
     seen = sorted({c for t in texts for c in set(t.lower()) if c.isalpha()})
-    for k, c in enumerate(seen[: 65_000]):
+    for k, c in enumerate(seen):
         for form in {c, c.upper(), c.title()}:
             if len(form) == 1:
                 out[ord(form)] = 3 + k
@@ -117,7 +119,9 @@ class Models:
     back: list[np.ndarray]  # (contexts, languages): log of the weight of the lower order
     floor: float
     temperature: float = 1.0
-    limit: np.ndarray | None = None
+    usual: np.ndarray | None = None  # mean cross-entropy of each language's own texts
+    spread: np.ndarray | None = None  # the most that they exceed it by, times the root of their length
+    margin: float = 0.0
 
     def log_probabilities(self, s: np.ndarray) -> np.ndarray:
         """(places, languages)"""
@@ -187,7 +191,7 @@ class Models:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         best = ce.argmin(axis=1)
         score = np.where(letter, z[np.arange(len(texts)), best] / z.sum(axis=1), 0.0)
-        rejected = ~letter | ((n >= 40) & (ce[np.arange(len(texts)), best] > self.limit[best]))
+        rejected = ~letter | (ce[np.arange(len(texts)), best] > self.usual[best] + self.margin + self.spread[best] / np.sqrt(np.maximum(n, 1)))
         return [self.langs[k] if ok else UND for k, ok in zip(best, letter)], score, rejected
 
 
@@ -249,7 +253,7 @@ def fit_models(samples: dict[str, list[str]], order: int = ORDER, discount: floa
         lower = orders[k - 2][1][_lookup(orders[k - 2][0], below)[0]] if k > 1 else np.log(uniform)
         np.copyto(rows, weight + lower, where=np.isnan(rows))
 
-    out = Models(langs, table, [k for k, _ in orders], [v for _, v in orders], [k for k, _ in backs], [v for _, v in backs], float(np.log(uniform)), 1.0, np.full(len(langs), np.inf))
+    out = Models(langs, table, [k for k, _ in orders], [v for _, v in orders], [k for k, _ in backs], [v for _, v in backs], float(np.log(uniform)), 1.0, np.zeros(len(langs)), np.full(len(langs), np.inf), margin)
     texts = [(j, t) for j, x in enumerate(langs) for t in held[x]]
     if texts:
         ce, n, letter = out.entropies([t for _, t in texts])
@@ -260,19 +264,24 @@ def fit_models(samples: dict[str, list[str]], order: int = ORDER, discount: floa
             z -= z.max(axis=1, keepdims=True)
             losses.append((float(-(z[np.arange(len(gold)), gold] - np.log(np.exp(z).sum(axis=1)))[letter].mean()) if letter.any() else 0.0, temperature))
         out.temperature = min(losses)[1]
-        long = letter & (n >= 40)
-        out.limit = np.array([(ce[long & (gold == j), j].max() + margin) if (long & (gold == j)).any() else np.inf for j in range(len(langs))])
+        for j in range(len(langs)):
+            mine = letter & (gold == j)
+            if mine.any():
+                out.usual[j] = np.average(ce[mine, j], weights=n[mine])
+                out.spread[j] = max(0.0, float(((ce[mine, j] - out.usual[j]) * np.sqrt(n[mine])).max()))
     return out
 
 
-def fit_language_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Models:
-    """Learn from rows whose crc32(doc_id) mod 4 is not 2; about ``max_docs`` whole texts per language reach the driver."""
+def fit_language_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, all_chars: int = ALL_CHARS) -> Models:
+    """Learn from rows whose crc32(doc_id) mod 4 is not 2; the sample that reaches the driver is bounded as said above."""
     learn = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("doc_id is not null and lang is not null and text is not null")
     learn = learn.where(remainder(F.col("doc_id"), 4) != 2)
     # Counts per language; a language is a label, and there are at most a few thousand.
-    share = {r["lang"]: int(1_000_000 * min(1.0, max_docs / r["n"])) for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = learn.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars")).collect()
+    most = min(max_chars, all_chars / max(len(counts), 1))
+    share = {r["lang"]: int(1_000_000 * min(1.0, max_docs / r["n"], most / max(r["chars"], 1))) for r in counts}
     if not share:
-        return Models([], np.full(0x110000, _SPACE, np.uint16), [], [], [], [], 0.0, 1.0, np.zeros(0))
+        return Models([], np.full(0x110000, _SPACE, np.uint32), [], [], [], [], 0.0)
     quota = F.coalesce(*[F.when(F.col("lang") == k, v) for k, v in share.items()])
     rows = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < quota).select("lang", "doc_id", "text").collect()
     samples: dict[str, list[str]] = {k: [] for k in share}
@@ -282,7 +291,7 @@ def fit_language_models(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def identify_languages(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: all its columns, then lang_pred, score, rejected (columns of these names are replaced)."""
+    """One row per input row: all its columns, then lang_pred, lang_score, rejected (columns of these names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score", "rejected")]
     names = [f.name for f in fields]

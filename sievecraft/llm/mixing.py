@@ -105,11 +105,11 @@ def mixed_spans(placed: DataFrame, sources: DataFrame, block: int = 128) -> Data
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, **how) -> DataFrame:
-    """One row per input row: doc_id, th, size, source_size, target, taken and, for each epoch, the words taken."""
+    """One row per input row: doc_id, th, size, source_size, target, taken and, for each epoch, the words taken and the first slot."""
     placed, sources = placed_documents(docs, id_col, text_col, source_col, **how)
     spans = mixed_spans(placed, sources, block)
-    taken = spans.groupBy("s", "start", "epoch").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n"))
-    rows = taken.groupBy("s", "start").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(F.struct("epoch", "n"))).alias("epochs"))
+    taken = spans.groupBy("s", "start", "epoch").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n"), F.min("slot").alias("slot"))
+    rows = taken.groupBy("s", "start").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(F.struct("epoch", "n", "slot"))).alias("epochs"))
     full = placed.where("size > 0").join(rows, ["s", "start"], "left").unionByName(placed.where("size = 0"), allowMissingColumns=True)
     return full.select("doc_id", "th", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "epochs")
 
@@ -117,9 +117,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself with the columns of ``docs``: a row for each document and epoch, its text being the words taken.
 
-    Whole documents keep their text unchanged; of a document on the edge of a target the first words are kept.
+    Rows come in the order of the schedule, by the first slot that takes words of theirs: the partitions are stretches
+    of the schedule and are sorted within, so any stretch of the output holds the sources in their shares. Whole
+    documents keep their text unchanged; of a document on the edge of a target the first words are kept. Documents
+    without a word have nothing to take and give no row.
     """
-    taken = mix(docs, **how).where("taken > 0")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = checkpointed(mix(docs, **how).where("taken > 0"))
+    last = taken.agg(F.max(F.array_max("epochs.slot"))).first()[0]
     twin = W.partitionBy("doc_id", "th").orderBy(F.lit(1))
     taken = taken.withColumn("__sc_no", F.row_number().over(twin)).select(F.col("doc_id").alias("__sc_id"), F.col("th").alias("__sc_th"), "__sc_no", F.col("size").alias("__sc_size"), F.explode("epochs").alias("__sc_e"))
     base = docs.withColumn("__sc_t", F.xxhash64("text")).withColumn("__sc_k", F.row_number().over(W.partitionBy("doc_id", "__sc_t").orderBy(F.lit(1))))
@@ -127,6 +132,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     part = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__sc_e.n").cast("int")))
     text = F.when(F.col("__sc_e.n") == F.col("__sc_size"), F.col("text")).otherwise(part)
     out = joined.withColumn("text", text)
+    if last is not None:
+        out = out.repartitionById(parts, F.floor(F.col("__sc_e.slot") * parts / (last + 1)).cast("int")).sortWithinPartitions("__sc_e.slot", "__sc_e.epoch")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -6,7 +6,8 @@ and flattened into arrays, one row per tree; scoring walks all rows down one tre
 
 Defined results: null and empty texts have statistics and a score like others; rows without an id are held out and not
 learned from; labels without a document are ignored, several labels of a document all count; without any label every
-score is 0.5; an empty table gives an empty result. Ids, languages, sources and labels are no inputs.
+score is 0.5; an empty table gives an empty result; other columns are not read, whatever they are called. Ids,
+languages, sources and labels are no inputs.
 """
 
 from __future__ import annotations
@@ -49,7 +50,9 @@ def statistics(text: str | None) -> list[float]:
     letters = int(c[_UPPER].sum() + c[_LOWER].sum()) or 1
     lower = text.lower()
     changed = 0.0
-    if text and len(lower) == len(text):
+    if text and len(lower) != len(text):  # a few letters become two when lowered
+        changed = sum(x != x.lower() for x in text) / len(text)
+    elif text:
         changed = float((np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) != np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)).mean())
     counts = Counter(words)
     pairs = len(set(zip(words, words[1:])))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.llm.batches import short_batches
 from sievecraft.llm.components import connected_components
+from sievecraft.llm.hot import join_per_key
 from sievecraft.session import checkpointed
 
 SEED = 42
@@ -166,16 +167,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     verified links of the fingerprint that the spanning forests hold.
     """
     marks = checkpointed(fingerprints(docs, id_col, text_col, words_per_shingle))
-    points = checkpointed(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    points = checkpointed(marks.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")))
     found = checkpointed(fingerprint_links(points.select("fp"), max_distance, block))
     # Nodes are fingerprints, with or without an id: a fingerprint that names nothing may hold its component together.
     roots = connected_components(found)
-    grouped = checkpointed(points.join(roots, points["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    grouped = checkpointed(points.join(roots, points["fp"] == roots["node"], "left").select("fp", "rep", "n_rows", F.coalesce("root", "fp").alias("root")))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     degree = found.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    of_fp = grouped.join(least, "root").select("fp", "component_id").join(degree, "fp", "left")
+    of_fp = checkpointed(grouped.join(least, "root").select("fp", "n_rows", "component_id").join(degree, "fp", "left"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return marks.join(of_fp, "fp").select("doc_id", "th", "fp", hexed, "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return join_per_key(marks, of_fp, "fp", "n_rows", marks.count()).select("doc_id", "th", "fp", hexed, "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_per_group(docs: DataFrame, **how) -> DataFrame:
