@@ -14,7 +14,7 @@ from sievecraft.session import checkpointed, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the learned languages go."""
+    """Documents in none of the learned languages go; so do texts without a letter (null and empty ones too)."""
     models = langid.fit_language_models(docs)
     return langid.identify_languages(docs, models).where(~F.col("rejected")).select(*docs.columns)
 
@@ -31,7 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources to their target weights: a row per document and epoch, its text being the words taken."""
+    """Sources to their target weights: a row per document and epoch, its text being the words taken, in schedule order.
+
+    Texts without a word have nothing to take and go.
+    """
     return mixing.mixed_documents(docs)
 
 

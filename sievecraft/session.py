@@ -31,9 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder of spark.checkpoint.dir and cut its lineage.
 
-    The folder is the cluster's; only where the session names none (tests, local runs) is one made.
+    The folder is the cluster's; only where the session names none and runs on one machine (tests, local runs) is one
+    made. On a cluster without a shared folder this raises: executors could not read each other's parts.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sievecraft-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievecraft-checkpoint-"))
     return df.checkpoint(eager=True)
