@@ -75,7 +75,7 @@ def profile_scores(asked: DataFrame, support: DataFrame, power: float = 0.5) ->
     dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     lf = support.groupBy("doc_id").agg(F.countDistinct("qid").alias("lf"))
     stats = dl.join(lf, "doc_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.max("lf").alias("top"))
-    t = tf.withColumn("df", F.count("*").over(W.partitionBy("feature"))).join(asked.select("feature").distinct(), "feature", "left_semi").join(dl, "doc_id").join(lf, "doc_id").crossJoin(F.broadcast(stats))
+    t = tf.join(tf.groupBy("feature").agg(F.count("*").alias("df")), "feature").join(asked.select("feature").distinct(), "feature", "left_semi").join(dl, "doc_id").join(lf, "doc_id").crossJoin(F.broadcast(stats))
     weight = F.when(F.col("feature").startswith("3:"), 1.65).when(F.col("feature").startswith("2:"), 1.35).otherwise(1.0)
     part = weight * F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
     prior = F.pow((F.col("lf") + 0.5) / (F.col("top") + 0.5), F.lit(power))
@@ -112,6 +112,12 @@ def pair_differences(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return p.join(n, "qid").select("qid", "pos", "neg", *[(F.col(f"p_{c}") - F.col(f"n_{c}")).alias(c) for c in columns])
 
 
+def sharing_words(queries: DataFrame, titles: DataFrame) -> DataFrame:
+    """qid, doc_id, q, t of the pairs whose word arrays q and t share a word, by a join on words; others have overlap 0."""
+    words = queries.select("qid", F.explode("q").alias("w")).join(titles.select("doc_id", F.explode("t").alias("w")), "w").select("qid", "doc_id").distinct()
+    return words.join(queries, "qid").join(titles, "doc_id")
+
+
 def title_overlap(pairs: DataFrame) -> DataFrame:
     """Jaccard and recalls of two word arrays q and t."""
     i, u = F.size(F.array_intersect("q", "t")), F.size(F.array_union("q", "t"))

@@ -31,7 +31,7 @@ def z_blend(runs: DataFrame, pool: DataFrame, branches: tuple) -> DataFrame:
     s = grid.join(runs.select("qid", "branch", "doc_id", "score"), ["qid", "branch", "doc_id"], "left")
     q = W.partitionBy("qid", "branch")
     z = (F.col("score") - F.avg("score").over(q)) / F.coalesce(F.nullif(F.stddev_pop("score").over(q), F.lit(0.0)), F.lit(1.0))
-    return s.withColumn("z", F.coalesce(z, F.lit(-2.0))).groupBy("qid", "doc_id").agg(F.round(F.sum("z"), 6).alias("score"))
+    return s.withColumn("z", F.coalesce(z, F.lit(-2.0))).groupBy("qid", "doc_id").agg(F.sum("z").alias("score"))
 
 
 def graph_strength(edges: DataFrame, freq: DataFrame, mode: str) -> DataFrame:

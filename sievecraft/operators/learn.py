@@ -59,10 +59,13 @@ def leave_block_out(rows: DataFrame, columns: tuple[str, ...], **how) -> DataFra
 
 
 def crossfit_support(folds: DataFrame) -> DataFrame:
-    """outer_fold, qid, other: whose labels a query may learn from, never its own fold or the held-out one."""
-    outer = folds.select(F.col("fold").alias("outer_fold")).distinct()
-    o = folds.select(F.col("qid").alias("other"), F.col("fold").alias("other_fold"))
-    return folds.crossJoin(F.broadcast(outer)).join(o, (F.col("other_fold") != F.col("fold")) & (F.col("other_fold") != F.col("outer_fold"))).select("outer_fold", "qid", "other")
+    """outer_fold, qid, support_fold: the folds whose labels a query may learn from, never its own or the held-out one.
+
+    Labels join on the fold, so no pair of queries is ever written. There is a handful of folds.
+    """
+    names = sorted(r[0] for r in folds.select("fold").distinct().collect())
+    grid = folds.sparkSession.createDataFrame([(a, o, x) for a in names for o in names for x in names if x not in (a, o)], "fold long, outer_fold long, support_fold long")
+    return folds.join(F.broadcast(grid), "fold").select("outer_fold", "qid", "support_fold")
 
 
 def sweep(runs: DataFrame, gold: DataFrame, params: DataFrame, depth: int = 5) -> DataFrame:

@@ -89,10 +89,21 @@ def boundary_accuracy(run: DataFrame, gold: DataFrame, low: int = 4, high: int =
 
 
 def order_statistic(values: DataFrame, share: float = 0.95) -> DataFrame:
-    """Mean, and the value at position int(share * n) of the sorted list (no interpolation)."""
-    n = values.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    r = values.withColumn("i", F.row_number().over(W.orderBy("v")) - 1).crossJoin(F.broadcast(n))
-    return r.where(F.col("i") == F.floor(F.col("n") * share)).select("n", "mean", F.col("v").alias("p95"))
+    """Mean, and the value at position int(share * n) of the sorted list (no interpolation).
+
+    Approximate bounds around the share leave a narrow band of values; only its distinct values are put in order, with
+    the values below it counted. The bounds are off by a ten-thousandth of the rows at most.
+    """
+    values = values.where("v is not null")
+    low, high = F.percentile_approx("v", max(0.0, share - 0.002), 10_000), F.percentile_approx("v", min(1.0, share + 0.002), 10_000)
+    n = values.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), low.alias("low"), high.alias("high"))
+    each = values.crossJoin(F.broadcast(n))  # one row
+    below = each.agg(F.count_if(F.col("v") < F.col("low")).alias("below"))
+    band = each.where("v >= low and v <= high").groupBy("v", "n", "mean").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    placed = band.crossJoin(F.broadcast(below)).withColumn("upto", F.col("below") + upto)
+    at = F.floor(F.col("n") * share)
+    return placed.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select("n", "mean", F.col("v").alias("p95"))
 
 
 def bootstrap(deltas: DataFrame, samples: int = 20_000, seed: int = 112) -> DataFrame:

@@ -26,15 +26,18 @@ def postings(units: DataFrame, terms: Column, unit: str = "doc_id") -> DataFrame
 def bm25(queries: DataFrame, units: DataFrame, terms: Column, k: int, unit: str = "doc_id", digits: int = 9) -> DataFrame:
     """qid, unit, score, rank: distinct query terms against the units; a non-positive idf is 1e-6.
 
-    ``queries`` has qid and term. Postings are cut to the asked terms before they are counted, and only the sums of
-    lengths cross the plan besides; the top k of a query is found by a limited window.
+    ``queries`` has qid and term. Texts are tokenised once: the postings of the asked terms are written, and with them
+    one for each unit (the empty term) that carries its length. Document frequencies combine before their shuffle; the
+    top k of a query is found by a limited window.
     """
-    t = units.select(unit, terms.alias("w"))
-    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("w").cast("double")).alias("avgdl"))
     asked = queries.select("qid", "term").distinct()
-    found = t.select(unit, F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(unit, "dl", "term").agg(F.count("*").alias("tf"))
-    df = F.count("*").over(W.partitionBy("term"))
-    weighed = found.withColumn("df", df).crossJoin(F.broadcast(stats))  # one row of statistics
+    wanted = asked.select("term").distinct().unionByName(units.sparkSession.createDataFrame([("",)], "term string"))
+    every = units.select(unit, terms.alias("w")).select(unit, F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
+    found = checkpointed(every.join(wanted, "term", "left_semi").groupBy(unit, "dl", "term").agg(F.count("*").alias("tf")))
+    stats = found.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")).cast("double") / F.sum("tf")).alias("avgdl"))
+    found = found.where("term <> ''")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    weighed = found.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = weighed.select(unit, "term", part.alias("part")).join(asked, "term").groupBy("qid", unit).agg(F.round(F.sum("part"), digits).alias("score"))
@@ -59,9 +62,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_pairs(queries: DataFrame, vectors: DataFrame, digits: int = 6) -> DataFrame:
-    """Exact similarity of a stated, bounded query set against all vectors."""
-    return vectors.crossJoin(F.broadcast(queries)).select("qid", "vec_id", "owner", F.round(dot(F.col("qvec"), F.col("embedding")), digits).alias("sim"))
+def dense_pairs(queries: DataFrame, vectors: DataFrame, digits: int = 6, block: int = 20_000) -> DataFrame:
+    """Exact similarity of a stated query set against all vectors, in blocks of about ``block`` queries that are broadcast."""
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        part = vectors.crossJoin(F.broadcast(some)).select("qid", "vec_id", "owner", F.round(dot(F.col("qvec"), F.col("embedding")) + 1e-10, digits).alias("sim"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def top_k(runs: DataFrame, key: str, by: str, tie: str, k: int) -> DataFrame:
@@ -135,7 +144,7 @@ def tfidf_weights(units: DataFrame, features: Column, unit: str) -> DataFrame:
     """unit, term, weight: (1 + ln tf)(ln((1 + N)/(1 + df)) + 1), rows of unit length."""
     p = postings(units, features, unit)
     n = units.agg(F.count("*").alias("n"))
-    raw = p.withColumn("df", F.count("*").over(W.partitionBy("term"))).crossJoin(F.broadcast(n))
+    raw = p.join(p.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(n))
     raw = raw.withColumn("x", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     return raw.withColumn("weight", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(unit)))).select(unit, "term", "weight")
 

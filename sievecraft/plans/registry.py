@@ -1,8 +1,8 @@
 """Registry of the engine's queries and of the SQL that states the same results.
 
 Retrieval queries run on documents (corpus), benchmark (questions) and embeddings (vectors). Operators on ranked lists
-run on a run table made of events: query user_id % 40, list event_type, document event_id % 89, score the largest
-value; every 37th event names an answer.
+run on a run table made of events: a query for each user, list event_type, document event_id % 89, score the largest
+value; every 37th event names an answer. So there are as many queries as users, and a query has 89 documents at most.
 """
 
 from __future__ import annotations
@@ -19,19 +19,36 @@ from sievecraft.session import table
 QUERIES: dict = {}
 ORACLES: dict = {}
 BRANCHES = ("click", "error", "purchase", "signup", "view")
+#: Added before the one rounding to six digits, here and in the SQL: values that end on a half (0.0187505) are sums whose
+#: last bit depends on their order, and go up on either side.
+NUDGE = 1e-10
 
 
 def plain(df: DataFrame, digits: int = 6) -> DataFrame:
     """Whole numbers as long and doubles rounded, as the SQL has them."""
-    cast = lambda f: F.col(f.name).cast("long") if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)) else F.round(f.name, digits) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+    cast = lambda f: F.col(f.name).cast("long") if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)) else F.round(F.col(f.name) + NUDGE, digits) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
     return df.select(*[cast(f).alias(f.name) for f in df.schema.fields])
 
 
+def nudged(sql: str) -> str:
+    """Every round(x, 6) of the text as round(x + NUDGE, 6)."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 1, start + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[start + 6 : end - 1]
+        out += [sql[at:start], "round(" + (f"{nudged(inner[:-3])} + {NUDGE}, 6" if inner.endswith(", 6") else nudged(inner)) + ")"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: plain(f(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = nudged(sql)
         return f
 
     return add
@@ -51,12 +68,12 @@ def asked(spark, d):
 
 def runs(spark, d):
     e = table(spark, d, "events").where("value is not null")
-    r = e.groupBy((F.col("user_id") % 40).alias("qid"), F.col("event_type").alias("branch"), (F.col("event_id") % 89).alias("doc_id")).agg(F.max("value").alias("score"))
+    r = e.groupBy((F.col("user_id")).alias("qid"), F.col("event_type").alias("branch"), (F.col("event_id") % 89).alias("doc_id")).agg(F.max("value").alias("score"))
     return r.withColumn("rank", F.row_number().over(W.partitionBy("qid", "branch").orderBy(F.desc("score"), "doc_id")).cast("long"))
 
 
 def gold(spark, d):
-    return table(spark, d, "events").where("event_id % 37 = 0").select((F.col("user_id") % 40).alias("qid"), (F.col("event_id") % 89).alias("doc_id")).distinct()
+    return table(spark, d, "events").where("event_id % 37 = 0").select((F.col("user_id")).alias("qid"), (F.col("event_id") % 89).alias("doc_id")).distinct()
 
 
 def one(spark, d, branch):
@@ -69,8 +86,8 @@ def pool(spark, d):
 
 RUNS = """
 WITH runs AS (SELECT *, row_number() OVER (PARTITION BY qid, branch ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT user_id % 40 AS qid, event_type AS branch, event_id % 89 AS doc_id, max(value) AS score FROM events WHERE value IS NOT NULL GROUP BY ALL)),
-gold AS (SELECT DISTINCT user_id % 40 AS qid, event_id % 89 AS doc_id FROM events WHERE event_id % 37 = 0),
+  SELECT user_id AS qid, event_type AS branch, event_id % 89 AS doc_id, max(value) AS score FROM events WHERE value IS NOT NULL GROUP BY ALL)),
+gold AS (SELECT DISTINCT user_id AS qid, event_id % 89 AS doc_id FROM events WHERE event_id % 37 = 0),
 pool AS (SELECT DISTINCT qid, doc_id FROM runs WHERE rank <= 12),
 view AS (SELECT * FROM runs WHERE branch = 'view'), click AS (SELECT * FROM runs WHERE branch = 'click')
 """
@@ -154,7 +171,7 @@ def txt_char_ngrams(s, d):
 
 # ---------------------------------------------------------------- chunks
 
-CHUNKS = f"u AS (SELECT doc_id * 1000 + i AS chunk_id, doc_id, w[i * 400 + 1 : i * 400 + 500] AS w FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 101) // 400 + 1)) AS i FROM (SELECT doc_id, {TOK} AS w FROM documents)))"
+CHUNKS = f"u AS (SELECT doc_id * 1000000 + i AS chunk_id, doc_id, w[i * 400 + 1 : i * 400 + 500] AS w FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 101) // 400 + 1)) AS i FROM (SELECT doc_id, {TOK} AS w FROM documents)))"
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, count(*) AS chunks, sum(len(w))::BIGINT AS words FROM u GROUP BY doc_id")
@@ -192,13 +209,13 @@ def ret_bm25_doc(s, d):
 
 
 def chunk_units(s, d):
-    return chunking.token_windows(docs(s, d)).select((F.col("doc_id") * 1000 + F.col("chunk_no")).alias("chunk_id"), "doc_id", "words")
+    return chunking.token_windows(docs(s, d)).select((F.col("doc_id") * 1_000_000 + F.col("chunk_no")).alias("chunk_id"), "doc_id", "words")
 
 
-@query(bm25_sql(f"WITH {CHUNKS}", "chunk_id", 50) + ", o AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, chunk_id) AS rn FROM bm JOIN (SELECT chunk_id, doc_id FROM u) USING (chunk_id)) SELECT qid, doc_id, round(sum(CASE rn WHEN 1 THEN score ELSE 0.6 * score END), 6) AS score FROM o WHERE rn <= 2 GROUP BY ALL")
+@query(bm25_sql(f"WITH {CHUNKS}", "chunk_id", 2000) + ", o AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, chunk_id) AS rn FROM bm JOIN (SELECT chunk_id, doc_id FROM u) USING (chunk_id)) SELECT qid, doc_id, round(sum(CASE rn WHEN 1 THEN score ELSE 0.6 * score END), 6) AS score FROM o WHERE rn <= 2 GROUP BY ALL")
 def ret_bm25_chunk_best2(s, d):
     u = chunk_units(s, d)
-    r = retrieve.bm25(asked(s, d), u, F.col("words"), 50, "chunk_id")
+    r = retrieve.bm25(asked(s, d), u, F.col("words"), 2000, "chunk_id")
     return retrieve.best_plus_second(r.select("qid", "chunk_id", "score"), u.select("chunk_id", "doc_id"))
 
 
@@ -214,7 +231,7 @@ def ret_bm25_phrase(s, d):
 MEM = f"SELECT DISTINCT item_id AS qid, unnest({TOK}) AS term FROM benchmark"
 
 
-def neighbours(s, d, depth=20):
+def neighbours(s, d, depth=100):
     b = table(s, d, "benchmark").select(F.col("item_id").alias("other"), "text")
     r = retrieve.bm25(asked(s, d), b, X.tokens(F.col("text")), depth + 1, "other").where("qid <> other")
     return r.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "other"))).where(F.col("rank") <= depth)
@@ -230,7 +247,7 @@ for _name, _vote in (("ret_memory_vote", "1.0"), ("ret_memory_score", "greatest(
         return retrieve.memory_votes(neighbours(s, d), memory_gold(s, d), by)
 
     _memory.__name__ = _name
-    query(bm25_sql(f"WITH u AS (SELECT item_id AS other, {TOK} AS w FROM benchmark)", "other", 21) + f", nb AS (SELECT qid, other, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, other) AS rank FROM bm WHERE qid <> other QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, other) <= 20), g AS (SELECT item_id AS other, unnest([item_id % 7, item_id % 5 + 10]) AS doc_id FROM benchmark) SELECT qid, doc_id, round(sum({_vote} / (10 + rank)), 6) AS vote FROM nb JOIN g USING (other) GROUP BY ALL")(_memory)
+    query(bm25_sql(f"WITH u AS (SELECT item_id AS other, {TOK} AS w FROM benchmark)", "other", 101) + f", nb AS (SELECT qid, other, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, other) AS rank FROM bm WHERE qid <> other QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, other) <= 100), g AS (SELECT item_id AS other, unnest([item_id % 7, item_id % 5 + 10]) AS doc_id FROM benchmark) SELECT qid, doc_id, round(sum({_vote} / (10 + rank)), 6) AS vote FROM nb JOIN g USING (other) GROUP BY ALL")(_memory)
 
 
 def bundle(s, d, full_k=500, local_k=2000, tri_k=1000, memory_k=100):
@@ -251,12 +268,12 @@ def ret_bundle(s, d):
     return bundle(s, d).select("qid", "branch", "doc_id", "rank", "score")
 
 
-DENSE = "p AS (SELECT q.vec_id AS qid, v.vec_id, v.vec_id % 100 AS owner, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS sim FROM embeddings v, embeddings q WHERE q.vec_id < 20)"
+DENSE = "p AS (SELECT q.vec_id AS qid, v.vec_id, v.vec_id % 100 AS owner, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS sim FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)"
 
 
 def dense(s, d):
     e = table(s, d, "embeddings")
-    return retrieve.dense_pairs(e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), e.select("vec_id", (F.col("vec_id") % 100).alias("owner"), "embedding"))
+    return retrieve.dense_pairs(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), e.select("vec_id", (F.col("vec_id") % 100).alias("owner"), "embedding"))
 
 
 @query(f"WITH {DENSE} SELECT qid, vec_id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) <= 10")
@@ -408,7 +425,7 @@ def agg_label_freq(s, d):
     return gold(s, d).where("qid % 4 <> 0").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-FEAT = ", sup AS (SELECT DISTINCT g.qid, g.doc_id, (v.rank % 3 + 1) || ':' || v.doc_id AS feature FROM gold g JOIN view v ON v.qid = g.qid AND v.rank <= 8), ask AS (SELECT DISTINCT qid, (rank % 3 + 1) || ':' || doc_id AS feature FROM click WHERE rank <= 8 AND qid < 10)"
+FEAT = ", sup AS (SELECT DISTINCT g.qid, g.doc_id, (v.rank % 3 + 1) || ':' || v.doc_id AS feature FROM gold g JOIN view v ON v.qid = g.qid AND v.rank <= 8), ask AS (SELECT DISTINCT qid, (rank % 3 + 1) || ':' || doc_id AS feature FROM click WHERE rank <= 8)"
 
 
 @query(RUNS + FEAT + """, tf AS (SELECT doc_id, feature, count(*) AS tf FROM sup GROUP BY ALL), dl AS (SELECT doc_id, sum(tf)::BIGINT AS dl FROM tf GROUP BY ALL), lf AS (SELECT doc_id, count(DISTINCT qid) AS lf FROM sup GROUP BY ALL), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, max(lf) AS top FROM dl JOIN lf USING (doc_id)),
@@ -418,17 +435,17 @@ def agg_profile_bm25(s, d):
     f = F.concat((F.col("rank") % 3 + 1).cast("string"), F.lit(":"), F.col("f_doc").cast("string")).alias("feature")
     v = one(s, d, "view").where("rank <= 8").select("qid", "rank", F.col("doc_id").alias("f_doc"))
     sup = gold(s, d).join(v, "qid").select("qid", "doc_id", f).distinct()
-    ask = one(s, d, "click").where("rank <= 8 and qid < 10").select("qid", "rank", F.col("doc_id").alias("f_doc")).select("qid", f).distinct()
+    ask = one(s, d, "click").where("rank <= 8").select("qid", "rank", F.col("doc_id").alias("f_doc")).select("qid", f).distinct()
     return features.profile_scores(ask, sup)
 
 
-VOTES = ", vo AS (SELECT v.qid, g.doc_id, v.doc_id AS other, v.score / 1000 AS sim FROM view v JOIN gold g ON g.qid = v.doc_id % 40)"
+VOTES = ", vo AS (SELECT v.qid, g.doc_id, v.doc_id AS other, v.score / 1000 AS sim FROM view v JOIN gold g ON g.qid = v.qid + v.doc_id % 5 + 1)"
 
 
 def votes(s, d):
     v = one(s, d, "view").select(F.col("qid").alias("q"), F.col("doc_id").alias("other"), (F.col("score") / 1000).alias("sim"))
     g = gold(s, d)
-    return v.join(g, F.col("other") % 40 == g["qid"]).select(F.col("q").alias("qid"), "doc_id", "other", "sim")
+    return v.join(g, F.col("q") + F.col("other") % 5 + 1 == g["qid"]).select(F.col("q").alias("qid"), "doc_id", "other", "sim")
 
 
 EVID = RUNS + VOTES + ", ev AS (SELECT qid, doc_id, sum(sim * CASE rn WHEN 1 THEN 1 WHEN 2 THEN 0.4 ELSE 0.15 END) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY sim DESC, other) AS rn FROM vo) WHERE rn <= 3 GROUP BY ALL)"
@@ -596,11 +613,11 @@ def fea_ebayes(s, d):
 TITLE = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '\\p{{L}}+'), lambda w: length(w) >= 2))"
 
 
-@query(f"WITH x AS (SELECT b.item_id AS qid, p.page_id AS doc_id, {TITLE.format('b.text')} AS q, {TITLE.format('p.url')} AS t FROM benchmark b, pages p WHERE p.page_id < 50 AND b.item_id < 10), y AS (SELECT *, len(list_intersect(q, t)) AS i FROM x) SELECT qid, doc_id, (len(t) > 0)::BIGINT AS has_title, round(coalesce(i / nullif(len(q) + len(t) - i, 0), 0), 6) AS jaccard, round(coalesce(i / nullif(len(q), 0), 0), 6) AS recall_q, round(coalesce(i / nullif(len(t), 0), 0), 6) AS recall_t FROM y")
+@query(f"WITH x AS (SELECT b.item_id AS qid, p.page_id AS doc_id, {TITLE.format('b.text')} AS q, {TITLE.format('p.url')} AS t FROM benchmark b, pages p), y AS (SELECT *, len(list_intersect(q, t)) AS i FROM x) SELECT qid, doc_id, (len(t) > 0)::BIGINT AS has_title, round(coalesce(i / nullif(len(q) + len(t) - i, 0), 0), 6) AS jaccard, round(coalesce(i / nullif(len(q), 0), 0), 6) AS recall_q, round(coalesce(i / nullif(len(t), 0), 0), 6) AS recall_t FROM y WHERE i > 0")
 def fea_title_overlap(s, d):
-    q = table(s, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("qid"), X.title_words(F.col("text")).alias("q"))
-    p = table(s, d, "pages").where("page_id < 50").select(F.col("page_id").alias("doc_id"), X.title_words(F.col("url")).alias("t"))
-    return features.title_overlap(p.crossJoin(F.broadcast(q)))
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), X.title_words(F.col("text")).alias("q"))
+    p = table(s, d, "pages").select(F.col("page_id").alias("doc_id"), X.title_words(F.col("url")).alias("t"))
+    return features.title_overlap(features.sharing_words(q, p))
 
 
 @query(LAB + ", x AS (SELECT l.*, coalesce(v.score, 0) AS s FROM lab l LEFT JOIN view v USING (qid, doc_id)) SELECT p.qid, p.doc_id AS pos, n.doc_id AS neg, round(p.s - n.s, 6) AS s FROM x p JOIN x n USING (qid) WHERE p.y = 1 AND n.y = 0")
@@ -622,9 +639,11 @@ def ml_stratified_folds(s, d):
     return learn.stratified_folds(gold(s, d).groupBy("qid").agg(F.count("*").alias("g")))
 
 
-@query(RUNS + ", f AS (SELECT DISTINCT qid, qid % 5 AS fold FROM gold) SELECT o.fold AS outer_fold, a.qid, b.qid AS other FROM f a, (SELECT DISTINCT fold FROM f) o, f b WHERE b.fold <> a.fold AND b.fold <> o.fold")
+@query(RUNS + ", f AS (SELECT DISTINCT qid, qid % 5 AS fold FROM gold) SELECT o.fold AS outer_fold, a.qid, count(*) AS n, min(b.qid) AS first, max(b.qid) AS last FROM f a, (SELECT DISTINCT fold FROM f) o, f b WHERE b.fold <> a.fold AND b.fold <> o.fold GROUP BY ALL")
 def ml_crossfit_support(s, d):
-    return learn.crossfit_support(gold(s, d).select("qid").distinct().withColumn("fold", F.col("qid") % 5))
+    f = gold(s, d).select("qid").distinct().withColumn("fold", F.col("qid") % 5)
+    per = f.groupBy("fold").agg(F.count("*").alias("n"), F.min("qid").alias("first"), F.max("qid").alias("last")).withColumnRenamed("fold", "support_fold")
+    return learn.crossfit_support(f).join(per, "support_fold").groupBy("outer_fold", "qid").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 @query(RUNS + ", pa AS (SELECT config, branch, CASE branch WHEN 'view' THEN 0.25 * config ELSE 1 - 0.25 * config END AS weight, 10 AS k FROM (SELECT unnest(range(0, 5)) AS config), (SELECT unnest(['view', 'click']) AS branch)), s AS (SELECT config, qid, doc_id, round(sum(weight / (k + rank)), 9) AS score FROM runs JOIN pa USING (branch) GROUP BY ALL), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY config, qid ORDER BY score DESC, doc_id) <= 5), h AS (SELECT config, qid, count(*) AS h FROM t JOIN gold USING (qid, doc_id) GROUP BY ALL) SELECT config, round(avg(coalesce(h, 0) / g), 6) AS recall FROM (SELECT DISTINCT config FROM pa) CROSS JOIN (SELECT qid, count(*) AS g FROM gold GROUP BY qid) LEFT JOIN h USING (config, qid) GROUP BY config")
