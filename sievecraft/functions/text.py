@@ -10,7 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]+"
-#: Words of a Vietnamese or English question that carry no content.
+#: Words that carry no content, in phrases, in lexical coverage, in passages and in titles.
+PHRASE_STOP_WORDS = ("là", "có", "và", "của", "được", "như", "thế", "nào", "gì", "cho", "trong", "khi", "về", "theo", "thì", "phải", "một", "những", "các")
+TITLE_STOP_WORDS = (
+    "bị", "các", "có", "của", "cho", "được", "để", "đến", "đối", "gì", "hay", "khi", "không", "là", "làm", "một", "nào", "những", "như", "phải", "ra", "sẽ", "theo", "thì", "thế", "trong", "trên", "từ", "và", "về", "với", "việc",
+)
+LEGAL_STOP_WORDS = (*TITLE_STOP_WORDS, "bao", "nhiêu")
+PASSAGE_STOP_WORDS = (*LEGAL_STOP_WORDS, "người", "quy", "định")
+#: Classes of legal documents, and by which rule each is told from the first 400 characters in capitals.
+DOC_CLASSES = ("LUAT", "NGHIDINH", "THONGTU", "QUYETDINH", "CONGVAN", "KHAC")
+CLASS_RULES = (("LUAT", r"LUẬT\s+SỐ|LUẬT\s*[:\n]|^[\s\S]{0,92}QUỐC HỘI"), ("NGHIDINH", "NGHỊ ĐỊNH"), ("THONGTU", "THÔNG TƯ"), ("QUYETDINH", "QUYẾT ĐỊNH"), ("CONGVAN", "V/V|CÔNG VĂN"))
+#: Words of a question that hint at a class.
+HINTS = {"luat": "luật", "nghidinh": "nghị định", "thongtu": "thông tư", "quyetdinh": "quyết định", "congvan": "công văn|hướng dẫn"}
+#: Where a title starts and ends, a document's number after its mark, a number in a question, a reference.
+TITLE_START, TITLE_END = r"(?iu)(LUẬT|NGHỊ ĐỊNH|THÔNG TƯ|QUYẾT ĐỊNH|BỘ LUẬT|PHÁP LỆNH)\s*\n", "Căn cứ|CĂN CỨ"
+MARKED_NUMBER = r"(?iu)Số:?\s*(\d+[/.](?:\d{4}[/.])?[A-ZĐƯƠ\-]+)"
+LOOSE_NUMBER = r"(?iu)(\d+[/.](?:\d{4}[/.])?[A-ZĐƯƠ\-]{2,})"
+LEGAL_REFERENCE = r"(?iu)(?:điều|khoản|điểm|mục|chương)\s+[\p{L}\p{N}_.-]+|\b\d{1,4}/\d{2,4}/[\p{L}\p{N}_-]+\b"
+PREAMBLE_END = r"(?iu)Điều\s+1\b"
+#: Words that carry no content in a question of either language of the test tables.
 STOP_WORDS = ("và", "của", "là", "có", "cho", "các", "được", "trong", "khi", "thì", "the", "of", "and", "to", "in", "is", "on", "for", "a")
 
 
@@ -69,8 +87,51 @@ def title_from_link(link: Column) -> Column:
     return F.trim(F.replace(F.regexp_replace(F.regexp_replace(last, r"(?i)\.aspx$", ""), r"-\d+$", ""), F.lit("-"), F.lit(" ")))
 
 
-def title_words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.length(w) >= 2))
+def title_words(text: Column, stop: tuple[str, ...] = TITLE_STOP_WORDS) -> Column:
+    """Distinct words of letters, two or more of them, that are no stop words."""
+    words = F.array(*map(F.lit, stop))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)), lambda w: (F.length(w) >= 2) & ~F.array_contains(words, w)))
+
+
+def legal_title(text: Column, most: int = 300, head: int = 800) -> Column:
+    """The title of a legal document: from after the line that names its class to the first ground it cites."""
+    h = F.substring(F.coalesce(text, F.lit("")), 1, head)
+    after = F.when(h.rlike(TITLE_START), F.regexp_extract(h, f"{TITLE_START}([\\s\\S]*)$", 2)).otherwise(F.lit(""))
+    cut = F.when(after.rlike(TITLE_END), F.regexp_extract(after, f"^([\\s\\S]*?)(?:{TITLE_END})", 1)).otherwise(F.substring(after, 1, most))
+    return F.substring(F.trim(F.regexp_replace(cut, r"(?U)\s+", " ")), 1, most)
+
+
+def doc_class(text: Column) -> Column:
+    return classify(text, CLASS_RULES, 400, "KHAC")
+
+
+def question_hints(question: Column) -> list[Column]:
+    """A flag for each class that words of the question hint at."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    return [q.rlike(words).cast("double").alias(f"hint_{name}") for name, words in HINTS.items()]
+
+
+def named_numbers(question: Column) -> Column:
+    """Document numbers that a question names, in capitals."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit(LOOSE_NUMBER), F.lit(1)), F.upper))
+
+
+def legal_references(question: Column) -> Column:
+    """Articles, clauses, points and numbered documents that a question names, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(question, F.lit(""))), F.lit(LEGAL_REFERENCE), F.lit(0)))
+
+
+def preamble(text: Column, search: int = 3000, otherwise: int = 2000) -> Column:
+    """What stands before the first article, if that starts early, else the head of the text."""
+    h = F.substring(F.coalesce(text, F.lit("")), 1, search)
+    return F.when(h.rlike(PREAMBLE_END), F.regexp_extract(h, f"^([\\s\\S]*?){PREAMBLE_END}", 1)).otherwise(F.substring(F.coalesce(text, F.lit("")), 1, otherwise))
+
+
+def cited_documents(text: Column) -> Column:
+    """Numbers marked as such in the preamble, without the document's own."""
+    own = own_number(text, 300, MARKED_NUMBER)
+    found = F.array_distinct(F.transform(F.regexp_extract_all(preamble(text), F.lit(MARKED_NUMBER), F.lit(1)), F.upper))
+    return F.filter(found, lambda x: own.isNull() | (x != own))
 
 
 def classify(text: Column, rules: tuple[tuple[str, str], ...], head: int = 400, other: str = "other") -> Column:

@@ -42,3 +42,11 @@ def top_passages(pairs: DataFrame, count: int = 2, window: int = 220, overlap: i
     scored = win.withColumn("total", words + bigrams).withColumn("density", F.col("total") / F.sqrt(F.greatest(F.size("c"), F.lit(1))))
     r = F.row_number().over(W.partitionBy("qid", "doc_id").orderBy(F.desc(F.round("density", 9)), F.desc(F.round("total", 9)), "start"))
     return scored.withColumn("rank", r).where(F.col("rank") <= count).select("qid", "doc_id", "rank", "start", "density")
+
+
+def chosen_evidence(pairs: DataFrame, first: DataFrame, second: DataFrame, chunks: DataFrame) -> DataFrame:
+    """qid, doc_id, chunk_id, selector: a pair's best chunk of the first ranking, else of the second, else the document's first."""
+    lead = chunks.groupBy("doc_id").agg(F.min("chunk_id").alias("c3"))
+    j = pairs.select("qid", "doc_id").join(first.select("qid", "doc_id", F.col("chunk_id").alias("c1")), ["qid", "doc_id"], "left").join(second.select("qid", "doc_id", F.col("chunk_id").alias("c2")), ["qid", "doc_id"], "left").join(lead, "doc_id", "left")
+    how = F.when(F.col("c1").isNotNull(), "first").when(F.col("c2").isNotNull(), "second").when(F.col("c3").isNotNull(), "lead").otherwise("missing")
+    return j.select("qid", "doc_id", F.coalesce("c1", "c2", "c3").alias("chunk_id"), how.alias("selector"))

@@ -76,3 +76,32 @@ def sweep(runs: DataFrame, gold: DataFrame, params: DataFrame, depth: int = 5) -
     hits = top.join(gold, ["qid", "doc_id"]).groupBy("config", "qid").agg(F.count("*").alias("h"))
     grid = params.select("config").distinct().crossJoin(n)
     return grid.join(hits, ["config", "qid"], "left").groupBy("config").agg(F.avg(F.coalesce("h", F.lit(0)) / F.col("g")).alias("recall"))
+
+
+def worst_block_choice(trials: DataFrame) -> DataFrame:
+    """config, low, mean, precision, place: by the worst block's recall, then the mean, then the precision (config, block, recall, precision)."""
+    per = trials.groupBy("config").agg(F.min("recall").alias("low"), F.avg("recall").alias("mean"), F.avg("precision").alias("precision"))
+    return per.withColumn("place", F.row_number().over(W.orderBy(F.desc("low"), F.desc("mean"), F.desc("precision"), "config")))  # one row per configuration
+
+
+def centroid(chosen: DataFrame, columns: tuple[str, ...], share: float = 0.02) -> DataFrame:
+    """Mean of each column over the best ``share`` of the trials (one at least), made to sum to one; median of k."""
+    n = F.count("*").over(W.partitionBy())
+    top = chosen.withColumn("n", n).where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)))
+    means = top.agg(*[F.avg(c).alias(c) for c in columns], F.percentile("k", 0.5).cast("int").alias("k"))
+    whole = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
+    return means.select(*[(F.col(c) / whole).alias(c) for c in columns], "k")
+
+
+def safe_gate(splits: DataFrame) -> DataFrame:
+    """config, safe, gain: safe if no split (config, losses, precision, base_precision, gain) loses a query or any precision."""
+    ok = (F.col("losses") == 0) & (F.col("precision") >= F.col("base_precision"))
+    return splits.groupBy("config").agg(F.bool_and(ok).cast("int").alias("safe"), F.sum("gain").alias("gain"))
+
+
+def smallest_within(points: DataFrame, tolerances: tuple[float, ...] = (0.001, 0.003, 0.005)) -> DataFrame:
+    """tolerance, id: of the points (id, recall, models, features) within a tolerance of the best recall the simplest."""
+    t = points.sparkSession.createDataFrame([(x,) for x in tolerances], "tolerance double")
+    best = points.agg(F.max("recall").alias("best"))
+    j = points.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(t)).where(F.col("recall") >= F.col("best") - F.col("tolerance"))
+    return j.groupBy("tolerance").agg(F.min(F.struct("models", "features", (-F.col("recall")).alias("less"), "id")).alias("m")).select("tolerance", F.col("m.id").alias("id"))

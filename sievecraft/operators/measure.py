@@ -115,4 +115,53 @@ def bootstrap(deltas: DataFrame, samples: int = 20_000, seed: int = 112) -> Data
             yield pd.DataFrame({"mean": [float(np.random.default_rng([seed, int(k)]).choice(d.value, len(d.value)).mean()) for k in b["id"]]})
 
     m = deltas.sparkSession.range(samples).mapInPandas(run, "mean double")
-    return m.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.avg((F.col("mean") > 0).cast("double")).alias("p_positive"))
+    share = lambda c: F.avg(c.cast("double"))
+    return m.agg(
+        F.lit(seed).alias("seed"), F.count("*").alias("samples"), F.lit(float(d.value.mean()) if len(d.value) else None).cast("double").alias("observed"), F.avg("mean").alias("mean"), F.percentile("mean", 0.5).alias("median"),
+        F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), share(F.col("mean") > 0).alias("p_positive"), share(F.col("mean") >= 0.005).alias("p_half_percent"),
+    )
+
+
+def compare_by_fold(before: DataFrame, after: DataFrame, gold: DataFrame, folds: DataFrame, depth: int = 5) -> DataFrame:
+    """One row: queries, mean change of recall, worst fold's change, wins, losses, ties, changed answer sets, answers in and out."""
+    top = lambda r, name: r.where(F.col("rank") <= depth).groupBy("qid").agg(F.array_sort(F.collect_set("doc_id")).alias(name))
+    none = F.array().cast(gold.select(F.array("doc_id").alias("a")).schema["a"].dataType)
+    j = gold.groupBy("qid").agg(F.collect_set("doc_id").alias("g")).join(top(before, "a"), "qid", "left").join(top(after, "b"), "qid", "left").join(folds, "qid")
+    j = j.withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
+    hit = lambda c: F.size(F.array_intersect(c, "g"))
+    j = j.withColumn("delta", (hit("b") - hit("a")) / F.size("g")).withColumn("into", F.size(F.array_except(F.array_intersect("b", "g"), "a"))).withColumn("out", F.size(F.array_except(F.array_intersect("a", "g"), "b")))
+    counts = [F.count_if(F.col("delta") > 0).alias("wins"), F.count_if(F.col("delta") < 0).alias("losses"), F.count_if(F.col("delta") == 0).alias("ties"), F.count_if(F.col("a") != F.col("b")).alias("churn"), F.sum("into").alias("into"), F.sum("out").alias("out")]
+    per = j.groupBy("fold").agg(F.count("*").alias("n"), F.sum("delta").alias("sum"), F.avg("delta").alias("mean"), *counts)
+    names = ("wins", "losses", "ties", "churn", "into", "out")
+    return per.agg(F.sum("n").alias("n"), (F.sum("sum") / F.sum("n")).alias("delta"), F.min("mean").alias("worst_fold"), *[F.sum(c).alias(c) for c in names])
+
+
+def weighted_mean(per_fold: DataFrame, columns: tuple[str, ...], n: str = "n") -> DataFrame:
+    """Metrics of folds pooled by their numbers of queries."""
+    return per_fold.agg(F.sum(n).alias(n), *[(F.sum(F.col(c) * F.col(n)) / F.sum(n)).alias(c) for c in columns])
+
+
+def complexity(used: DataFrame, sizes: DataFrame) -> DataFrame:
+    """config, models, parameters of the distinct models that a configuration uses (config, model; model, parameters)."""
+    return used.select("config", "model").distinct().join(sizes, "model").groupBy("config").agg(F.count("*").alias("models"), F.sum("parameters").alias("parameters"))
+
+
+def bad_share(scores: DataFrame, most: float = 0.5) -> DataFrame:
+    """label, n, bad, failed: scores that are not finite, and whether their share exceeds ``most``."""
+    ok = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    return scores.groupBy("label").agg(F.count("*").alias("n"), F.count_if(~ok).alias("bad")).withColumn("failed", (F.col("bad") > most * F.col("n")).cast("int"))
+
+
+def pooled_scores(passages: DataFrame, depth: int, how: str = "max", floor: float = -1e9) -> DataFrame:
+    """qid, doc_id, score: the largest or mean finite score of a document's first ``depth`` passages; the floor if none is finite."""
+    ok = (F.col("passage") <= depth) & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    got = {"max": F.max, "mean": F.avg}[how](F.when(ok, F.col("score")))
+    return passages.groupBy("qid", "doc_id").agg(F.coalesce(got, F.lit(floor)).alias("score"))
+
+
+def headroom(runs: DataFrame, gold: DataFrame, depths: tuple[int, ...] = (5, 20, 50, 100)) -> DataFrame:
+    """depth, hits of each branch alone and of the union of all branches, in answers found (branch null: the union)."""
+    d = gold.sparkSession.createDataFrame([(x,) for x in depths], "depth int")
+    hit = runs.select("qid", "doc_id", "branch", "rank").join(gold, ["qid", "doc_id"], "left_semi")
+    best = hit.select("qid", "doc_id", "rank", "branch").unionByName(hit.groupBy("qid", "doc_id").agg(F.min("rank").alias("rank")).withColumn("branch", F.lit("all")))
+    return best.crossJoin(F.broadcast(d)).groupBy("depth", "branch").agg(F.count_if(F.col("rank") <= F.col("depth")).alias("found"))

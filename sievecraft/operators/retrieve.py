@@ -140,11 +140,11 @@ def top2_mean(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rn", rn).where("rn <= 2").groupBy("qid", "owner").agg(F.avg("sim").alias("score"))
 
 
-def tfidf_weights(units: DataFrame, features: Column, unit: str) -> DataFrame:
+def tfidf_weights(units: DataFrame, features: Column, unit: str, least_df: int = 1) -> DataFrame:
     """unit, term, weight: (1 + ln tf)(ln((1 + N)/(1 + df)) + 1), rows of unit length."""
     p = postings(units, features, unit)
     n = units.agg(F.count("*").alias("n"))
-    raw = p.join(p.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(n))
+    raw = p.join(p.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least_df), "term").crossJoin(F.broadcast(n))
     raw = raw.withColumn("x", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     return raw.withColumn("weight", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(unit)))).select(unit, "term", "weight")
 
@@ -152,3 +152,14 @@ def tfidf_weights(units: DataFrame, features: Column, unit: str) -> DataFrame:
 def kernel(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
     """qid, other, sim: cosine over shared terms."""
     return a.join(b.select(F.col("qid").alias("other"), "term", F.col("weight").alias("w2")), "term").where("qid <> other").groupBy("qid", "other").agg(F.round(F.sum(F.col("weight") * F.col("w2")), digits).alias("sim"))
+
+
+def near_questions(units: DataFrame, folds: DataFrame, grams: Column, least: float = 0.92, k: int = 5) -> DataFrame:
+    """a, b, sim: pairs of questions of different folds, at least ``least`` alike, one among the ``k`` nearest of the other.
+
+    Cosine of TF-IDF over ``grams`` that two questions hold at least.
+    """
+    w = tfidf_weights(units, grams, "qid", 2)
+    near = top_k(kernel(w, w), "qid", "sim", "other", k).where(F.col("sim") >= least)
+    j = near.join(folds.withColumnRenamed("fold", "fa"), "qid").join(folds.select(F.col("qid").alias("other"), F.col("fold").alias("fb")), "other").where("fa <> fb")
+    return j.groupBy(F.least("qid", "other").alias("a"), F.greatest("qid", "other").alias("b")).agg(F.max("sim").alias("sim"))

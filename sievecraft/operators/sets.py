@@ -13,6 +13,24 @@ def pool_union(lists: DataFrame) -> DataFrame:
     return first.select("qid", "doc_id", F.row_number().over(W.partitionBy("qid").orderBy("o", "doc_id")).alias("pool_pos"))
 
 
+def churn(before: DataFrame, after: DataFrame, depth: int = 5) -> DataFrame:
+    """qid, set_differs, order_differs of the first ``depth`` documents; shared and gone count them."""
+    top = lambda r, name: r.where(F.col("rank") <= depth).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias(name))
+    j = top(before, "a").join(top(after, "b"), "qid")
+    return j.select("qid", (F.array_sort("a") != F.array_sort("b")).cast("int").alias("set_differs"), (F.col("a") != F.col("b")).cast("int").alias("order_differs"), F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_except("a", "b")).alias("gone"))
+
+
+def fill_from_all(answers: DataFrame, ids: DataFrame, n: int = 5) -> DataFrame:
+    """Fill answer lists that are still short from the ids of all documents, in their order.
+
+    The first 2 n ids suffice for any list of fewer than n, whatever it holds.
+    """
+    spare = ids.orderBy("doc_id").limit(2 * n).withColumn("pos", F.row_number().over(W.orderBy("doc_id")))
+    some = answers.select("qid").distinct().crossJoin(F.broadcast(spare))
+    both = answers.select("qid", "doc_id", F.lit(0).alias("src"), F.col("pool_pos").alias("pos")).unionByName(some.select("qid", "doc_id", F.lit(1).alias("src"), "pos"))
+    return pool_union(both).where(F.col("pool_pos") <= n)
+
+
 def backfill(answers: DataFrame, candidates: DataFrame, n: int = 5) -> DataFrame:
     """Fill each answer list up to n with the next candidates."""
     both = answers.select("qid", "doc_id", F.lit(0).alias("src"), F.col("rank").alias("pos")).unionByName(candidates.select("qid", "doc_id", F.lit(1).alias("src"), F.col("rank").alias("pos")))

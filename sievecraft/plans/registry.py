@@ -610,7 +610,8 @@ def fea_ebayes(s, d):
     return features.label_prior(pool(s, d), gold(s, d))
 
 
-TITLE = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '\\p{{L}}+'), lambda w: length(w) >= 2))"
+TITLE_STOPS = "[" + ", ".join(f"'{w}'" for w in X.TITLE_STOP_WORDS) + "]"
+TITLE = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({{0}}, '')), '\\p{{{{L}}}}+'), lambda w: length(w) >= 2 AND NOT list_contains({TITLE_STOPS}, w)))"
 
 
 @query(f"WITH x AS (SELECT b.item_id AS qid, p.page_id AS doc_id, {TITLE.format('b.text')} AS q, {TITLE.format('p.url')} AS t FROM benchmark b, pages p), y AS (SELECT *, len(list_intersect(q, t)) AS i FROM x) SELECT qid, doc_id, (len(t) > 0)::BIGINT AS has_title, round(coalesce(i / nullif(len(q) + len(t) - i, 0), 0), 6) AS jaccard, round(coalesce(i / nullif(len(q), 0), 0), 6) AS recall_q, round(coalesce(i / nullif(len(t), 0), 0), 6) AS recall_t FROM y WHERE i > 0")

@@ -50,7 +50,55 @@ def signature(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """name (the path below the folder), h (SHA-256) of every file of a folder and its subfolders."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = path.split(":", 1)[-1].lstrip("/").rstrip("/")
+    return raw.select(F.substring_index(F.col("path"), root + "/", -1).alias("name"), F.sha2("content", 256).alias("h"))
+
+
+def vectors(spark: SparkSession, path: str, ids: DataFrame, dim: int) -> DataFrame:
+    """vec_id, embedding out of raw rows of ``dim`` half floats; ``ids`` has (row, vec_id) and must fit the file's rows.
+
+    The file is read in records of one vector, so it is split over tasks.
+    """
+    import numpy as np
+
+    raw = spark.sparkContext.binaryRecords(path, 2 * dim).zipWithIndex().map(lambda x: (x[1], np.frombuffer(x[0], np.float16).astype(float).tolist()))
+    rows = spark.createDataFrame(raw, "row long, embedding array<float>")
+    have, want = rows.count(), ids.count()
+    if have != want:
+        raise ValueError(f"{have} vectors for {want} ids")
+    return ids.join(rows, "row").select("vec_id", "embedding")
+
+
+def looked_up(chunk_table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted chunks (chunk_id); raises if one is missing or stored twice."""
+    found = chunk_table.join(wanted.select("chunk_id").distinct(), "chunk_id")
+    n, d, asked = found.count(), found.select("chunk_id").distinct().count(), wanted.select("chunk_id").distinct().count()
+    if not n == d == asked:
+        raise ValueError(f"{asked} chunks wanted, {d} found in {n} rows")
+    return found
+
+
+def query_maps(df: DataFrame, depth: int = 2) -> list[str]:
+    """Names of the fields, nested up to ``depth``, that are maps from a query id to something."""
+    from pyspark.sql import types as T
+
+    out: list[str] = []
+
+    def walk(kind, name: str, left: int) -> None:
+        if isinstance(kind, T.MapType):
+            out.append(name)
+        elif isinstance(kind, T.StructType) and left >= 0:
+            for f in kind.fields:
+                walk(f.dataType, f"{name}.{f.name}" if name else f.name, left - 1)
+
+    walk(df.schema, "", depth)
+    return out
+
+
 def tree_hash(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 over the ordered names and digests of a folder's files."""
-    each = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("h"))
+    """SHA-256 over the ordered relative names and digests of a folder's files. One short row per file is gathered."""
+    each = file_hashes(spark, path)
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda x: F.concat(x["name"], F.lit(":"), x["h"])), "\n"), 256).alias("tree"))

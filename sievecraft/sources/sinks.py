@@ -35,3 +35,47 @@ def missing(todo: DataFrame, done: DataFrame, keys: list[str], fingerprint: str)
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+
+
+def written_once(df: DataFrame, path: str, key: str) -> str:
+    """Write canonical lines and their digest's sidecar; an equal output is left alone, an unequal one raises.
+
+    Spark's committer moves the parts into place when all of them are written, so no reader sees half an output. The
+    digest is a sum over the rows' digests and so does not depend on their order.
+    """
+    lines = canonical_lines(df, key).persist()
+    total = str(lines.agg(F.count("*"), F.sum(F.conv(F.substring("digest", 1, 15), 16, 10).cast("decimal(38,0)"))).first()[:])
+    mark = hashlib.sha256(total.encode()).hexdigest()
+    spark = df.sparkSession
+    try:
+        old = spark.read.text(f"{path}.sha256").first()[0]
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = None
+    if old is not None and old != mark:
+        raise ValueError(f"{path} holds something else")
+    if old is None:
+        lines.orderBy(key).select("line").write.mode("errorifexists").text(path)
+        spark.createDataFrame([(mark,)], "value string").coalesce(1).write.text(f"{path}.sha256")
+    lines.unpersist()
+    return mark
+
+
+def upserted(df: DataFrame, path: str, partition: str) -> None:
+    """Replace the partitions that ``df`` holds rows of; the others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def appended(df: DataFrame, path: str, fingerprint: str) -> None:
+    """Append rows under a configuration's fingerprint; raises if the table was written under another one."""
+    spark = df.sparkSession
+    try:
+        others = spark.read.parquet(path).where(F.col("config_hash") != fingerprint).limit(1).count()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        others = 0
+    if others:
+        raise ValueError(f"{path} was written under another configuration")
+    df.withColumn("config_hash", F.lit(fingerprint)).write.mode("append").parquet(path)

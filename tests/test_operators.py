@@ -188,3 +188,121 @@ def test_entry_imports_and_names_match():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+# ---------------------------------------------------------------- rows, audits, storage
+
+from sievecraft.operators import rows as rank_rows  # noqa: E402
+from sievecraft.operators import validate  # noqa: E402
+
+
+def test_score_rows_by_hand(spark):
+    lists = [(0, "a", 1, 4.0, 1), (0, "a", 2, 2.0, 2), (0, "b", 2, 5.0, 1), (0, "c", 2, 8.0, 1), (0, "c", 1, 4.0, 2)]
+    r = spark.createDataFrame(lists, "qid long, branch string, doc_id long, score double, rank long")
+    got = {x["doc_id"]: x for x in rank_rows.score_rows(r, ("a", "b", "c", "d")).collect()}
+    assert got[2]["rr0"] == pytest.approx(1 / 7) and got[2]["rr1"] == pytest.approx(1 / 6) and got[2]["rr3"] == 0
+    assert got[2]["sc0"] == 0.5 and got[2]["lists"] == 3 and got[2]["here12"] == 1 and got[2]["sc12"] == 1
+    assert got[1]["sc2"] == 0.5 and got[1]["lists"] == 2 and got[1]["here12"] == 0 and len(got[1]) == 25
+
+
+def test_lexical_rows_by_hand(spark):
+    p = spark.createDataFrame([(0, 1, "Điều 5 thuế đất đai là gì", "theo điều 5 của luật thuế đất"), (0, 2, "", "x"), (0, 3, "a b", None)], "qid long, doc_id long, question string, text string")
+    got = {x["doc_id"]: x for x in rank_rows.lexical_rows(p).collect()}
+    assert got[1]["cover"] == pytest.approx(4 / 7) and got[1]["cover_numbers"] == 1 == got[1]["all_numbers"] and got[1]["cover_cites"] == 1
+    assert got[1]["cover_content"] == pytest.approx(3 / 4) and got[1]["cover_bi"] == pytest.approx(2 / 6) and got[1]["any_tri"] == 0
+    assert got[2]["cover"] == 0 == got[3]["cover"] and got[3]["doc_length"] > 0
+    off = rank_rows.lexical_rows(p, F.col("doc_id") != 1).where("doc_id = 1").first()
+    assert off["cover"] == 0 and off["doc_length"] == got[1]["doc_length"]
+
+
+def test_legal_text_functions(spark):
+    text = "QUỐC HỘI\nSố: 12/2020/QH14\nLUẬT\nĐất đai  sửa đổi\nCăn cứ Hiến pháp; Số: 45/2013/QH13; Điều 1 Phạm vi Số 9/2001/QH10"
+    row = spark.createDataFrame([(text,), (None,)], "t string").select(X.legal_title(F.col("t")).alias("title"), X.doc_class(F.col("t")).alias("kind"), X.own_number(F.col("t"), 300, X.MARKED_NUMBER).alias("own"), X.cited_documents(F.col("t")).alias("cited")).collect()
+    assert row[0]["title"] == "Đất đai sửa đổi" and row[0]["kind"] == "LUAT" and row[0]["own"].startswith("12/2020/QH") and [x[:10] for x in row[0]["cited"]] == ["45/2013/QH"]
+    assert (row[1]["title"], row[1]["kind"], row[1]["own"], row[1]["cited"]) == ("", "KHAC", None, [])
+    assert spark.range(1).select(X.named_numbers(F.lit("theo Thông tư 31/2022/TT-BTC và 5/qđ"))).first()[0] == ["31/2022/TT-BTC", "5/QĐ"]
+
+
+def test_order_statistic_equals_a_sorted_list(spark):
+    import random
+
+    r = random.Random(2)
+    for n in (1, 2, 7, 40, 3000):
+        v = [float(r.choice([r.randint(0, 5), r.randint(0, 10**6)])) for _ in range(n)]
+        for share in (0.0, 0.5, 0.95):
+            got = measure.order_statistic(spark.createDataFrame([(x,) for x in v], "v double"), share).collect()
+            assert [x["p95"] for x in got] == [sorted(v)[int(n * share)]]
+
+
+def test_gates_and_choices(spark):
+    t = spark.createDataFrame([("x", 0, 0.5, 0.2), ("x", 1, 0.9, 0.2), ("y", 0, 0.6, 0.1), ("y", 1, 0.7, 0.1)], "config string, block int, recall double, precision double")
+    assert [(r["config"], r["place"]) for r in learn.worst_block_choice(t).orderBy("place").collect()] == [("y", 1), ("x", 2)]
+    g = spark.createDataFrame([("x", 0, 0.3, 0.2, 0.1), ("x", 1, 0.3, 0.2, 0.1), ("y", 0, 0.3, 0.2, 0.5)], "config string, losses int, precision double, base_precision double, gain double")
+    assert {r["config"]: r["safe"] for r in learn.safe_gate(g).collect()} == {"x": 0, "y": 1}
+    p = spark.createDataFrame([(1, 0.9, 5, 9), (2, 0.8985, 2, 9), (3, 0.896, 1, 9)], "id long, recall double, models int, features int")
+    assert {r["tolerance"]: r["id"] for r in learn.smallest_within(p).collect()} == {0.001: 1, 0.003: 2, 0.005: 3}
+    c = spark.createDataFrame([(0.2, 0.2, 10, 1), (0.9, 0.1, 20, 2)], "a double, b double, k int, place int")
+    assert tuple(learn.centroid(c, ("a", "b")).first()) == (0.5, 0.5, 10)
+
+
+def test_validators(spark):
+    a = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "qid long, doc_id long")
+    assert tuple(validate.membership(a, a.where("doc_id <> 2")).first()) == (2, 1)
+    assert tuple(validate.covers(a, spark.createDataFrame([(0,), (2,)], "qid long"), "qid").first()) == (1, 1, 1)
+    assert tuple(validate.answers(a, spark.createDataFrame([(0,), (1,), (2,)], "qid long"), spark.createDataFrame([(1,), (2,)], "doc_id long")).first()) == (1, 0, 0, 1)
+    assert validate.leakage(a, a.where("qid = 1")).first()[0] == 1
+
+
+def test_fusions_of_scores_and_graphs(spark):
+    r = spark.createDataFrame([(0, "a", 1, 1, 3.0), (0, "a", 2, 2, 1.0), (0, "b", 2, 1, 5.0)], "qid long, branch string, doc_id long, rank long, score double")
+    z = {x["doc_id"]: x["score"] for x in fuse.z_blend(r, r.select("qid", "doc_id").distinct(), ("a", "b")).collect()}
+    assert z == {1: pytest.approx(-1.0), 2: pytest.approx(-1.0)}
+    g = {x["doc_id"]: x["score"] for x in fuse.graph_rerank(r.where("branch = 'a'"), spark.createDataFrame([(1, 9, 0.5)], "src long, dst long, strength double")).collect()}
+    assert g[9] == pytest.approx(1 / 100_010 + 0.3 / 11, abs=1e-9) and g[1] == pytest.approx(1 / 11, abs=1e-9)
+
+
+def test_folders_and_sinks(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    for k in ("a/x.bin", "b/x.bin"):
+        (tmp_path / "tree" / k).parent.mkdir(parents=True)
+        (tmp_path / "tree" / k).write_bytes(k.encode())
+    files = readers.file_hashes(spark, str(tmp_path / "tree"))
+    assert {r["name"]: r["h"] for r in files.collect()} == {k: hashlib.sha256(k.encode()).hexdigest() for k in ("a/x.bin", "b/x.bin")}
+    want = files.collect()
+    (tmp_path / "tree" / "b" / "x.bin").write_bytes(b"other")
+    assert tuple(validate.manifest(readers.file_hashes(spark, str(tmp_path / "tree")), spark.createDataFrame(want)).first()) == (2, 0, 0, 1)
+    (tmp_path / "v.f16").write_bytes(np.arange(12, dtype=np.float16).tobytes())
+    ids = spark.createDataFrame([(k, 10 + k) for k in range(3)], "row long, vec_id long")
+    assert {r["vec_id"]: list(r["embedding"]) for r in readers.vectors(spark, str(tmp_path / "v.f16"), ids, 4).collect()}[12] == [8, 9, 10, 11]
+    with pytest.raises(ValueError):
+        readers.vectors(spark, str(tmp_path / "v.f16"), ids.where("row < 2"), 4)
+    df = spark.createDataFrame([(2, "y"), (1, "x")], "qid long, v string")
+    first = sinks.written_once(df, str(tmp_path / "out"), "qid")
+    assert sinks.written_once(df.orderBy("qid"), str(tmp_path / "out"), "qid") == first
+    assert [json.loads(r[0])["qid"] for r in spark.read.text(str(tmp_path / "out")).collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        sinks.written_once(df.limit(1), str(tmp_path / "out"), "qid")
+    sinks.upserted(df, str(tmp_path / "up"), "qid")
+    sinks.upserted(spark.createDataFrame([(2, "z")], "qid long, v string"), str(tmp_path / "up"), "qid")
+    assert {r["qid"]: r["v"] for r in spark.read.parquet(str(tmp_path / "up")).collect()} == {1: "x", 2: "z"}
+    sinks.appended(df, str(tmp_path / "log"), "one")
+    with pytest.raises(ValueError):
+        sinks.appended(df, str(tmp_path / "log"), "two")
+    assert sinks.missing(df, spark.read.parquet(str(tmp_path / "log")).where("qid = 1"), ["qid"], "one").count() == 1
+    assert {r["v"] for r in sinks.latest(spark.createDataFrame([(1, "old", 1), (1, "new", 2)], "k long, v string, at long"), ["k"], "at").collect()} == {"new"}
+    table = spark.createDataFrame([("c1", "t"), ("c2", "u"), ("c2", "u")], "chunk_id string, text string")
+    assert readers.looked_up(table, table.where("chunk_id = 'c1'")).count() == 1
+    with pytest.raises(ValueError):
+        readers.looked_up(table, table)
+    maps = spark.createDataFrame([], "a struct<scores: map<string,double>, n: int>, b map<string,string>")
+    assert readers.query_maps(maps) == ["a.scores", "b"]
+    (tmp_path / "chunks.json").write_text(json.dumps({"id": "d", "chunk": {"0": "one", "1": " "}}) + "\n")
+    assert [tuple(r) for r in readers.chunks(spark, str(tmp_path / "chunks.json")).collect()] == [("d", "0", "one")]
+    (tmp_path / "lines.json").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert readers.json_lines(spark, str(tmp_path / "lines.json"), "a int").count() == 2
+    runs = spark.createDataFrame([("q", "s", '[{"doc_id": "d", "rank": 1, "score": 0.5}]')], "q string, source string, payload string")
+    assert tuple(readers.payload_runs(runs).first()) == ("q", "s", "d", 1, 0.5)
+    assert tuple(readers.signature(spark, str(tmp_path / "tree" / "a")).first()) == (1, 7)
