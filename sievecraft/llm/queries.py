@@ -17,33 +17,40 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of documents."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of every row of documents."""
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of documents."""
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of documents; the vocabulary's place and the pattern are parameters."""
     ranks = bpe.read_ranks(path or public_tokenizers.path(VOCABULARY))
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, pattern or public_tokenizers.PATTERN, with_ids=False)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row of documents."""
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of every row of documents."""
     docs = table(spark, sf_dir, "documents")
     out = langid.identify_languages(docs.select("doc_id", "text"), langid.fit_language_models(docs))
     held = (quality.remainder(F.col("doc_id"), 4) == 2).alias("held_out")
@@ -51,14 +58,17 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row of documents."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every row of pages."""
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, doc_id, score: the ten best documents for every document whose id is divisible by 100."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return search.search(search.build_index(docs), docs.where("doc_id % 100 = 0"), k=10).withColumn("score", F.round("score", 6))
 
