@@ -31,19 +31,25 @@ DEPTH = 2
 
 
 def template_keys(words: Column, min_words: int = 3, constant: float = 0.5) -> Column:
-    """Hashes of the templates a line with these words belongs to."""
+    """Hashes of the most general templates a line with these words belongs to.
+
+    Lines that share a template also share each more general one of theirs, so the others need no keys: one quarter
+    counts alone only where no second one has room, the whole line only where no quarter has.
+    """
     n = F.size(words)
     m = n - DEPTH
     cut = [F.floor(q * m / 4).cast("int") for q in range(5)]
-    lead, quarter = F.slice(words, 1, DEPTH), [F.slice(words, cut[q] + DEPTH + 1, cut[q + 1] - cut[q]) for q in range(4)]
+    size = [cut[q + 1] - cut[q] for q in range(4)]
+    lead, quarter = F.slice(words, 1, DEPTH), [F.slice(words, cut[q] + DEPTH + 1, size[q]) for q in range(4)]
     room = F.floor(n - constant * n + 1e-9)
-    out = [F.xxhash64(n, F.lit(-1), words)]
+    both = {(i, j): (size[i] > 0) & (size[j] > 0) & (size[i] + size[j] <= room) for i in range(4) for j in range(i + 1, 4)}
+    one = [(size[i] > 0) & (size[i] <= room) for i in range(4)]
+    kept = lambda *gone: F.xxhash64(n, F.lit(4 * gone[0] + gone[-1]), lead, *[quarter[q] for q in range(4) if q not in gone])
+    out = [F.when(ok, kept(i, j)) for (i, j), ok in both.items()]
     for i in range(4):
-        for j in range(i, 4):
-            gone = cut[i + 1] - cut[i] + (cut[j + 1] - cut[j] if j > i else F.lit(0))
-            # Two quarters of which one is empty are a template of one quarter, which stands by itself.
-            own = (cut[i + 1] > cut[i]) & (cut[j + 1] > cut[j]) & (gone <= room)
-            out.append(F.when(own, F.xxhash64(n, F.lit(4 * i + j), lead, *[quarter[q] for q in range(4) if q not in (i, j)])))
+        paired = [ok for ij, ok in both.items() if i in ij]
+        out.append(F.when(one[i] & ~(paired[0] | paired[1] | paired[2]), kept(i)))
+    out.append(F.when(~(one[0] | one[1] | one[2] | one[3]), F.xxhash64(n, F.lit(-1), words)))
     return F.when(n >= min_words, F.array_compact(F.array(*out))).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -70,8 +76,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("n") >= min_docs)
         .select("key", "first")
     )
-    placed = keyed.select("doc_id", "th", F.posexplode("keys").alias("at", "ks")).select("doc_id", "th", "at", F.explode("ks").alias("key"), rank.alias("d"))
-    later = placed.join(recurring, "key").where(F.col("first") < F.col("d"))
+    placed = keyed.select("doc_id", "th", F.posexplode("keys").alias("at", "ks")).select("doc_id", "th", "at", F.explode("ks").alias("key"))
+    later = placed.join(recurring, "key").where(F.col("first") < rank)
     dropped = later.groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")]).withColumn("__sc_th", F.xxhash64(text))
