@@ -87,8 +87,10 @@ def slot_schedule(sources: DataFrame, block: int = 128) -> DataFrame:
     ranked = local.join(first, ["s", "span"]).select("slot", "s", "k", (F.col("first") + F.col("r")).alias("rank")).where("rank < k")
     have = counts.groupBy("s").agg(F.sum("n").alias("have"))
     short = need.join(have, "s", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < k")
-    rest = short.select("s", F.explode(F.sequence(F.col("have"), F.col("k") - 1)).alias("rank"))
-    return ranked.select("slot", "s", "rank").unionByName(rest.select((total + F.col("rank") * 65536 + F.col("s")).alias("slot"), "s", "rank"))
+    # The few that the points leave over follow at the end, sources in turn, without gaps that would stretch the schedule.
+    places = need.count()
+    rest = short.select("s", "have", F.explode(F.sequence(F.col("have"), F.col("k") - 1)).alias("rank"))
+    return ranked.select("slot", "s", "rank").unionByName(rest.select((total + (F.col("rank") - F.col("have")) * places + F.col("s")).alias("slot"), "s", "rank"))
 
 
 def mixed_spans(placed: DataFrame, sources: DataFrame, block: int = 128) -> DataFrame:

@@ -167,6 +167,34 @@ def test_schedule_spreads_the_sources(spark):
     assert all(abs(sum(s == 1 for _, s, _ in rows[:n]) - 0.6 * n) < 8 for n in (50, 200, 500, 900))
 
 
+def test_mixed_documents_come_in_schedule_order(spark):
+    r = random.Random(8)
+    rows = [(k, " ".join(["w"] * r.randint(20, 300)), "en", "hot" if k % 3 else "abc"[k % 2], 0) for k in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mixed_documents(table).withColumn("p", F.spark_partition_id()).collect()
+    sizes = Counter(x["p"] for x in out)
+    assert len(sizes) == 4 and max(sizes.values()) < 2 * min(sizes.values())
+    words = lambda xs: Counter({s: sum(len(x["text"].split()) for x in xs if x["source"] == s) for s in "ab"}) + Counter(hot=sum(len(x["text"].split()) for x in xs if x["source"] == "hot"))
+    whole, part = words(out), words([x for x in out if x["p"] in (0, 1)])
+    for s in whole:
+        assert abs(part[s] / sum(part.values()) - whole[s] / sum(whole.values())) < 0.05
+
+
+def test_language_keeps_columns_that_clash(docs):
+    models = langid.fit_models({"en": ["the ship sails over the cold water and the old stone"] * 12, "de": ["das Schiff fährt über das kalte Wasser und den alten Stein"] * 12})
+    wide = docs.withColumn("rejected", F.lit("mine")).withColumn("lang_score", F.lit("x")).withColumn("score", F.lit(7)).withColumn("lang_pred", F.lit(1))
+    out = langid.identify_languages(wide, models)
+    assert out.columns == [*docs.columns, "score", "lang_pred", "lang_score", "rejected"] and dict(out.dtypes)["rejected"] == "boolean"
+    assert {r["score"] for r in out.select("score").collect()} == {7}
+
+
+def test_language_limit_follows_length():
+    texts = ["the ship sails over the cold water and the old stone near the town", "a man and a dog walk along the river to the mill", "we saw the boat and the net on the sand"] * 8
+    models = langid.fit_models({"en": texts})
+    assert models.predict(["the old ship", "the cold water", "a dog"])[2].tolist() == [False] * 3
+    assert models.predict(["qzx vkj wqp zzx qqk " * 30])[2].tolist() == [True]
+
+
 def test_mixed_documents(docs, rows):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns

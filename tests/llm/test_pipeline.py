@@ -60,6 +60,19 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, docs, nothing):
     assert corpus_pipeline.STAGES[-1][1](spark, nothing, "").count() == 0
 
 
+def test_stages_take_columns_that_clash(spark, docs):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    wide = docs
+    for name in ("key", "th", "fp", "slot", "size", "s", "rank", "first", "places", "tag", "rejected_by", "component_id", "kept"):
+        wide = wide.withColumn(name, F.lit("x"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns and out.where("key <> 'x' or slot <> 'x' or th <> 'x'").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, "").count() == docs.count()
+
+
 def test_clean_documents_stay(spark):
     import corpus_pipeline
 
