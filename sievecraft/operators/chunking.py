@@ -25,23 +25,38 @@ def spread_windows(docs: DataFrame, window: int = 220, step: int = 150, cap: int
     return t.select("doc_id", "w", F.explode(at).alias("k")).select("doc_id", (F.col("k") * step).alias("start"), F.slice("w", F.col("k") * step + 1, window).alias("words"))
 
 
+#: Words of a document that go before a passage, and the line between.
+HEADER_WORDS, HEADER_MARK = 70, "\n[ĐOẠN PHÙ HỢP]\n"
+
+
 def top_passages(pairs: DataFrame, count: int = 2, window: int = 220, overlap: int = 70) -> DataFrame:
-    """qid, doc_id, rank, start, density of the best windows of each (question, text) pair.
+    """qid, doc_id, rank, start, density, passage: the best windows of each (question, text) pair.
 
-    A window scores 1 + 0.2 min(tf, 3) for each word of the question it holds, 3 for each number, 1.8 for each bigram
-    that occurs in its text; windows are ordered by score per root of their length.
+    A text of ``window`` + 80 words or fewer is one passage. Else a window scores 1 + 0.2 min(tf, 3) for each content
+    word of the question that it holds, 3 for each word of it with a digit, 1.8 for each of its bigrams that occurs in
+    the window's text; windows are ordered by score per root of their length, by score, and by start. A passage that
+    does not hold the document's first words is preceded by them.
     """
-    step = window - overlap
-    base = pairs.select("qid", "doc_id", F.array_distinct(F.filter(X.tokens(F.col("question")), lambda w: ~F.array_contains(F.array(*map(F.lit, X.STOP_WORDS)), w))).alias("q"), X.windows(X.tokens(F.col("question")), 2).alias("big"), X.tokens(F.col("text")).alias("w"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - overlap - 1, F.lit(0)), F.lit(step))
-    win = base.select("qid", "doc_id", "q", "big", "w", F.explode(starts).alias("start")).withColumn("c", F.slice("w", F.col("start") + 1, window))
-    joined = F.array_join("c", " ")
-    tf = lambda t: F.size(F.filter("c", lambda x: x == t))
-    words = F.aggregate(F.transform("q", lambda t: F.when(tf(t) > 0, (1 + 0.2 * F.least(tf(t), F.lit(3))) + F.when(t.rlike("^[0-9]+$"), 3.0).otherwise(0.0)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    bigrams = F.size(F.filter(F.array_distinct("big"), lambda g: F.contains(joined, g))) * 1.8
-    scored = win.withColumn("total", words + bigrams).withColumn("density", F.col("total") / F.sqrt(F.greatest(F.size("c"), F.lit(1))))
-    r = F.row_number().over(W.partitionBy("qid", "doc_id").orderBy(F.desc(F.round("density", 9)), F.desc(F.round("total", 9)), "start"))
-    return scored.withColumn("rank", r).where(F.col("rank") <= count).select("qid", "doc_id", "rank", "start", "density")
+    step, none = window - overlap, F.array().cast("array<string>")
+    q = pairs.select("qid", "doc_id", X.tokens(F.col("question")).alias("q"), X.space_words(F.col("text")).alias("w"))
+    stop = F.array(*map(F.lit, X.PASSAGE_STOP_WORDS))
+    q = q.withColumn("content", F.array_distinct(F.filter("q", lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t)))).withColumn("numbers", F.array_distinct(F.filter("q", lambda t: t.rlike(r"\p{Nd}")))).withColumn("big", F.array_distinct(X.windows(F.col("q"), 2)))
+    n = F.size("w")
+    whole = n <= window + 80
+    starts = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.ceil((n - window) / step) * step).cast("int"), F.lit(step)))
+    win = q.withColumn("whole", whole).select("*", F.explode(starts).alias("start")).withColumn("part", F.array_join(F.when(F.col("whole"), F.col("w")).otherwise(F.slice("w", F.col("start") + 1, window)), " "))
+    win = win.withColumn("c", X.tokens(F.col("part"))).withColumn("joined", F.array_join("c", " "))
+    # The window is cut to the question's words first, so that counting looks at these alone.
+    win = win.withColumn("hits", F.filter("c", lambda x: F.array_contains(F.col("q"), x)))
+    tf = lambda t: F.size(F.filter("hits", lambda x: x == t))
+    cover = F.aggregate(F.transform("content", lambda t: F.when(F.array_contains("hits", t), 1 + 0.2 * F.least(tf(t), F.lit(3))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    total = cover + 3.0 * F.size(F.array_intersect("numbers", F.coalesce("hits", none))) + 1.8 * F.size(F.filter("big", lambda g: F.contains("joined", g)))
+    scored = win.withColumn("total", F.round(total, 9)).withColumn("density", F.round(F.col("total") / F.sqrt(F.greatest(F.size("c"), F.lit(1))), 9))
+    header = F.concat(F.array_join(F.slice("w", 1, HEADER_WORDS), " "), F.lit(HEADER_MARK))
+    passage = F.when(F.col("whole") | (F.col("start") < HEADER_WORDS), F.col("part")).otherwise(F.concat(header, F.col("part")))
+    best = scored.withColumn("passage", passage).groupBy("qid", "doc_id", "passage").agg(F.min(F.struct((-F.col("density")).alias("d"), (-F.col("total")).alias("t"), "start")).alias("o"))
+    r = F.row_number().over(W.partitionBy("qid", "doc_id").orderBy("o"))
+    return best.withColumn("rank", r).where(F.col("rank") <= count).select("qid", "doc_id", "rank", F.col("o.start").alias("start"), (-F.col("o.d")).alias("density"), "passage")
 
 
 def chosen_evidence(pairs: DataFrame, first: DataFrame, second: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -306,3 +306,34 @@ def test_folders_and_sinks(spark, tmp_path):
     runs = spark.createDataFrame([("q", "s", '[{"doc_id": "d", "rank": 1, "score": 0.5}]')], "q string, source string, payload string")
     assert tuple(readers.payload_runs(runs).first()) == ("q", "s", "d", 1, 0.5)
     assert tuple(readers.signature(spark, str(tmp_path / "tree" / "a")).first()) == (1, 7)
+
+
+def test_top_passages_equal_a_plain_version(spark):
+    import math
+    import random
+    import re
+
+    r = random.Random(6)
+    vocab = [f"từ{k}" for k in range(60)] + ["thuế", "đất", "2020", "năm2021", "quy", "định"]
+    pairs = [(k, k, " ".join(r.choice(vocab) for _ in range(r.randint(0, 12))), " ".join(r.choice(vocab) for _ in range(n))) for k, n in enumerate([0, 5, 300, 301, 520, 521, 1000, 1400])]
+    got = {(x["qid"], x["rank"]): x["passage"] for x in chunking.top_passages(spark.createDataFrame([*pairs, (9, 9, None, None)], "qid long, doc_id long, question string, text string")).collect()}
+    assert got.pop((9, 1)) == ""
+    want = {}
+    for q, _, question, text in pairs:
+        toks, words = re.findall(r"\w+", question.lower()), text.split()
+        if len(words) <= 300:
+            want[q, 1] = " ".join(words)
+            continue
+        scored, start = [], 0
+        while True:
+            part = " ".join(words[start : start + 220])
+            c = re.findall(r"\w+", part.lower())
+            total = sum(1 + 0.2 * min(c.count(t), 3) for t in set(toks) if len(t) >= 3 and t in c and t not in X.PASSAGE_STOP_WORDS)
+            total += 3 * len({t for t in toks if any(x.isdigit() for x in t)} & set(c)) + 1.8 * sum(f"{a} {b}" in " ".join(c) for a, b in set(zip(toks, toks[1:])))
+            scored.append((-round(total / math.sqrt(len(c)), 9), -round(total, 9), start, part if start < 70 else " ".join(words[:70]) + chunking.HEADER_MARK + part))
+            if start + 220 >= len(words):
+                break
+            start += 150
+        for k, x in enumerate(sorted(scored)[:2], 1):
+            want[q, k] = x[3]
+    assert got == want
