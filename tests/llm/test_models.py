@@ -90,6 +90,54 @@ def test_language_cases(docs, nothing):
     assert len(out) == docs.count()
 
 
+def plain_symbols(text):
+    """One space for each run of what is no letter, letters in lower case, a space on either side."""
+    folded = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else " " for c in text)
+    return [" ", *re.sub(" +", " ", f" {folded} ")[1:]]
+
+
+def plain_kneser_ney(texts, order=4):
+    """By length of the context: counts of what follows; below the highest order of different grams, not of occurrences."""
+    grams = Counter()
+    for t in texts:
+        s = [None] * order + plain_symbols(t)
+        grams.update(tuple(s[i - order + 1 : i + 1]) for i in range(order, len(s)))  # the first space follows nothing
+    after = [defaultdict(Counter) for _ in range(order)]
+    for g, n in grams.items():
+        after[order - 1][g[:-1]][g[-1]] += n
+    kinds = set(grams)
+    for k in range(order - 1, 0, -1):
+        for g in kinds:
+            after[k - 1][g[1:-1]][g[-1]] += 1
+        kinds = {g[1:] for g in kinds}
+    return after
+
+
+def plain_entropy(after, text, size, discount=0.75):
+    s, total = [None] * len(after) + plain_symbols(text), 0.0
+    for i in range(len(after) + 1, len(s)):
+        p = 1 / size
+        for k, table in enumerate(after):
+            seen = table.get(tuple(s[i - k : i]))
+            if seen:
+                n = sum(seen.values())
+                p = max(seen[s[i]] - discount, 0) / n + discount * len(seen) / n * p
+        total -= np.log(p)
+    return total / (len(s) - len(after) - 1)
+
+
+def test_language_models_equal_a_plain_version():
+    samples = {"en": ["the ship sails over the cold water and the old stone", "A man, a dog & the mill"] * 4, "de": ["das Schiff fährt über das kalte Wasser und den alten Stein", "Ein Mann am Fluss."] * 4}
+    models = langid.fit_models(samples)
+    size = int(models.table.max()) + 1
+    plain = {x: plain_kneser_ney([t for k, t in enumerate(ts) if k % 6 != 5]) for x, ts in samples.items()}
+    texts = ["the old ship", "Das alte Schiff", "water", "xyz 12 q", "der Mann and the man", "ß", "a" * 50]
+    got, n, _ = models.entropies(texts)
+    want = np.array([[plain_entropy(plain[x], t, size) for x in models.langs] for t in texts])
+    assert np.allclose(got, want, atol=1e-9)
+    assert [models.langs[k] for k in want.argmin(axis=1)] == models.predict(texts)[0]
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["abracadabra and a banana band", "a cab and a bad crab"] * 3
     m = langid.fit_models({"x": texts})

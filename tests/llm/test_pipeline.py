@@ -6,12 +6,40 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from sievecraft.llm import langid, mixing, queries
+from sievecraft.llm import langid, queries
 from tests.llm.test_dedup import LAST, brute_components, brute_fingerprint, brute_lines
 
 P = pytest.importorskip("public_tokenizers")
 
 
+def plain_mix(docs):
+    """Words taken of each document (source, size): sources to 3, 1, 2 shares of 150 % of all words, twice their own at most.
+
+    A source is a circle of its documents in the order of a hash; the words up to its target are taken, going round.
+    """
+    sums = defaultdict(int)
+    for s, n in docs.values():
+        sums[s] += n
+    order, full = sorted(sums, key=lambda s: (s is None, s)), set()
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    while True:
+        open_ = [s for s in order if s not in full]
+        left = 1.5 * sum(sums.values()) - sum(2 * sums[s] for s in full)
+        target = {s: 2 * sums[s] for s in full} | {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        if not (over := {s for s in open_ if target[s] > 2 * sums[s]}):
+            break
+        full |= over
+    taken = dict.fromkeys(docs, 0)
+    for s in order:
+        left = min(int(target[s] + 1e-6), 2 * sums[s])
+        circle = sorted((d for d in docs if docs[d][0] == s and docs[d][1]), key=lambda d: hashlib.md5(f"{'' if d is None else d}:mix".encode()).hexdigest())
+        for d in [*circle, *circle]:
+            n = min(left, docs[d][1])
+            taken[d] += n
+            left -= n
+    return taken
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     import tiktoken
 
@@ -34,9 +62,8 @@ def test_pipeline(spark, docs, rows, tmp_path):
     for (d, t), (_, f) in zip(lined, fps):
         if d == comp[f]:
             stay[d] = t
-    left = spark.createDataFrame([(d, t, None, source[d], 0) for d, t in stay.items()], docs.schema)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(left).collect()}
+    taken = plain_mix({d: (source[d], size(t)) for d, t in stay.items()})
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(P.path(queries.VOCABULARY)), special_tokens={})
     want = []
     for d, t in stay.items():
