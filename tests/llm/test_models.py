@@ -161,6 +161,45 @@ def test_quality_cases(spark, docs, rows, nothing):
     assert {r["score"] for r in quality.score_quality(docs, labels.where("false")).collect()} == {0.5}
 
 
+def plain_boosting(x, y, trees, depth, rate=0.12, ridge=1.0, least=0.2):
+    """Scores by trees grown node by node over all cuts between values."""
+    start = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    total = np.full(len(y), start)
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        g, h = p - y, p * (1 - p)
+
+        def grow(rows, level, g=g, h=h):
+            part = lambda r: g[r].sum() ** 2 / (h[r].sum() + ridge)
+            best = (1e-6, None, None)
+            if level < depth:
+                for k in range(x.shape[1]):
+                    for c in np.unique(x[:, k])[:-1]:
+                        right = rows[x[rows, k] > c]
+                        left = rows[x[rows, k] <= c]
+                        if h[left].sum() < least or h[right].sum() < least:
+                            continue
+                        gain = part(left) + part(right) - part(rows)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, left, right)
+                if best[1] is not None:
+                    grow(best[1], level + 1)
+                    grow(best[2], level + 1)
+                    return
+            total[rows] += -rate * g[rows].sum() / (h[rows].sum() + ridge)
+
+        grow(np.arange(len(y)), 0)
+    return 1 / (1 + np.exp(-total))
+
+
+def test_trees_equal_plain_boosting():
+    r = np.random.default_rng(5)
+    x = r.integers(0, 12, (300, 3)).astype(float) + r.integers(0, 3, (300, 3)) / 10
+    y = ((x[:, 0] > 5) ^ (x[:, 2] > 8) ^ (r.random(300) < 0.1)).astype(float)
+    got = quality.fit_trees(x, y, trees=6, depth=2, bins=400).score(x)
+    assert np.allclose(got, plain_boosting(x, y, 6, 2), atol=1e-9)
+
+
 def test_trees_follow_their_arrays():
     r = np.random.default_rng(2)
     x = r.normal(size=(600, 3))
