@@ -40,11 +40,16 @@ def band_negatives(run: DataFrame, gold: DataFrame, n: int, low: int = 4, high:
     return other.withColumn("pick", r).where(F.col("pick") <= n).select("qid", "doc_id", "pick")
 
 
-def query_weights(rows: DataFrame) -> DataFrame:
-    """Half of a query's weight on its answers, half on the rest."""
+def query_weights(rows: DataFrame, scheme: str = "halves") -> DataFrame:
+    """The weight of each row within its query.
+
+    ``halves``: half of a query's weight on its answers, half on the rest; ``equal``: one over its rows; ``balanced``: as
+    halves but with a mean of one, and 1 for each row of a query that has no answer.
+    """
     q = W.partitionBy("qid")
     pos, n = F.sum("y").over(q), F.count("*").over(q)
-    return rows.withColumn("weight", F.when(F.col("y") == 1, 0.5 / pos).when(pos < n, 0.5 / (n - pos)).otherwise(0.0))
+    halves = F.when(F.col("y") == 1, 0.5 / pos).when(pos < n, 0.5 / (n - pos)).otherwise(0.0)
+    return rows.withColumn("weight", {"halves": halves, "equal": 1.0 / n, "balanced": F.when(pos == 0, 1.0).otherwise(n * halves)}[scheme])
 
 
 def branch_features(runs: DataFrame, branches: tuple[str, ...]) -> DataFrame:

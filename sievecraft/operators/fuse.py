@@ -7,14 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def rrf(runs: DataFrame, weights: dict, k: float, missing: int | None = 100_000, depth: int | None = None, cap: int | None = None, pool: DataFrame | None = None) -> DataFrame:
+def rrf(runs: DataFrame, weights: dict, k: float, missing: int | None = 100_000, depth: int | dict | None = None, cap: int | None = None, pool: DataFrame | None = None) -> DataFrame:
     """qid, doc_id, score, rank: sum of weight / (k + rank).
 
     A branch that lacks a document counts with rank ``missing``, or not at all if that is None. ``pool`` restricts and
-    completes the documents of each query.
+    completes the documents of each query. ``depth`` cuts the branches before, all alike or each by its own.
     """
     w = F.coalesce(*[F.when(F.col("branch") == b, F.lit(float(v))) for b, v in weights.items()], F.lit(0.0))
-    own = runs.where(F.col("branch").isin(*weights)) if depth is None else runs.where(F.col("branch").isin(*weights) & (F.col("rank") <= depth))
+    own = runs.where(F.col("branch").isin(*weights))
+    if depth is not None:
+        deep = F.coalesce(*[F.when(F.col("branch") == b, F.lit(d)) for b, d in depth.items()]) if isinstance(depth, dict) else F.lit(depth)
+        own = own.where(F.col("rank") <= F.coalesce(deep, F.col("rank")))
     gain = w / (k + F.col("rank")) - (w / (k + missing) if missing is not None else F.lit(0.0))
     got = own.groupBy("qid", "doc_id").agg(F.sum(gain).alias("g"))
     if pool is not None:

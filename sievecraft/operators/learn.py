@@ -58,14 +58,15 @@ def leave_block_out(rows: DataFrame, columns: tuple[str, ...], **how) -> DataFra
     return out
 
 
-def crossfit_support(folds: DataFrame) -> DataFrame:
-    """outer_fold, qid, support_fold: the folds whose labels a query may learn from, never its own or the held-out one.
-
-    Labels join on the fold, so no pair of queries is ever written. There is a handful of folds.
-    """
+def support_grid(folds: DataFrame) -> DataFrame:
+    """fold, outer_fold, support_fold: the folds whose labels a fold may learn from, never its own or the held-out one. There is a handful of folds."""
     names = sorted(r[0] for r in folds.select("fold").distinct().collect())
-    grid = folds.sparkSession.createDataFrame([(a, o, x) for a in names for o in names for x in names if x not in (a, o)], "fold long, outer_fold long, support_fold long")
-    return folds.join(F.broadcast(grid), "fold").select("outer_fold", "qid", "support_fold")
+    return folds.sparkSession.createDataFrame([(a, o, x) for a in names for o in names for x in names if x not in (a, o)], "fold long, outer_fold long, support_fold long")
+
+
+def crossfit_support(folds: DataFrame) -> DataFrame:
+    """outer_fold, qid, support_fold: labels join on the fold, so no pair of queries is ever written."""
+    return folds.join(F.broadcast(support_grid(folds)), "fold").select("outer_fold", "qid", "support_fold")
 
 
 def sweep(runs: DataFrame, gold: DataFrame, params: DataFrame, depth: int = 5) -> DataFrame:

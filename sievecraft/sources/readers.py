@@ -31,7 +31,33 @@ def labelled(q: DataFrame) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """One row per line; blank lines are skipped, a line that is no JSON raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def channels(spark: SparkSession, path: str, branch: str) -> DataFrame:
+    """qid, branch, doc_id, score of a JSON file {qid: {doc_id: score}}, bare or below the key "scores"."""
+    raw = spark.read.text(path, wholetext=True)
+    inner = F.from_json(F.get_json_object("value", "$.scores"), "map<string,map<string,double>>")
+    each = raw.select(F.explode(F.coalesce(inner, F.from_json("value", "map<string,map<string,double>>"))).alias("qid", "of"))
+    return each.select("qid", F.lit(branch).alias("branch"), F.explode("of").alias("doc_id", "score"))
+
+
+def npy_rows(spark: SparkSession, path: str, rows_at_once: int = 4096) -> DataFrame:
+    """row, embedding of a .npy matrix in a folder that driver and executors share; tasks map their rows into memory."""
+    import numpy as np
+    import pandas as pd
+
+    n = np.load(path, mmap_mode="r").shape[0]
+
+    def part(batches):
+        m = np.load(path, mmap_mode="r")
+        for b in batches:
+            for at in b["id"]:
+                some = np.asarray(m[at : at + rows_at_once], dtype=np.float32)
+                yield pd.DataFrame({"row": np.arange(at, at + len(some)), "embedding": list(some)})
+
+    return spark.range(0, n, rows_at_once).mapInPandas(part, "row long, embedding array<float>")
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -79,3 +79,40 @@ def appended(df: DataFrame, path: str, fingerprint: str) -> None:
     if others:
         raise ValueError(f"{path} was written under another configuration")
     df.withColumn("config_hash", F.lit(fingerprint)).write.mode("append").parquet(path)
+
+
+def vectors_appended(texts: DataFrame, path: str, key: str, text: str, encode, dim: int, at_once: int = 512, least: int = 8) -> None:
+    """Append (key, embedding) of texts that ``path`` lacks, ``at_once`` texts to a call of ``encode``.
+
+    ``encode`` maps a list of texts to a matrix of ``dim`` columns. Where it raises MemoryError the number of texts is
+    halved, down to ``least``, and tried again; other errors end the task. A null text counts as empty.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = texts.sparkSession
+    try:
+        todo = texts.join(spark.read.parquet(path).select(key), key, "left_anti")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        todo = texts
+
+    def encoded(some: list[str]):
+        at, size, out = 0, at_once, []
+        while at < len(some):
+            try:
+                out.append(np.asarray(encode(some[at : at + size]), dtype=np.float32).reshape(-1, dim))
+                at += size
+            except MemoryError:
+                if size <= least:
+                    raise
+                size = max(least, size // 2)
+        return list(np.concatenate(out)) if out else []
+
+    def part(batches):
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "embedding": encoded([x if isinstance(x, str) else "" for x in b[text]])})
+
+    kind = texts.schema[key].dataType.simpleString()
+    todo.select(key, text).mapInPandas(part, f"`{key}` {kind}, embedding array<float>").write.mode("append").parquet(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievecraft.functions import text as X
-from sievecraft.operators import chunking, features, fuse, learn, measure, retrieve, sets
+from sievecraft.operators import chunking, features, fuse, learn, measure, mined, retrieve, rows, sets
 from sievecraft.sources import readers, sinks
 
 LAW = [(1, "luật đất đai luật số 10"), (2, "nghị định về đất đai và thuế"), (3, "thông tư hướng dẫn thuế thu nhập cá nhân đất"), (4, "một hai ba bốn năm sáu"), (5, "luật thuế luật thuế luật")]
@@ -337,3 +337,72 @@ def test_top_passages_equal_a_plain_version(spark):
         for k, x in enumerate(sorted(scored)[:2], 1):
             want[q, k] = x[3]
     assert got == want
+
+
+def test_quotas_of_negatives(spark):
+    rows = lambda docs: spark.createDataFrame([(1, d, k) for k, d in enumerate(docs, 1)], "qid long, doc_id long, rank int")
+    gold, universe = spark.createDataFrame([(1, 11)], "qid long, doc_id long"), spark.range(100, 130).withColumnRenamed("id", "doc_id")
+    args = (rows(range(10, 16)), rows([20, 10, 21]), rows([22, 11, 21, 23]), rows([14, 10, 30]), universe, gold)
+    quotas = {"hardest": 2, "middle": 1, "disagreement": 9, "confuser": 2, "random": 1}
+    got = [(r["doc_id"], r["source"]) for r in mined.quota_negatives(*args, quotas=quotas).orderBy("pick").collect()]
+    assert got[:2] == [(10, "hardest"), (12, "hardest")] and len(got) == len(set(d for d, _ in got)) == 15 and 11 not in {d for d, _ in got}
+    of = lambda s: {d for d, x in got if x == s}
+    # the third row of the longer list stands within the shorter one's length, its fourth does not
+    assert of("middle") <= {13, 14, 15} and of("disagreement") == {20, 21, 22} and of("random") <= set(range(100, 130))
+    assert of("middle") | of("confuser") | of("backfill") == {13, 14, 15, 30} and len(of("random")) == 1 and of("backfill_random") <= set(range(100, 130))
+    again = [(r["doc_id"], r["source"]) for r in mined.quota_negatives(*args, quotas=quotas).orderBy("pick").collect()]
+    assert again == got
+    many = mined.quota_negatives(rows([]), *args[1:], quotas=quotas)
+    assert many.count() == 0
+
+
+def test_swaps_by_utility(spark):
+    run = spark.createDataFrame([(q, 10 * q + r, r, 1.0 / r) for q in (1, 2) for r in range(1, 9)], "qid long, doc_id long, rank int, score double")
+    acts = rows.actions(run, ("score",))
+    gold = spark.createDataFrame([(1, 17), (1, 11), (2, 25)], "qid long, doc_id long")
+    got = {(r["qid"], r["challenger"]): (r["target"], r["weight"]) for r in mined.action_targets(acts, gold).collect()}
+    assert got[1, 17] == (0.5, 1.0) and got[1, 16] == (0.0, 0.15) and got[2, 26] == (-1.0, 1.0) and len(got) == 6
+    u = spark.createDataFrame([(1, 16, 0.3, 0.2), (1, 17, 0.35, 0.2), (2, 26, 0.3, 0.0)], "qid long, challenger long, new_rank double, utility double")
+    out = {(r["qid"], r["rank"]): r["doc_id"] for r in mined.swapped(run, u).collect()}
+    assert out[1, 5] == 16 and out[2, 5] == 25 and len(out) == 10
+
+
+def test_memory_rows_by_hand(spark):
+    near = spark.createDataFrame([(1, 2, 0.5, 1), (1, 3, 0.25, 2)], "qid long, other long, score double, rank int")
+    gold = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (3, 8)], "qid long, doc_id long")
+    got = {r["doc_id"]: r for r in mined.memory_rows(spark.createDataFrame([(1, 7), (1, 9)], "qid long, doc_id long"), near, gold).collect()}
+    assert [got[7][c] for c in ("n", "best", "total", "rr", "first", "n1", "n5", "share", "freq")] == [2, 0.5, 0.75, 1.5, 1, 1, 2, 1.0, 2] and got[7]["prior"] == pytest.approx(1.0)
+    assert got[7]["votes"] == pytest.approx(0.5 / 11 + 0.25 / 12) and got[9]["n"] == got[9]["freq"] == 0 and len(mined.MEMORY) == 14
+
+
+def test_numbers_named_in_questions(spark):
+    q = spark.createDataFrame([(1, "theo 12/2020/NĐ-CP"), (2, None)], "qid long, text string").select("qid", X.named_numbers(F.col("text")).alias("numbers"))
+    owners = spark.createDataFrame([(5, "12/2020/NĐ-CP"), (6, None)], "doc_id long, own string")
+    got = mined.named_in_question(spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "qid long, doc_id long"), q, owners).orderBy("qid", "doc_id").collect()
+    assert [r["named"] for r in got] == [1.0, 0.0, 0.0]
+
+
+def test_channels_matrices_and_vectors(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "a.json").write_text('{"1": {"7": 0.5, "8": 0.25}, "2": {}}')
+    (tmp_path / "b.json").write_text('{"scores": {"1": {"9": 1.0}}}')
+    assert {(r["qid"], r["doc_id"], r["score"]) for r in readers.channels(spark, str(tmp_path / "a.json"), "x").collect()} == {("1", "7", 0.5), ("1", "8", 0.25)}
+    assert [(r["branch"], r["doc_id"]) for r in readers.channels(spark, str(tmp_path / "b.json"), "y").collect()] == [("y", "9")]
+    m = np.arange(21, dtype=np.float16).reshape(7, 3)
+    np.save(tmp_path / "m.npy", m)
+    got = {r["row"]: r["embedding"] for r in readers.npy_rows(spark, str(tmp_path / "m.npy"), 2).collect()}
+    assert [got[k] for k in range(7)] == m.astype(float).tolist()
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n\n{"a": \n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        readers.json_lines(spark, str(tmp_path / "bad.jsonl"), "a int").collect()
+
+    def encode(some):
+        if len(some) > 10:
+            raise MemoryError
+        return [[len(x), 1.0] for x in some]
+
+    texts = spark.createDataFrame([(k, "x" * k if k else None) for k in range(30)], "id long, t string")
+    for part in (texts.where("id < 20"), texts):
+        sinks.vectors_appended(part, str(tmp_path / "v"), "id", "t", encode, 2)
+    assert {r["id"]: r["embedding"] for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {k: [float(k), 1.0] for k in range(30)}
