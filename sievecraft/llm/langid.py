@@ -305,4 +305,4 @@ def identify_languages(docs: DataFrame, models: Models, id_col: str = "doc_id",
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
     schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("rejected", BooleanType())])
-    return short_batches(docs).select(*names).mapInArrow(run, schema)
+    return short_batches(docs, 512).select(*names).mapInArrow(run, schema)  # all columns pass through Python
