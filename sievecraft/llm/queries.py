@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm import bpe, exact_dedup, html_extract, langid, line_dedup, mixing, quality, search, simhash, substring_dedup
+from sievecraft.llm import bpe, divergence, exact_dedup, html_extract, langid, line_dedup, merkle, mixing, quality, search, simhash, substring_dedup
 from sievecraft.session import table
 
 try:
@@ -73,7 +73,17 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.build_index(docs), docs.where("doc_id % 100 = 0"), k=10).withColumn("score", F.round("score", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_line_dedup, op4_quality, op5_bpe, op6_substring_dedup, op7_language, op8_mixing, op9_html, op10_search)}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank: distances of every two sources of a language and the terms that mark each."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every row of documents."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_line_dedup, op4_quality, op5_bpe, op6_substring_dedup, op7_language, op8_mixing, op9_html, op10_search, op12_divergence, op13_manifest)}
 
 OP1 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
@@ -138,4 +148,52 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op3_line_dedup": OP3, "op6_substring_dedup": OP6, "op8_mixing": OP8, "op10_search": OP10}
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(ln)::BIGINT AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::BIGINT AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (s.total + 5 * v.v))::BIGINT AS p, 1 + (1000000000::HUGEINT * (k.ln + 5) // (v.total + 5 * v.v))::BIGINT AS q
+  FROM s JOIN v ON v.lang = s.lang JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pairs LEFT JOIN far USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+def manifest_sql(source_levels: int = 6, root_levels: int = 4) -> str:
+    """Levels are written out: sources of up to 16^6 rows, up to 16^4 sources. A level whose group has one node is passed on."""
+    framed = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    fields = [framed(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = framed("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    # crc32 without a table: -1 shifts by a bit, another number is a byte to take in.
+    steps = "list_concat([4294967295], flatten(list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda j: [ord(substr(doc_id::VARCHAR, j, 1)), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    crc = f"xor(list_reduce({steps}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"
+    parts = [
+        f"leaves AS (SELECT doc_id, source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, leaf, coalesce(changed, leaf) AS start FROM "
+        f"(SELECT doc_id, source, sha256(concat({', '.join([*fields, framed('text')])})) AS leaf, CASE WHEN {crc} % 5 = 0 THEN sha256(concat({', '.join([*fields, lowered])})) END AS changed FROM documents))",
+        "s0 AS (SELECT g, n, i, leaf AS h FROM leaves)",
+    ]
+    up = lambda t, k: f"{t}{k + 1} AS (SELECT g, (n + 15) // 16 AS n, i // 16 AS i, CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {t}{k} GROUP BY g, n, i // 16)"
+    parts += [up("s", k) for k in range(source_levels)]
+    parts.append(f"r0 AS (SELECT 0 AS g, count(*) OVER () AS n, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h, g AS source FROM s{source_levels})")
+    parts += [up("r", k) for k in range(root_levels)]
+    parts.append(f"f0 AS (SELECT leaves.doc_id, leaf, s{source_levels}.h AS subroot, (SELECT h FROM r{root_levels}) AS root, leaves.g, leaves.i, r0.i AS ri, start AS f, '' AS proof FROM leaves JOIN s{source_levels} ON s{source_levels}.g IS NOT DISTINCT FROM leaves.g JOIN r0 ON r0.source IS NOT DISTINCT FROM leaves.g)")
+    at = 0
+    for t, levels, group, place in (("s", source_levels, "g", "i"), ("r", root_levels, "0", "ri")):
+        for k in range(levels):
+            kids = f"(SELECT g, i // 16 AS up, any_value(n) AS n, list(h ORDER BY i) AS kids FROM {t}{k} GROUP BY g, i // 16)"
+            pos = f"({place} // {16**k}) % 16"
+            left, right = f"array_to_string(kids[1 : {pos}], '')", f"array_to_string(kids[{pos} + 2 : 16], '')"
+            parts.append(f"f{at + 1} AS (SELECT doc_id, leaf, subroot, root, f{at}.g, f{at}.i, ri, CASE WHEN n = 1 THEN f ELSE sha256({left} || f || {right}) END AS f, CASE WHEN n = 1 THEN proof ELSE proof || {left} || {right} END AS proof FROM f{at} JOIN {kids} k ON k.g IS NOT DISTINCT FROM {'f' + str(at) + '.g' if group == 'g' else '0'} AND k.up = {place} // {16 ** (k + 1)})")
+            at += 1
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{at}"
+
+
+ORACLES = {"op1_exact_dedup": OP1, "op3_line_dedup": OP3, "op6_substring_dedup": OP6, "op8_mixing": OP8, "op10_search": OP10, "op12_divergence": OP12, "op13_manifest": manifest_sql()}
