@@ -70,7 +70,8 @@ def term_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
 
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
     parts = short_batches(docs).select(*text).mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Dealt by language and term, which serves the sums over a language's sources too; tasks have added up what they could.
+    return parts.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -91,11 +92,12 @@ def bucket(count: Column) -> Column:
 
 def tables(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """Postings (lang, source, term, n, lang_n) of the kept terms, and groups (lang, source, total, terms, lang_total, kept)."""
-    counts = checkpointed(term_counts(docs))
-    term = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= min_docs)
-    postings = checkpointed(counts.where("term <> ''").select("lang", "source", "term", "n").join(term.drop("docs"), ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
+    same = W.partitionBy("lang", "term")
+    counts = term_counts(docs).withColumn("lang_n", F.sum("n").over(same)).withColumn("lang_docs", F.sum("docs").over(same))
+    counts = checkpointed(counts.where((F.col("term") == "") | (F.col("lang_docs") >= min_docs)).select("lang", "source", "term", "n", "lang_n"))
+    postings = counts.where("term <> ''")
     own = postings.groupBy(*GROUP).agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
-    lang = term.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count("*").alias("kept"))
+    lang = postings.select("lang", "term", "lang_n").distinct().groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count("*").alias("kept"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     groups = counts.where("term = ''").select(*GROUP).join(own, GROUP, "left").join(lang, "lang", "left")
     return postings, checkpointed(groups.select(*GROUP, *map(zero, ("total", "terms", "lang_total", "kept"))))
