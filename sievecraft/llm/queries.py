@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm import bpe, divergence, exact_dedup, html_extract, langid, line_dedup, merkle, mixing, quality, search, simhash, substring_dedup
+from sievecraft.llm import bpe, divergence, exact_dedup, html_extract, langid, line_dedup, merkle, mixing, pii, quality, search, simhash, substring_dedup
 from sievecraft.session import table
 
 try:
@@ -73,6 +73,11 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.build_index(docs), docs.where("doc_id % 100 = 0"), k=10).withColumn("score", F.round("score", 6))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of documents."""
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang, source, part, item, value, rank: distances of every two sources of a language and the terms that mark each."""
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
@@ -83,7 +88,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_line_dedup, op4_quality, op5_bpe, op6_substring_dedup, op7_language, op8_mixing, op9_html, op10_search, op12_divergence, op13_manifest)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_line_dedup, op4_quality, op5_bpe, op6_substring_dedup, op7_language, op8_mixing, op9_html, op10_search, op11_pii, op12_divergence, op13_manifest)}
 
 OP1 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
