@@ -28,8 +28,6 @@ MARKED_NUMBER = r"(?iu)Số:?\s*(\d+[/.](?:\d{4}[/.])?[A-ZĐƯƠ\-]+)"
 LOOSE_NUMBER = r"(?iu)(\d+[/.](?:\d{4}[/.])?[A-ZĐƯƠ\-]{2,})"
 LEGAL_REFERENCE = r"(?iu)(?:điều|khoản|điểm|mục|chương)\s+[\p{L}\p{N}_.-]+|\b\d{1,4}/\d{2,4}/[\p{L}\p{N}_-]+\b"
 PREAMBLE_END = r"(?iu)Điều\s+1\b"
-#: Words that carry no content in a question of either language of the test tables.
-STOP_WORDS = ("và", "của", "là", "có", "cho", "các", "được", "trong", "khi", "thì", "the", "of", "and", "to", "in", "is", "on", "for", "a")
 
 
 def tokens(text: Column) -> Column:
@@ -54,7 +52,7 @@ def windows(arr: Column, n: int) -> Column:
     return bound(arr, lambda w: F.transform(_runs(w, n), lambda g: F.array_join(g, " ")))
 
 
-def phrases(arr: Column, n: int, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+def phrases(arr: Column, n: int, stop: tuple[str, ...] = PHRASE_STOP_WORDS) -> Column:
     """Distinct n-grams with at least max(1, n - 1) words that are no stop words."""
     words = F.array(*map(F.lit, stop))
     kept = bound(arr, lambda a: F.filter(_runs(a, n), lambda g: F.size(F.filter(g, lambda w: ~F.array_contains(words, w))) >= max(1, n - 1)))

@@ -14,6 +14,8 @@ from sievecraft.functions import text as X
 from sievecraft.session import checkpointed
 
 K1, B = 1.2, 0.75
+#: Terms of a query set that are written into the plan.
+ASKED_TERMS = 500
 LAST = np.int64(1 << 62)
 
 
@@ -24,16 +26,20 @@ def postings(units: DataFrame, terms: Column, unit: str = "doc_id") -> DataFrame
 
 
 def bm25(queries: DataFrame, units: DataFrame, terms: Column, k: int, unit: str = "doc_id", digits: int = 9) -> DataFrame:
-    """qid, unit, score, rank: distinct query terms against the units; a non-positive idf is 1e-6.
+    """qid, unit, score, rank: distinct query terms (qid, term) against units that no index is kept of, such as a small or passing table.
 
-    ``queries`` has qid and term. Texts are tokenised once: the postings of the asked terms are written, and with them
-    one for each unit (the empty term) that carries its length. Document frequencies combine before their shuffle; the
-    top k of a query is found by a limited window.
+    Each unit's terms are cut to the asked ones before they become rows; where these are more than ``ASKED_TERMS``, rows
+    meet them in a join. Document frequencies combine before their shuffle; a non-positive idf is 1e-6.
     """
     asked = queries.select("qid", "term").distinct()
-    wanted = asked.select("term").distinct().unionByName(units.sparkSession.createDataFrame([("",)], "term string"))
-    every = units.select(unit, terms.alias("w")).select(unit, F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
-    found = checkpointed(every.join(wanted, "term", "left_semi").groupBy(unit, "dl", "term").agg(F.count("*").alias("tf")))
+    words = units.select(unit, terms.alias("w")).select(unit, F.size("w").alias("dl"), "w")
+    few = [r[0] for r in asked.select("term").distinct().limit(ASKED_TERMS + 1).collect()]
+    if len(few) <= ASKED_TERMS:
+        every = words.select(unit, "dl", F.explode(F.concat(F.filter("w", lambda x: x.isin(few)), F.array(F.lit("")))).alias("term"))
+    else:
+        wanted = asked.select("term").distinct().unionByName(units.sparkSession.createDataFrame([("",)], "term string"))
+        every = words.select(unit, "dl", F.explode(F.concat("w", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
+    found = checkpointed(every.groupBy(unit, "dl", "term").agg(F.count("*").alias("tf")))
     stats = found.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")).cast("double") / F.sum("tf")).alias("avgdl"))
     found = found.where("term <> ''")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
@@ -45,10 +51,13 @@ def bm25(queries: DataFrame, units: DataFrame, terms: Column, k: int, unit: str
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def best_plus_second(chunk_runs: DataFrame, owners: DataFrame, weight: float = 0.6) -> DataFrame:
-    """qid, doc_id, score: best chunk plus ``weight`` times the second; the limit on chunks came before."""
-    owned = chunk_runs.join(owners, "chunk_id")
-    rn = F.row_number().over(W.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "chunk_id"))
+def best_plus_second(chunk_runs: DataFrame, owners: DataFrame | None = None, weight: float = 0.6, chunk: str = "chunk_id") -> DataFrame:
+    """qid, doc_id, score: best chunk plus ``weight`` times the second; the limit on chunks came before.
+
+    ``owners`` has the document of each chunk, where the runs do not name it themselves.
+    """
+    owned = chunk_runs if owners is None else chunk_runs.join(owners, chunk)
+    rn = F.row_number().over(W.partitionBy("qid", "doc_id").orderBy(F.desc("score"), chunk))
     return owned.withColumn("rn", rn).where("rn <= 2").groupBy("qid", "doc_id").agg(F.sum(F.when(F.col("rn") == 1, F.col("score")).otherwise(weight * F.col("score"))).alias("score"))
 
 

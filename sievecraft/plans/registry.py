@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievecraft.functions import text as X
-from sievecraft.operators import chunking, features, fuse, learn, measure, retrieve, sets, validate
+from sievecraft.operators import chunking, features, fuse, index, learn, measure, retrieve, sets, validate
 from sievecraft.session import table
 
 QUERIES: dict = {}
@@ -92,7 +92,7 @@ pool AS (SELECT DISTINCT qid, doc_id FROM runs WHERE rank <= 12),
 view AS (SELECT * FROM runs WHERE branch = 'view'), click AS (SELECT * FROM runs WHERE branch = 'click')
 """
 TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
-STOPS = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
+STOPS = "[" + ", ".join(f"'{w}'" for w in X.PHRASE_STOP_WORDS) + "]"
 
 
 def bm25_sql(unit_cte: str, unit: str, k: int, asked_sql: str | None = None) -> str:
@@ -196,8 +196,13 @@ def chk_top_passages(s, d):
 # ---------------------------------------------------------------- retrieval
 
 
+def lexical(s, d, width=1, name="documents", unit="doc_id"):
+    """The stored index of a table's texts, which its queries share; a term has ``width`` words."""
+    return index.stored(table(s, d, name).select(F.col(unit).alias("doc_id"), "text"), width)
+
+
 def ret_doc_runs(s, d, k):
-    return retrieve.bm25(asked(s, d), docs(s, d), X.tokens(F.col("text")), k)
+    return index.bm25(lexical(s, d), asked(s, d), k)
 
 
 DOC_UNITS = f"WITH u AS (SELECT doc_id, {TOK} AS w FROM documents)"
@@ -208,15 +213,9 @@ def ret_bm25_doc(s, d):
     return ret_doc_runs(s, d, 10).select("qid", "doc_id", "rank", "score")
 
 
-def chunk_units(s, d):
-    return chunking.token_windows(docs(s, d)).select((F.col("doc_id") * 1_000_000 + F.col("chunk_no")).alias("chunk_id"), "doc_id", "words")
-
-
 @query(bm25_sql(f"WITH {CHUNKS}", "chunk_id", 2000) + ", o AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, chunk_id) AS rn FROM bm JOIN (SELECT chunk_id, doc_id FROM u) USING (chunk_id)) SELECT qid, doc_id, round(sum(CASE rn WHEN 1 THEN score ELSE 0.6 * score END), 6) AS score FROM o WHERE rn <= 2 GROUP BY ALL")
 def ret_bm25_chunk_best2(s, d):
-    u = chunk_units(s, d)
-    r = retrieve.bm25(asked(s, d), u, F.col("words"), 2000, "chunk_id")
-    return retrieve.best_plus_second(r.select("qid", "chunk_id", "score"), u.select("chunk_id", "doc_id"))
+    return retrieve.best_plus_second(index.bm25(lexical(s, d), asked(s, d), 2000, "chunk"), chunk="no")
 
 
 TRI = lambda w: f"list_transform(range(1, greatest(len({w}) - 2, 0) + 1), lambda i: array_to_string({w}[i : i + 2], ' '))"
@@ -225,15 +224,14 @@ TRI = lambda w: f"list_transform(range(1, greatest(len({w}) - 2, 0) + 1), lambda
 @query(bm25_sql(f"WITH t AS (SELECT doc_id, {TOK} AS v FROM documents), u AS (SELECT doc_id, {TRI('v')} AS w FROM t), b AS (SELECT item_id, {TOK} AS v FROM benchmark)", "doc_id", 10, f"SELECT DISTINCT item_id AS qid, unnest({TRI('v')}) AS term FROM b") + " SELECT qid, doc_id, rank, round(score, 6) AS score FROM bm")
 def ret_bm25_phrase(s, d):
     q = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(X.windows(X.tokens(F.col("text")), 3)).alias("term"))
-    return retrieve.bm25(q, docs(s, d), X.windows(X.tokens(F.col("text")), 3), 10).select("qid", "doc_id", "rank", "score")
+    return index.bm25(lexical(s, d, 3), q, 10).select("qid", "doc_id", "rank", "score")
 
 
 MEM = f"SELECT DISTINCT item_id AS qid, unnest({TOK}) AS term FROM benchmark"
 
 
 def neighbours(s, d, depth=100):
-    b = table(s, d, "benchmark").select(F.col("item_id").alias("other"), "text")
-    r = retrieve.bm25(asked(s, d), b, X.tokens(F.col("text")), depth + 1, "other").where("qid <> other")
+    r = index.bm25(lexical(s, d, 1, "benchmark", "item_id"), asked(s, d), depth + 1).withColumnRenamed("doc_id", "other").where("qid <> other")
     return r.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "other"))).where(F.col("rank") <= depth)
 
 
@@ -252,12 +250,11 @@ for _name, _vote in (("ret_memory_vote", "1.0"), ("ret_memory_score", "greatest(
 
 def bundle(s, d, full_k=500, local_k=2000, tri_k=1000, memory_k=100):
     """Branches of one question: whole documents, chunks and trigram phrases of chunks (best plus 0.6 second), question memory."""
-    u = chunk_units(s, d)
-    best2 = lambda q, terms, k: retrieve.best_plus_second(retrieve.bm25(q, u, terms, k, "chunk_id").select("qid", "chunk_id", "score"), u.select("chunk_id", "doc_id"))
+    best2 = lambda q, width, k: retrieve.best_plus_second(index.bm25(lexical(s, d, width), q, k, "chunk"), chunk="no")
     spoken = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(X.phrases(X.tokens(F.col("text")), 3)).alias("term"))
     full = ret_doc_runs(s, d, full_k).select("qid", "doc_id", "score").withColumn("branch", F.lit("full"))
-    local = best2(asked(s, d), F.col("words"), local_k).withColumn("branch", F.lit("local"))
-    tri = best2(spoken, X.windows(F.col("words"), 3), tri_k).withColumn("branch", F.lit("trigram"))
+    local = best2(asked(s, d), 1, local_k).withColumn("branch", F.lit("local"))
+    tri = best2(spoken, 3, tri_k).withColumn("branch", F.lit("trigram"))
     memory = retrieve.memory_votes(neighbours(s, d, memory_k), memory_gold(s, d), True).select("qid", "doc_id", F.col("vote").alias("score")).withColumn("branch", F.lit("memory"))
     every = full.unionByName(local).unionByName(tri).unionByName(memory).withColumn("score", F.round("score", 9))
     return every.withColumn("rank", F.row_number().over(W.partitionBy("qid", "branch").orderBy(F.desc("score"), "doc_id")))

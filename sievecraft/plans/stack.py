@@ -176,12 +176,12 @@ def ret_near_dups(s, d):
     return retrieve.near_questions(b, b.select("qid", (F.col("qid") % 5).alias("fold")), X.char_ngrams(X.tokens(F.col("text"))), 0.2)
 
 
-@query(bm25_sql(DOC_UNITS, "doc_id", 10) + ", e AS (SELECT qid, doc_id, CASE WHEN rank <= 3 THEN doc_id * 1000000 END AS c1, CASE WHEN rank <= 6 THEN doc_id * 1000000 + 1 END AS c2 FROM bm) SELECT qid, doc_id, coalesce(c1, c2, doc_id * 1000000) AS chunk_id, CASE WHEN c1 IS NOT NULL THEN 'first' WHEN c2 IS NOT NULL THEN 'second' ELSE 'lead' END AS selector FROM e")
+@query(bm25_sql(DOC_UNITS, "doc_id", 10) + ", e AS (SELECT qid, doc_id, CASE WHEN rank <= 3 THEN 0 END AS c1, CASE WHEN rank <= 6 THEN 1 END AS c2 FROM bm) SELECT qid, doc_id, coalesce(c1, c2, 0)::BIGINT AS chunk_no, CASE WHEN c1 IS NOT NULL THEN 'first' WHEN c2 IS NOT NULL THEN 'second' ELSE 'lead' END AS selector FROM e")
 def chk_evidence(s, d):
     r = ret_doc_runs(s, d, 10)
-    at = lambda most, no: r.where(F.col("rank") <= most).select("qid", "doc_id", (F.col("doc_id") * 1_000_000 + no).alias("chunk_id"))
-    windows = chunking.token_windows(docs(s, d)).select("doc_id", (F.col("doc_id") * 1_000_000 + F.col("chunk_no")).alias("chunk_id"))
-    return chunking.chosen_evidence(r, at(3, 0), at(6, 1), windows)
+    at = lambda most, no: r.where(F.col("rank") <= most).select("qid", "doc_id", F.lit(no).alias("chunk_id"))
+    windows = chunking.token_windows(docs(s, d)).select("doc_id", F.col("chunk_no").alias("chunk_id"))
+    return chunking.chosen_evidence(r, at(3, 0), at(6, 1), windows).withColumnRenamed("chunk_id", "chunk_no")
 
 
 # ---------------------------------------------------------------- audits and choices

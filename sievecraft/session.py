@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +30,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder of spark.checkpoint.dir and cut its lineage.
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew if it comes in fewer parts than half the cores, as a small file of one row group does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores // 2 else df
+
 
-    The folder is the cluster's; only where the session names none and runs on one machine (tests, local runs) is one
-    made. On a cluster without a shared folder this raises: executors could not read each other's parts.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names.
+
+    Only where the session names none and runs on one machine (tests, local runs) is one made. On a cluster without a
+    shared folder this raises: executors could not read each other's parts.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None and not sc.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievecraft-checkpoint-"))
+    return (folder or sc.getCheckpointDir()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, plans that are run hand Python at most ``rows`` rows at once; the session's setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    spark.conf.set(name, str(rows if not 0 < int(before) <= rows else before))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,20 @@ def signature(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
+def signature_of(df: DataFrame) -> str:
+    """A short name of a table's state: number, sizes, times and paths of the files it is read from, whose contents stay unread.
+
+    A table that is not read from files is named by its rows.
+    """
+    try:
+        each = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        size = F.sum("file_size")
+    except AnalysisException:
+        each, size = df, F.count("*")
+    r = each.agg(F.count("*"), size, F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in each.columns)}))")).head()
+    return " ".join(map(str, r))
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """name (the path below the folder), h (SHA-256) of every file of a folder and its subfolders."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
