@@ -7,7 +7,7 @@ are no lists of names that decide by themselves; a name that was never seen weig
 
 Two linear passes decide by these scores. From the innermost outwards, a block element whose content scores zero or
 less (an advert or a form inside an article, a list of comments) is cut out and counts as nothing for what is around
-it. Of what is left, one scan finds the contiguous region with the highest sum; its blocks are the main text.
+it; tags of elements that do nothing but wrap another one are free, so depth costs nothing. Of what is left, one scan finds the contiguous region with the highest sum; its blocks are the main text.
 
 Names are cut into words at hyphens, underscores, digits and capitals; the last word of a name (what the thing is) and
 the words before it (which one) are different features. Of the names around an ``article`` or ``main`` element those
@@ -43,11 +43,13 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>="']++|=\s*+(?>"[^"]*"|'[^'
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _LABEL = re.compile(r"(?:^|\s)x(?:\s|$)")
 #: Their content is no text.
-RAW = frozenset("script style noscript template textarea svg iframe object select option math canvas audio video head".split())
-_END_OF = {name: re.compile(f"</{name}", re.I) for name in RAW}
+RAW = frozenset("script style noscript template textarea svg iframe select datalist head".split())
+_END_OF = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+#: Elements of another markup, which a slash at the end of their tag closes.
+FOREIGN = frozenset(("svg", "math"))
 _BODY = re.compile("<body", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img wbr object canvas audio video picture math mi mn mo mrow ms mspace msqrt mroot mfrac msub msup msubsup mtext munder mover munderover semantics".split())
 #: An open element of these is closed by the next of the same kind.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _BLOCK_CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -128,7 +130,7 @@ def pieces(page: str) -> tuple[list[Piece], list[int]]:
         if not m:
             break  # a tag cut off by the page's end
         closing, name, attrs, at = m[1] == "/", m[2].lower(), m[3], m.end()
-        if not closing and name in RAW:
+        if not closing and name in RAW and not (name in FOREIGN and attrs.endswith("/")):
             end = _END_OF[name].search(page, at)
             if name == "head" and not end:
                 end = _BODY.search(page, at)
@@ -239,6 +241,16 @@ def cut_out(found: list[Piece], parents: list[int], scores: list[float]) -> list
     return gone
 
 
+def wrappers(found: list[Piece], parents: list[int]) -> list[bool]:
+    """By element: whether it holds one block element and no words beside it, so that its tags say nothing."""
+    words, kids = [0] * len(parents), [0] * len(parents)
+    for p in found:
+        words[p.element] += p.text is not None and not p.text.isspace()
+    for k in range(1, len(parents)):
+        kids[parents[k]] += 1
+    return [not w and n == 1 for w, n in zip(words, kids)]
+
+
 def best_region(weights: list[float]) -> tuple[int, int]:
     """Start and end (exclusive) of the contiguous run with the highest sum; (0, 0) if none is positive."""
     best, run, start, where = 0.0, 0.0, 0, (0, 0)
@@ -254,7 +266,8 @@ def best_region(weights: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: tuple[dict[str, float], dict[str, float]] | None = None) -> str:
     """The main text of one page."""
     found, parents = pieces(page or "")
-    scores = scored(found, weights or learned_weights())
+    idle = wrappers(found, parents)
+    scores = [0.0 if p.text is None and idle[p.element] else v for p, v in zip(found, scored(found, weights or learned_weights()))]
     gone = cut_out(found, parents, scores)
     a, b = best_region([0.0 if gone[p.element] else v for p, v in zip(found, scores)])
     blocks: dict[int, list[str]] = {}
