@@ -8,7 +8,8 @@ of the lower order. So a place is settled by the longest gram that any language
 lowest cross-entropy per character.
 
 Models are fitted on a bounded sample: whole texts of at most about ``MAX_DOCS`` documents and ``MAX_CHARS`` characters
-per language (``ALL_CHARS`` for all languages together), chosen by a hash of the id among the rows to learn from. A
+per language (``ALL_CHARS`` for all languages together), chosen by a hash of the id among the rows to learn from,
+and one document at least of each language, so every language is learned at any size. A
 sixth of them calibrates instead of counting: the temperature of the score, and for each language how far above its
 mean the cross-entropy of its own texts goes. That distance shrinks with the root of a text's length, so the limit
 beyond which a text is rejected as none of the learned languages is a function of its length and holds for all texts.
@@ -32,6 +33,8 @@ from sievecraft.llm.batches import short_batches
 from sievecraft.llm.quality import remainder
 
 MAX_DOCS, MAX_CHARS, ALL_CHARS = 800, 8_000_000, 64_000_000
+#: Places of a document by the hash of its id; shares are taken in units of one of them.
+FINE = 1 << 52
 ORDER = 4
 #: Symbols that are settled together.
 PLACES = 1 << 18
@@ -75,6 +78,8 @@ def contexts(s: np.ndarray, order: int) -> np.ndarray:
 
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return at, keys[at] == wanted
 
@@ -184,9 +189,9 @@ class Models:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, whether it is rejected."""
-        ce, n, letter = self.entropies([t or "" for t in texts])
         if not self.langs:
             return [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        ce, n, letter = self.entropies([t or "" for t in texts])
         z = -ce * np.minimum(n, 200)[:, None] / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         best = ce.argmin(axis=1)
@@ -276,14 +281,16 @@ def fit_language_models(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Learn from rows whose crc32(doc_id) mod 4 is not 2; the sample that reaches the driver is bounded as said above."""
     learn = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("doc_id is not null and lang is not null and text is not null")
     learn = learn.where(remainder(F.col("doc_id"), 4) != 2)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FINE))
     # Counts per language; a language is a label, and there are at most a few thousand.
-    counts = learn.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars")).collect()
+    counts = learn.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"), F.min(place).alias("first")).collect()
     most = min(max_chars, all_chars / max(len(counts), 1))
-    share = {r["lang"]: int(1_000_000 * min(1.0, max_docs / r["n"], most / max(r["chars"], 1))) for r in counts}
+    # However small a language's share is, its document with the smallest hash is taken.
+    share = {r["lang"]: max(int(FINE * min(1.0, max_docs / r["n"], most / max(r["chars"], 1))), r["first"] + 1) for r in counts}
     if not share:
         return Models([], np.full(0x110000, _SPACE, np.uint32), [], [], [], [], 0.0)
     quota = F.coalesce(*[F.when(F.col("lang") == k, v) for k, v in share.items()])
-    rows = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < quota).select("lang", "doc_id", "text").collect()
+    rows = learn.where(place < quota).select("lang", "doc_id", "text").collect()
     samples: dict[str, list[str]] = {k: [] for k in share}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         samples[r["lang"]].append(r["text"])

@@ -28,6 +28,8 @@ from sievecraft.session import checkpointed
 
 #: Bound of the labelled rows that are gathered for fitting.
 MAX_ROWS = 40_000
+#: Places of a row by the hash of its id; the share to learn from is taken in units of one of them.
+FINE = 1 << 52
 STATISTICS = (
     "log_words", "log_bytes", "word_bytes", "distinct_words", "top_word", "doubled_words", "upper_ascii", "upper_any", "digits", "white", "stops", "marks",
     "shouts", "noise", "bars", "log_lines", "repeated_lines", "repeated_line_bytes", "line_words", "short_lines", "log_longest", "entropy", "noise_ends",
@@ -156,7 +158,7 @@ def fit_quality(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, *
     learn = learn.where(remainder(F.col("doc_id"), 5) != 0)
     share = max_rows / max(learn.count(), 1)
     if share < 1:
-        learn = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+        learn = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(FINE)) < int(share * FINE))
     rows = stats.where("doc_id is not null").join(learn, "doc_id").select("doc_id", "x", "y").toPandas().sort_values(["doc_id", "y"], kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(STATISTICS))
     return fit_trees(x, (rows["y"].to_numpy(float) > 0).astype(float), **how)

@@ -504,3 +504,48 @@ def test_language_slabs_change_nothing(monkeypatch):
         monkeypatch.setattr(langid, "PLACES", places)
         got = models.entropies(texts)
         assert all(np.allclose(x, y, atol=1e-12) for x, y in zip(got, want))
+
+
+ARTICLE = "<article><h1>Bridge</h1>" + "<p>The old bridge over the river was closed in spring, as its northern pillars had moved by several inches.</p>" * 4 + "</article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        ARTICLE.replace("</h1>", "</h1><svg class='i'/>"),
+        ARTICLE.replace("</h1>", "</h1><math/>"),
+        "<datalist><option value=1></datalist>" + ARTICLE,
+        "<select><option>one<option>two</select>" + ARTICLE,
+        "<html><head><title>x</title><body><header>top</header>" + ARTICLE,
+        "<div>" * 320 + ARTICLE + "</div>" * 320,
+        "<body>" + "<div>" * 2000 + ARTICLE,
+    ],
+)
+def test_html_articles_that_were_lost(page):
+    assert html_extract.main_text(page) == html_extract.main_text(ARTICLE) != ""
+
+
+def test_html_keeps_formulas_and_fallbacks():
+    page = ARTICLE.replace("The old bridge", "<math><mi>x</mi><mo>=</mo><mn>2</mn></math> <object data=a>The old bridge</object>", 1)
+    assert html_extract.main_text(page).startswith("Bridge x=2 The old bridge over")
+
+
+def test_language_models_learn_every_language_at_any_size(docs):
+    """Bounds so small that each language's share is far below a millionth of what it would be at the stated scale."""
+    models = langid.fit_language_models(docs, max_docs=1e-9, max_chars=1e-9, all_chars=1e-9)
+    known = {r.lang for r in docs.where("doc_id is not null and lang is not null and text is not null").where(quality.remainder(F.col("doc_id"), 4) != 2).select("lang").distinct().collect()}
+    assert set(models.langs) == known and len(known) > 1
+    assert {r.lang_pred for r in langid.identify_languages(docs, models).collect()} <= known | {"und"}
+
+
+def test_language_without_samples():
+    models = langid.fit_models({})
+    got, score, rejected = models.predict(["some text", None, ""])
+    assert got == ["und"] * 3 and not score.any() and rejected.all()
+
+
+def test_quality_share_is_fine(spark, docs):
+    stats = quality.document_statistics(docs)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    few = quality.fit_quality(stats, labels, max_rows=20, trees=2)
+    assert len(few.value) == 2
