@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievecraft.llm.names import fresh
 from sievecraft.session import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,8 +65,9 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_words: int, const
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_words: int = 3, constant: float = 0.5) -> DataFrame:
     """One row per input row, with its columns as they are but for the text: the lines that stay. Adds n_lines and n_dropped.
 
-    Columns of the input named n_lines or n_dropped are replaced.
+    Columns of the input named n_lines or n_dropped are replaced; other names do not matter.
     """
+    t, i, h, g = fresh(docs.columns, "t", "i", "h", "g")
     keyed = checkpointed(line_keys(docs, id_col, text_col, min_words, constant))
     # Each row names a template once, so a plain count is a count of documents and combines before the shuffle.
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
@@ -80,13 +82,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = placed.join(recurring, "key").where(F.col("first") < rank)
     dropped = later.groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")]).withColumn("__sc_th", F.xxhash64(text))
-    gone = dropped.select(F.col("doc_id").alias("__sc_id"), F.col("th").alias("__sc_h"), F.col("gone").alias("__sc_gone"))
-    joined = base.join(gone, base[id_col].eqNullSafe(F.col("__sc_id")) & (F.col("__sc_th") == F.col("__sc_h")), "left")
+    base = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")]).withColumn(t, F.xxhash64(text))
+    gone = dropped.select(F.col("doc_id").alias(i), F.col("th").alias(h), F.col("gone").alias(g))
+    joined = base.join(gone, base[id_col].eqNullSafe(F.col(i)) & (F.col(t) == F.col(h)), "left")
     lines = F.split(text, "\n")
     # The lines are bound to a lambda variable: as a column they might be put in place of it and be split anew for every line.
-    kept_of = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__sc_gone")), lambda i: F.get(ls, i))
+    kept_of = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(g)), lambda at: F.get(ls, at))
     kept = F.get(F.transform(F.array(lines), lambda ls: F.concat_ws("\n", kept_of(ls))), F.lit(0))
-    out = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("__sc_gone"), F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("__sc_gone").isNull(), F.col(text_col)).otherwise(kept))
-    return out.drop("__sc_th", "__sc_id", "__sc_h", "__sc_gone")
+    out = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size(g), F.lit(0)).cast("long"))
+    out = out.withColumn(text_col, F.when(F.col(g).isNull(), F.col(text_col)).otherwise(kept))
+    return out.drop(t, i, h, g)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievecraft.llm.names import fresh
 from sievecraft.session import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -122,20 +123,21 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Rows come in the order of the schedule, by the first slot that takes words of theirs: the partitions are stretches
     of the schedule and are sorted within, so any stretch of the output holds the sources in their shares. Whole
     documents keep their text unchanged; of a document on the edge of a target the first words are kept. Documents
-    without a word have nothing to take and give no row.
+    without a word have nothing to take and give no row. Columns are kept, whatever they are called.
     """
+    t, k, i, h, n, size, e = fresh(docs.columns, "t", "k", "i", "h", "n", "size", "e")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     taken = checkpointed(mix(docs, **how).where("taken > 0"))
     last = taken.agg(F.max(F.array_max("epochs.slot"))).first()[0]
     twin = W.partitionBy("doc_id", "th").orderBy(F.lit(1))
-    taken = taken.withColumn("__sc_no", F.row_number().over(twin)).select(F.col("doc_id").alias("__sc_id"), F.col("th").alias("__sc_th"), "__sc_no", F.col("size").alias("__sc_size"), F.explode("epochs").alias("__sc_e"))
-    base = docs.withColumn("__sc_t", F.xxhash64("text")).withColumn("__sc_k", F.row_number().over(W.partitionBy("doc_id", "__sc_t").orderBy(F.lit(1))))
-    joined = base.join(taken, F.col("doc_id").eqNullSafe(F.col("__sc_id")) & (F.col("__sc_t") == F.col("__sc_th")) & (F.col("__sc_k") == F.col("__sc_no")))
-    part = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__sc_e.n").cast("int")))
-    text = F.when(F.col("__sc_e.n") == F.col("__sc_size"), F.col("text")).otherwise(part)
+    taken = taken.withColumn(n, F.row_number().over(twin)).select(F.col("doc_id").alias(i), F.col("th").alias(h), n, F.col("size").alias(size), F.explode("epochs").alias(e))
+    base = docs.withColumn(t, F.xxhash64("text")).withColumn(k, F.row_number().over(W.partitionBy("doc_id", t).orderBy(F.lit(1))))
+    joined = base.join(taken, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(t) == F.col(h)) & (F.col(k) == F.col(n)))
+    part = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(f"{e}.n").cast("int")))
+    text = F.when(F.col(f"{e}.n") == F.col(size), F.col("text")).otherwise(part)
     out = joined.withColumn("text", text)
     if last is not None:
-        out = out.repartitionById(parts, F.floor(F.col("__sc_e.slot") * parts / (last + 1)).cast("int")).sortWithinPartitions("__sc_e.slot", "__sc_e.epoch")
+        out = out.repartitionById(parts, F.floor(F.col(f"{e}.slot") * parts / (last + 1)).cast("int")).sortWithinPartitions(f"{e}.slot", f"{e}.epoch")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from sievecraft.llm.batches import short_batches
 from sievecraft.llm.components import connected_components
 from sievecraft.llm.hot import join_per_key
+from sievecraft.llm.names import fresh
 from sievecraft.session import checkpointed
 
 SEED = 42
@@ -183,12 +184,13 @@ def one_per_group(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay, one for each component: the row with its smallest doc_id.
 
     Of rows that share this id the one with the smallest text hash stays; of a component without any id one row per
-    fingerprint stays. All columns are kept as they are.
+    fingerprint stays. All columns are kept as they are, whatever they are called.
     """
+    t, i, h, n = fresh(docs.columns, "t", "i", "h", "n")
     marks = near_duplicates(docs, **how)
-    stay = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("th").alias("__sc_th"))
-    stay = stay.select(F.col("component_id").alias("__sc_id"), "__sc_th").distinct()
-    same = Window.partitionBy("doc_id", "__sc_t").orderBy(*[F.col(c) for c in ("lang", "source") if c in docs.columns] or [F.lit(1)])
-    base = docs.withColumn("__sc_t", F.xxhash64("text"))
-    joined = base.join(stay, base["doc_id"].eqNullSafe(F.col("__sc_id")) & (F.col("__sc_t") == F.col("__sc_th")), "left_semi")
-    return joined.withColumn("__sc_n", F.row_number().over(same)).where("__sc_n = 1").select(*docs.columns)
+    stay = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("th").alias(h))
+    stay = stay.select(F.col("component_id").alias(i), h).distinct()
+    same = Window.partitionBy("doc_id", t).orderBy(*[F.col(c) for c in ("lang", "source") if c in docs.columns] or [F.lit(1)])
+    base = docs.withColumn(t, F.xxhash64("text"))
+    joined = base.join(stay, base["doc_id"].eqNullSafe(F.col(i)) & (F.col(t) == F.col(h)), "left_semi")
+    return joined.withColumn(n, F.row_number().over(same)).where(F.col(n) == 1).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from sievecraft.llm import langid, queries
+from sievecraft.llm import langid, line_dedup, mixing, queries, simhash
 from tests.llm.test_dedup import LAST, brute_components, brute_fingerprint, brute_lines
 
 P = pytest.importorskip("public_tokenizers")
@@ -106,3 +106,13 @@ def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     stayed = corpus_pipeline.language(spark, docs, "").count()
     assert stayed >= 0.98 * docs.count()
+
+
+def test_stages_keep_columns_of_any_name(docs, rows):
+    """Columns that are called as an operator's own would be do not clash with these."""
+    more = docs.selectExpr("*", "1 as __sc_t", "2 as __SC_I", "3 as __sc_h", "4 as __sc_g", "5 as __sc_n", "6 as __sc__t", "7 as __sc_e", "8 as __sc_k", "9 as __sc_size")
+    for f in (line_dedup.line_dedup, simhash.one_per_group, mixing.mixed_documents):
+        plain, got = f(docs), f(more)
+        assert [c for c in got.columns if c in more.columns] == more.columns
+        assert Counter(map(str, got.select(*plain.columns).collect())) == Counter(map(str, plain.collect()))
+        assert {tuple(r) for r in got.select("__sc_t", "__SC_I", "__sc__t").distinct().collect()} == {(1, 2, 6)}
