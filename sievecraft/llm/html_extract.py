@@ -69,6 +69,7 @@ class Piece:
     element: int
     tag: str = ""
     label: bool = False
+    idle: bool = False  # a tag within an element that wraps one other and nothing else
 
 
 @lru_cache(1 << 16)
@@ -83,6 +84,16 @@ def _inside(around: frozenset, name: str, named: str) -> frozenset:
     return around | own
 
 
+def wrappers(found: list[Piece], parents: list[int]) -> list[bool]:
+    """By element: whether it holds one block element and no words beside it, so that its tags say nothing."""
+    words, kids = [0] * len(parents), [0] * len(parents)
+    for p in found:
+        words[p.element] += p.text is not None and not p.text.isspace()
+    for k in range(1, len(parents)):
+        kids[parents[k]] += 1
+    return [not w and n == 1 for w, n in zip(words, kids)]
+
+
 def pieces(page: str) -> tuple[list[Piece], list[int]]:
     """Text and tags of a page in order, and for each block element (0: the page) the one it stands in."""
     out: list[Piece] = []
@@ -164,6 +175,9 @@ def pieces(page: str) -> tuple[list[Piece], list[int]]:
                 blocks.append(len(open_))
             names[name] += 1
             open_.append((name, _inside(around, name, named) if name not in ("html", "body") else around, label, element))
+    idle = wrappers(out, parents)
+    for p in out:
+        p.idle = p.text is None and idle[p.element]
     return out, parents
 
 
@@ -214,7 +228,7 @@ def scored(found: list[Piece], weights: tuple[dict[str, float], dict[str, float]
     of_block, known, out = block_features(found), {}, []
     for p in found:
         if p.text is None:
-            out.append(tag_w.get(p.tag, rare))
+            out.append(0.0 if p.idle else tag_w.get(p.tag, rare))
             continue
         n = len(p.text.split())
         if not n:
@@ -241,16 +255,6 @@ def cut_out(found: list[Piece], parents: list[int], scores: list[float]) -> list
     return gone
 
 
-def wrappers(found: list[Piece], parents: list[int]) -> list[bool]:
-    """By element: whether it holds one block element and no words beside it, so that its tags say nothing."""
-    words, kids = [0] * len(parents), [0] * len(parents)
-    for p in found:
-        words[p.element] += p.text is not None and not p.text.isspace()
-    for k in range(1, len(parents)):
-        kids[parents[k]] += 1
-    return [not w and n == 1 for w, n in zip(words, kids)]
-
-
 def best_region(weights: list[float]) -> tuple[int, int]:
     """Start and end (exclusive) of the contiguous run with the highest sum; (0, 0) if none is positive."""
     best, run, start, where = 0.0, 0.0, 0, (0, 0)
@@ -266,8 +270,7 @@ def best_region(weights: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: tuple[dict[str, float], dict[str, float]] | None = None) -> str:
     """The main text of one page."""
     found, parents = pieces(page or "")
-    idle = wrappers(found, parents)
-    scores = [0.0 if p.text is None and idle[p.element] else v for p, v in zip(found, scored(found, weights or learned_weights()))]
+    scores = scored(found, weights or learned_weights())
     gone = cut_out(found, parents, scores)
     a, b = best_region([0.0 if gone[p.element] else v for p, v in zip(found, scores)])
     blocks: dict[int, list[str]] = {}
