@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +12,6 @@ from sievecraft.session import checkpointed
 K1, B = 1.2, 0.75
 #: Terms of a query set that are written into the plan.
 ASKED_TERMS = 500
-LAST = np.int64(1 << 62)
 
 
 def postings(units: DataFrame, terms: Column, unit: str = "doc_id") -> DataFrame:
@@ -86,64 +81,6 @@ def top_k(runs: DataFrame, key: str, by: str, tie: str, k: int) -> DataFrame:
     return runs.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(by), tie))).where(F.col("rank") <= k)
 
 
-def lsh_neighbours(vectors: DataFrame, k: int = 10, bucket: float = 1.0, tables: int = 12, seed: int = 7, block: int = 2048) -> DataFrame:
-    """qid, vec_id, dist, rank: of every row of ``vectors`` (vec_id, embedding) its k nearest among those that share a bucket.
-
-    A table's bucket is floor(projection / ``bucket``) on a random unit vector. Rows are packed into blocks and every
-    block meets every block; the task of a block keeps only the best k of each of its rows. Ties go to the smaller id.
-    """
-    rows = vectors.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    blocks = max(1, -(-rows.count() // block))
-
-    def pack(t: pa.Table) -> pa.Table:
-        ids = t.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        flat = np.array(t.column("embedding").to_pylist(), np.float32)[order]
-        return pa.table({"b": t.column("b").slice(0, 1), "ids": pa.array([ids[order].astype(np.int64).tobytes()], pa.binary()), "vs": pa.array([flat.tobytes()], pa.binary())})
-
-    packed = checkpointed(rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("b").applyInArrow(pack, "b int, ids binary, vs binary"))
-    met = packed.crossJoin(packed.select(F.col("ids").alias("ids2"), F.col("vs").alias("vs2"))).repartition(blocks, "b").sortWithinPartitions("b")
-
-    def unpacked(ids: bytes, vs: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        i = np.frombuffer(ids, np.int64)
-        v = np.frombuffer(vs, np.float32).reshape(len(i), -1).astype(np.float64)
-        lines = np.random.default_rng(seed).normal(size=(v.shape[1], tables))
-        return i, v, np.floor(v @ (lines / np.linalg.norm(lines, axis=0)) / bucket)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, best, who = None, None, None, None
-
-        def done() -> pa.RecordBatch:
-            ok = best < LAST
-            rank = np.broadcast_to(np.arange(1, best.shape[1] + 1), best.shape)
-            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[ok]), pa.array(who[ok]), pa.array(best[ok] / 1e6), pa.array(rank[ok])], names=["qid", "vec_id", "dist", "rank"])
-
-        for b in batches:
-            for r in b.to_pylist():
-                if r["b"] != at:
-                    if at is not None:
-                        yield done()
-                    at, (ids, v, h) = r["b"], unpacked(r["ids"], r["vs"])
-                    best, who = np.full((len(ids), k), LAST), np.full((len(ids), k), LAST)
-                ids2, v2, h2 = unpacked(r["ids2"], r["vs2"])
-                meet = np.zeros((len(ids), len(ids2)), bool)
-                for t in range(tables):
-                    meet |= h[:, t, None] == h2[None, :, t]
-                sq = np.maximum((v * v).sum(1)[:, None] + (v2 * v2).sum(1)[None, :] - 2 * v @ v2.T, 0)
-                # Distance in millionths with the place in the block behind it: ids ascend, so a smaller place is a smaller id.
-                key = np.where(meet, (np.rint(np.sqrt(sq) * 1e6).astype(np.int64) << 22) | np.arange(len(ids2)), LAST)
-                if key.shape[1] > k:
-                    key = np.partition(key, k - 1, axis=1)[:, :k]
-                near, names = np.where(key < LAST, key >> 22, LAST), np.where(key < LAST, ids2[key & ((1 << 22) - 1) & -(key < LAST).astype(np.int64)], LAST)
-                near, names = np.hstack([best, near]), np.hstack([who, names])
-                order = np.lexsort((names, near), axis=1)[:, :k]
-                best, who = np.take_along_axis(near, order, 1), np.take_along_axis(names, order, 1)
-        if at is not None:
-            yield done()
-
-    return met.mapInArrow(run, "qid long, vec_id long, dist double, rank long")
-
-
 def top2_mean(pairs: DataFrame) -> DataFrame:
     rn = F.row_number().over(W.partitionBy("qid", "owner").orderBy(F.desc("sim"), "vec_id"))
     return pairs.withColumn("rn", rn).where("rn <= 2").groupBy("qid", "owner").agg(F.avg("sim").alias("score"))

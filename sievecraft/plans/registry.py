@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievecraft.functions import text as X
-from sievecraft.operators import chunking, features, fuse, index, learn, measure, retrieve, sets, validate
+from sievecraft.operators import ann, chunking, features, fuse, index, learn, ltr, measure, retrieve, sets, validate
 from sievecraft.session import table
 
 QUERIES: dict = {}
@@ -290,7 +290,9 @@ def ret_dense_top2mean(s, d):
 
 @query()
 def ret_lsh_ann(s, d):
-    return retrieve.lsh_neighbours(table(s, d, "embeddings").select("vec_id", "embedding"))
+    """Every hundredth vector asks an inverted file of all vectors; how many cells it probes, and the recall measured, stand beside."""
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    return ann.neighbours(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")))
 
 
 @query(f"""WITH k AS (SELECT item_id AS qid, unnest({TOK}) AS term FROM benchmark), c AS (SELECT qid, term, count(*) AS tf FROM k GROUP BY ALL), n AS (SELECT count(*) AS n FROM benchmark), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
@@ -674,6 +676,14 @@ def ml_gbt_rank(s, d):
     return out
 
 
+@query()
+def ml_lambdamart(s, d):
+    """Listwise boosted trees over the branch features; every block of queries is scored by a ranker of the others."""
+    x = features.branch_features(runs(s, d), BRANCHES).join(labelled(s, d), ["qid", "doc_id"]).withColumn("block", F.col("qid") % 4)
+    columns = tuple(c for c in x.columns if c not in ("qid", "doc_id", "y", "block"))
+    return ltr.left_out_scores(x, columns, "block", trees=10, depth=3)
+
+
 @query(RUNS + ", a AS (SELECT qid, doc_id FROM view WHERE rank <= 3 + qid % 4), q AS (SELECT range AS qid FROM range(45)), n AS (SELECT q.qid, count(a.qid) AS n, count(DISTINCT doc_id) AS d FROM q LEFT JOIN a USING (qid) GROUP BY ALL) SELECT count(*) FILTER (n = 0) AS missing, count(*) FILTER (n > 5) AS too_many, count(*) FILTER (n <> d) AS repeated, (SELECT count(*) FROM a WHERE doc_id % 13 = 0) AS unknown FROM n")
 def val_answers(s, d):
     ids = s.range(89).select(F.col("id").alias("doc_id")).where("doc_id % 13 <> 0")

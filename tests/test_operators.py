@@ -123,28 +123,6 @@ def test_question_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-def test_lsh_asks_with_every_row_and_recalls_brute_force(spark, tmp_path):
-    import numpy as np
-
-    from sievecraft.plans import registry
-
-    v = np.random.default_rng(5).normal(size=(230, 16)).astype(np.float32)
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    v[200:] = v[0]  # copies: ties go to the smaller id
-    e = spark.createDataFrame([(1000 - k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
-    e.write.parquet(str(tmp_path / "embeddings.parquet"))
-    w = v.astype(float)
-    dist = np.round(np.sqrt(np.maximum(((w[:, None] - w[None]) ** 2).sum(-1), 0)), 6)
-    want = {1000 - q: [1000 - x for x in sorted(range(230), key=lambda x: (dist[q, x], -x))[:10]] for q in range(230)}
-    for got in (registry.QUERIES["ret_lsh_ann"](spark, str(tmp_path)), retrieve.lsh_neighbours(e, block=40)):
-        of = {}
-        for r in got.collect():
-            of.setdefault(r["qid"], {})[r["rank"]] = r["vec_id"]
-        assert set(of) == set(want) and all(sorted(x) == list(range(1, 11)) for x in of.values())
-        assert sum(len(set(of[q].values()) & set(want[q])) for q in want) >= 0.99 * 2300
-        assert [of[1000][k] for k in range(1, 11)] == want[1000]
-
-
 def test_trees_score_every_block(spark):
     from sievecraft.plans import registry
 
