@@ -94,12 +94,21 @@ def evidence_top3(votes: DataFrame, power: float = 1.0) -> DataFrame:
     return votes.withColumn("rn", rn).where("rn <= 3").groupBy("qid", "doc_id").agg(F.sum(F.when(F.col("rn") == 1, v).when(F.col("rn") == 2, 0.4 * v).otherwise(0.15 * v)).alias("score"))
 
 
-def posterior(a: DataFrame, b: DataFrame, mix: float = 0.5) -> DataFrame:
-    """Mixture of two evidence channels, each over its own maximum in a query."""
+def posterior(a: DataFrame, b: DataFrame, mix: float = 0.5, prior: DataFrame | None = None, power: float = 0.0) -> DataFrame:
+    """Mixture of two evidence channels, each over its own maximum in a query.
+
+    With ``prior`` (doc_id, n: questions that it answers) a document's score is multiplied by ((n + 0.5) / (largest n +
+    0.5)) to the ``power``, n being 0 for documents that are not in it.
+    """
     j = a.select("qid", "doc_id", F.col("score").alias("sa")).join(b.select("qid", "doc_id", F.col("score").alias("sb")), ["qid", "doc_id"], "full")
     q = W.partitionBy("qid")
     n = lambda c: F.coalesce(F.col(c) / F.nullif(F.max(c).over(q), F.lit(0.0)), F.lit(0.0))
-    return j.select("qid", "doc_id", (mix * n("sa") + (1 - mix) * n("sb")).alias("score"))
+    mixed = j.select("qid", "doc_id", (mix * n("sa") + (1 - mix) * n("sb")).alias("score"))
+    if prior is None:
+        return mixed
+    top = prior.agg(F.coalesce(F.max("n"), F.lit(1)).alias("top"))
+    known = mixed.join(prior.select("doc_id", "n"), "doc_id", "left").crossJoin(F.broadcast(top))  # one row
+    return known.select("qid", "doc_id", (F.col("score") * F.pow((F.coalesce("n", F.lit(0)) + 0.5) / (F.col("top") + 0.5), F.lit(float(power)))).alias("score"))
 
 
 def confidence(scores: DataFrame, depth: int = 20) -> DataFrame:

@@ -37,21 +37,22 @@ def z_blend(runs: DataFrame, pool: DataFrame, branches: tuple) -> DataFrame:
     return s.withColumn("z", F.coalesce(z, F.lit(-2.0))).groupBy("qid", "doc_id").agg(F.sum("z").alias("score"))
 
 
-def graph_strength(edges: DataFrame, freq: DataFrame, mode: str) -> DataFrame:
-    """src, dst, strength: conditional, cosine, jaccard or lift of co-occurrence counts."""
-    e = edges.join(freq.select(F.col("doc_id").alias("src"), F.col("n").alias("fs")), "src").join(freq.select(F.col("doc_id").alias("dst"), F.col("n").alias("fd")), "dst")
+def graph_strength(edges: DataFrame, freq: DataFrame, mode: str, min_edge: int = 1) -> DataFrame:
+    """src, dst, strength: conditional, cosine, jaccard or lift of the counts of edges that ``min_edge`` questions share at least."""
+    e = edges.where(F.col("cnt") >= min_edge).join(freq.select(F.col("doc_id").alias("src"), F.col("n").alias("fs")), "src").join(freq.select(F.col("doc_id").alias("dst"), F.col("n").alias("fd")), "dst")
+    smooth = (F.col("fs") + 0.5) * (F.col("fd") + 0.5)
     how = {
         "conditional": F.col("cnt") / (F.col("fs") + 1),
-        "cosine": F.col("cnt") / F.sqrt(F.col("fs") * F.col("fd")),
-        "jaccard": F.col("cnt") / (F.col("fs") + F.col("fd") - F.col("cnt")),
-        "lift": F.col("cnt") / (F.col("fs") * F.col("fd")),
+        "cosine": F.col("cnt") / F.sqrt(smooth),
+        "jaccard": F.col("cnt") / (F.col("fs") + F.col("fd") - F.col("cnt") + 1),
+        "lift": F.col("cnt") / F.pow(smooth, F.lit(0.35)),
     }[mode]
     return e.select("src", "dst", how.alias("strength"))
 
 
-def graph_rerank(ranking: DataFrame, strengths: DataFrame, seeds: int = 5, base_k: float = 10.0, alpha: float = 0.3) -> DataFrame:
-    """1/(base_k + pos) + alpha (g/gmax)/(base_k + 1), with g summed over the neighbours of the first documents."""
-    g = ranking.where(F.col("rank") <= seeds).join(strengths, ranking["doc_id"] == strengths["src"]).groupBy("qid", F.col("dst").alias("doc_id")).agg(F.sum(F.col("strength") / F.col("rank")).alias("g"))
+def graph_rerank(ranking: DataFrame, strengths: DataFrame, seeds: int = 5, base_k: float = 10.0, alpha: float = 0.3, power: float = 1.0) -> DataFrame:
+    """1/(base_k + pos) + alpha (g/gmax)/(base_k + 1), with g summed over the neighbours of the first documents, each by its rank to the ``power``."""
+    g = ranking.where(F.col("rank") <= seeds).join(strengths, ranking["doc_id"] == strengths["src"]).groupBy("qid", F.col("dst").alias("doc_id")).agg(F.sum(F.col("strength") / F.pow(F.col("rank"), F.lit(float(power)))).alias("g"))
     both = ranking.select("qid", "doc_id", "rank").join(g, ["qid", "doc_id"], "full")
     both = both.withColumn("gm", F.max("g").over(W.partitionBy("qid")))
     score = 1 / (base_k + F.coalesce("rank", F.lit(100_000))) + alpha * F.coalesce(F.col("g") / F.nullif(F.col("gm"), F.lit(0.0)), F.lit(0.0)) / (base_k + 1)

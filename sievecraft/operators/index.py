@@ -38,6 +38,8 @@ SIZE, STEP = 500, 400  # tokens of a chunk, and from one chunk's start to the ne
 SEGMENT_CHARS, BUCKETS, ASKED_ROWS, FEW_TERMS = 4_000_000_000, 8, 300_000, 256
 #: A term is dealt over several keys if it holds more than this share of all documents, so there are few such terms.
 HOT_SHARE = 0.001
+#: Goes up when what is stored changes, so that older indexes are left alone.
+FORMAT = 2
 TOTALS = ("docs", "doc_terms", "chunks", "chunk_terms")
 
 
@@ -178,7 +180,7 @@ def append(index: LexicalIndex, docs: DataFrame, segment_chars: int = SEGMENT_CH
 def stored(docs: DataFrame, width: int = 1) -> LexicalIndex:
     """The index of ``docs`` (doc_id, text) in the shared folder: opened if its signature fits, else built."""
     spark = docs.sparkSession
-    name = hashlib.sha256(f"{signature(docs)} {width} {SIZE} {STEP}".encode()).hexdigest()[:24]
+    name = hashlib.sha256(f"{FORMAT} {signature(docs)} {docs.schema['doc_id'].dataType.simpleString()} {width} {SIZE} {STEP}".encode()).hexdigest()[:24]
     folder = f"{shared_folder(spark)}/sievecraft-index/{name}"
     return open_index(spark, folder) or build(docs, folder, width)
 

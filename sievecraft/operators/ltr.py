@@ -153,22 +153,26 @@ def fit_rankers(rows: DataFrame, columns: tuple[str, ...], blocks: list[int], bl
         used = width if level < depth else 1  # leaves need their totals only
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(whole), nodes, used, bins, 2))
+            total = np.zeros((len(whole), nodes * used * bins, 2))
             for b in batches:
-                for r in b.select(["block", "y", "bins", "score"]).to_pylist():
-                    x, y = np.frombuffer(r["bins"], np.uint8).reshape(-1, width), np.array(r["y"], float)
-                    if y.min() == y.max():
-                        continue
-                    for k, model in enumerate(whole):
-                        if blocks[k] == r["block"]:
-                            continue
-                        before = np.array(r["score"]).reshape(len(whole), -1)[k] if r["score"] else 0.0
-                        g, h = swap_gradients(y, before + model.raw(x), top)
-                        at = newest[k].leaves(x, level) - low
-                        for f in range(used):
-                            cell = at * bins + x[:, f]
-                            total[k, :, f, :, 0] += np.bincount(cell, g, nodes * bins).reshape(nodes, bins)
-                            total[k, :, f, :, 1] += np.bincount(cell, h, nodes * bins).reshape(nodes, bins)
+                rows = [r for r in b.select(["block", "y", "bins", "score"]).to_pylist() if min(r["y"]) < max(r["y"])]
+                if not rows:
+                    continue
+                n = np.array([len(r["y"]) for r in rows])
+                ends = np.cumsum(n)
+                x, y = np.frombuffer(b"".join(r["bins"] for r in rows), np.uint8).reshape(-1, width), np.concatenate([np.array(r["y"], float) for r in rows])
+                own = np.repeat([r["block"] for r in rows], n)
+                for k, model in enumerate(whole):
+                    before = np.concatenate([np.array(r["score"]).reshape(len(whole), -1)[k] for r in rows]) if rows[0]["score"] else 0.0
+                    score, g, h = before + model.raw(x), np.zeros(len(x)), np.zeros(len(x))
+                    for start, end in zip(ends - n, ends):
+                        if own[start] != blocks[k]:
+                            g[start:end], h[start:end] = swap_gradients(y[start:end], score[start:end], top)
+                    at = newest[k].leaves(x, level) - low
+                    cell = (((at[:, None] * used + np.arange(used)) * bins) + x[:, :used]).ravel()
+                    total[k, :, 0] += np.bincount(cell, np.repeat(g, used), nodes * used * bins)
+                    total[k, :, 1] += np.bincount(cell, np.repeat(h, used), nodes * used * bins)
+            total = total.reshape(len(whole), nodes, used, bins, 2)
             at = np.argwhere(total[..., 1] > 0)
             yield pa.RecordBatch.from_arrays([*[pa.array(at[:, j].astype(np.int32)) for j in range(4)], pa.array(total[tuple(at.T)][:, 0]), pa.array(total[tuple(at.T)][:, 1])], names=["model", "node", "feature", "bin", "g", "h"])
 

@@ -405,7 +405,7 @@ def fus_zblend(s, d):
     return fuse.z_blend(runs(s, d), pool(s, d), ("click", "view"))
 
 
-_STRENGTH = {"conditional": "cnt / (a.n + 1)", "cosine": "cnt / sqrt(a.n * b.n)", "jaccard": "cnt / (a.n + b.n - cnt)", "lift": "cnt / (a.n * b.n)"}
+_STRENGTH = {"conditional": "cnt / (a.n + 1)", "cosine": "cnt / sqrt((a.n + 0.5) * (b.n + 0.5))", "jaccard": "cnt / (a.n + b.n - cnt + 1)", "lift": "cnt / pow((a.n + 0.5) * (b.n + 0.5), 0.35)"}
 for _name, _formula in _STRENGTH.items():
 
     def _graph(s, d, mode=_name):
@@ -460,6 +460,11 @@ def agg_posterior(s, d):
     return features.posterior(features.evidence_top3(votes(s, d)), one(s, d, "click"))
 
 
+@query(EVID + ", j AS (SELECT qid, doc_id, a.score AS sa, b.score AS sb FROM ev a FULL JOIN click b USING (qid, doc_id)), k AS (SELECT qid, doc_id, 0.75 * coalesce(sa / nullif(max(sa) OVER q, 0), 0) + 0.25 * coalesce(sb / nullif(max(sb) OVER q, 0), 0) AS s FROM j WINDOW q AS (PARTITION BY qid)), lf AS (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id) SELECT qid, doc_id, round(s * pow((coalesce(n, 0) + 0.5) / ((SELECT max(n) FROM lf) + 0.5), 0.35), 6) AS score FROM k LEFT JOIN lf USING (doc_id)")
+def agg_posterior_prior(s, d):
+    return features.posterior(features.evidence_top3(votes(s, d)), one(s, d, "click"), 0.75, gold(s, d).groupBy("doc_id").agg(F.count("*").alias("n")), 0.35)
+
+
 @query(RUNS + ", p AS (SELECT *, score / sum(score) OVER (PARTITION BY qid) AS p FROM view WHERE rank <= 20 AND score > 0) SELECT qid, max(score) FILTER (rank = 1) AS top, round(max(score) FILTER (rank = 1) - coalesce(max(score) FILTER (rank = 2), 0), 6) AS margin, round(coalesce(-sum(p * ln(p)) / nullif(ln(count(*)), 0), 0), 6) AS entropy FROM p GROUP BY qid")
 def agg_entropy(s, d):
     return features.confidence(one(s, d, "view").select("qid", "doc_id", "score"))
