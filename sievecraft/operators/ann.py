@@ -210,6 +210,41 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, block: i
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "vec_id", (F.col("d") / 1e6).alias("dist"), "rank")
 
 
+def all_pairs_top(vectors: DataFrame, k: int, block: int = BLOCK, digits: int = 6) -> DataFrame:
+    """qid, other, sim, rank: of every vector (vec_id, embedding) the k others of the largest product, ties to the smaller id.
+
+    All pairs are multiplied, as blocks of the upper triangle; a pair of blocks hands on k rows per vector of either.
+    The work grows as the square of the table, which is why it is meant for query sets.
+    """
+    v = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    n = max(1, -(-v.count() // block))
+    held = checkpointed(packed(v.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")), ["b"], "vec_id", "embedding", ("ids", "vs")))
+    low = held.select(F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.lit(n - 1))).alias("j"), F.col("ids").alias("qids"), F.col("vs").alias("qs"))
+    high = held.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), "ids", "vs")
+
+    def best(ids: np.ndarray, of: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = (-np.rint((s + 1e-10) * 10**digits).astype(np.int64) << _PLACES) | np.arange(len(ids))
+        key = np.where(of[:, None] == ids[None, :], _LAST, key)
+        key = np.partition(key, k - 1, axis=1)[:, :k] if key.shape[1] > k else key
+        at, c = np.nonzero(key < _LAST)
+        found = key[at, c]
+        yield pa.RecordBatch.from_arrays([pa.array(of[at]), pa.array(ids[found & ((1 << _PLACES) - 1)]), pa.array(-(found >> _PLACES))], names=["qid", "other", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                (i, v), (qi, q) = unpacked(r["ids"], r["vs"]), unpacked(r["qids"], r["qs"])
+                s = q @ v.T
+                yield from best(i, qi, s)
+                if r["i"] != r["j"]:
+                    yield from best(qi, i, s.T)
+
+    with arrow_batches(vectors.sparkSession, 16):
+        met = checkpointed(low.join(high, ["i", "j"]).select("i", "j", "ids", "vs", "qids", "qs").mapInArrow(run, "qid long, other long, s long"))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("s"), "other"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "other", (F.col("s") / 10**digits).alias("sim"), "rank")
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, wanted: float = WANTED) -> DataFrame:
     """qid, vec_id, dist, rank, probes, cells, recall: of each query (qid, qvec) its k nearest other vectors; recall is the share found, as measured."""
     index = build(vectors)

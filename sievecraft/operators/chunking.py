@@ -65,3 +65,29 @@ def chosen_evidence(pairs: DataFrame, first: DataFrame, second: DataFrame, chunk
     j = pairs.select("qid", "doc_id").join(first.select("qid", "doc_id", F.col("chunk_id").alias("c1")), ["qid", "doc_id"], "left").join(second.select("qid", "doc_id", F.col("chunk_id").alias("c2")), ["qid", "doc_id"], "left").join(lead, "doc_id", "left")
     how = F.when(F.col("c1").isNotNull(), "first").when(F.col("c2").isNotNull(), "second").when(F.col("c3").isNotNull(), "lead").otherwise("missing")
     return j.select("qid", "doc_id", F.coalesce("c1", "c2", "c3").alias("chunk_id"), how.alias("selector"))
+
+
+def rerank_windows(pairs: DataFrame, most: int = 1024, most_query: int = 512, overlap: int = 80, special: int = 2) -> DataFrame:
+    """qid, doc_id, window, start, question (words), words: what a reranker reads of each (question, text) pair.
+
+    A question is cut to ``most_query`` words. What it and ``special`` marks leave of ``most`` is the width of a window;
+    windows overlap by ``overlap`` words or a quarter of the width, whichever is less, and the last one is moved back
+    so that it ends with the text and is as wide as the others. A text that fits is one window, an empty one too.
+    Raises if a question leaves no room.
+    """
+    t = pairs.select("qid", "doc_id", F.slice(X.space_words(F.col("question")), 1, most_query).alias("question"), X.space_words(F.col("text")).alias("w"))
+    t = t.withColumn("width", most - F.size("question") - special)
+    t = t.withColumn("width", F.when(F.col("width") < 1, F.raise_error(F.lit("a question leaves no room for a text"))).otherwise(F.col("width")))
+    n, width = F.size("w"), F.col("width")
+    step = F.greatest(width - F.least(F.lit(overlap), F.floor(width / 4).cast("int")), F.lit(1))
+    # Windows start a step apart; the first that reaches the end is the last.
+    count = F.when(n <= width, 1).otherwise(F.ceil((n - width) / step).cast("int") + 1)
+    each = t.withColumn("step", step).withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("window"))
+    start = F.greatest(F.least(F.col("window") * F.col("step"), F.col("n") - F.col("width")), F.lit(0))
+    return each.withColumn("start", start).select("qid", "doc_id", "window", "start", "question", F.slice("w", F.col("start") + 1, F.col("width")).alias("words"))
+
+
+def merged_windows(scored: DataFrame) -> DataFrame:
+    """qid, doc_id, score, rank: the best window's score (0 at least) of each pair, and its place in the question."""
+    best = scored.groupBy("qid", "doc_id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score"))
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))

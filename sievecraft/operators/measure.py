@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievecraft.functions import text as X
+from sievecraft.session import checkpointed
 
 
 def query_metrics(run: DataFrame, gold: DataFrame) -> DataFrame:
@@ -106,20 +107,83 @@ def order_statistic(values: DataFrame, share: float = 0.95) -> DataFrame:
     return placed.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select("n", "mean", F.col("v").alias("p95"))
 
 
-def bootstrap(deltas: DataFrame, samples: int = 20_000, seed: int = 112) -> DataFrame:
-    """Paired bootstrap of a mean: each sample draws from its own seeded generator, samples spread over tasks."""
-    d = deltas.sparkSession.sparkContext.broadcast(np.array([r[0] for r in deltas.orderBy("qid").select("delta").collect()]))  # one number per query of an evaluation set
+def bootstrap(deltas: DataFrame, samples: int = 20_000, seed: int = 112, block: int = 4096) -> DataFrame:
+    """Paired bootstrap of the mean of ``deltas`` (delta), without gathering them.
 
-    def run(it):
-        for b in it:
-            yield pd.DataFrame({"mean": [float(np.random.default_rng([seed, int(k)]).choice(d.value, len(d.value)).mean()) for k in b["id"]]})
-
-    m = deltas.sparkSession.range(samples).mapInPandas(run, "mean double")
+    Equal deltas are one row with their number; these rows are dealt into blocks of about ``block``. How many of a
+    sample's draws fall to a block is found by splitting them at each fork of a binary tree over the blocks (binomial
+    draws from a generator that is named by seed and fork, so every task that passes a fork sees the same), and within
+    a block by a multinomial draw. A block hands on one sum per sample.
+    """
+    counted = checkpointed(deltas.where("delta is not null").groupBy("delta").agg(F.count("*").alias("n")))
+    blocks = max(1, -(-counted.count() // block))
+    counted = counted.withColumn("block", F.pmod(F.xxhash64("delta"), F.lit(blocks)).cast("int"))
+    sizes = {r["block"]: r["n"] for r in counted.groupBy("block").agg(F.sum("n").alias("n")).collect()}  # one number per block
+    size = np.array([sizes.get(k, 0) for k in range(blocks)], np.int64)
+
+    def draws_of(leaf: int) -> np.ndarray:
+        low, high, fork, mine = 0, blocks, 1, np.full(samples, size.sum())
+        while high - low > 1:
+            mid, whole = (low + high) // 2, size[low:high].sum()
+            left = np.random.default_rng([seed, 1, fork]).binomial(mine, size[low:mid].sum() / whole if whole else 0.0)
+            if leaf < mid:
+                high, mine, fork = mid, left, 2 * fork
+            else:
+                low, mine, fork = mid, mine - left, 2 * fork + 1
+        return mine
+
+    def run(t: pa.Table) -> pa.Table:
+        leaf = t.column("block")[0].as_py()
+        d, n = t.column("delta").to_numpy(), t.column("n").to_numpy()
+        order = np.argsort(d, kind="stable")
+        d, n = d[order], n[order]
+        rng, mine, sums = np.random.default_rng([seed, 2, leaf]), draws_of(leaf), np.zeros(samples)
+        for at in range(0, samples, 500):
+            sums[at : at + 500] = rng.multinomial(mine[at : at + 500], n / n.sum()) @ d
+        return pa.table({"id": pa.array(np.arange(samples)), "sum": pa.array(sums)})
+
+    m = counted.groupBy("block").applyInArrow(run, "id long, sum double").groupBy("id").agg((F.sum("sum") / int(size.sum() or 1)).alias("mean"))
+    observed = counted.agg((F.sum(F.col("delta") * F.col("n")) / F.sum("n")).alias("observed"))
     share = lambda c: F.avg(c.cast("double"))
-    return m.agg(
-        F.lit(seed).alias("seed"), F.count("*").alias("samples"), F.lit(float(d.value.mean()) if len(d.value) else None).cast("double").alias("observed"), F.avg("mean").alias("mean"), F.percentile("mean", 0.5).alias("median"),
-        F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), share(F.col("mean") > 0).alias("p_positive"), share(F.col("mean") >= 0.005).alias("p_half_percent"),
+    stats = m.agg(
+        F.lit(seed).alias("seed"), F.count("*").alias("samples"), F.avg("mean").alias("mean"), F.percentile("mean", 0.5).alias("median"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"),
+        share(F.col("mean") > 0).alias("p_positive"), share(F.col("mean") >= 0.005).alias("p_half_percent"),
     )
+    return stats.crossJoin(F.broadcast(observed))  # one row each
+
+
+def ceilings(pool: DataFrame, dense: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: the recall of a dense run at four depths, of the pool, and of both together; answers that the run rescues, and that neither reaches."""
+    j = gold.join(pool.select("qid", "doc_id", F.lit(True).alias("p")).distinct(), ["qid", "doc_id"], "left").join(dense.select("qid", "doc_id", "rank"), ["qid", "doc_id"], "left")
+    inside = F.col("p").isNotNull()
+    upto = lambda k: F.coalesce(F.col("rank") <= k, F.lit(False))
+    per = {f"dense{k}": upto(k) for k in (5, 20, 50, 100)} | {"ceiling": inside} | {f"ceiling_dense{k}": inside | upto(k) for k in (10, 20, 50)}
+    q = j.groupBy("qid").agg(*[F.avg(c.cast("double")).alias(n) for n, c in per.items()], F.count_if(upto(20) & ~inside).alias("rescued"), F.count_if(~inside & ~upto(100)).alias("unreachable"))
+    return q.agg(F.count("*").alias("queries"), *[F.avg(n).alias(n) for n in per], F.sum("rescued").alias("rescued"), F.sum("unreachable").alias("unreachable"))
+
+
+def choice_oracle(runs: DataFrame, gold: DataFrame, depth: int = 5) -> DataFrame:
+    """One row of mean recalls: all that any branch has in its first ``depth``; the best ``depth`` chosen of these; the best single branch of each query."""
+    hits = gold.join(runs.where(F.col("rank") <= depth).select("qid", "doc_id", "branch"), ["qid", "doc_id"], "left")
+    single = hits.groupBy("qid", "branch").agg(F.count("branch").alias("h")).groupBy("qid").agg(F.max("h").alias("best"))
+    per = hits.groupBy("qid", "doc_id").agg((F.count("branch") > 0).cast("int").alias("found")).groupBy("qid").agg(F.count("*").alias("g"), F.sum("found").alias("found")).join(single, "qid")
+    return per.agg(F.count("*").alias("queries"), F.avg(F.col("found") / F.col("g")).alias("union"), F.avg(F.least(F.lit(depth), "found") / F.col("g")).alias("choice"), F.avg(F.col("best") / F.col("g")).alias("branch"))
+
+
+def rescues(missed: DataFrame, other: DataFrame, gold: DataFrame, depth: int = 5) -> DataFrame:
+    """bucket, n: where the answers that ``other`` has in its first ``depth`` and ``missed`` has not stand in ``missed``."""
+    own = missed.select("qid", "doc_id", F.col("rank").alias("rm"))
+    found = gold.join(other.where(F.col("rank") <= depth).select("qid", "doc_id"), ["qid", "doc_id"], "left_semi").join(own, ["qid", "doc_id"], "left")
+    return found.where(F.col("rm").isNull() | (F.col("rm") > depth)).groupBy(X.rank_bucket(F.col("rm")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def coverage(pool: DataFrame, runs: DataFrame) -> DataFrame:
+    """branch, coverage: the mean share of a query's pool that the branch has."""
+    branches = runs.select("branch").distinct()
+    sized = pool.groupBy("qid").agg(F.count("*").alias("size"))
+    held = pool.join(runs.select("qid", "doc_id", "branch").distinct(), ["qid", "doc_id"]).groupBy("branch", "qid").agg(F.count("*").alias("n"))
+    grid = sized.crossJoin(F.broadcast(branches))  # a handful of branches
+    return grid.join(held, ["branch", "qid"], "left").groupBy("branch").agg(F.avg(F.coalesce("n", F.lit(0)) / F.col("size")).alias("coverage"))
 
 
 def compare_by_fold(before: DataFrame, after: DataFrame, gold: DataFrame, folds: DataFrame, depth: int = 5) -> DataFrame:

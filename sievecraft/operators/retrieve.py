@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievecraft.functions import text as X
+from sievecraft.operators.simjoin import nearest_similar
 from sievecraft.session import checkpointed
 
 K1, B = 1.2, 0.75
@@ -86,15 +87,32 @@ def top2_mean(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rn", rn).where("rn <= 2").groupBy("qid", "owner").agg(F.avg("sim").alias("score"))
 
 
-def tfidf_weights(units: DataFrame, features: Column, unit: str, least_df: int = 1) -> DataFrame:
-    """unit, term, weight: (1 + ln tf)(ln((1 + N)/(1 + df)) + 1), rows of unit length."""
+def vocabulary(p: DataFrame, units: int, least_df: int = 1, most_share: float = 1.0, most_terms: int | None = None) -> DataFrame:
+    """term, df of the terms of postings ``p`` that stay.
+
+    A term stays if ``least_df`` units hold it at least and a share ``most_share`` of them at most; of these the
+    ``most_terms`` that occur most often, ties to the smaller term.
+    """
+    kept = p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where((F.col("df") >= least_df) & (F.col("df") <= most_share * units))
+    return (kept if most_terms is None else kept.orderBy(F.desc("cf"), "term").limit(most_terms)).select("term", "df")
+
+
+def tfidf_weights(units: DataFrame, features: Column, unit: str, least_df: int = 1, most_share: float = 1.0, most_terms: int | None = None) -> DataFrame:
+    """unit, term, weight: (1 + ln tf)(ln((1 + N)/(1 + df)) + 1) over the vocabulary that stays, rows of unit length."""
     p = postings(units, features, unit)
-    n = units.agg(F.count("*").alias("n"))
-    raw = p.join(p.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least_df), "term").crossJoin(F.broadcast(n))
-    raw = raw.withColumn("x", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    n = units.count()
+    raw = p.join(vocabulary(p, n, least_df, most_share, most_terms), "term").withColumn("x", (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     return raw.withColumn("weight", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(unit)))).select(unit, "term", "weight")
 
 
+def masked_kernel(a: DataFrame, blocks: DataFrame, depth: int = 400, digits: int = 9) -> DataFrame:
+    """qid, other, sim, rank: the ``depth`` nearest questions of other blocks (qid, block) than a question's own."""
+    with_block = a.join(blocks, "qid")
+    other = with_block.select(F.col("qid").alias("other"), "term", F.col("weight").alias("w2"), F.col("block").alias("b2"))
+    met = with_block.join(other, "term").where("block <> b2").groupBy("qid", "other").agg(F.round(F.sum(F.col("weight") * F.col("w2")), digits).alias("sim"))
+    return top_k(met, "qid", "sim", "other", depth)
+
+
 def kernel(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
     """qid, other, sim: cosine over shared terms."""
     return a.join(b.select(F.col("qid").alias("other"), "term", F.col("weight").alias("w2")), "term").where("qid <> other").groupBy("qid", "other").agg(F.round(F.sum(F.col("weight") * F.col("w2")), digits).alias("sim"))
@@ -103,9 +121,8 @@ def kernel(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
 def near_questions(units: DataFrame, folds: DataFrame, grams: Column, least: float = 0.92, k: int = 5) -> DataFrame:
     """a, b, sim: pairs of questions of different folds, at least ``least`` alike, one among the ``k`` nearest of the other.
 
-    Cosine of TF-IDF over ``grams`` that two questions hold at least.
+    Cosine of TF-IDF over ``grams`` that two questions hold at least, by an exact join on rare terms.
     """
-    w = tfidf_weights(units, grams, "qid", 2)
-    near = top_k(kernel(w, w), "qid", "sim", "other", k).where(F.col("sim") >= least)
+    near = nearest_similar(checkpointed(tfidf_weights(units, grams, "qid", 2)), least, k)
     j = near.join(folds.withColumnRenamed("fold", "fa"), "qid").join(folds.select(F.col("qid").alias("other"), F.col("fold").alias("fb")), "other").where("fa <> fb")
     return j.groupBy(F.least("qid", "other").alias("a"), F.greatest("qid", "other").alias("b")).agg(F.max("sim").alias("sim"))

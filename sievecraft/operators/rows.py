@@ -114,10 +114,13 @@ def fused_rows(pool: DataFrame, ranks: DataFrame, views: tuple[str, ...], channe
     ``ranks`` and ``channels`` are long tables (branch, rank) and (branch, score); channels come in alphabetical order.
     A gap is in standard deviations; a missing score is the mean less two of them.
     """
-    p = ranks.where(F.col("branch").isin(*views)).groupBy("qid", "doc_id").pivot("branch", list(views)).agg(F.min("rank"))
-    out = pool.select("qid", "doc_id").join(p, ["qid", "doc_id"], "left")
-    r = [F.coalesce(F.col(f"`{v}`"), F.lit(missing)) for v in views]
-    out = out.select("qid", "doc_id", *[(1 / (10 + x)).alias(f"rr_{v}") for v, x in zip(views, r)], *[(x / missing).alias(f"r_{v}") for v, x in zip(views, r)], F.least(*r).alias("least_rank"), (sum(r[1:], r[0]) / len(r)).alias("mean_rank"))
+    out = pool.select("qid", "doc_id")
+    if views:
+        p = ranks.where(F.col("branch").isin(*views)).groupBy("qid", "doc_id").pivot("branch", list(views)).agg(F.min("rank"))
+        r = [F.coalesce(F.col(f"`{v}`"), F.lit(missing)) for v in views]
+        out = out.join(p, ["qid", "doc_id"], "left").select("qid", "doc_id", *[(1 / (10 + x)).alias(f"rr_{v}") for v, x in zip(views, r)], *[(x / missing).alias(f"r_{v}") for v, x in zip(views, r)], (F.least(*r) if len(r) > 1 else r[0]).alias("least_rank"), (sum(r[1:], r[0]) / len(r)).alias("mean_rank"))
+    if not names:
+        return out
     s = channels.where(F.col("branch").isin(*names)).groupBy("qid", "doc_id").pivot("branch", list(names)).agg(F.max("score"))
     out = out.join(s, ["qid", "doc_id"], "left")
     made = {}
@@ -128,6 +131,27 @@ def fused_rows(pool: DataFrame, ranks: DataFrame, views: tuple[str, ...], channe
     return out.withColumns(made).drop(*names)
 
 
+def configured_rows(config: dict, pool: DataFrame, ranks: DataFrame, channels: DataFrame, metadata: dict[str, DataFrame], missing: int = 60) -> DataFrame:
+    """qid, doc_id and the features that ``config`` names, in this order: rank_views, score_channels, metadata.
+
+    Views give their two columns each and the least and mean rank, channels z and gap; a metadata table (doc_id, or qid
+    and doc_id) gives its columns, 0 where it has no row. Raises if nothing is named, or something unknown.
+    """
+    views, names, meta = (tuple(config.get(k, ())) for k in ("rank_views", "score_channels", "metadata"))
+    if not (views or names or meta):
+        raise ValueError("empty feature configuration")
+    if unknown := [m for m in meta if m not in metadata]:
+        raise ValueError(f"no metadata of the name {', '.join(unknown)}")
+    made = fused_rows(pool, ranks, views, channels, names, missing)
+    for m in meta:
+        t = metadata[m]
+        keys = [k for k in ("qid", "doc_id") if k in t.columns]
+        own = {c: f"{m}_{c}" for c in t.columns if c not in keys}
+        made = made.join(t.withColumnsRenamed(own), keys, "left").fillna(0, list(own.values()))
+    order = [f"{p}_{v}" for v in views for p in ("rr", "r")] + (["least_rank", "mean_rank"] if views else []) + [f"{p}_{c}" for c in names for p in ("z", "gap")]
+    return made.select("qid", "doc_id", *order, *[c for c in made.columns if c not in order and c not in ("qid", "doc_id")])
+
+
 def similarity_rows(rows: DataFrame) -> DataFrame:
     """z, gap and presence of a nullable similarity (as of titles); a missing one is two deviations below the mean."""
     z = features.z_gap(rows.withColumnRenamed("sim", "score"))

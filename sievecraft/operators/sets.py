@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievecraft.session import checkpointed
+
 
 def pool_union(lists: DataFrame) -> DataFrame:
     """qid, doc_id, pool_pos: ordered distinct union of lists with (qid, doc_id, src, pos)."""
@@ -64,9 +70,45 @@ def citations(pool: DataFrame, numbers: DataFrame) -> DataFrame:
     return out.select("qid", "doc_id", F.coalesce("cited_by", F.lit(0)).alias("cited_by"), F.coalesce("cites_in_pool", F.lit(0)).alias("cites_in_pool"), F.size("cited").alias("n_cited"), F.col("own").isNotNull().cast("int").alias("has_own"))
 
 
-def pareto(rows: DataFrame) -> DataFrame:
-    """Rows (id, recall, models, features) that no other row dominates: the frontier of an experiment list."""
-    a, b = rows.alias("a"), rows.alias("b")
-    no_worse = (F.col("b.recall") >= F.col("a.recall")) & (F.col("b.models") <= F.col("a.models")) & (F.col("b.features") <= F.col("a.features"))
-    better = (F.col("b.recall") > F.col("a.recall")) | (F.col("b.models") < F.col("a.models")) | (F.col("b.features") < F.col("a.features"))
-    return a.join(b, no_worse & better, "left_anti")
+#: What a configuration is judged by: more recall, fewer models and features.
+CRITERIA = (("recall", True), ("models", False), ("features", False))
+
+
+def pareto(rows: DataFrame, criteria: tuple[tuple[str, bool], ...] = CRITERIA, strict: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows that no other row dominates: the frontier of an experiment list. Criteria are (column, whether more is better).
+
+    A row dominates another if it is no worse in every criterion and better in one of ``strict`` (all of them for None).
+    Rows without one of the criteria dominate nothing and are not dominated. Every task keeps the frontier of its rows,
+    taken in the order of the criteria so that a row meets those that may dominate it first; frontiers are merged in
+    rounds of ever fewer tasks, the last of which holds the result alone.
+    """
+    names = [c for c, _ in criteria]
+    sign = np.array([1.0 if more else -1.0 for _, more in criteria])
+    judged = np.array([strict is None or c in strict for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        x = np.stack([t.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names], axis=1) * sign
+        known = ~np.isnan(x).any(axis=1)
+        points, of = np.unique(x[known], axis=0, return_inverse=True)
+        keep, front = np.zeros(len(points), bool), np.zeros((0, len(names)))
+        for k in np.lexsort(-points.T[::-1]):
+            p = points[k]
+            if not (len(front) and ((front >= p).all(axis=1) & (front > p)[:, judged].any(axis=1)).any()):
+                # With fewer strict criteria a later row may still dominate an earlier one; those go when they meet it.
+                front = front[~((p >= front).all(axis=1) & (p > front)[:, judged].any(axis=1))]
+                front = np.vstack([front, p])
+        held = {tuple(p) for p in front}
+        keep = np.array([tuple(p) in held for p in points], bool)
+        stay = np.ones(len(x), bool)
+        stay[known] = keep[of.ravel()] if len(points) else True
+        yield from t.filter(pa.array(stay)).to_batches()
+
+    out, parts = rows.mapInArrow(run, rows.schema), rows.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // 16)
+        out = checkpointed(out).repartition(parts).mapInArrow(run, rows.schema)
+    return out

@@ -556,7 +556,7 @@ def agg_pooling(s, d):
 def agg_bootstrap(s, d):
     g = gold(s, d)
     a, b = measure.query_metrics(one(s, d, "view"), g), measure.query_metrics(one(s, d, "click"), g)
-    return measure.bootstrap(a.select("qid", F.col("recall100").alias("a")).join(b.select("qid", F.col("recall100").alias("b")), "qid").select("qid", (F.col("b") - F.col("a")).alias("delta")))
+    return measure.bootstrap(a.select("qid", F.col("recall5").alias("a")).join(b.select("qid", F.col("recall5").alias("b")), "qid").select((F.col("b") - F.col("a")).alias("delta")))
 
 
 # ---------------------------------------------------------------- windows and features

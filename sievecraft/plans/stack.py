@@ -170,10 +170,10 @@ c AS (SELECT qid, term, count(*) AS tf FROM k GROUP BY ALL), n AS (SELECT count(
 s AS (SELECT a.qid, b.qid AS other, round(sum(a.w * b.w), 9) AS sim FROM v a JOIN v b USING (term) WHERE a.qid <> b.qid GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, other) AS rank FROM s)"""
 
 
-@query(f"WITH {_GRAMS} SELECT least(qid, other) AS a, greatest(qid, other) AS b, round(max(sim), 6) AS sim FROM r WHERE rank <= 5 AND sim >= 0.2 AND qid % 5 <> other % 5 GROUP BY ALL")
+@query(f"WITH {_GRAMS} SELECT least(qid, other) AS a, greatest(qid, other) AS b, round(max(sim), 6) AS sim FROM r WHERE rank <= 5 AND sim >= 0.92 AND qid % 5 <> other % 5 GROUP BY ALL")
 def ret_near_dups(s, d):
     b = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return retrieve.near_questions(b, b.select("qid", (F.col("qid") % 5).alias("fold")), X.char_ngrams(X.tokens(F.col("text"))), 0.2)
+    return retrieve.near_questions(b, b.select("qid", (F.col("qid") % 5).alias("fold")), X.char_ngrams(X.tokens(F.col("text"))), 0.92)
 
 
 @query(bm25_sql(DOC_UNITS, "doc_id", 10) + ", e AS (SELECT qid, doc_id, CASE WHEN rank <= 3 THEN 0 END AS c1, CASE WHEN rank <= 6 THEN 1 END AS c2 FROM bm) SELECT qid, doc_id, coalesce(c1, c2, 0)::BIGINT AS chunk_no, CASE WHEN c1 IS NOT NULL THEN 'first' WHEN c2 IS NOT NULL THEN 'second' ELSE 'lead' END AS selector FROM e")
