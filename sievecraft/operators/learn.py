@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievecraft.session import checkpointed
+
 
 def standardise(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Population mean and deviation of each column; a zero deviation counts as 1."""
@@ -21,25 +26,35 @@ def stratified_folds(queries: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def fit_logistic(rows: DataFrame, columns: tuple[str, ...], c: float = 0.3, weight: str | None = None, intercept: bool = True, steps: int = 25) -> np.ndarray:
-    """L2 logistic regression (the intercept is penalised too) by Newton steps; each step is one aggregate of sums."""
-    names = list(columns) + (["__one"] if intercept else [])
-    base = rows.withColumn("__one", F.lit(1.0)).withColumn("__w", F.col(weight) if weight else F.lit(1.0)).cache()
-    w = np.zeros(len(names))
+    """L2 logistic regression (the intercept is penalised too) by Newton steps.
+
+    A step is one pass: a task adds up gradient and Gram matrix of its rows, and one aggregate sums these, so what
+    reaches the driver has the size of the matrix. Null features count as 0.
+    """
+    n = len(columns) + intercept
+    x = F.array(*[F.coalesce(F.col(k).cast("double"), F.lit(0.0)) for k in columns], *([F.lit(1.0)] if intercept else []))
+    base = checkpointed(rows.select(x.alias("x"), F.col("y").cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")))
+    w = np.zeros(n)
     for _ in range(steps):
-        m = sum((F.col(n) * float(v) for n, v in zip(names, w)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-m))
-        h = F.col("__w") * p * (1 - p)
-        cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-        got = base.agg(*[F.sum(F.col("__w") * (p - F.col("y")) * F.col(n)) for n in names], *[F.sum(h * F.col(names[i]) * F.col(names[j])) for i, j in cells]).first()
-        grad, hess = np.array(got[: len(names)], float) * c + w, np.eye(len(names))
-        for (i, j), v in zip(cells, got[len(names) :]):
-            hess[i, j] += c * v
-            hess[j, i] = hess[i, j]
-        step = np.linalg.solve(hess, grad)
+
+        def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((n + 1, n))
+            for b in batches:
+                m = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                y, v = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+                p = 1 / (1 + np.exp(-np.clip(m @ w, -700, 700)))
+                total[0] += (v * (p - y)) @ m
+                total[1:] += (m * (v * p * (1 - p))[:, None]).T @ m
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "v"])
+
+        total = np.zeros((n + 1) * n)
+        for r in base.mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():  # n (n + 1) sums
+            total[r["cell"]] = r["v"]
+        total = total.reshape(n + 1, n)
+        step = np.linalg.solve(np.eye(n) + c * total[1:], total[0] * c + w)
         w = w - step
         if abs(step).max() < 1e-8:
             break
-    base.unpersist()
     return w
 
 

@@ -260,7 +260,17 @@ def bundle(s, d, full_k=500, local_k=2000, tri_k=1000, memory_k=100):
     return every.withColumn("rank", F.row_number().over(W.partitionBy("qid", "branch").orderBy(F.desc("score"), "doc_id")))
 
 
-@query()
+_BEST2 = ", o AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, chunk_id) AS rn FROM bm JOIN (SELECT chunk_id, doc_id FROM u) USING (chunk_id)) SELECT qid, doc_id, sum(CASE rn WHEN 1 THEN score ELSE 0.6 * score END) AS score FROM o WHERE rn <= 2 GROUP BY ALL"
+_SPOKEN = f"SELECT DISTINCT item_id AS qid, array_to_string(g, ' ') AS term FROM (SELECT item_id, unnest(list_transform(range(1, greatest(len(v) - 2, 0) + 1), lambda i: v[i : i + 2])) AS g FROM (SELECT item_id, {TOK} AS v FROM benchmark)) WHERE len(list_filter(g, lambda x: NOT list_contains({STOPS}, x))) >= 2"
+_BRANCH = {
+    "full": bm25_sql(DOC_UNITS, "doc_id", 500) + " SELECT qid, doc_id, score FROM bm",
+    "local": bm25_sql(f"WITH {CHUNKS}", "chunk_id", 2000) + _BEST2,
+    "trigram": bm25_sql(f"WITH {CHUNKS.replace('u AS', 'u0 AS', 1)}, u AS (SELECT chunk_id, doc_id, {TRI('w')} AS w FROM u0)", "chunk_id", 1000, _SPOKEN) + _BEST2,
+    "memory": bm25_sql(f"WITH u AS (SELECT item_id AS other, {TOK} AS w FROM benchmark)", "other", 101) + ", nb AS (SELECT qid, other, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, other) AS rank FROM bm WHERE qid <> other QUALIFY rank <= 100), g AS (SELECT item_id AS other, unnest([item_id % 7, item_id % 5 + 10]) AS doc_id FROM benchmark) SELECT qid, doc_id, sum(greatest(score, 0) / (10 + rank)) AS score FROM nb JOIN g USING (other) GROUP BY ALL",
+}
+
+
+@query("WITH every AS (" + " UNION ALL ".join(f"SELECT qid, doc_id, round(score, 9) AS score, '{b}' AS branch FROM ({q})" for b, q in _BRANCH.items()) + ") SELECT qid, branch, doc_id, row_number() OVER (PARTITION BY qid, branch ORDER BY score DESC, doc_id) AS rank, round(score, 6) AS score FROM every")
 def ret_bundle(s, d):
     return bundle(s, d).select("qid", "branch", "doc_id", "rank", "score")
 
