@@ -72,6 +72,18 @@ def payload_runs(rows: DataFrame) -> DataFrame:
     return rows.select("q", "source", F.inline(p))
 
 
+def checked_runs(rows: DataFrame) -> DataFrame:
+    """As payload_runs, of payloads that are whole: raises if one is no list, names a document twice, or its ranks do not count from 1."""
+    p = F.from_json("payload", "array<struct<doc_id string, rank int, score double>>")
+    ranks, names = F.array_sort(F.transform(p, lambda x: x["rank"])), F.transform(p, lambda x: x["doc_id"])
+    counted = F.when(F.size(p) > 0, F.sequence(F.lit(1), F.size(p))).otherwise(F.array().cast("array<int>"))
+    whole = p.isNotNull() & (ranks == counted) & (F.size(F.array_distinct(names)) == F.size(p)) & ~F.exists(names, lambda x: x.isNull())
+    bad = rows.where(~F.coalesce(whole, F.lit(False))).select("q", "source").limit(5).collect()
+    if bad:
+        raise ValueError(f"broken payloads, such as {[tuple(r) for r in bad]}")
+    return payload_runs(rows)
+
+
 def signature(spark: SparkSession, path: str) -> DataFrame:
     """files, bytes of a folder, without reading contents."""
     return spark.read.format("binaryFile").load(path).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
@@ -122,8 +134,11 @@ def looked_up(chunk_table: DataFrame, wanted: DataFrame) -> DataFrame:
     return found
 
 
-def query_maps(df: DataFrame, depth: int = 2) -> list[str]:
-    """Names of the fields, nested up to ``depth``, that are maps from a query id to something."""
+def query_maps(df: DataFrame, depth: int = 2, rows: int = 20, keys: int = 100, pattern: str | None = None) -> list[str]:
+    """Names of the fields, nested up to ``depth``, that are maps from a query id to something.
+
+    With ``pattern`` a field counts only if most of the first ``keys`` keys of its first ``rows`` rows look like it.
+    """
     from pyspark.sql import types as T
 
     out: list[str] = []
@@ -136,7 +151,10 @@ def query_maps(df: DataFrame, depth: int = 2) -> list[str]:
                 walk(f.dataType, f"{name}.{f.name}" if name else f.name, left - 1)
 
     walk(df.schema, "", depth)
-    return out
+    if pattern is None or not out:
+        return out
+    some = df.limit(rows).select(*[F.avg(F.size(F.filter(F.slice(F.map_keys(c), 1, keys), lambda k: k.cast("string").rlike(pattern))) / F.nullif(F.least(F.size(c), F.lit(keys)), F.lit(0))).alias(f"c{i}") for i, c in enumerate(out)]).head()
+    return [c for c, share in zip(out, some) if share is not None and share > 0.5]
 
 
 def tree_hash(spark: SparkSession, path: str) -> DataFrame:

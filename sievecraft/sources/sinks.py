@@ -6,10 +6,13 @@ import hashlib
 import json
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievecraft.session import checkpointed
+
 
 def answer_zip(answers: DataFrame, path: str, member: str = "answers.json", most: int = 100_000) -> str:
     """{qid: {"answer": [ids]}} as the single member of a ZIP; returns its SHA-256. One file of at most ``most`` queries."""
@@ -67,6 +70,26 @@ def upserted(df: DataFrame, path: str, partition: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def upserted_rows(df: DataFrame, path: str, keys: list[str], partition: str, progress: DataFrame | None = None) -> None:
+    """Put rows in, or in place of those with the same ``keys``, which hold ``partition``; then append a row of ``progress``.
+
+    Only the partitions that ``df`` has rows of are read and written again. Rows must not repeat a key. Progress
+    (``path``_progress) is written last, so a run that is cut short has none and is done again.
+    """
+    if df.groupBy(*keys).count().where("count > 1").limit(1).count():
+        raise ValueError(f"rows repeat a key of {', '.join(keys)}")
+    try:
+        old = df.sparkSession.read.schema(df.schema).parquet(path)
+        touched = df.select(partition).distinct()
+        df = old.join(touched, partition, "left_semi").join(df.select(*keys), keys, "left_anti").unionByName(df)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    upserted(checkpointed(df), path, partition)
+    if progress is not None:
+        progress.write.mode("append").parquet(f"{path}_progress")
+
+
 def appended(df: DataFrame, path: str, fingerprint: str) -> None:
     """Append rows under a configuration's fingerprint; raises if the table was written under another one."""
     spark = df.sparkSession
