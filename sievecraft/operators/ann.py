@@ -135,12 +135,16 @@ def build(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, bl
     return VectorIndex(checkpointed(packed(in_pieces, ["cell", "piece"], "vec_id", "embedding", ("ids", "vs"))), pieces, centroids, rows)
 
 
-def neighbours_of_some(index: VectorIndex, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query's number, cell, vec_id) of the k nearest vectors of a few queries, their own rows left out; by comparing with all vectors."""
-    shared = index.blocks.sparkSession.sparkContext.broadcast(q)
+def neighbours_of_some(index: VectorIndex, q: np.ndarray, own: np.ndarray, near: tuple[np.ndarray, np.ndarray], k: int) -> list[tuple[int, int, int]]:
+    """(query's number, cell, vec_id) of the k nearest vectors of a few queries, their own rows left out; by comparing with all vectors.
+
+    ``near`` has for each query a distance in millionths and an id that its k-th neighbour does not lie beyond; a task
+    hands on what is within these alone, k + 1 rows of a query at most.
+    """
+    shared = index.blocks.sparkSession.sparkContext.broadcast((q, own, near))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
+        q, own, (far, last) = shared.value
         best, ids, cells = np.full((len(q), k + 1), _LAST), np.zeros((len(q), k + 1), np.int64), np.zeros((len(q), k + 1), np.int64)
         for b in batches:
             for r in b.to_pylist():
@@ -150,27 +154,33 @@ def neighbours_of_some(index: VectorIndex, q: np.ndarray, own: np.ndarray, k: in
                 where = np.hstack([cells, np.full(key.shape, r["cell"])])
                 order = np.lexsort((who, d), axis=1)[:, : k + 1]
                 best, ids, cells = (np.take_along_axis(m, order, 1) for m in (d, who, where))
-        at, j = np.nonzero(best < _LAST)
+        within = (best < far[:, None]) | ((best == far[:, None]) & (ids <= last[:, None]))
+        at, j = np.nonzero((best < _LAST) & (ids != own[:, None]) & within)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at, j].astype(np.int32)), pa.array(ids[at, j]), pa.array(best[at, j])], names=["q", "cell", "vec_id", "d"])
 
     with arrow_batches(index.blocks.sparkSession, 16):
         found = index.blocks.select("cell", "ids", "vs").mapInArrow(run, "q int, cell int, vec_id long, d long")
-        mine = found.sparkSession.createDataFrame([(n, int(i)) for n, i in enumerate(own)], "q int, vec_id long")
-        others = found.join(F.broadcast(mine), ["q", "vec_id"], "left_anti")
-        top = others.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("r") <= k)
+        top = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("r") <= k)
         return [(r["q"], r["cell"], r["vec_id"]) for r in top.select("q", "cell", "vec_id").collect()]  # k rows for each of a fixed number of queries
 
 
 def probes_for(index: VectorIndex, k: int, wanted: float = WANTED, known: int = KNOWN) -> tuple[int, float]:
     """The least number of cells to probe for a share ``wanted`` of true neighbours, and the share found on rows that did not choose it."""
-    some = index.blocks.select("ids", "vs").where(F.pmod(F.xxhash64("cell", "piece"), F.lit(max(1, len(index.centroids) // 64))) == 0).limit(64)
-    parts = [unpacked(r["ids"], r["vs"]) for r in some.collect()] or [unpacked(r["ids"], r["vs"]) for r in index.blocks.select("ids", "vs").limit(1).collect()]
-    own, q = np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
-    pick = np.sort(np.random.default_rng(11).permutation(len(own))[:known])
-    own, q = own[pick], q[pick]
+    count = index.blocks.count()
+    few = max(1, min(64, int(SAMPLE * count / (2 * max(index.rows, 1)))))  # blocks with about half a sample of rows at most
+    some = index.blocks.select("ids", "vs").orderBy(F.xxhash64("cell", "piece"), "cell", "piece").limit(few).collect()
+    parts = [unpacked(r["ids"], r["vs"]) for r in some]
+    all_own, all_q = np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts])
+    pick = np.sort(np.random.default_rng(11).permutation(len(all_own))[:known])
+    own, q = all_own[pick], all_q[pick]
+    order = np.argsort(all_own, kind="stable")
+    key = best_of(all_own[order], all_q[order], q, k + 1)  # one of these may be the row itself
+    full = key.shape[1] > k
+    far = key[:, -1] >> _PLACES if full else np.full(len(q), _LAST)
+    last = all_own[order][key[:, -1] & ((1 << _PLACES) - 1)] if full else np.full(len(q), _LAST)
     order, _ = nearest(q, index.centroids, len(index.centroids))
     place = np.argsort(order, axis=1)  # of each cell among a query's cells
-    found = np.array(neighbours_of_some(index, q, own, k)).reshape(-1, 3)
+    found = np.array(neighbours_of_some(index, q, own, (far, last), k)).reshape(-1, 3)
     ranks, even = place[found[:, 0], found[:, 1]], found[:, 0] % 2 == 0
     chosen, rest = (ranks[even], ranks[~even]) if (~even).any() else (ranks, ranks)
     if not len(chosen):
