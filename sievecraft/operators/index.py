@@ -39,7 +39,7 @@ SEGMENT_CHARS, BUCKETS, ASKED_ROWS, FEW_TERMS = 4_000_000_000, 8, 300_000, 256
 #: A term is dealt over several keys if it holds more than this share of all documents, so there are few such terms.
 HOT_SHARE = 0.001
 #: Goes up when what is stored changes, so that older indexes are left alone.
-FORMAT = 2
+FORMAT = 3
 TOTALS = ("docs", "doc_terms", "chunks", "chunk_terms")
 
 
@@ -49,7 +49,10 @@ def last_chunk(tokens: np.ndarray) -> np.ndarray:
 
 
 def postings_of(ids: pa.Array, tokens: pa.ListArray, width: int) -> pa.RecordBatch:
-    """term, doc_id, tokens, tf, chunks of some documents; the empty term stands once for each document."""
+    """term, doc_id, tokens, tf, chunks of some documents; the empty term stands once for each document.
+
+    Documents of one chunk, which most are, have null in place of the chunk that says the same as the row.
+    """
     offsets = tokens.offsets.to_numpy().astype(np.int64)
     flat, offsets = tokens.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
     n = np.diff(offsets)
@@ -65,7 +68,8 @@ def postings_of(ids: pa.Array, tokens: pa.ListArray, width: int) -> pa.RecordBat
     words = terms.dictionary_encode()
     kinds = max(len(words.dictionary), 1)
     key, which, tf = np.unique(row * kinds + words.indices.to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
-    high = np.minimum(at // STEP, last_chunk(n)[row])
+    last = last_chunk(n)
+    high = np.minimum(at // STEP, last[row])
     low = np.maximum((at + width - 1 - (SIZE - STEP)) // STEP, 0)
     both = low < high
     chunk, of = np.concatenate((high, low[both])), np.concatenate((which, which[both]))
@@ -73,6 +77,8 @@ def postings_of(ids: pa.Array, tokens: pa.ListArray, width: int) -> pa.RecordBat
     ckey, ctf = np.unique(of * span + chunk, return_counts=True)
     of, chunk = ckey // span, ckey % span
     found = key // kinds
+    several = last[found] > 0
+    ctf, chunk, of = ctf[several[of]], chunk[several[of]], of[several[of]]
     held = pa.StructArray.from_arrays([pa.array(chunk.astype(np.int32)), pa.array(ctf.astype(np.int32))], names=["no", "tf"])
     bounds = np.searchsorted(of, np.arange(len(key) + 1))
     some = len(n)  # one row with the empty term per document
@@ -81,7 +87,7 @@ def postings_of(ids: pa.Array, tokens: pa.ListArray, width: int) -> pa.RecordBat
         pa.concat_arrays([ids.take(pa.array(found)), ids]),
         pa.array(np.concatenate((n[found], n)).astype(np.int64)),
         pa.array(np.concatenate((tf, np.ones(some, np.int64))).astype(np.int64)),
-        pa.ListArray.from_arrays(pa.array(np.concatenate((bounds, np.full(some, bounds[-1]))).astype(np.int32)), held),
+        pa.ListArray.from_arrays(pa.array(np.concatenate((bounds, np.full(some, bounds[-1]))).astype(np.int32), mask=np.concatenate((~several, np.ones(some, bool), [False]))), held),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["term", "doc_id", "tokens", "tf", "chunks"])
 
@@ -153,7 +159,7 @@ def _write(docs: DataFrame, folder: str, width: int, first: int, buckets: int |
         put(found.repartition(int(min(segments * buckets, 100_000)), "segment", "bucket").sortWithinPartitions("segment", "bucket", "term"), "postings", "segment", "bucket")
     kind = docs.schema["doc_id"].dataType.simpleString()
     mine = _stored_postings(spark, folder, kind).where(F.col("segment").between(first, first + segments - 1))
-    df = mine.where("term <> ''").groupBy("bucket", "term").agg(F.count("*").alias("docs"), F.sum(F.size("chunks")).cast("long").alias("chunks"))
+    df = mine.where("term <> ''").groupBy("bucket", "term").agg(F.count("*").alias("docs"), F.sum(F.when(F.col("chunks").isNull(), 1).otherwise(F.size("chunks"))).cast("long").alias("chunks"))
     put(df.select("term", "docs", "chunks", F.lit(first).alias("first"), "bucket").repartition(buckets, "bucket").sortWithinPartitions("bucket", "term"), "terms", "first", "bucket")
     last = F.expr(f"greatest(tokens - {SIZE - STEP} - 1, 0) div {STEP}")
     inner = F.greatest(F.col("tokens") - (width - 1), F.lit(0))
@@ -219,7 +225,8 @@ def bm25(index: LexicalIndex, asked: DataFrame, k: int, grain: str = "doc", digi
     size = F.col("tokens")
     if grain == "chunk":
         unit.append("no")
-        hits = hits.select("qid", "idf", "doc_id", "tokens", F.inline("chunks"))
+        alone = F.array(F.struct(F.lit(0).alias("no"), F.col("tf").cast("int").alias("tf")))
+        hits = hits.select("qid", "idf", "doc_id", "tokens", F.inline(F.coalesce("chunks", alone)))
         size = F.least(F.lit(SIZE), F.col("tokens") - STEP * F.col("no"))
     size = F.greatest(size - (index.width - 1), F.lit(0))
     units, total = (index.totals["docs"], index.totals["doc_terms"]) if grain == "doc" else (index.totals["chunks"], index.totals["chunk_terms"])
