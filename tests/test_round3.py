@@ -33,3 +33,8 @@ def both(spark, folder, name, where="true"):
 def test_bundle_cuts_the_memory_where_its_sql_does(spark, folder):
     got, want = both(spark, folder, "ret_bundle", "branch = 'memory'")
     assert got == want and sum(got.values()) > 1000
+
+
+def test_near_duplicates_below_the_references_threshold_have_rows(spark, folder):
+    got, want = both(spark, folder, "ret_near_dups")
+    assert got == want and any(x[2] < 0.92 for x in got)
