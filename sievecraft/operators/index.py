@@ -11,7 +11,8 @@ fits, and built anew if not. ``append`` adds documents as new segments; totals a
 segments, so nothing that is stored is written again.
 
 Queries read the postings of the asked terms only. What is broadcast is checked: ``ASKED_ROWS`` rows of asked terms at
-most; larger sets meet the postings by a join in which the terms that hold most are dealt over several keys.
+most; with these, postings are dealt by document, and a task scores its documents for all queries and hands on the best
+alone. Larger sets meet the postings by a join in which the terms that hold most are dealt over several keys.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SIZE, STEP = 500, 400  # tokens of a chunk, and from one chunk's start to the ne
 SEGMENT_CHARS, BUCKETS, ASKED_ROWS, FEW_TERMS = 4_000_000_000, 8, 300_000, 256
 #: A term is dealt over several keys if it holds more than this share of all documents, so there are few such terms.
 HOT_SHARE = 0.001
+#: Postings that a task scores at once, some 70 bytes each.
+TASK_POSTINGS = 3_000_000
 #: Goes up when what is stored changes, so that older indexes are left alone.
 FORMAT = 3
 TOTALS = ("docs", "doc_terms", "chunks", "chunk_terms")
@@ -191,28 +194,113 @@ def stored(docs: DataFrame, width: int = 1) -> LexicalIndex:
     return open_index(spark, folder) or build(docs, folder, width)
 
 
-def _asked_postings(index: LexicalIndex, asked: DataFrame, grain: str) -> DataFrame:
-    """qid, tf, tokens and, of chunks, no; idf of each asked term: the postings that the asked terms (qid, term) have."""
-    totals = index.totals
+def _weighed(index: LexicalIndex, asked: DataFrame, grain: str) -> DataFrame:
+    """qid, bucket, term, df, units, idf of the asked terms (qid, term) that the index has: its documents, its units of that grain."""
     want = asked.select("qid", "term").where("term <> ''").distinct().withColumn("bucket", bucket_of(index.buckets))
-    n = totals["docs" if grain == "doc" else "chunks"]
+    n = index.totals["docs" if grain == "doc" else "chunks"]
     df = index.terms.join(want.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").groupBy("bucket", "term").agg(F.sum("docs").alias("docs"), F.sum("chunks").alias("chunks"))
     f = F.col("docs" if grain == "doc" else "chunks")
     idf = F.log((n - f + 0.5) / (f + 0.5))
-    weighed = checkpointed(want.join(df, ["bucket", "term"]).select("qid", "bucket", "term", F.col("docs").alias("df"), F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf")))
-    rows = weighed.count()
+    return checkpointed(want.join(df, ["bucket", "term"]).select("qid", "bucket", "term", F.col("docs").alias("df"), f.alias("units"), F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf")))
+
+
+def _postings_of(index: LexicalIndex, weighed: DataFrame, grain: str) -> DataFrame:
     postings = index.postings.where("term <> ''").select("bucket", "term", "doc_id", "tokens", "tf", *(["chunks"] if grain == "chunk" else []))
     few = [(r["bucket"], r["term"]) for r in weighed.select("bucket", "term").distinct().limit(FEW_TERMS + 1).collect()]
     if len(few) <= FEW_TERMS:  # literals prune buckets and row groups
         postings = postings.where(F.col("bucket").isin(sorted({b for b, _ in few})) & F.col("term").isin([t for _, t in few]))
-    if rows <= ASKED_ROWS:
-        return postings.join(F.broadcast(weighed), ["bucket", "term"])
+    return postings
+
+
+def _of_grain(hits: DataFrame, grain: str, *columns: str) -> DataFrame:
+    """``columns``, doc_id, tokens, tf of each hit; at chunk grain no and tf of each of its chunks."""
+    if grain == "doc":
+        return hits.select(*columns, "doc_id", "tokens", "tf")
+    alone = F.array(F.struct(F.lit(0).alias("no"), F.col("tf").cast("int").alias("tf")))
+    return hits.select(*columns, "doc_id", "tokens", F.inline(F.coalesce("chunks", alone)))
+
+
+def _joined(index: LexicalIndex, weighed: DataFrame, grain: str, mean: float, digits: int) -> DataFrame:
+    """qid, unit, score of all hits, for more asked terms than are broadcast: they meet the postings by a join."""
     # Hot terms number 1 / HOT_SHARE times the different terms of a document at most, whatever the corpus; each is dealt over keys of one size.
-    limit = max(1, int(HOT_SHARE * totals["docs"]))
+    limit = max(1, int(HOT_SHARE * index.totals["docs"]))
     hot = weighed.where(F.col("df") > limit).select("bucket", "term", F.ceil(F.col("df") / limit).cast("int").alias("keys")).distinct()
-    dealt = postings.join(F.broadcast(hot), ["bucket", "term"], "left").withColumn("key", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("keys")).cast("int"), F.lit(0))).drop("keys")
+    dealt = _postings_of(index, weighed, grain).join(F.broadcast(hot), ["bucket", "term"], "left").withColumn("key", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("keys")).cast("int"), F.lit(0))).drop("keys")
     spread = weighed.withColumn("key", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("df") / limit).cast("int"), F.lit(1)) - 1)))
-    return dealt.join(spread, ["bucket", "term", "key"])
+    hits = _of_grain(dealt.join(spread, ["bucket", "term", "key"]), grain, "qid", "idf")
+    size = F.col("tokens") if grain == "doc" else F.least(F.lit(SIZE), F.col("tokens") - STEP * F.col("no"))
+    size = F.greatest(size - (index.width - 1), F.lit(0))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * size / mean))
+    unit = ["doc_id"] if grain == "doc" else ["doc_id", "no"]
+    return hits.select("qid", *unit, part.alias("part")).groupBy("qid", *unit).agg(F.round(F.sum("part"), digits).alias("score"))
+
+
+def best_units(asked: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray], postings: pa.Table, k: int, mean: float, width: int, digits: int) -> Iterator[pa.RecordBatch]:
+    """qid, doc_id, no if it is given, score of the ``k`` best units of each query among these, whose postings (t, doc_id, tokens, tf) are whole.
+
+    ``asked`` has the queries' ids, where the terms of each start, the numbers of these terms and their idf.
+    """
+    qids, starts, terms, idf = asked
+    grain = ["no"] if "no" in postings.column_names else []
+    t, tf, size = (postings[c].to_numpy() for c in ("t", "tf", "tokens"))
+    ids = postings["doc_id"].combine_chunks().dictionary_encode()
+    sorting = pc.sort_indices(ids.dictionary).to_numpy()
+    names, place = ids.dictionary.take(pa.array(sorting)), np.argsort(sorting)
+    unit = place[ids.indices.to_numpy()]  # in order of the ids, which settles ties
+    span = 1
+    if grain:
+        no = postings["no"].to_numpy().astype(np.int64)
+        size, span = np.minimum(SIZE, size - STEP * no), int(no.max()) + 1
+        unit = unit * span + no
+    units, unit = np.unique(unit, return_inverse=True)
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.maximum(size - (width - 1), 0) / mean))
+    order = np.argsort(t, kind="stable")
+    first = np.searchsorted(t[order], np.arange(int(terms.max(initial=-1)) + 2))
+    unit, part = unit[order], part[order]
+    for q in range(len(qids)):
+        at, weight = terms[starts[q] : starts[q + 1]], idf[starts[q] : starts[q + 1]]
+        count = first[at + 1] - first[at]
+        rows = np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        total = np.bincount(unit[rows], np.repeat(weight, count) * part[rows], len(units))
+        found = np.flatnonzero(total > 0)  # idf and parts are above 0, so these are all that hold a term
+        score = np.floor(total[found] * 10**digits + 0.5) / 10**digits
+        if len(found) > k:
+            least = np.partition(score, len(score) - k)[len(score) - k]
+            found, score = found[score >= least], score[score >= least]
+        best = np.lexsort((found, -score))[:k]
+        at = units[found[best]]
+        columns = [qids.take(pa.array(np.full(len(at), q))), names.take(pa.array(at // span)), *([pa.array((at % span).astype(np.int32))] if grain else []), pa.array(score[best])]
+        yield pa.RecordBatch.from_arrays(columns, names=["qid", "doc_id", *grain, "score"])
+
+
+def _best_of_tasks(index: LexicalIndex, weighed: DataFrame, k: int, grain: str, mean: float, digits: int) -> DataFrame:
+    """qid, unit, score: the ``k`` best of each task, which has some documents whole; hits never become rows.
+
+    Postings of the asked terms move once, by document, into tasks of about ``TASK_POSTINGS``, however many queries ask.
+    """
+    spark = index.spark
+    rows = weighed.toArrow()  # ASKED_ROWS at most
+    term = rows["term"].combine_chunks().dictionary_encode()
+    qid = rows["qid"].combine_chunks().dictionary_encode()
+    number, query = term.indices.to_numpy(), qid.indices.to_numpy()
+    order = np.lexsort((number, query))
+    starts = np.searchsorted(query[order], np.arange(len(qid.dictionary) + 1))
+    shared = spark.sparkContext.broadcast((qid.dictionary, starts, number[order].astype(np.int64), rows["idf"].to_numpy()[order]))
+    one = np.unique(number, return_index=True)[1]
+    named = pa.table({"bucket": rows["bucket"].take(pa.array(one)), "term": rows["term"].take(pa.array(one)), "t": pa.array(number[one].astype(np.int32))})
+    held = int(rows["units"].to_numpy()[one].sum()) if len(one) else 0
+    parts = max(1, -(-held // TASK_POSTINGS), min(spark.sparkContext.defaultParallelism, held // 100_000))
+    small = [F.col("tokens").cast("int").alias("tokens"), F.col("tf").cast("int").alias("tf"), *(["chunks"] if grain == "chunk" else [])]
+    found = _postings_of(index, weighed, grain).join(F.broadcast(spark.createDataFrame(named, "bucket int, term string, t int")), ["bucket", "term"]).select("t", "doc_id", *small)
+    kind = weighed.schema["qid"].dataType.simpleString()
+    width, numbered = index.width, "no int, " if grain == "chunk" else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if some:
+            yield from best_units(shared.value, pa.Table.from_batches(some), k, mean, width, digits)
+
+    return _of_grain(found.repartition(parts, "doc_id"), grain, "t").mapInArrow(run, f"qid {kind}, doc_id {index.kind}, {numbered}score double")
 
 
 def bm25(index: LexicalIndex, asked: DataFrame, k: int, grain: str = "doc", digits: int = 9) -> DataFrame:
@@ -220,17 +308,9 @@ def bm25(index: LexicalIndex, asked: DataFrame, k: int, grain: str = "doc", digi
 
     A term counts once for a query; an idf that is not positive is 1e-6. Ties go to the smaller id, then chunk.
     """
-    hits = _asked_postings(index, asked, grain)
-    unit = ["doc_id"]
-    size = F.col("tokens")
-    if grain == "chunk":
-        unit.append("no")
-        alone = F.array(F.struct(F.lit(0).alias("no"), F.col("tf").cast("int").alias("tf")))
-        hits = hits.select("qid", "idf", "doc_id", "tokens", F.inline(F.coalesce("chunks", alone)))
-        size = F.least(F.lit(SIZE), F.col("tokens") - STEP * F.col("no"))
-    size = F.greatest(size - (index.width - 1), F.lit(0))
+    unit = ["doc_id"] if grain == "doc" else ["doc_id", "no"]
     units, total = (index.totals["docs"], index.totals["doc_terms"]) if grain == "doc" else (index.totals["chunks"], index.totals["chunk_terms"])
-    mean = F.lit(max(total / max(units, 1), 1e-9))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * size / mean))
-    scores = hits.select("qid", *unit, part.alias("part")).groupBy("qid", *unit).agg(F.round(F.sum("part"), digits).alias("score"))
-    return scores.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), *unit))).where(F.col("rank") <= k)
+    mean = max(total / max(units, 1), 1e-9)
+    weighed = _weighed(index, asked, grain)
+    scores = _best_of_tasks(index, weighed, k, grain, mean, digits) if weighed.count() <= ASKED_ROWS else _joined(index, weighed, grain, mean, digits)
+    return scores.select("qid", *unit, "score").withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), *unit))).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from sievecraft.operators import index
 from sievecraft.plans import grids, registry, stack  # noqa: F401 (their queries register themselves)
 
 WORDS = "law tax land court fine water north river appeal notice order form".split()
@@ -38,3 +39,13 @@ def test_bundle_cuts_the_memory_where_its_sql_does(spark, folder):
 def test_near_duplicates_below_the_references_threshold_have_rows(spark, folder):
     got, want = both(spark, folder, "ret_near_dups")
     assert got == want and any(x[2] < 0.92 for x in got)
+
+
+def test_bm25_hands_on_the_best_of_a_task_and_no_hits(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "law tax " + "land " * (k % 7)) for k in range(200)], "doc_id long, text string")
+    ix = index.build(docs, f"{tmp_path}/ix")
+    asked = spark.range(50).selectExpr("id as qid", "explode(array('law', 'tax', 'land')) as term")
+    best = index.bm25(ix, asked, 3)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan  # no grouping of hits by query and document
+    assert best.count() == 150
