@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievecraft.functions import text as X
 from sievecraft.operators.simjoin import nearest_similar
-from sievecraft.session import checkpointed
+from sievecraft.session import checkpointed, spread
 
 K1, B = 1.2, 0.75
 #: Terms of a query set that are written into the plan.
@@ -63,21 +67,67 @@ def memory_votes(neighbours: DataFrame, golds: DataFrame, by_score: bool = False
     return neighbours.join(golds.withColumnRenamed("qid", "other"), "other").groupBy("qid", "doc_id").agg(F.sum(vote).alias("vote"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
+def dense_best(queries: DataFrame, vectors: DataFrame, k: int, by_owner: bool = False, digits: int = 6, block: int = 20_000) -> DataFrame:
+    """qid, vec_id, owner, sim: exact similarity of a stated query set (qid, qvec) to all vectors (vec_id, owner, embedding); whatever can be among the ``k`` best of a query is here.
 
-def dense_pairs(queries: DataFrame, vectors: DataFrame, digits: int = 6, block: int = 20_000) -> DataFrame:
-    """Exact similarity of a stated query set against all vectors, in blocks of about ``block`` queries that are broadcast."""
-    blocks = max(1, -(-queries.count() // block))
-    out = None
+    A task multiplies ``DENSE_ROWS`` vectors by ``DENSE_QUERIES`` queries at once and hands on the ``k`` best of each
+    query, of each owner with ``by_owner``; ties go to the smaller id. Queries are broadcast in blocks of about ``block``.
+    A missing vector has no similarity.
+    """
+    spark = vectors.sparkSession
+    kinds = [vectors.schema[c].dataType.simpleString() for c in ("vec_id", "owner")]
+    qkind = queries.schema["qid"].dataType.simpleString()
+    shape = f"qid {qkind}, vec_id {kinds[0]}, owner {kinds[1]}, sim double"
+    asked = queries.where("qvec is not null")
+    held = vectors.where("embedding is not null").select("vec_id", "owner", F.col("embedding").cast("array<double>").alias("embedding"))
+    columns = ["qid", "vec_id", "owner", F.lit(None).cast("double").alias("sim")]
+    out = vectors.where("embedding is null").crossJoin(queries).select(*columns).unionByName(vectors.where("embedding is not null").crossJoin(queries.where("qvec is null")).select(*columns))
+    blocks = max(1, -(-asked.count() // block))
     for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        part = vectors.crossJoin(F.broadcast(some)).select("qid", "vec_id", "owner", F.round(dot(F.col("qvec"), F.col("embedding")) + 1e-10, digits).alias("sim"))
-        out = part if out is None else out.unionByName(part)
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        rows = some.select("qid", F.col("qvec").cast("array<double>").alias("qvec")).toArrow()  # about ``block`` rows
+        shared = spark.sparkContext.broadcast((rows["qid"].combine_chunks(), _matrix(rows["qvec"].combine_chunks())))
+        out = out.unionByName(spread(held).mapInArrow(_dense_best(shared, k, by_owner, digits), shape))
     return out
 
 
+#: Vectors and queries that a task multiplies at once: some 100 MB with what is made of the products.
+DENSE_ROWS, DENSE_QUERIES = 32_768, 128
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(flat) else np.zeros((len(column), 0))
+
+
+def _dense_best(shared, k: int, by_owner: bool, digits: int):
+    def best(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        qids, q = shared.value
+        held = held.sort_by([*([("owner", "ascending")] if by_owner else []), ("vec_id", "ascending")]).combine_chunks()
+        v, own = _matrix(held["embedding"].combine_chunks()), held["owner"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        cuts = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)] if by_owner else np.array([0, len(own)])
+        bits = int(len(own)).bit_length()
+        for at in range(0, len(q), DENSE_QUERIES):
+            # The last digits of a key are the row's place, so that of equal similarities the smaller id is first.
+            key = (-np.rint((q[at : at + DENSE_QUERIES] @ v.T + 1e-10) * 10**digits).astype(np.int64) << bits) | np.arange(len(own))
+            found = [np.partition(key[:, a:b], k - 1, axis=1)[:, :k] if b - a > k else key[:, a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            key = np.concatenate(found, axis=1)
+            row, of = (key & ((1 << bits) - 1)).ravel(), np.repeat(np.arange(at, at + len(key)), key.shape[1])
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(of)), *[held[c].combine_chunks().take(pa.array(row)) for c in ("vec_id", "owner")], pa.array(-(key >> bits).ravel() / 10**digits)], names=["qid", "vec_id", "owner", "sim"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [], 0
+        for b in batches:
+            some, n = [*some, b], n + b.num_rows
+            if n >= DENSE_ROWS:
+                yield from best(pa.Table.from_batches(some))
+                some, n = [], 0
+        if n:
+            yield from best(pa.Table.from_batches(some))
+
+    return run
+
+
 def top_k(runs: DataFrame, key: str, by: str, tie: str, k: int) -> DataFrame:
     return runs.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(by), tie))).where(F.col("rank") <= k)
 

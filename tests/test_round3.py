@@ -5,8 +5,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from sievecraft.operators import index
+from sievecraft.operators import index, retrieve
 from sievecraft.plans import grids, registry, stack  # noqa: F401 (their queries register themselves)
 
 WORDS = "law tax land court fine water north river appeal notice order form".split()
@@ -49,3 +51,23 @@ def test_bm25_hands_on_the_best_of_a_task_and_no_hits(spark, tmp_path):
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "HashAggregate" not in plan  # no grouping of hits by query and document
     assert best.count() == 150
+
+
+@pytest.mark.parametrize("by_owner", [False, True])
+def test_dense_hands_on_the_best_with_ties_and_missing_vectors(spark, by_owner):
+    r = random.Random(3)
+    some = [[1.0, 0.0], [0.0, 1.0], [0.5, -0.5]]
+    vectors = [(k, k % 4, None if k % 50 == 7 else r.choice(some)) for k in range(400)]
+    frame = spark.createDataFrame(vectors, "vec_id long, owner long, embedding array<float>")
+    asked = [(0, [1.0, 0.0]), (1, [0.0, -1.0]), (2, None)]
+    near = retrieve.dense_best(spark.createDataFrame(asked, "qid long, qvec array<float>"), frame.repartition(3), 2, by_owner)
+    part = ("qid", "owner") if by_owner else ("qid",)
+    rank = F.row_number().over(W.partitionBy(*part).orderBy(F.desc_nulls_last("sim"), "vec_id"))
+    got = {(x.qid, x.vec_id, x.sim) for x in near.withColumn("rank", rank).where("rank <= 2").collect()}
+    want = set()
+    for q, a in asked:
+        for own in range(4) if by_owner else [None]:
+            sims = [(v, None if a is None or e is None else round(a[0] * e[0] + a[1] * e[1], 6)) for v, o, e in vectors if own in (None, o)]
+            want |= {(q, v, s) for v, s in sorted(sims, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:2]}
+    assert got == want
+    assert near.where("sim is not null").count() <= 2 * 2 * 3 * (4 if by_owner else 1)  # of 784 pairs
