@@ -21,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievecraft.session import arrow_batches, checkpointed
+
 MISSING, MOST = 100_000, 100  # rank of a document that a list lacks; documents of a list that count
 #: The grids of the three posteriors, and the weights of features by their number of words.
 GRAPH_GRID = {"seeds": (1, 2, 3, 5, 8, 10), "power": (0.5, 1.0, 1.5, 2.0), "mode": ("conditional", "cosine", "jaccard", "lift"), "min_edge": (1, 2, 3), "alpha": (0.02, 0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.60, 0.80, 1.0, 1.5, 2.0), "base_k": (0, 5, 20, 40)}
 KERNEL_GRID = {"power": (1.0, 1.5, 2.0, 3.0), "word": (0.0, 0.25, 0.5, 0.75, 1.0), "prior": (-0.35, -0.15, 0.0, 0.15, 0.35), "alpha": (0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50, 0.65, 0.80, 1.0), "k": (0, 5, 20, 40, 80)}
 PROFILE_GRID = {"ngram": (1, 2, 3), "k1": (0.5, 1.2, 2.5), "b": (0.25, 0.75, 1.0), "prior": (-0.3, 0.0, 0.3), "alpha": (0.02, 0.05, 0.08, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50, 0.65, 0.80, 1.0), "k": (0, 2, 5, 10, 20, 40, 80)}
 PHRASE_WEIGHTS = (1.0, 1.35, 1.65)
+#: Queries that a task of a sweep holds as objects at once; one with a thousand links takes half a megabyte.
+BATCH = 64
 THIRDS = (1.0, 0.40, 0.15)  # what the three strongest similarities of a document count
 
 Scorer = Callable[[dict, dict[int, int], dict], Iterator[np.ndarray]]
@@ -97,7 +101,8 @@ def swept(rows: DataFrame, grid: dict[str, tuple], scorer: Scorer) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(whole, dtype=np.int32)), pa.array(np.full(whole, n)), *[pa.array(total[:, j]) for j in range(3)]], names=["config", "n", "recall", "precision", "ndcg"])
 
     sums = rows.mapInArrow(run, "config int, n long, recall double, precision double, ndcg double").groupBy("config")
-    out = sums.agg(F.sum("n").alias("n"), *[(F.sum(c) / F.sum("n")).alias(name) for c, name in (("recall", "recall5"), ("precision", "precision5"), ("ndcg", "ndcg10"))])
+    with arrow_batches(rows.sparkSession, BATCH):  # a row per configuration is written
+        out = checkpointed(sums.agg(F.sum("n").alias("n"), *[(F.sum(c) / F.sum("n")).alias(name) for c, name in (("recall", "recall5"), ("precision", "precision5"), ("ndcg", "ndcg10"))]))
     columns, step = [], whole
     for name, values in grid.items():  # a configuration's number counts through the grid, the last column fastest
         step //= len(values)
