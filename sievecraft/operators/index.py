@@ -41,6 +41,8 @@ SEGMENT_CHARS, BUCKETS, ASKED_ROWS, FEW_TERMS = 4_000_000_000, 8, 300_000, 256
 HOT_SHARE = 0.001
 #: Postings that a task scores at once, some 70 bytes each.
 TASK_POSTINGS = 3_000_000
+#: Characters of text in a bucket of single words; a task writes one bucket (by hash, some had several and others none).
+BUCKET_CHARS = 64_000_000
 #: Goes up when what is stored changes, so that older indexes are left alone.
 FORMAT = 3
 TOTALS = ("docs", "doc_terms", "chunks", "chunk_terms")
@@ -154,16 +156,17 @@ def _write(docs: DataFrame, folder: str, width: int, first: int, buckets: int |
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.char_length("text"))).head()[0] or 0
     segments = max(1, -(-chars // segment_chars))
-    buckets = buckets or int(min(8 * BUCKETS, max(BUCKETS, chars // (segments * 64_000_000))))
+    # Runs of words are more different ones than words, and each is as long as all of its words.
+    buckets = buckets or int(min(8 * BUCKETS * width**2, max(BUCKETS, chars * width**2 // (segments * BUCKET_CHARS))))
     found = _postings(spread(docs), width, segments, first, buckets)
     # Segments are overwritten alone, so an append that was cut short is simply done again.
     put = lambda df, name, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{folder}/{name}")
     with arrow_batches(spark, 1024):
-        put(found.repartition(int(min(segments * buckets, 100_000)), "segment", "bucket").sortWithinPartitions("segment", "bucket", "term"), "postings", "segment", "bucket")
+        put(found.repartitionById(int(min(segments * buckets, 100_000)), (F.col("segment") - first) * buckets + F.col("bucket")).sortWithinPartitions("segment", "bucket", "term"), "postings", "segment", "bucket")
     kind = docs.schema["doc_id"].dataType.simpleString()
     mine = _stored_postings(spark, folder, kind).where(F.col("segment").between(first, first + segments - 1))
     df = mine.where("term <> ''").groupBy("bucket", "term").agg(F.count("*").alias("docs"), F.sum(F.when(F.col("chunks").isNull(), 1).otherwise(F.size("chunks"))).cast("long").alias("chunks"))
-    put(df.select("term", "docs", "chunks", F.lit(first).alias("first"), "bucket").repartition(buckets, "bucket").sortWithinPartitions("bucket", "term"), "terms", "first", "bucket")
+    put(df.select("term", "docs", "chunks", F.lit(first).alias("first"), "bucket").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "term"), "terms", "first", "bucket")
     last = F.expr(f"greatest(tokens - {SIZE - STEP} - 1, 0) div {STEP}")
     inner = F.greatest(F.col("tokens") - (width - 1), F.lit(0))
     # The first chunks are full, so a document's chunks hold its tokens and what they share.

@@ -2,6 +2,7 @@
 
 import inspect
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -86,3 +87,12 @@ def test_a_sweep_holds_few_queries_at_once(spark):
         yield np.zeros((1, len(at)))
 
     assert [x.n for x in sweeps.swept(rows, {"x": (1,)}, scorer).collect()] == [2000]
+
+
+def test_a_task_writes_one_bucket_of_the_index(spark, tmp_path):
+    docs = spark.createDataFrame([(k, " ".join(WORDS[(k * 7 + j * (1 + k % 5)) % 12] for j in range(20))) for k in range(300)], "doc_id long, text string")
+    ix = index.build(docs, f"{tmp_path}/ix", 3, 10_000)
+    files = ix.postings.select("segment", "bucket", F.input_file_name().alias("f")).distinct().collect()
+    assert len({(x.segment, x.bucket) for x in files}) == len(files) > 8
+    by_task = Counter(re.search(r"part-(\d+)", x.f)[1] for x in files)
+    assert max(by_task.values()) == 1
