@@ -9,12 +9,13 @@ documents of a segment come in blocks of ``WIDTH``, a *cell* is what one term ha
 stand its first posting and the largest contribution in it.
 
 Search: queries are taken in blocks of bounded size (``BLOCK_TERMS`` query terms), each of which is broadcast and run
-over all segments. Blocks are of variable size: of a query's rarest terms, which hold a share ``SINGLE`` of its
-postings, each posting is a block of its own, whose bound is exact; the frequent terms have their cells. Together they
-give each document an upper bound. A few documents with the highest bounds set the first threshold; then documents are
-walked in order: the pivot is the next one whose bound reaches the k-th best score so far (which a task carries from
-segment to segment), those before it are skipped without reading a posting of a frequent term, and at the pivot the
-frequent terms are sought and added. Results of the tasks are merged exactly.
+over all segments. In a segment the queries go in batches of those with the same frequent terms. Blocks are of variable
+size: of rare terms, each posting is a block of its own, whose bound is exact; terms in at least ``SHARE`` of the
+documents have their cells. Together they give each block of documents an upper bound for each query, and the pivots are
+the blocks whose bound reaches the k-th best score so far of a query of the batch (which a task carries from segment to
+segment); the others are skipped without reading a weight of a frequent term. At the pivots the frequent terms of the
+batch are added by a product of matrices in 32 bits, whose error is bounded; documents that may reach the k-th best
+score by it are scored exactly from their own terms. Results of the tasks are merged exactly.
 
 Scores are compared to nine decimals, ties go to the smaller doc_id. Defined results: null texts hold no term; a query
 without terms, or whose terms are in no document, has no rows; every document that shares a term counts as found,
@@ -39,7 +40,10 @@ from sievecraft.llm.batches import short_batches
 from sievecraft.session import checkpointed
 
 SEGMENT, SEGMENT_WORDS, WIDTH, BLOCK_TERMS = 32_768, 4_000_000, 64, 2_000_000
-SINGLE = 0.6
+#: A term in at least ``SHARE`` of a segment's documents is a frequent one, the ``FREQUENT`` most frequent at most, and as many as fit ``CELLS`` weights.
+SHARE, FREQUENT, CELLS = 0.05, 2_048, 16_000_000
+#: Queries whose bounds are taken at once, weights of queries x documents of a batch, and postings that are added up at once.
+QUERIES, TOGETHER, NEAR = 4_096, 2_000_000, 100_000
 K1, B = 1.2, 0.75
 NO_ID = (1 << 63) - 1
 _TERMS = re.compile(r"\w+").findall
@@ -182,105 +186,143 @@ _CELL_TYPES = (np.int64, np.int32, np.uint64, np.int32, np.int32, np.int32, np.i
 
 
 class Segment:
-    """One segment in memory."""
+    """One segment in memory: lists of its terms, weights of the frequent ones and their block maxima as matrices, terms of each document."""
 
     def __init__(self, body: bytes, average: float):
-        self.ids, n, self.terms, self.doc, tf, cells, self.block, self.count, self.top = _load(body, *_CELL_TYPES)
-        self.weight = _weights(tf, n[self.doc], average)
-        self.doc = self.doc.astype(np.int64)
-        self.cells = np.r_[0, np.cumsum(cells, dtype=np.int64)]
-        df = np.add.reduceat(self.count, self.cells[:-1]) if len(cells) else np.zeros(0, np.int64)
-        self.post = np.r_[0, np.cumsum(df, dtype=np.int64)]
-        self.key = np.repeat(np.arange(len(df), dtype=np.int64) * len(self.ids), df) + self.doc
-        self.blocks = -(-len(self.ids) // WIDTH)
-
-    @staticmethod
-    def _sums(at: np.ndarray, idf: np.ndarray, start: np.ndarray, where: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
-        """Sums of idf * value by ``where`` over the lists of the terms ``at``."""
-        if not len(at):
-            return np.zeros(size)
-        count = start[at + 1] - start[at]
-        posts = _runs(start[at], count)
-        part = value.take(posts)
-        part = part * np.repeat(idf, count)
-        return np.bincount(where.take(posts), part, size)
-
-    def _sought(self, at: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """What the terms ``at`` add to the scores of these documents."""
-        if not len(at):
-            return np.zeros(len(docs))
-        keys = (at[:, None] * np.int64(len(self.ids)) + docs).reshape(-1)
-        place = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-        return idf @ np.where(self.key[place] == keys, self.weight[place], 0.0).reshape(len(at), len(docs))
+        self.ids, n, self.terms, doc, tf, cells, block, count, top = _load(body, *_CELL_TYPES)
+        weight = _weights(tf, n[doc], average)
+        self.doc, size = doc, len(self.ids)
+        self.weight = weight.astype(np.float32)
+        self.blocks = -(-size // WIDTH)
+        start = np.r_[0, np.cumsum(cells, dtype=np.int64)]
+        df = np.add.reduceat(count, start[:-1], dtype=np.int64) if len(cells) else np.zeros(0, np.int64)
+        self.post = np.r_[0, np.cumsum(df)]
+        most = min(FREQUENT, CELLS // max(1, self.blocks * WIDTH))
+        often = np.argsort(-df, kind="stable")[:most]
+        often = often[df[often] >= SHARE * size]
+        self.row = np.full(len(df), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.often = np.zeros((self.blocks * WIDTH, len(often)), np.float32)
+        posts, cell = _runs(self.post[often], df[often]), _runs(start[often], start[often + 1] - start[often])
+        self.often[self.doc[posts], np.repeat(np.arange(len(often)), df[often])] = self.weight[posts]
+        self.often = self.often.reshape(self.blocks, WIDTH, len(often))
+        self.top = np.zeros((self.blocks, len(often)), np.float32)
+        self.top[block[cell], np.repeat(np.arange(len(often)), start[often + 1] - start[often])] = top[cell]
+        order = np.argsort(doc.astype(np.uint16) if size <= 1 << 16 else doc, kind="stable")
+        self.own_term, self.own_weight = np.repeat(np.arange(len(df), dtype=np.int32), df)[order], weight[order]
+        self.own = np.r_[0, np.cumsum(np.bincount(doc, minlength=size))]
+        #: A sum in 32 bits is within this share of the true one, since nothing in it is negative.
+        self.slack = (len(often) + 16) * 2.0**-23
+
+    def _rare(self, starts: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """What these terms, starts[i] .. starts[i + 1] of query i, give each document; few queries at once, so that their lists stay near."""
+        size, n = self.blocks * WIDTH, len(starts) - 1
+        out, read = np.zeros((n, size)), np.r_[0, np.cumsum(self.post[at + 1] - self.post[at])][starts]
+        i = 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(read, read[i] + NEAR, side="right")) - 1)
+            mine = at[starts[i] : starts[j]]
+            count = self.post[mine + 1] - self.post[mine]
+            posts = _runs(self.post[mine], count)
+            part = self.weight.take(posts) * np.repeat(idf[starts[i] : starts[j]], count)
+            where = self.doc.take(posts) + np.repeat(np.arange(j - i) * size, read[i + 1 : j + 1] - read[i:j])
+            out[i:j] = np.bincount(where, part, (j - i) * size).reshape(j - i, size)
+            i = j
+        return out
+
+    def _scores(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Exact scores; weights: of each term of the segment in the query, 0 for those that it lacks."""
+        count = self.own[docs + 1] - self.own[docs]
+        own = _runs(self.own[docs], count)
+        return np.bincount(np.repeat(np.arange(len(docs)), count), weights.take(self.own_term.take(own)) * self.own_weight.take(own), len(docs))
+
+    def search_all(self, starts: np.ndarray, which: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """query, ids, scores: what of this segment may be among the k best of a query, given that k others score at least its floor.
+
+        Query i has the terms which[starts[i]] .. which[starts[i + 1] - 1], as places in ``terms`` and ``idf``.
+        """
+        if not len(self.terms):
+            return
+        place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        place[self.terms[place] != terms] = -1
+        weights = np.zeros(len(self.terms))
+        for first in range(0, len(starts) - 1, QUERIES):
+            last = min(first + QUERIES, len(starts) - 1)
+            mine = which[starts[first] : starts[last]]
+            query = np.repeat(np.arange(last - first), np.diff(starts[first : last + 1]))
+            at, w = place[mine], idf[mine]
+            query, at, w = query[at >= 0], at[at >= 0], w[at >= 0]
+            row = self.row[at]
+            asked = np.zeros((last - first, self.top.shape[1]), np.float32)
+            asked[query[row >= 0], row[row >= 0]] = w[row >= 0]
+            bound = asked @ self.top.T
+            # Queries with the same most frequent term stand together, then those with the same best block, so that a batch needs few blocks.
+            order = np.lexsort((bound.argmax(axis=1), (asked > 0).argmax(axis=1))) if asked.shape[1] else np.arange(last - first)
+            count = np.bincount(query, minlength=len(order))
+            by = _runs((np.cumsum(count) - count)[order], count[order])
+            at, w, row = at[by], w[by], row[by]
+            ends = np.r_[0, np.cumsum(count[order])]
+            few = row < 0
+            few_ends, few_at, few_w = np.r_[0, np.cumsum(few)][ends], at[few], w[few]
+            step = max(1, TOGETHER // (self.blocks * WIDTH))
+            for i in range(0, len(order), step):
+                j = min(i + step, len(order))
+                batch = order[i:j]
+                floor = floors[first + batch]
+                score = self._rare(few_ends[i : j + 1] - few_ends[i], few_at[few_ends[i] : few_ends[j]], few_w[few_ends[i] : few_ends[j]]).reshape(j - i, self.blocks, WIDTH)
+                best = (score.max(axis=2) + bound[batch]) * (1 + self.slack)
+                # The pivots: blocks whose bound reaches the k-th best score of a query of the batch. All others are skipped.
+                pivots = np.flatnonzero(((best > 0) & (best >= floor[:, None] - 1e-9)).any(axis=0))
+                if not len(pivots):
+                    continue
+                often, mine = self.often[pivots].reshape(len(pivots) * WIDTH, -1), asked[batch]
+                used = np.flatnonzero(mine.any(axis=0))
+                if 2 * len(used) < often.shape[1]:
+                    often, mine = often.take(used, axis=1), mine.take(used, axis=1)
+                found = mine @ often.T
+                found += score[:, pivots].reshape(j - i, -1)
+                least, new = floor - 1e-9, np.flatnonzero(floor <= 0)
+                if len(new) and found.shape[1] > k:
+                    least[new] = np.partition(found[new], found.shape[1] - k, axis=1)[:, found.shape[1] - k] - 1e-9
+                least = np.nextafter((least * (1 - 2 * self.slack)).astype(np.float32), np.float32(-np.inf))
+                who, doc = np.nonzero(found >= np.maximum(least, np.nextafter(np.float32(0), np.float32(1)))[:, None])
+                doc = pivots[doc // WIDTH] * WIDTH + doc % WIDTH
+                cut = np.flatnonzero(np.r_[True, who[1:] != who[:-1], True]) if len(who) else ()
+                for a, b in zip(cut[:-1], cut[1:]):
+                    q, docs = who[a], doc[a:b]
+                    terms_ = slice(ends[i + q], ends[i + q + 1])
+                    weights[at[terms_]] = w[terms_]
+                    raw = self._scores(docs, weights)
+                    weights[at[terms_]] = 0
+                    got = np.round(raw, 9)
+                    keep = (raw > 0) & (got >= floor[q])
+                    ids, got = self.ids[docs[keep]], got[keep]
+                    keep = np.lexsort((ids, -got))[:k]
+                    yield int(first + batch[q]), ids[keep], got[keep]
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of this segment that may be among the k best, given that k others score at least ``floor``."""
-        none = self.ids[:0], np.zeros(0)
-        if not len(self.terms):
-            return none
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        hit = self.terms[at] == terms
-        at, idf = at[hit], idf[hit]
-        if not len(at):
-            return none
-        order = np.argsort(-idf, kind="stable")
-        at, idf = at[order], idf[order]
-        posts = np.cumsum(self.post[at + 1] - self.post[at])
-        head = int(np.searchsorted(posts, SINGLE * posts[-1])) + 1
-        few, many, w_few, w_many = at[:head], at[head:], idf[:head], idf[head:]
-        exact = self._sums(few, w_few, self.post, self.doc, self.weight, self.blocks * WIDTH)
-        bound = exact.reshape(self.blocks, WIDTH) + self._sums(many, w_many, self.cells, self.block, self.top, self.blocks)[:, None]
-        bound = bound.reshape(-1)[: len(self.ids)]
-        live = bound > 0
-        bound = bound * (1 + 1e-9) + 1e-9
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def score(docs: np.ndarray) -> None:
-            nonlocal floor
-            raw = exact[docs] + self._sought(many, w_many, docs)
-            got = np.round(raw, 9)
-            keep = (raw > 0) & (got >= floor)
-            found.append((docs[keep], got[keep]))
-            best = np.concatenate([x[1] for x in found])
-            if len(best) >= k:
-                floor = max(floor, np.partition(best, len(best) - k)[len(best) - k])
-
-        first = np.argpartition(-bound, 2 * k)[: 2 * k] if len(bound) > 2 * k else np.arange(len(bound))
-        first = first[live[first] & (bound[first] >= floor)]
-        if len(first):
-            score(first)
-        live[first] = False
-        pivot, step = 0, 4 * k
-        while True:  # the next documents in order whose bound reaches the threshold; all before them are skipped
-            ahead = np.flatnonzero((bound[pivot:] >= floor) & live[pivot:])[:step] + pivot
-            if not len(ahead):
-                break
-            score(ahead)
-            pivot, step = int(ahead[-1]) + 1, 2 * step
-        if not found:
-            return none
-        docs, scores = (np.concatenate([x[i] for x in found]) for i in range(2))
-        ids = self.ids[docs]
-        keep = np.lexsort((ids, -scores))[:k]
-        return ids[keep], scores[keep]
+        """Ids and scores of one query."""
+        for _, ids, scores in self.search_all(np.array([0, len(terms)]), np.arange(len(terms)), terms, idf, k, np.array([floor])):
+            return ids, scores
+        return self.ids[:0], np.zeros(0)
 
 
 def _searched(queries, average: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, starts, terms, idf = queries.value
+        qids, starts, which, terms, idf = queries.value
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        floors = np.zeros(len(qids))
         for b in batches:
             for body in b.column(0):
-                segment = Segment(body.as_py(), average)
-                for j in range(len(qids)):
-                    old = best.get(j)
-                    floor = old[1][-1] if old is not None and len(old[1]) == k else 0.0
-                    ids, scores = segment.search(terms[starts[j] : starts[j + 1]], idf[starts[j] : starts[j + 1]], k, floor)
-                    if len(ids):
-                        if old is not None:
-                            ids, scores = np.concatenate((old[0], ids)), np.concatenate((old[1], scores))
-                        keep = np.lexsort((ids, -scores))[:k]
-                        best[j] = (ids[keep], scores[keep])
+                for j, ids, scores in Segment(body.as_py(), average).search_all(starts, which, terms, idf, k, floors):
+                    if not len(ids):
+                        continue
+                    if (old := best.get(j)) is not None:
+                        ids, scores = np.concatenate((old[0], ids)), np.concatenate((old[1], scores))
+                    keep = np.lexsort((ids, -scores))[:k]
+                    best[j] = (ids[keep], scores[keep])
+                    if len(keep) == k:
+                        floors[j] = scores[keep[-1]]
         if best:
             n = [len(best[j][0]) for j in best]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[list(best)], n)), pa.array(np.concatenate([x[0] for x in best.values()])), pa.array(np.concatenate([x[1] for x in best.values()]))], names=["query_id", "doc_id", "score"])
@@ -305,7 +347,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc
         order = np.lexsort((t, q))
         q, t, w = q[order], t[order], w[order]
         cut = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
-        shared = spark.sparkContext.broadcast((q[cut], np.r_[cut, len(q)], t, w))
+        terms, first, which = np.unique(t, return_index=True, return_inverse=True)
+        shared = spark.sparkContext.broadcast((q[cut], np.r_[cut, len(q)], which.astype(np.int32), terms, w[first]))
         part = celled.mapInArrow(_searched(shared, average, k), "query_id long, doc_id long, score double")
         found.append(checkpointed(part) if blocks > 1 else part)
     out = found[0]

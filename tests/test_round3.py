@@ -96,3 +96,39 @@ def test_a_task_writes_one_bucket_of_the_index(spark, tmp_path):
     assert len({(x.segment, x.bucket) for x in files}) == len(files) > 8
     by_task = Counter(re.search(r"part-(\d+)", x.f)[1] for x in files)
     assert max(by_task.values()) == 1
+
+
+def test_search_adds_up_few_postings_one_by_one(monkeypatch):
+    """Frequent terms are added by matrices at the pivots; batches give what the plain sums give, copies, ties and floors included."""
+    import pyarrow as pa
+
+    from sievecraft.llm import search
+
+    monkeypatch.setattr(search, "TOGETHER", 20_000)  # several batches
+    r = random.Random(8)
+    texts = [" ".join(f"{'ab'[k % 2]}{min(int(r.paretovariate(0.5)), 2000)}" for _ in range(r.choice([0, 3, 40, 200]))) for k in range(900)]
+    texts[100:130] = [texts[100]] * 30
+    memo, n, average = search.Memo(), len(texts), sum(len(t.split()) for t in texts) / len(texts)
+    raw = next(search._segments(iter([pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts)], names=["doc_id", "text"])])))
+    segment = search.Segment(next(search._with_maxima(average)(iter([raw.select(["body"])]))).column(0)[0].as_py(), average)
+    counts = [Counter(search.terms_of(t, memo).tolist()) for t in texts]
+    df = Counter(w for c in counts for w in c)
+    terms = np.sort(np.array([*df, 5], np.uint64))
+    idf = np.maximum(np.log((n - np.array([df[w] for w in terms.tolist()]) + 0.5) / (np.array([df[w] for w in terms.tolist()]) + 0.5)), 1e-6)
+    of = dict(zip(terms.tolist(), idf))
+    asked = range(0, n, 10)
+    which = [np.searchsorted(terms, np.sort(np.array([*counts[q]], np.uint64))) for q in asked]
+    starts = np.r_[0, np.cumsum([len(w) for w in which])]
+    want = []
+    for q in asked:
+        hits = [(-round(sum(of[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / average)) for w in counts[q] if w in c), 9), d) for d, c in enumerate(counts) if c.keys() & counts[q].keys()]
+        want.append(sorted(hits)[:10])
+    for known in (False, True):
+        read, plain = [], search.Segment._rare
+        monkeypatch.setattr(search.Segment, "_rare", lambda self, s, at, w: read.append(int((self.post[at + 1] - self.post[at]).sum())) or plain(self, s, at, w))
+        floors = np.array([-w[-1][0] if known and len(w) == 10 else 0.0 for w in want])
+        got = {j: [*zip(ids.tolist(), scores.tolist())] for j, ids, scores in segment.search_all(starts, np.concatenate(which), terms, idf, 10, floors - 2e-9 * (floors > 0))}
+        monkeypatch.setattr(search.Segment, "_rare", plain)
+        for j, w in enumerate(want):
+            assert [d for d, _ in got.get(j, [])] == [d for _, d in w] and np.allclose([s for _, s in got.get(j, [])], [-s for s, _ in w], atol=2e-9)
+        assert len(read) > 1 and sum(read) < 0.3 * sum(df[w] for q in asked for w in counts[q])
