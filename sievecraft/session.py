@@ -57,6 +57,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_tasks(spark: SparkSession, rows: int, each: int = 200_000) -> Iterator[None]:
+    """Within it, plans over ``rows`` rows are dealt so that a task holds about ``each`` of them, however many there are; the session's settings come back after."""
+    parts, target, read = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
+    before = {name: spark.conf.get(name) for name in (parts, target, read)}
+    spark.conf.set(parts, str(max(int(before[parts]), -(-rows // each))))
+    spark.conf.set(target, "8m")
+    spark.conf.set(read, "16m")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within it, plans that are run hand Python at most ``rows`` rows at once; the session's setting comes back after."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievecraft.operators import grids as sweeps
 from sievecraft.operators import index, retrieve
 from sievecraft.plans import grids, registry, stack  # noqa: F401 (their queries register themselves)
+from sievecraft.session import small_tasks
 
 WORDS = "law tax land court fine water north river appeal notice order form".split()
 
@@ -89,6 +90,17 @@ def test_a_sweep_holds_few_queries_at_once(spark):
     assert [x.n for x in sweeps.swept(rows, {"x": (1,)}, scorer).collect()] == [2000]
 
 
+def test_trees_read_stored_rows(spark):
+    """No task of the trees sorts, joins or groups the events again, for four blocks at once in the last one; rows are dealt by their number."""
+    plan = registry.ml_gbt_rank(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Window|Join|Aggregate|Exchange|Sort", plan) and "Scan ExistingRDD" in plan
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(x) for x in names]
+    with small_tasks(spark, 5_000_000):
+        assert [spark.conf.get(x) for x in names] == ["25", "8m", "16m"]
+    assert [spark.conf.get(x) for x in names] == before
+
+
 def test_a_task_writes_one_bucket_of_the_index(spark, tmp_path):
     docs = spark.createDataFrame([(k, " ".join(WORDS[(k * 7 + j * (1 + k % 5)) % 12] for j in range(20))) for k in range(300)], "doc_id long, text string")
     ix = index.build(docs, f"{tmp_path}/ix", 3, 10_000)
