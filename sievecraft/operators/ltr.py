@@ -4,7 +4,7 @@ A row of the training table is a query: the labels and binned features of its do
 query by the trees so far, takes the gradients of swapping any two of its documents (the change of nDCG that a swap
 makes, times the logistic loss of the pair), places the documents in the nodes of the growing tree and hands on the
 sums by node, feature and bin; these are added up by a ``groupBy``, and what reaches the driver is nodes x features x
-bins sums, however many queries there are. Scores are written every ``KEEP`` trees, so that no job walks through more.
+bins sums, however many queries there are. A task holds ``BATCH`` queries in Python at once. Scores are written every ``KEEP`` trees, so that no job walks through more.
 
 The models of several blocks that are left out grow side by side in the same jobs: a query counts for all models but
 that of its own block.
@@ -20,12 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.session import checkpointed
+from sievecraft.session import arrow_batches, checkpointed
 
-KEEP = 10
+KEEP, BATCH = 10, 256
 
 
 def swap_gradients(y: np.ndarray, score: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +98,9 @@ def query_rows(rows: DataFrame, columns: tuple[str, ...], edges: list[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [binned(np.array(x, float).reshape(-1, len(columns)), edges).tobytes() for x in b.column(4).to_pylist()]
+            n = pc.list_value_length(b.column(4)).to_numpy()
+            x = binned(b.column(4).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(columns)), edges)
+            at = [x[end - k : end].tobytes() for k, end in zip(n, np.cumsum(n))]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(at, pa.binary())], names=["qid", "block", "ids", "y", "bins"])
 
     flat = each.select("qid", "block", F.col("d.doc_id").alias("ids"), F.col("d.y").alias("y"), F.col("d.x").alias("x"))
@@ -129,7 +132,8 @@ def fit_rankers(rows: DataFrame, columns: tuple[str, ...], blocks: list[int], bl
     edges = quantile_edges(rows, columns, bins)
     models = [Ranker(columns, edges, depth) for _ in blocks]
     width, inner = len(columns), 2**depth - 1
-    data = checkpointed(query_rows(rows, columns, edges, "y", block).withColumn("score", F.array().cast("array<double>")))
+    with arrow_batches(rows.sparkSession, BATCH):
+        data = checkpointed(query_rows(rows, columns, edges, "y", block).withColumn("score", F.array().cast("array<double>")))
     kept = 0
 
     def rescored(first: int) -> DataFrame:
@@ -144,7 +148,8 @@ def fit_rankers(rows: DataFrame, columns: tuple[str, ...], blocks: list[int], bl
                     out.append(((np.array(r["score"]).reshape(new.shape) if r["score"] else 0) + new).ravel())
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.float64()))], names=b.schema.names)
 
-        return checkpointed(data.mapInArrow(run, data.schema))
+        with arrow_batches(rows.sparkSession, BATCH):
+            return checkpointed(data.mapInArrow(run, data.schema))
 
     def level_sums(level: int, first: int) -> dict[tuple[int, int], np.ndarray]:
         whole = [Ranker(m.columns, [], m.depth, m.trees[first:-1]) for m in models]
@@ -178,7 +183,9 @@ def fit_rankers(rows: DataFrame, columns: tuple[str, ...], blocks: list[int], bl
 
         parts = data.select("block", "y", "bins", "score").mapInArrow(run, "model int, node int, feature int, bin int, g double, h double")
         out: dict[tuple[int, int], np.ndarray] = {}
-        for r in parts.groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():  # models x nodes x features x bins
+        with arrow_batches(rows.sparkSession, BATCH):
+            got = parts.groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # models x nodes x features x bins
+        for r in got:
             out.setdefault((r["model"], low + r["node"]), np.zeros((used, bins, 2)))[r["feature"], r["bin"]] = r["g"], r["h"]
         return out
 

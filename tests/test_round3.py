@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievecraft.operators import grids as sweeps
-from sievecraft.operators import index, retrieve
+from sievecraft.operators import index, ltr, retrieve
 from sievecraft.plans import grids, registry, stack  # noqa: F401 (their queries register themselves)
 from sievecraft.session import small_tasks
 
@@ -90,6 +90,31 @@ def test_a_sweep_holds_few_queries_at_once(spark):
     assert [x.n for x in sweeps.swept(rows, {"x": (1,)}, scorer).collect()] == [2000]
 
 
+def test_rankers_hold_few_queries_at_once(spark, monkeypatch):
+    """While a query's row is made, and while a level's sums are."""
+    rows = spark.range(6000).coalesce(1).selectExpr("id div 2 as qid", "id % 2 as doc_id", "double(id % 2) as y", "id % 7 as a", "0 as block")
+
+    def few(frame):
+        while frame is not None and "b" not in frame.f_locals:  # none where it is pickled
+            frame = frame.f_back
+        if frame is not None and frame.f_locals["b"].num_rows > 256:
+            raise ValueError(f"{frame.f_locals['b'].num_rows} queries at once")
+
+    class Edges(list):
+        def __iter__(self):
+            few(inspect.currentframe().f_back)
+            return super().__iter__()
+
+    class Blocks(list):
+        def __getitem__(self, k):
+            few(inspect.currentframe().f_back)
+            return super().__getitem__(k)
+
+    monkeypatch.setattr(ltr, "quantile_edges", lambda *_: Edges([np.arange(6.0)]))
+    model = ltr.fit_rankers(rows, ("a",), Blocks([-1]), "block", trees=1, depth=1)
+    assert model[-1].trees[0].value.any()
+
+
 def test_trees_read_stored_rows(spark):
     """No task of the trees sorts, joins or groups the events again, for four blocks at once in the last one; rows are dealt by their number."""
     plan = registry.ml_gbt_rank(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
