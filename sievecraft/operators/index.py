@@ -53,6 +53,22 @@ def last_chunk(tokens: np.ndarray) -> np.ndarray:
     return np.maximum(tokens - (SIZE - STEP) - 1, 0) // STEP
 
 
+def counted(row: np.ndarray, at: np.ndarray, term: np.ndarray, kinds: int, n: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """row, term, tf of each term (of ``kinds``) in each document of ``n`` tokens, by the places where terms start; which of these, chunk, tf in documents of several chunks."""
+    key, which, tf = np.unique(row * kinds + term, return_inverse=True, return_counts=True)
+    last = last_chunk(n)
+    high = np.minimum(at // STEP, last[row])
+    low = np.maximum((at + width - 1 - (SIZE - STEP)) // STEP, 0)
+    both = low < high
+    chunk, of = np.concatenate((high, low[both])), np.concatenate((which, which[both]))
+    span = int(chunk.max(initial=0)) + 1
+    ckey, ctf = np.unique(of * span + chunk, return_counts=True)
+    of, chunk = ckey // span, ckey % span
+    found = key // kinds
+    several = last[found[of]] > 0
+    return found, key % kinds, tf, of[several], chunk[several], ctf[several]
+
+
 def postings_of(ids: pa.Array, tokens: pa.ListArray, width: int) -> pa.RecordBatch:
     """term, doc_id, tokens, tf, chunks of some documents; the empty term stands once for each document.
 
@@ -72,23 +88,13 @@ def postings_of(ids: pa.Array, tokens: pa.ListArray, width: int) -> pa.RecordBat
         terms, row, at = terms.filter(pa.array(within)), row[within], at[within]
     words = terms.dictionary_encode()
     kinds = max(len(words.dictionary), 1)
-    key, which, tf = np.unique(row * kinds + words.indices.to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
-    last = last_chunk(n)
-    high = np.minimum(at // STEP, last[row])
-    low = np.maximum((at + width - 1 - (SIZE - STEP)) // STEP, 0)
-    both = low < high
-    chunk, of = np.concatenate((high, low[both])), np.concatenate((which, which[both]))
-    span = int(chunk.max(initial=0)) + 1
-    ckey, ctf = np.unique(of * span + chunk, return_counts=True)
-    of, chunk = ckey // span, ckey % span
-    found = key // kinds
-    several = last[found] > 0
-    ctf, chunk, of = ctf[several[of]], chunk[several[of]], of[several[of]]
+    found, term, tf, of, chunk, ctf = counted(row, at, words.indices.to_numpy(zero_copy_only=False), kinds, n, width)
+    several = last_chunk(n)[found] > 0
     held = pa.StructArray.from_arrays([pa.array(chunk.astype(np.int32)), pa.array(ctf.astype(np.int32))], names=["no", "tf"])
-    bounds = np.searchsorted(of, np.arange(len(key) + 1))
+    bounds = np.searchsorted(of, np.arange(len(found) + 1))
     some = len(n)  # one row with the empty term per document
     columns = [
-        pa.concat_arrays([words.dictionary.take(pa.array(key % kinds)).cast(pa.string()), pa.array([""] * some, pa.string())]),
+        pa.concat_arrays([words.dictionary.take(pa.array(term)).cast(pa.string()), pa.array([""] * some, pa.string())]),
         pa.concat_arrays([ids.take(pa.array(found)), ids]),
         pa.array(np.concatenate((n[found], n)).astype(np.int64)),
         pa.array(np.concatenate((tf, np.ones(some, np.int64))).astype(np.int64)),
