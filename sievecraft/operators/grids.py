@@ -4,7 +4,8 @@ What does not depend on a configuration is joined once into one row per query: i
 components of the posterior (links of the first documents in the co-answer graph; the strongest similarities for each
 document; the matching features of its profile). A task evaluates the whole grid on a query's arrays and adds up the
 measures by configuration, so that what leaves it is one row per configuration, and the inputs are scanned once however
-large the grid is.
+large the grid is. The graph's sweep, whose grid is the largest, tells apart the configurations that differ on a query
+alone, and counts what is ahead of the query's answers in place of sorting.
 
 Scores are rounded to nine digits and equal ones go to the smaller document, as everywhere. A query's documents are
 its candidates and fit one row. Queries without an answer do not count; an empty table gives an empty result.
@@ -13,6 +14,7 @@ its candidates and fit one row. Queries without an answer do not count; an empty
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -31,9 +33,15 @@ PROFILE_GRID = {"ngram": (1, 2, 3), "k1": (0.5, 1.2, 2.5), "b": (0.25, 0.75, 1.0
 PHRASE_WEIGHTS = (1.0, 1.35, 1.65)
 #: Queries that a task of a sweep holds as objects at once; one with a thousand links takes half a megabyte.
 BATCH = 64
+#: Links of a graph that are broadcast, some 60 bytes each (of a larger one a query's row brings its own); tasks that its queries are dealt into.
+GRAPH_LINKS, TASKS_A_CORE = 500_000, 4
+#: Documents times the graph's configurations that are held at once, some 30 bytes each; a query with more goes through the grid in parts.
+CELLS = 2_000_000
 THIRDS = (1.0, 0.40, 0.15)  # what the three strongest similarities of a document count
 
 Scorer = Callable[[dict, dict[int, int], dict], Iterator[np.ndarray]]
+Judge = Callable[[dict], np.ndarray | None]
+GAIN = 1 / np.log2(np.arange(2, 12))
 
 
 def places(scores: np.ndarray, most: int) -> np.ndarray:
@@ -52,9 +60,8 @@ def measures(scores: np.ndarray, gold: np.ndarray, answers: int) -> np.ndarray:
     """Recall and precision at 5, nDCG at 10 of each row of scores."""
     top = places(scores, 10)
     hit = np.where(top >= 0, gold[top], False)
-    gain = 1 / np.log2(np.arange(2, 12))
     five = hit[:, :5].sum(axis=1)
-    return np.stack([five / answers, five / 5, (hit * gain[: hit.shape[1]]).sum(axis=1) / gain[: min(answers, 10)].sum()], axis=1)
+    return np.stack([five / answers, five / 5, (hit * GAIN[: hit.shape[1]]).sum(axis=1) / GAIN[: min(answers, 10)].sum()], axis=1)
 
 
 def ranks_of(scores: np.ndarray, most: int = MOST) -> np.ndarray:
@@ -73,11 +80,12 @@ def blends(rank: np.ndarray, base: np.ndarray, alphas: tuple, ks: tuple) -> np.n
     return np.where((rank < MISSING) | (base < MISSING), s, -np.inf).reshape(len(alphas) * len(ks), -1)
 
 
-def swept(rows: DataFrame, grid: dict[str, tuple], scorer: Scorer) -> DataFrame:
+def swept(rows: DataFrame, grid: dict[str, tuple], scorer: Scorer | None = None, judge: Judge | None = None) -> DataFrame:
     """The grid's columns, n, recall5, precision5, ndcg10 of each configuration.
 
     ``rows`` has qid, base (documents in order), gold and the scorer's columns; the scorer gives, in the grid's order,
-    blocks of score rows over the documents, which are numbered by their order.
+    blocks of score rows over the documents, which are numbered by their order. In place of a scorer a judge gives the
+    measures of all configurations on a query, None if they are 0.
     """
     shape = tuple(len(v) for v in grid.values())
     whole = int(np.prod(shape))
@@ -88,6 +96,10 @@ def swept(rows: DataFrame, grid: dict[str, tuple], scorer: Scorer) -> DataFrame:
             for r in b.to_pylist():
                 if not r["gold"]:
                     continue
+                if judge is not None:
+                    found, n = judge(r), n + 1
+                    total += 0 if found is None else found
+                    continue
                 docs = sorted({*r["base"], *r["docs"]})
                 at = {x: k for k, x in enumerate(docs)}
                 answers = set(r["gold"])
@@ -152,29 +164,120 @@ def strength(mode: str, count: np.ndarray, left: np.ndarray, right: np.ndarray)
     return count / ((left + 0.5) * (right + 0.5)) ** 0.35
 
 
-def _graph_scores(r: dict, at: dict, grid: dict) -> Iterator[np.ndarray]:
-    base, links = base_ranks(r, at), r["links"]
-    rank, dst = np.array([x["rank"] for x in links], float), np.array([at[x["dst"]] for x in links], np.int64)
+@dataclass(frozen=True)
+class Links:
+    """Links by their source: documents, where the links of each start, and of a link the target's number, questions, strengths."""
+
+    docs: list
+    at: dict
+    starts: np.ndarray
+    dst: np.ndarray
+    count: np.ndarray
+    strong: np.ndarray
+
+    @staticmethod
+    def of(src: list, dst: list, count: np.ndarray, left: np.ndarray, right: np.ndarray, modes: tuple) -> Links:
+        docs = sorted({*src, *dst})
+        at = {x: k for k, x in enumerate(docs)}
+        source = np.array([at[x] for x in src], np.int64)
+        order = np.argsort(source, kind="stable")
+        strong = np.array([strength(m, count, left, right) for m in modes]).reshape(len(modes), -1)
+        return Links(docs, at, np.searchsorted(source[order], np.arange(len(docs) + 1)), np.array([at[x] for x in dst], np.int64)[order], count[order], strong[:, order])
+
+    def first(self, base: list, most: int) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]:
+        """rank; targets in order, which of them, questions, strengths of the links of the first ``most`` documents."""
+        found = [(k + 1, self.starts[self.at[x]], self.starts[self.at[x] + 1]) for k, x in enumerate(base[:most]) if x in self.at]
+        rows = np.concatenate([np.arange(a, b) for _, a, b in found] or [np.zeros(0, np.int64)])
+        codes, which = np.unique(self.dst[rows], return_inverse=True)
+        return np.repeat([float(k) for k, _, _ in found], [b - a for _, a, b in found]), [self.docs[c] for c in codes], which, self.count[rows], self.strong[:, rows]
+
+
+def _of_row(links: list[dict], modes: tuple) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of links that a row brings."""
     count, left, right = (np.array([x[c] for x in links], float) for c in ("cnt", "fs", "fd"))
-    strong = {m: strength(m, count, left, right) for m in grid["mode"]}
-    alpha, k = np.array(grid["alpha"])[:, None, None], np.array(grid["base_k"], float)[None, :, None]
-    own = 1 / (k + base)
-    for seeds, power, mode, least in product(grid["seeds"], grid["power"], grid["mode"], grid["min_edge"]):
-        ok = (rank <= seeds) & (count >= least)
-        g = np.bincount(dst[ok], (strong[mode] / rank**power)[ok], len(at))
-        reached = np.bincount(dst[ok], minlength=len(at)) > 0
-        s = own + alpha * (g / g.max() if g.size and g.max() > 0 else g) / (k + 1)
-        yield np.where(reached | (base < MISSING), s, -np.inf).reshape(-1, len(at))
+    docs = sorted({x["dst"] for x in links})
+    at = {x: k for k, x in enumerate(docs)}
+    strong = np.array([strength(m, count, left, right) for m in modes]).reshape(len(modes), -1)
+    return np.array([x["rank"] for x in links], float), docs, np.array([at[x["dst"]] for x in links], np.int64), count, strong
+
+
+def _graph_judged(base: list, gold: list, grid: dict, rank: np.ndarray, linked: list, which: np.ndarray, count: np.ndarray, strong: np.ndarray) -> np.ndarray | None:
+    """Measures of all configurations on a query; a document's score is 1 / (k + base) + alpha * g / (k + 1), g its links' strength over the largest."""
+    docs = sorted({*base, *linked})
+    at = {x: k for k, x in enumerate(docs)}
+    answers, n = {*gold}, len(docs)
+    held = [at[x] for x in answers if x in at]
+    if not held:
+        return None
+    for name in ("seeds", "power"):  # the grid's first columns
+        if n * len(grid["seeds"]) * len(grid["power"]) * len(grid["mode"]) * len(grid["min_edge"]) > CELLS and len(grid[name]) > 1:
+            return np.concatenate([_graph_judged(base, gold, grid | {name: (v,)}, rank, linked, which, count, strong) for v in grid[name]])
+    dst, most = np.array([at[x] for x in linked], np.int64)[which], max(grid["seeds"])
+    slot, cells = (rank.astype(np.int64) - 1) * n + dst, most * n
+    powers, modes, least, seeds = (grid[c] for c in ("power", "mode", "min_edge", "seeds"))
+    ok = [(count >= e) & (rank <= most) for e in least]
+    by_rank = np.stack([[np.bincount(slot[o], s[o], cells) for o in ok] for s in strong]).reshape(len(modes), len(least), most, n)
+    reached = np.stack([np.bincount(slot[o], minlength=cells) for o in ok]).reshape(len(least), most, n).cumsum(axis=1) > 0
+    chosen, r = np.array(seeds) - 1, np.arange(1.0, most + 1)[:, None]
+    g = np.stack([(by_rank / r**p).cumsum(axis=2)[:, :, chosen] for p in powers])  # power, mode, least, seeds, document
+    g = g.transpose(3, 0, 1, 2, 4).reshape(-1, n)
+    top = g.max(axis=1, keepdims=True)
+    g = g / np.where(top > 0, top, 1.0)
+    own = np.full(n, float(MISSING))
+    own[[at[x] for x in base]] = np.arange(1, len(base) + 1)
+    here = np.broadcast_to(reached.transpose(1, 0, 2)[chosen][:, None, None], (len(seeds), len(powers), len(modes), len(least), n)).reshape(-1, n) | (own < MISSING)
+    known: dict[tuple, int] = {}  # on a query many of the graph's configurations are the same
+    of = np.array([known.setdefault((a.tobytes(), b.tobytes()), len(known)) for a, b in zip(g, here)])
+    one = np.unique(of, return_index=True)[1]
+    g, here = np.ascontiguousarray(g[one].T), here[one].T
+    alphas, ks = grid["alpha"], np.array(grid["base_k"], float)[:, None, None]
+    five, gain = (np.zeros((len(alphas), len(ks), len(one))) for _ in range(2))
+    gains, small = np.append(GAIN, 0.0), np.uint8 if n < 256 else np.int32
+    # A document that stands no lower and is linked more strongly by this is ahead whatever alpha and k, by more than rounding.
+    clear = 3e-9 * (ks.max() + 1) / min(alphas) if min(alphas) > 0 else np.inf
+    for x in held:
+        more, less = g >= g[x] + clear, g + clear <= g[x]
+        some = np.flatnonzero(here[x] & (more[own <= own[x]].sum(axis=0) < 10))  # elsewhere ten are ahead
+        if not len(some):
+            continue
+        rows = np.flatnonzero((own < own[x]) | ~less[:, some].all(axis=1))  # others are behind everywhere
+        at_x, kept, seen = np.searchsorted(rows, x), g[np.ix_(rows, some)], here[np.ix_(rows, some)]
+        start = 1 / (ks + own[rows][:, None])
+        if not seen.all():
+            start = start + np.where(seen, 0.0, -np.inf)
+        s, ahead = np.empty((len(ks), *kept.shape)), np.empty((len(ks), *kept.shape), bool)
+        for i, alpha in enumerate(alphas):
+            np.divide(alpha * kept, ks + 1, out=s)
+            np.add(start, s, out=s)
+            np.multiply(s, 1e9, out=s)
+            np.rint(s, out=s)
+            mine = s[:, at_x : at_x + 1]
+            np.greater_equal(s[:, :at_x], mine, out=ahead[:, :at_x])  # equal ones go to the smaller document
+            np.greater(s[:, at_x:], mine, out=ahead[:, at_x:])
+            place = np.add.reduce(ahead.view(np.uint8), axis=1, dtype=small)
+            five[i][:, some] += place < 5
+            gain[i][:, some] += gains[np.minimum(place, 10)]
+    five, gain = five[:, :, of].reshape(-1, len(of)).T.ravel(), gain[:, :, of].reshape(-1, len(of)).T.ravel()
+    return np.stack([five / len(answers), five / 5, gain / GAIN[: min(len(answers), 10)].sum()], axis=1)
 
 
 def graph_grid(ranking: DataFrame, edges: DataFrame, freq: DataFrame, gold: DataFrame, grid: dict[str, tuple] = GRAPH_GRID) -> DataFrame:
-    """Sweep of the co-answer graph: ranking (qid, doc_id, rank), edges (src, dst, cnt), freq (doc_id, n), gold (qid, doc_id)."""
-    e = edges.join(freq.select(F.col("doc_id").alias("src"), F.col("n").alias("fs")), "src").join(freq.select(F.col("doc_id").alias("dst"), F.col("n").alias("fd")), "dst")
-    first = ranking.where(F.col("rank") <= max(grid["seeds"])).select("qid", F.col("doc_id").alias("src"), "rank")
-    links = first.join(e, "src").groupBy("qid").agg(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), "dst", F.col("cnt").cast("long").alias("cnt"), F.col("fs").cast("long").alias("fs"), F.col("fd").cast("long").alias("fd"))).alias("links"))
+    """Sweep of the co-answer graph: ranking (qid, doc_id, rank), edges (src, dst, cnt), freq (doc_id, n), gold (qid, doc_id).
+
+    A graph of ``GRAPH_LINKS`` links at most is broadcast; else a query's row brings the links of its first documents.
+    """
+    e = checkpointed(edges.join(freq.select(F.col("doc_id").alias("src"), F.col("n").alias("fs")), "src").join(freq.select(F.col("doc_id").alias("dst"), F.col("n").alias("fd")), "dst").select("src", "dst", *[F.col(c).cast("long").alias(c) for c in ("cnt", "fs", "fd")]))
+    listed, most = _listed(ranking, gold), max(grid["seeds"])
+    if e.count() <= GRAPH_LINKS:
+        held = e.toArrow()
+        shared = e.sparkSession.sparkContext.broadcast(Links.of(held["src"].to_pylist(), held["dst"].to_pylist(), *[held[c].to_numpy().astype(float) for c in ("cnt", "fs", "fd")], grid["mode"]))
+        parts = TASKS_A_CORE * e.sparkSession.sparkContext.defaultParallelism  # rows are small, and by their bytes would land in few tasks
+        return swept(_filled(listed, ranking).select("qid", "base", "gold").repartition(parts, "qid"), grid, judge=lambda r: _graph_judged(r["base"], r["gold"], grid, *shared.value.first(r["base"], most)))
+    first = ranking.where(F.col("rank") <= most).select("qid", F.col("doc_id").alias("src"), "rank")
+    links = first.join(e, "src").groupBy("qid").agg(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), "dst", "cnt", "fs", "fd")).alias("links"))
     kind = ranking.schema["doc_id"].dataType.simpleString()
-    rows = _filled(_listed(ranking, gold).join(links, "qid", "left"), ranking, links=f"array<struct<rank:bigint,dst:{kind},cnt:bigint,fs:bigint,fd:bigint>>")
-    return swept(rows.select("qid", "base", "gold", "links", F.col("links.dst").alias("docs")), grid, _graph_scores)
+    rows = _filled(listed.join(links, "qid", "left"), ranking, links=f"array<struct<rank:bigint,dst:{kind},cnt:bigint,fs:bigint,fd:bigint>>")
+    return swept(rows.select("qid", "base", "gold", "links"), grid, judge=lambda r: _graph_judged(r["base"], r["gold"], grid, *_of_row(r["links"], grid["mode"])))
 
 
 def _kernel_scores(r: dict, at: dict, grid: dict) -> Iterator[np.ndarray]:
