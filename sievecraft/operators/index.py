@@ -244,10 +244,11 @@ def _joined(index: LexicalIndex, weighed: DataFrame, grain: str, mean: float, di
     return hits.select("qid", *unit, part.alias("part")).groupBy("qid", *unit).agg(F.round(F.sum("part"), digits).alias("score"))
 
 
-def best_units(asked: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray], postings: pa.Table, k: int, mean: float, width: int, digits: int) -> Iterator[pa.RecordBatch]:
+def best_units(asked: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray], postings: pa.Table, k: int, mean: float, width: int, digits: int, floors: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """qid, doc_id, no if it is given, score of the ``k`` best units of each query among these, whose postings (t, doc_id, tokens, tf) are whole.
 
     ``asked`` has the queries' ids, where the terms of each start, the numbers of these terms and their idf.
+    Units below a query's floor are left out.
     """
     qids, starts, terms, idf = asked
     grain = ["no"] if "no" in postings.column_names else []
@@ -273,6 +274,8 @@ def best_units(asked: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray], posti
         total = np.bincount(unit[rows], np.repeat(weight, count) * part[rows], len(units))
         found = np.flatnonzero(total > 0)  # idf and parts are above 0, so these are all that hold a term
         score = np.floor(total[found] * 10**digits + 0.5) / 10**digits
+        if floors is not None:
+            found, score = found[score >= floors[q]], score[score >= floors[q]]
         if len(found) > k:
             least = np.partition(score, len(score) - k)[len(score) - k]
             found, score = found[score >= least], score[score >= least]

@@ -106,3 +106,17 @@ def test_graph_sweep_brings_links_only_if_they_are_many(spark, monkeypatch):
     assert len(found[0]) == 32 and np.allclose([x[4:] for x in found[0]], [x[4:] for x in found[1]]) and any(x[7] for x in found[0])
     assert [x[0] for x in seen] == [["qid", "base", "gold"], ["qid", "base", "gold", "links"]]
     assert seen[0][1] >= 4 * spark.sparkContext.defaultParallelism  # small rows, much work
+
+
+@pytest.mark.parametrize("grain", ["doc", "chunk"])
+def test_of_many_tasks_few_hand_on_all_their_best(spark, grain, monkeypatch):
+    rows, handed = drawn(400, 21), []
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(25)
+    one_pass = passing._one_pass
+    monkeypatch.setattr(passing, "_one_pass", lambda *a: handed.append(one_pass(*a)) or handed[-1])
+    for few in (16, 1000):
+        monkeypatch.setattr(passing, "FEW_TASKS", few)
+        got = passing.bm25(docs, [(1, asked(spark, QUESTIONS))], [(0, 6, grain), (0, 2000, grain)])
+        for found, k in zip(got, (6, 2000)):
+            same(listed(found, grain), plain(rows, QUESTIONS, k, 1, grain))
+    assert handed[0][0].count() < 0.6 * handed[1][0].count()
